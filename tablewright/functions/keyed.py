@@ -39,12 +39,31 @@ def digest_number(digest: Column, start: int, digits: int) -> Column:
     return F.conv(F.substring(digest, start, digits), 16, 10).cast("long")
 
 
-def uniform_int(digest: Column, slot: int, low: int, high: int) -> Column:
-    """Whole number in ``[low, high]`` from one of a digest's four 8-digit slots (0-3)."""
+# Fixed value: the largest prime below 2^30, the size of a digest word.
+WORD_BITS, WORD_PRIME = 30, 1_073_741_789
+
+
+def digest_words(digest: Column) -> list[Column]:
+    """Four 30-bit numbers from one digest: two for each half of 15 digits."""
+    words = []
+    for start in (1, 16):
+        half = digest_number(digest, start, 15)
+        words += [half.bitwiseAND(F.lit((1 << WORD_BITS) - 1)), F.shiftright(half, WORD_BITS)]
+    return words
+
+
+def uniform_int(words: list[Column], draw: int, low: int, high: int) -> Column:
+    """Whole number in ``[low, high]``: draw number ``draw`` of a row with these digest words.
+
+    The words are the coefficients of a cubic, evaluated at the draw's number modulo a
+    prime: any four draws of a row are independent, and one digest serves them all.
+    """
     if high < low:
         raise ValueError("high must not be below low")
-    draw = digest_number(digest, 8 * slot + 1, 8)
-    return (F.lit(low) + draw % F.lit(high - low + 1)).cast("long")
+    value = words[0]
+    for power, word in enumerate(words[1:], start=1):
+        value = value + word * F.lit(draw**power).cast("long")
+    return (F.lit(low) + value % F.lit(WORD_PRIME) % F.lit(high - low + 1)).cast("long")
 
 
 def share_threshold(share: float) -> str:

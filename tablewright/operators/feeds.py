@@ -128,18 +128,24 @@ def last_batch(index: Column, spec: FeedSpec) -> Column:
     return F.when(lag >= 0, F.greatest(first, F.least(final, reach))).otherwise(first).cast("int")
 
 
-def change_feed(rows: DataFrame, index: str, spec: FeedSpec) -> DataFrame:
-    """All batches of a feed: the row's columns, its id if the type has one, ``batch``, ``op``."""
-    pool = index_between(rows, index, 1, spec.pool_rows)
-    position = F.col(index).cast("long")
+def change_feed(rows: DataFrame, index: str, spec: FeedSpec, start: int = 1, keep_index: bool = False) -> DataFrame:
+    """All batches of a feed: the row's columns, its id if the type has one, ``batch``, ``op``.
+
+    ``index`` numbers the rows consecutively from ``start``. The pool is cut by comparing the
+    column itself with literals, so the cut reaches the scan. ``keep_index`` leaves the
+    column in the result, for when it is data as well.
+    """
+    pool = index_between(rows, index, start, start + spec.pool_rows - 1)
+    position = _position(index, start)
     span = F.sequence(first_batch(position, spec), last_batch(position, spec))
     placed = pool.withColumn("batch", F.explode(span)).withColumn(
         "op", F.when(F.col("batch") == first_batch(position, spec), F.lit(INSERT)).otherwise(F.lit(UPDATE))
     )
-    return _shaped(placed, index, spec)
+    return _shaped(placed, index, spec, start, keep_index)
 
 
-def batch_by_ranges(rows: DataFrame, index: str, spec: FeedSpec, batch: int) -> DataFrame:
+def batch_by_ranges(rows: DataFrame, index: str, spec: FeedSpec, batch: int, start: int = 1,
+                    keep_index: bool = False) -> DataFrame:
     """One batch of the feed from its two index ranges, for when only that batch is wanted.
 
     The ranges are literals and reach the scan as pushed-down filters.
@@ -147,14 +153,22 @@ def batch_by_ranges(rows: DataFrame, index: str, spec: FeedSpec, batch: int) ->
     sides = []
     for op, (first, last) in ((INSERT, spec.insert_range(batch)), (UPDATE, spec.update_range(batch))):
         if last >= first:
-            side = index_between(rows, index, first, last)
-            sides.append(_shaped(side.withColumns({"batch": F.lit(batch), "op": F.lit(op)}), index, spec))
+            side = index_between(rows, index, first + start - 1, last + start - 1)
+            placed = side.withColumns({"batch": F.lit(batch), "op": F.lit(op)})
+            sides.append(_shaped(placed, index, spec, start, keep_index))
     return stacked(sides)
 
 
-def _shaped(placed: DataFrame, index: str, spec: FeedSpec) -> DataFrame:
+def _position(index: str, start: int) -> Column:
+    """1-based position of a row in the pool."""
+    value = F.col(index).cast("long")
+    return value if start == 1 else value + F.lit(1 - start).cast("long")
+
+
+def _shaped(placed: DataFrame, index: str, spec: FeedSpec, start: int, keep_index: bool) -> DataFrame:
     """Give placed rows the columns that the object type prescribes."""
-    payload = [name for name in placed.columns if name not in (index, "batch", "op")]
+    hidden = {"batch", "op"} if keep_index else {index, "batch", "op"}
+    payload = [name for name in placed.columns if name not in hidden]
     is_insert, is_later = F.col("op") == INSERT, F.col("batch") > 0
     cells = {name: F.col(f"`{name}`") for name in payload}
     if spec.object_type.has_candidate_key:
@@ -162,9 +176,9 @@ def _shaped(placed: DataFrame, index: str, spec: FeedSpec) -> DataFrame:
             cells[key] = F.when(is_insert & is_later, cells[key] + F.lit(1)).otherwise(cells[key])
         cells[spec.amount] = F.when(is_insert, cells[spec.amount]).otherwise(cells[spec.amount] + F.lit(1))
     elif spec.object_type is ObjectType.STANDARD:
-        cells[spec.id_column] = F.when(is_insert, blank()).otherwise(F.col(index).cast("string"))
+        cells[spec.id_column] = F.when(is_insert, blank()).otherwise(_position(index, start).cast("string"))
     else:
-        cells[spec.id_column] = external_id(F.col(index))
+        cells[spec.id_column] = external_id(_position(index, start))
     return placed.select(*[cell.alias(name) for name, cell in cells.items()], "batch", "op")
 
 
@@ -178,11 +192,10 @@ def batch_counts(feed: DataFrame) -> DataFrame:
     return feed.groupBy("batch", "op").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def check_pool(rows: DataFrame, index: str, spec: FeedSpec) -> int:
+def check_pool(rows: DataFrame, index: str, spec: FeedSpec, start: int = 1) -> int:
     """Raise unless the pool holds every index the feed needs, each once."""
-    inside = index_between(rows, index, 1, spec.pool_rows)
-    counts = inside.groupBy(index).count().agg(F.count(F.lit(1)), F.max("count")).first()
-    known, most = counts[0], counts[1] or 0
+    inside = index_between(rows, index, start, start + spec.pool_rows - 1)
+    known, most = inside.groupBy(index).count().agg(F.count(F.lit(1)), F.max("count")).first()
     if known != spec.pool_rows or most > 1:
         raise ValueError(f"the feed needs {spec.pool_rows} distinct rows, found {known} (up to {most} per index)")
     return known

@@ -23,9 +23,9 @@ def index_between(df: DataFrame, index: str, first: int, last: int) -> DataFrame
     return df.filter(F.col(index).between(first, last))
 
 
-def pool_head(df: DataFrame, index: str, n: int) -> DataFrame:
-    """The first ``n`` rows of a pool indexed from 1."""
-    return df.filter(F.col(index) <= n)
+def pool_head(df: DataFrame, index: str, n: int, start: int = 1) -> DataFrame:
+    """The first ``n`` rows of a pool whose index counts up from ``start``."""
+    return df.filter(F.col(index) < start + n)
 
 
 def stacked(frames: Sequence[DataFrame]) -> DataFrame:

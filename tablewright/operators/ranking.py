@@ -45,41 +45,44 @@ def first_rows(df: DataFrame, n: int) -> DataFrame:
 
 
 def nth_smallest(df: DataFrame, column: str, n: int, low: int | None = None, high: int | None = None,
-                 buckets: int = BUCKETS, few: int = FEW) -> tuple[int, int, int]:
+                 buckets: int = BUCKETS, few: int = FEW, scanned: bool = True) -> tuple[int, int, int]:
     """The n-th smallest value of a whole-number column: ``(value, rows below it, rows at it)``.
 
     Each pass counts rows in equal slices of the remaining value range (combined on the map
     side) and keeps the slice that holds the n-th row, so 64 bits need at most four passes;
-    the search ends early once a slice is down to a few rows. NULLs are left out.
+    a slice with few rows is settled in one more. NULLs are left out. Say ``scanned=False``
+    for a computed column: filtering on it would compute it again for every comparison,
+    while for a column of the scan the filter is pushed down.
     """
-    frame = df.select(F.col(column).cast("long").alias("v")).filter(F.col("v").isNotNull())
+    frame = df.select(F.col(column).cast("long").alias("v"))
     if low is None or high is None:
         low, high = frame.agg(F.min("v"), F.max("v")).first()
     if n < 1 or low is None:
         raise ValueError("n must be at least 1 and the column must hold values")
-    below = 0
+    below, width = 0, max(1, -(-(high - low + 1) // buckets))
     while True:
-        inside = frame.filter(F.col("v").between(low, high))
-        width = max(1, -(-(high - low + 1) // buckets))
-        exact = "decimal(20,0)" if high - low > _LONG_MAX else "bigint"
-        offset = F.col("v").cast(exact) - F.lit(low).cast(exact)
-        slot_of = F.call_function("div", offset, F.lit(width).cast(exact)).cast("long")
-        counts = sorted(inside.groupBy(slot_of.alias("slot")).count().collect())
-        for slot, size in counts:
+        for slot, size in _slices(frame, low, high, width, scanned):
             if below + size >= n:
-                low = low + slot * width
-                high = min(high, low + width - 1)
                 break
             below += size
         else:
             raise ValueError(f"fewer than {n} rows in {column!r}")
+        low = low + slot * width
+        high = min(high, low + width - 1)
         if low == high:
             return low, below, size
-        if size <= few:
-            values = sorted(row.v for row in frame.filter(F.col("v").between(low, high)).collect())
-            value = values[n - below - 1]
-            under = sum(1 for v in values if v < value)
-            return value, below + under, values.count(value)
+        width = 1 if size <= few else max(1, -(-(high - low + 1) // buckets))
+
+
+def _slices(frame: DataFrame, low: int, high: int, width: int, scanned: bool) -> list[tuple[int, int]]:
+    """Rows per slice of ``width`` values between ``low`` and ``high``, in order, empty ones left out."""
+    exact = "decimal(20,0)" if high - low > _LONG_MAX else "bigint"
+    offset = F.col("v").cast(exact) - F.lit(low).cast(exact)
+    slot = F.call_function("div", offset, F.lit(width).cast(exact)).cast("long")
+    inside = F.col("v").between(low, high)
+    rows = frame.filter(inside) if scanned else frame
+    counts = rows.groupBy(F.when(inside, slot).alias("slot")).count().collect()
+    return sorted((slot, size) for slot, size in counts if slot is not None)
 
 
 def first_by_key(df: DataFrame, key: str, n: int, top_k: int = TOP_K) -> DataFrame:

@@ -43,7 +43,7 @@ def exact_split(df: DataFrame, keys: Sequence[str], test_share: float, seed: int
     target = ceil(Fraction(str(test_share)) * rows)
     if target == 0:
         return df.withColumn(column, F.lit("train"))
-    cut, below, at = nth_smallest(digests, "digest", target, low=0, high=16**_DIGITS - 1)
+    cut, below, at = nth_smallest(digests, "digest", target, low=0, high=16**_DIGITS - 1, scanned=False)
     if below + at != target:
         raise ValueError(f"{at} rows share the key at the cut; add key columns until they are told apart")
     return df.withColumn(column, F.when(number <= F.lit(cut), F.lit("test")).otherwise(F.lit("train")))

@@ -132,7 +132,7 @@ def versions(feed: DataFrame, keys: Sequence[str], batch: str = "batch", batches
         next_batch = F.lead(batch).over(Window.partitionBy(*keys).orderBy(batch))
         return opened.withColumn("valid_to", next_batch)
     slot, head, following = "__piece", "__head", "__next"
-    number = F.floor(F.col(batch) / F.lit(piece))
+    number = F.call_function("div", F.col(batch), F.lit(piece))
     cut = opened.withColumn(slot, number)
     heads = feed.groupBy(*keys, number.alias(slot)).agg(F.min(batch).alias(head))
     nexts = heads.select(
@@ -151,22 +151,37 @@ def versions(feed: DataFrame, keys: Sequence[str], batch: str = "batch", batches
 
 
 def classify(feed: DataFrame, keys: Sequence[str], batch: str = "batch", column: str = "op",
-             hot_rows: int = HOT_ROWS) -> DataFrame:
+             batches: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Mark each row ``I`` when its batch is the key's first, ``U`` otherwise.
 
-    First batches are found per key with a map-side combine and joined back. A key with more
-    than ``hot_rows`` rows would make one join task slow, so rows of such keys are joined
-    with a broadcast list instead and are not shuffled at all. There are at most
-    (all rows / ``hot_rows``) such keys, which bounds the list.
+    A feed that holds each (key, batch) once, in a known number of ``batches``, has small
+    groups: one window over the key does. Otherwise first batches are found per key with a
+    map-side combine, written once, and joined back. A key with more than ``hot_rows`` rows
+    would make one join task slow, so rows of such keys meet a broadcast list instead and
+    are not shuffled at all. There are at most (all rows / ``hot_rows``) such keys, which
+    bounds the list.
     """
     first, weight = "__first", "__rows"
+    if batches is not None and batches <= BATCHES_PER_PIECE:
+        earliest = F.min(batch).over(Window.partitionBy(*keys))
+        return feed.withColumn(column, _operation(F.col(batch).eqNullSafe(earliest)))
     names = [f"__k{i}" for i in range(len(keys))]
-    per_key = feed.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(
-        F.min(batch).alias(first), F.count(F.lit(1)).alias(weight)
+    per_key = written(
+        feed.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(
+            F.min(batch).alias(first), F.count(F.lit(1)).alias(weight)
+        ),
+        "first-batches",
     )
     same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
-    hot = F.broadcast(per_key.filter(F.col(weight) > hot_rows))
-    cold = per_key.filter(F.col(weight) <= hot_rows)
-    placed = feed.join(hot, same).unionByName(feed.join(hot, same, "left_anti").join(cold, same))
-    mark = F.when(F.col(batch).eqNullSafe(F.col(first)), F.lit("I")).otherwise(F.lit("U"))
-    return placed.withColumn(column, mark).drop(*names, first, weight)
+    hot, cold = per_key.filter(F.col(weight) > hot_rows), per_key.filter(F.col(weight) <= hot_rows)
+    if hot.isEmpty():
+        placed = feed.join(per_key, same)
+    else:
+        hot = F.broadcast(hot)
+        placed = feed.join(hot, same).unionByName(feed.join(hot, same, "left_anti").join(cold, same))
+    marked = placed.withColumn(column, _operation(F.col(batch).eqNullSafe(F.col(first))))
+    return marked.drop(*names, first, weight)
+
+
+def _operation(is_first: Column) -> Column:
+    return F.when(is_first, F.lit("I")).otherwise(F.lit("U"))

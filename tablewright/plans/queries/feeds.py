@@ -18,7 +18,9 @@ from tablewright.plans.queries.registry import query, table
 from tablewright.session import scratch_path
 from tablewright.sinks.text import write_feed_csv
 
-INDEX = "row_index"
+# Order keys count up from 0, so they serve as the index and stay in the feed as data.
+INDEX = "o_orderkey"
+INDEXED = {"start": 0, "keep_index": True}
 
 # The batches a pool of orders is cut into, as index ranges: an independent route to the feed.
 SLOTS_SQL = """
@@ -39,9 +41,7 @@ _SHIFTED = """
 
 
 def pool_of_orders(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders with their 1-based index; order keys are dense from 0."""
-    orders = table(spark, folder, "orders")
-    return orders.select((F.col("o_orderkey") + 1).alias(INDEX), "o_orderkey", "o_custkey", "o_totalprice")
+    return table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 def order_spec(spark: SparkSession, folder: str, kind: ObjectType | str,
@@ -52,7 +52,7 @@ def order_spec(spark: SparkSession, folder: str, kind: ObjectType | str,
 
 
 def order_feed(spark: SparkSession, folder: str, kind: ObjectType | str, **options) -> DataFrame:
-    return change_feed(pool_of_orders(spark, folder), INDEX, order_spec(spark, folder, kind, **options))
+    return change_feed(pool_of_orders(spark, folder), INDEX, order_spec(spark, folder, kind, **options), **INDEXED)
 
 
 def _type_sql(kind: ObjectType) -> str:
@@ -92,7 +92,7 @@ def feed_batch_counts(spark: SparkSession, folder: str) -> DataFrame:
 def feed_one_batch(spark: SparkSession, folder: str) -> DataFrame:
     """One batch from its two index ranges, stacked by name."""
     spec = order_spec(spark, folder, ObjectType.INCREMENTAL_SNAPSHOT)
-    return batch_by_ranges(pool_of_orders(spark, folder), INDEX, spec, 3)
+    return batch_by_ranges(pool_of_orders(spark, folder), INDEX, spec, 3, **INDEXED)
 
 
 @query(
@@ -108,8 +108,8 @@ def feed_pool(spark: SparkSession, folder: str) -> DataFrame:
     """The pool holds every index once; its head is the seed batch."""
     pool = pool_of_orders(spark, folder)
     spec = order_spec(spark, folder, ObjectType.STANDARD)
-    known = check_pool(pool, INDEX, spec)
-    return pool_head(pool, INDEX, spec.rows_per_batch).agg(
+    known = check_pool(pool, INDEX, spec, start=0)
+    return pool_head(pool, INDEX, spec.rows_per_batch, start=0).agg(
         F.lit(known).cast("long").alias("pool_rows"),
         F.lit(spec.rows_per_batch).cast("long").alias("seed_rows"),
         F.count(F.lit(1)).alias("seed_found"),
@@ -129,7 +129,7 @@ def feed_pool(spark: SparkSession, folder: str) -> DataFrame:
 def feed_files(spark: SparkSession, folder: str) -> DataFrame:
     """The feed as one CSV folder per numbered batch, read back."""
     spec = order_spec(spark, folder, ObjectType.STANDARD)
-    feed = change_feed(pool_of_orders(spark, folder), INDEX, spec)
+    feed = change_feed(pool_of_orders(spark, folder), INDEX, spec, **INDEXED)
     path = scratch_path(spark, "feed")
     write_feed_csv(feed, path, spec)
     back = spark.read.option("header", True).csv(path)

@@ -31,7 +31,7 @@ from tablewright.plans.training import (
 from tablewright.session import scratch_path
 from tablewright.sources.objects import read_object
 
-TREES = TreeSettings(rounds=5, depth=4)
+TREES = TreeSettings(rounds=5, depth=4, least_partitions=8)
 
 _BAND_SQL = """CASE WHEN l_extendedprice < 35000 THEN 'high discount' WHEN l_extendedprice < 70000 THEN 'middle'
                ELSE 'premium' END"""

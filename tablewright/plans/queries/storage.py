@@ -143,19 +143,19 @@ def csv_single_part_export(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _fact_sql(ids: str) -> str:
-    """The fact table in SQL, from the declared ranges: four draws per digest, in column order."""
-    cells, drawn = [], 0
-    for name, bounds in FACT_RANGES.items():
+    """The fact table in SQL: a cubic in the column's number, with digest words as coefficients."""
+    cells = []
+    for draw, (name, bounds) in enumerate(FACT_RANGES.items(), start=1):
         if bounds is None:
             cells.append(f'CAST(id AS BIGINT) AS "{name}"')
             continue
         low, high = bounds
-        block, slot = divmod(drawn, 4)
-        digits = f"substr(md5(concat(id, ':{block}:', '11')), {8 * slot + 1}, 8)"
-        cells.append(f"CAST({low} + CAST('0x' || {digits} AS BIGINT) % {high - low + 1} AS BIGINT) AS \"{name}\"")
-        drawn += 1
+        cubic = f"(a & 1073741823) + (a >> 30) * {draw} + (b & 1073741823) * {draw**2} + (b >> 30) * {draw**3}"
+        cells.append(f'CAST({low} + ({cubic}) % 1073741789 % {high - low + 1} AS BIGINT) AS "{name}"')
     cells.append(f"'FALSE' AS \"{FACT_FLAG}\"")
-    return f"SELECT {', '.join(cells)} FROM ({ids})"
+    halves = "CAST('0x' || substr(d, 1, 15) AS BIGINT) AS a, CAST('0x' || substr(d, 16, 15) AS BIGINT) AS b"
+    digests = f"SELECT id, md5(concat(id, ':11')) AS d FROM ({ids})"
+    return f"SELECT {', '.join(cells)} FROM (SELECT id, {halves} FROM ({digests}))"
 
 
 @query("synthetic_fact", _fact_sql("SELECT o_orderkey AS id FROM orders"))

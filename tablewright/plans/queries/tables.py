@@ -128,7 +128,7 @@ def object_versions_in_pieces(spark: SparkSession, folder: str) -> DataFrame:
 def feed_classify(spark: SparkSession, folder: str) -> DataFrame:
     """Recover the operation from keys and batches alone."""
     feed = order_feed(spark, folder, ObjectType.STANDARD_WITH_EXTERNAL_ID).drop("op")
-    return classify(feed, ["sales_external_id"]).drop("sales_external_id")
+    return classify(feed, ["sales_external_id"], batches=5).drop("sales_external_id")
 
 
 @query(

@@ -36,6 +36,9 @@ class TreeSettings:
     step: float = 0.3
     seed: int = 0
     checkpoint_every: int = 10
+    # Spread the training rows over at least this many partitions before the many passes over
+    # them; 0 takes them as scanned. Worth it only for sources with few large files.
+    least_partitions: int = 0
 
 
 @dataclass(frozen=True)
@@ -70,6 +73,11 @@ def _trees(settings: TreeSettings, label: str) -> GBTRegressor:
     )
 
 
+def _spread(rows: DataFrame, settings: TreeSettings) -> DataFrame:
+    wanted = settings.least_partitions
+    return rows.repartition(wanted) if wanted and rows.rdd.getNumPartitions() < wanted else rows
+
+
 def prepare(df: DataFrame, task: ClassTask) -> DataFrame:
     """Keys, features as double, label, and the split each row belongs to. One narrow pass."""
     kept = reorder(df, [*task.keys, *task.features, task.label])
@@ -85,7 +93,8 @@ def train(df: DataFrame, task: ClassTask) -> PipelineModel:
     codes = StringIndexerModel.from_labels(labels, inputCol=task.label, outputCol=CODE, handleInvalid="keep")
     assembler = VectorAssembler(inputCols=list(task.features), outputCol="features")
     stages = [codes, assembler, _trees(task.trees, CODE)]
-    return Pipeline(stages=stages).fit(prepared.filter(F.col(SPLIT) == TRAIN))
+    rows = prepared.filter(_training()).select(*task.features, task.label)
+    return Pipeline(stages=stages).fit(_spread(rows, task.trees))
 
 
 def class_labels(model: PipelineModel) -> list[str]:
@@ -169,7 +178,8 @@ def train_numbers(df: DataFrame, task: NumberTask) -> tuple[PipelineModel, DataF
     stages = [imputer, VectorAssembler(inputCols=filled, outputCol="features"), _trees(task.trees, task.target)]
     target = F.col(task.target).cast(T.DoubleType())
     prepared = prepared.withColumn(task.target, target)
-    return Pipeline(stages=stages).fit(prepared.filter(_training())), prepared
+    rows = prepared.filter(_training()).select(*names, task.target)
+    return Pipeline(stages=stages).fit(_spread(rows, task.trees)), prepared
 
 
 def score_numbers(model: PipelineModel, prepared: DataFrame) -> DataFrame:

@@ -5,42 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.functions.keyed import uniform_int
+from tablewright.functions.keyed import digest_words, uniform_int
+from tablewright.operators.feeds import FeedSpec, change_feed
 from tablewright.schemas import FACT_FLAG, FACT_FLAG_VALUE, FACT_RANGES
 
-_SLOTS = 4  # draws that one 32-digit digest yields
 ROWS_PER_TASK = 2_000_000
 
 
 def fact_columns(row_id: Column, seed: int) -> list[Column]:
     """The 21 fact columns for a 0-based row id.
 
-    Four drawn columns share one digest: Spark evaluates it once per row, so a row costs
-    five digests instead of nineteen.
+    All drawn columns of a row come from one digest, which Spark evaluates once per row.
     """
-    drawn = [name for name, bounds in FACT_RANGES.items() if bounds is not None]
-    place = {name: divmod(i, _SLOTS) for i, name in enumerate(drawn)}
+    words = digest_words(F.md5(F.concat(row_id.cast("string"), F.lit(f":{seed}"))))
     columns = []
-    for name, bounds in FACT_RANGES.items():
-        if bounds is None:
-            columns.append(row_id.cast("long").alias(name))
-            continue
-        block, slot = place[name]
-        digest = F.md5(F.concat(row_id.cast("string"), F.lit(f":{block}:{seed}")))
-        columns.append(uniform_int(digest, slot, *bounds).alias(name))
+    for draw, (name, bounds) in enumerate(FACT_RANGES.items(), start=1):
+        cell = row_id.cast("long") if bounds is None else uniform_int(words, draw, *bounds)
+        columns.append(cell.alias(name))
     return [*columns, F.lit(FACT_FLAG_VALUE).alias(FACT_FLAG)]
 
 
-def generate_facts(spark: SparkSession, rows: int, seed: int = 0, index: str | None = None,
-                   partitions: int | None = None) -> DataFrame:
-    """``rows`` fact rows; ``index`` adds the 1-based row index under that name."""
+def generate_facts(spark: SparkSession, rows: int, seed: int = 0, partitions: int | None = None) -> DataFrame:
+    """``rows`` fact rows; ``MARKET_ID`` numbers them from 0."""
     if rows < 0:
         raise ValueError("rows must not be negative")
     if partitions is None:
         partitions = max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
-    ids = spark.range(0, rows, 1, partitions)
-    extra = [] if index is None else [(F.col("id") + 1).alias(index)]
-    return ids.select(*fact_columns(F.col("id"), seed), *extra)
+    return spark.range(0, rows, 1, partitions).select(*fact_columns(F.col("id"), seed))
+
+
+def generate_feed(spark: SparkSession, spec: FeedSpec, seed: int = 0, partitions: int | None = None) -> DataFrame:
+    """The change feed of generated facts. Only rows that some batch holds are generated."""
+    facts = generate_facts(spark, spec.pool_rows, seed, partitions)
+    return change_feed(facts, "MARKET_ID", spec, start=0, keep_index=True)
 
 
 def facts_for(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
