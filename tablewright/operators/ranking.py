@@ -20,24 +20,31 @@ FEW = 10_000
 _LONG_MAX = (1 << 63) - 1
 
 
+def position_bound(df: DataFrame, n: int) -> int | None:
+    """The value below which ``monotonically_increasing_id`` stays for the first ``n`` rows.
+
+    One pass counts rows per partition (from file footers, for whole Parquet files): the
+    leading partitions belong to the first rows entirely, one is cut. None when ``df`` has
+    no more than ``n`` rows.
+    """
+    sizes = df.groupBy(F.spark_partition_id().alias("part")).count().collect()
+    for part, size in sorted(sizes):  # one small row per partition, never per record
+        if size > n:
+            return (part << 33) + n
+        n -= size
+    return None
+
+
 def first_rows(df: DataFrame, n: int) -> DataFrame:
     """Any ``n`` rows (all of them when there are fewer), spread as ``df`` is.
 
-    A first pass counts rows per partition (from file footers, for Parquet). The second keeps the leading partitions whole
-    and cuts one of them, which is one comparison with ``monotonically_increasing_id``.
-    ``df`` must be a scan with narrow steps only, so both passes see the same partitions;
-    write other frames first (``session.written``). Callers that must not trust this check
-    the count of what they got, as ``sinks.objects.append`` does.
+    ``df`` must be a scan with narrow steps only, so that counting and reading see the same
+    partitions; write other frames first (``session.written``). Callers that must not trust
+    this check the count of what they got, as ``sinks.objects.append_first`` does.
     """
     if n < 0:
         raise ValueError("n must not be negative")
-    sizes = df.groupBy(F.spark_partition_id().alias("part")).count()
-    left, bound = n, None
-    for part, size in sorted(sizes.collect()):  # one small row per partition, never per record
-        if size >= left:
-            bound = (part << 33) + left
-            break
-        left -= size
+    bound = position_bound(df, n)
     if bound is None:
         return df
     position = "__position"

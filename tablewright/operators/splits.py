@@ -6,11 +6,11 @@ from collections.abc import Sequence
 from fractions import Fraction
 from math import ceil
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.keyed import check_hash_keys, digest_number, key_digest, share_threshold
-from tablewright.operators.ranking import nth_smallest
+from tablewright.operators.ranking import nth_smallest, position_bound
 
 _DIGITS = 15  # hex digits of the digest used for exact sizes: 60 bits
 
@@ -23,7 +23,7 @@ def keyed_split(df: DataFrame, keys: Sequence[str], test_share: float, seed: int
     """
     check_hash_keys(df, keys)
     is_test = F.substring(key_digest(keys, seed), 1, 8) < F.lit(share_threshold(test_share))
-    return df.withColumn(column, F.when(is_test, F.lit("test")).otherwise(F.lit("train")))
+    return df.withColumn(column, _marked(is_test))
 
 
 def exact_split(df: DataFrame, keys: Sequence[str], test_share: float, seed: int,
@@ -31,8 +31,9 @@ def exact_split(df: DataFrame, keys: Sequence[str], test_share: float, seed: int
     """As ``keyed_split`` with exactly ``ceil(test_share * rows)`` test rows.
 
     The cut-off digest comes from histograms (``nth_smallest``), so marking stays a narrow
-    step: nothing is sorted and no window spans the table. The keys must identify a row
-    where the cut falls; when they do not, no such size exists and this raises.
+    step: nothing is sorted and no window spans the table. When rows that share a key lie
+    at the cut, just these are divided by their position; ``df`` should then be a scan with
+    narrow steps (see ``first_rows``).
     """
     check_hash_keys(df, keys)
     if not 0.0 < test_share < 1.0:
@@ -44,6 +45,16 @@ def exact_split(df: DataFrame, keys: Sequence[str], test_share: float, seed: int
     if target == 0:
         return df.withColumn(column, F.lit("train"))
     cut, below, at = nth_smallest(digests, "digest", target, low=0, high=16**_DIGITS - 1, scanned=False)
-    if below + at != target:
-        raise ValueError(f"{at} rows share the key at the cut; add key columns until they are told apart")
-    return df.withColumn(column, F.when(number <= F.lit(cut), F.lit("test")).otherwise(F.lit("train")))
+    if below + at == target:
+        return df.withColumn(column, _marked(number <= F.lit(cut)))
+    tied = df.filter(number == F.lit(cut))
+    bound = position_bound(tied, target - below)
+    return (
+        df.filter(number != F.lit(cut))
+        .withColumn(column, _marked(number < F.lit(cut)))
+        .unionByName(tied.withColumn(column, _marked(F.monotonically_increasing_id() < F.lit(bound))))
+    )
+
+
+def _marked(is_test: Column) -> Column:
+    return F.when(is_test, F.lit("test")).otherwise(F.lit("train"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.operators.checks import require_count
+from tablewright.operators.sizes import broadcast_if_small
 from tablewright.session import written
 
 BATCHES_PER_PIECE = 4_096
@@ -41,16 +42,30 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], batch: str = "batch") ->
     return df.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).drop(rank)
 
 
-def upsert(table: DataFrame | None, feed: DataFrame, keys: Sequence[str], batch: str = "batch") -> DataFrame:
-    """Insert new keys, replace known ones. ``table`` carries its own ``batch`` column."""
-    rows = feed if table is None else table.unionByName(feed, allowMissingColumns=True)
-    return latest_per_key(rows, keys, batch)
+def upsert(table: DataFrame | None, feed: DataFrame, keys: Sequence[str], batch: str = "batch",
+           follows: bool = False) -> DataFrame:
+    """Insert new keys, replace known ones. ``table`` carries its own ``batch`` column.
+
+    Say ``follows`` when the table holds each key once and all the feed's batches come after
+    it, as when one batch after the other is applied. Then table rows are never ranked, only
+    those with a changed key are left out, and while the changed keys are small enough to
+    broadcast (they are measured first) the table is not shuffled at all.
+    """
+    if table is None:
+        return latest_per_key(feed, keys, batch)
+    if not follows:
+        return latest_per_key(table.unionByName(feed, allowMissingColumns=True), keys, batch)
+    newest = written(latest_per_key(feed, keys, batch), "changed-rows")
+    names = [f"__k{i}" for i in range(len(keys))]
+    changed = broadcast_if_small(newest.select(*[F.col(k).alias(n) for k, n in zip(keys, names)]))
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+    return table.join(changed, same, "left_anti").unionByName(newest, allowMissingColumns=True)
 
 
 def merge_snapshot(table: DataFrame | None, feed: DataFrame, candidate_keys: Sequence[str],
-                   batch: str = "batch") -> DataFrame:
+                   batch: str = "batch", follows: bool = False) -> DataFrame:
     """Incremental snapshot: the newest row per candidate key, older keys kept."""
-    return upsert(table, feed, candidate_keys, batch)
+    return upsert(table, feed, candidate_keys, batch, follows)
 
 
 def replace_snapshot(feed: DataFrame, batch: str = "batch") -> DataFrame:
@@ -98,21 +113,19 @@ def dense_ids(df: DataFrame, order: Sequence[str], column: str, start: int = 1,
 
 
 def assign_ids(table: DataFrame | None, feed: DataFrame, id_column: str, order: Sequence[str],
-               batch: str = "batch") -> DataFrame:
+               batch: str = "batch", follows: bool = False) -> DataFrame:
     """Standard tables own their ids: a blank id is a new row, a number replaces that row.
 
     New ids continue above the table's greatest, in (batch, order). The id comes back as a
-    long, and the result holds the newest row of every id.
+    long, and the result holds the newest row of every id. ``follows`` as for ``upsert``.
     """
     text = F.trim(F.col(id_column).cast("string"))
     is_new = F.coalesce(text == "", F.lit(True))
     top = 0 if table is None else table.agg(F.max(F.col(id_column).cast("long"))).first()[0] or 0
     fresh = dense_ids(feed.filter(is_new).drop(id_column), [batch, *order], id_column, top + 1)
     known = feed.filter(~is_new).withColumn(id_column, F.col(id_column).cast("long"))
-    rows = known.unionByName(fresh)
-    if table is not None:
-        rows = table.withColumn(id_column, F.col(id_column).cast("long")).unionByName(rows, allowMissingColumns=True)
-    return latest_per_key(rows, [id_column], batch)
+    held = None if table is None else table.withColumn(id_column, F.col(id_column).cast("long"))
+    return upsert(held, known.unionByName(fresh), [id_column], batch, follows)
 
 
 def versions(feed: DataFrame, keys: Sequence[str], batch: str = "batch", batches: int | None = None,
@@ -177,7 +190,7 @@ def classify(feed: DataFrame, keys: Sequence[str], batch: str = "batch", column:
     if hot.isEmpty():
         placed = feed.join(per_key, same)
     else:
-        hot = F.broadcast(hot)
+        hot = broadcast_if_small(hot)
         placed = feed.join(hot, same).unionByName(feed.join(hot, same, "left_anti").join(cold, same))
     marked = placed.withColumn(column, _operation(F.col(batch).eqNullSafe(F.col(first))))
     return marked.drop(*names, first, weight)

@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.operators.feeds import ObjectType
+from tablewright.operators.filters import stacked
 from tablewright.plans.queries.registry import query, table
 from tablewright.plans.queries.storage import scratch_table
 from tablewright.plans.roundtrip import geometric_series, run_volumes, shape_for_store
+from tablewright.plans.workloads import volume_run
+from tablewright.schemas import FACTS
 from tablewright.session import scratch_path
 from tablewright.sinks.stats import grouped_runs, long_form, read_stats, write_stats
+from tablewright.sinks.text import write_csv
+from tablewright.sources.facts import facts_for
+from tablewright.sources.objects import read_object
 
 
 def order_stats(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,3 +124,31 @@ def roundtrip_complete(spark: SparkSession, folder: str) -> DataFrame:
     stats = run_volumes(orders, scratch_table(spark, "volume"), [(1, n // 2, 0), (1, n, 0)])
     done = (F.col("read_s") > 0) & (F.col("write_s") > 0)
     return stats.select("freq", "record_count", "iteration", done.alias("timed"))
+
+
+@query(
+    "volume_run_by_type",
+    """
+    WITH n AS (SELECT count(*) AS n FROM orders)
+    SELECT kind, freq, record_count, iteration, stored
+    FROM n, (SELECT 'standard' AS kind, 'sales_id,is_deleted,PRODUCT_ID' AS lead
+             UNION ALL SELECT 'standard_with_external_id', 'sales_external_id,is_deleted,PRODUCT_ID'
+             UNION ALL SELECT 'complete_snapshot', 'is_deleted,PRODUCT_ID,channel_id') AS k,
+         LATERAL (SELECT 1 AS freq, n // 4 AS record_count, 0 AS iteration
+                  UNION ALL SELECT 1, n // 2, 0) AS c,
+         LATERAL (SELECT concat(lead, ',', n // 4 + n // 2) AS stored) AS s
+    """,
+)
+def volume_run_by_type(spark: SparkSession, folder: str) -> DataFrame:
+    """Facts for all orders go to CSV; per object type they are shaped, appended and read back."""
+    path = scratch_path(spark, "facts")
+    orders = table(spark, folder, "orders")
+    write_csv(facts_for(orders, "o_orderkey", seed=5), path)
+    n, sides = orders.count(), []
+    for kind in (ObjectType.STANDARD, ObjectType.STANDARD_WITH_EXTERNAL_ID, ObjectType.COMPLETE_SNAPSHOT):
+        store = scratch_table(spark, "sales")
+        stats = volume_run(spark, path, store, kind, [(1, n // 4, 0), (1, n // 2, 0)], schema=FACTS)
+        held = read_object(spark, store)
+        lead = ",".join([*held.columns[:3], str(held.count())])
+        sides.append(stats.select(F.lit(kind.value).alias("kind"), "freq", "record_count", "iteration", F.lit(lead).alias("stored")))
+    return stacked(sides)

@@ -37,20 +37,28 @@ def object_transactional(spark: SparkSession, folder: str) -> DataFrame:
     return append_rows(held, order_feed(spark, folder, ObjectType.STANDARD_TRANSACTIONAL, **_BY_KEY))
 
 
-@query(
-    "object_upsert",
-    f"""
+_UPSERT_SQL = f"""
     WITH {SLOTS_SQL}, ranked AS (
       SELECT *, row_number() OVER (PARTITION BY ix ORDER BY batch DESC) AS rn FROM placed)
     SELECT o_orderkey, o_custkey, o_totalprice, concat('ext_', ix) AS sales_external_id, batch, op
     FROM ranked WHERE rn = 1
-    """,
-)
+"""
+
+
+@query("object_upsert", _UPSERT_SQL)
 def object_upsert(spark: SparkSession, folder: str) -> DataFrame:
     feed = order_feed(spark, folder, ObjectType.STANDARD_WITH_EXTERNAL_ID)
     return upsert(None, feed, ["sales_external_id"])
 
 
+@query("object_upsert_next_batch", _UPSERT_SQL)
+def object_upsert_next_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """The last batch applied to the table the earlier ones made."""
+    feed = order_feed(spark, folder, ObjectType.STANDARD_WITH_EXTERNAL_ID)
+    table_so_far = upsert(None, feed.filter(F.col("batch") < 4), ["sales_external_id"])
+    return upsert(table_so_far, feed.filter(F.col("batch") == 4), ["sales_external_id"], follows=True)
+
+
 @query(
     "object_assign_ids",
     f"""

@@ -38,11 +38,15 @@ def test_exact_split_of_an_empty_frame(spark):
     assert exact_split(spark.range(0), ["id"], 0.2, 1).count() == 0
 
 
-def test_exact_split_needs_a_key_that_tells_rows_apart(spark):
-    df = spark.range(30).select(F.lit(1).alias("k"), "id")
-    with pytest.raises(ValueError, match="share the key"):
-        exact_split(df, ["k"], 0.2, 1)
-    assert exact_split(df, ["k", "id"], 0.2, 1).filter("split = 'test'").count() == 6
+def test_exact_split_divides_rows_that_share_the_key_at_the_cut(spark, folder):
+    spark.range(300).select((F.col("id") % 3).alias("k"), "id").repartition(4).write.parquet(folder + "/t")
+    df = spark.read.parquet(folder + "/t")
+    for share in (0.1, 0.2, 0.5, 0.9):
+        split = exact_split(df, ["k"], share, 1)
+        assert rows(split.groupBy("split").count()) == [("test", round(300 * share)), ("train", 300 - round(300 * share))]
+        assert split.select("id").distinct().count() == 300
+        mixed = split.groupBy("k").agg(F.count_distinct("split").alias("sides")).filter("sides > 1").count()
+        assert mixed <= 1
 
 
 def test_labels_are_coded_in_sorted_order(spark):

@@ -12,7 +12,7 @@ from tools.oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
 # Queries that fit models or time things; their plans are the library's, checked elsewhere.
-HEAVY = {name for name in entry.queries() if name.startswith(("gbt_", "roundtrip_"))}
+HEAVY = {name for name in entry.queries() if name.startswith(("gbt_", "roundtrip_", "volume_run"))}
 
 
 @pytest.fixture(scope="module")

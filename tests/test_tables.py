@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tablewright.operators import sizes
 from tablewright.operators.tables import (
     append_rows,
     assign_ids,
@@ -53,6 +54,38 @@ def test_upsert_and_merge(spark):
     assert rows(upsert(None, feed, ["k"])) == want[:2]
 
 
+@pytest.mark.parametrize("bytes_allowed", [0, 1 << 20])
+def test_a_following_batch_leaves_unchanged_rows_where_they_are(spark, folder, monkeypatch, bytes_allowed):
+    monkeypatch.setattr(sizes, "BROADCAST_BYTES", bytes_allowed)
+    spark.createDataFrame([("a", -1, 1), ("z", -1, 9), (None, -1, 7)], FEED).write.parquet(folder + "/t")
+    table = spark.read.parquet(folder + "/t")
+    feed = spark.createDataFrame([("a", 0, 2), ("b", 0, 3), ("b", 1, 4), (None, 1, 8)], FEED)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = upsert(table, feed, ["k"], follows=True)
+        assert rows(got) == rows(upsert(table, feed, ["k"]))
+        assert ("BroadcastHashJoin" in plan(got)) == (bytes_allowed > 0)
+        assert ("Exchange hashpartitioning" in plan(got)) == (bytes_allowed == 0)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_measuring_before_broadcasting(spark):
+    df = spark.createDataFrame([("abc", None), ("é", 10)], "s string, n int")
+    assert sizes.content_bytes(df) == 2 * 2 * 16 + 3 + 2 + 2
+    assert sizes.content_bytes(df.limit(0)) == 0
+    assert sizes.broadcast_if_small(df, 10) is df
+
+
+def test_batches_applied_one_by_one_or_at_once(spark):
+    feed = skewed(spark).withColumn("v", F.col("batch"))
+    stepwise = None
+    for number in range(0, 17, 4):
+        part = feed.filter(F.col("batch").between(number, number + 3))
+        stepwise = upsert(stepwise, part, ["k"], follows=True)
+    assert rows(stepwise) == rows(upsert(None, feed, ["k"]))
+
+
 def test_append_keeps_everything(spark):
     feed = spark.createDataFrame([("a", 0, 2)], FEED)
     assert append_rows(feed, feed).count() == 2
@@ -107,7 +140,10 @@ def test_assign_ids_goes_on_above_the_table(spark):
     table = spark.createDataFrame([(5, -1, 1), (9, -1, 2)], "id long, batch int, v int")
     feed = spark.createDataFrame([("", 0, 3), ("5", 0, 4)], "id string, batch int, v int")
     got = assign_ids(table, feed, "id", ["v"])
-    assert sorted((r.id, r.batch, r.v) for r in got.collect()) == [(5, 0, 4), (9, -1, 2), (10, 0, 3)]
+    want = [(5, 0, 4), (9, -1, 2), (10, 0, 3)]
+    assert sorted((r.id, r.batch, r.v) for r in got.collect()) == want
+    after = assign_ids(table, feed, "id", ["v"], follows=True)
+    assert sorted((r.id, r.batch, r.v) for r in after.collect()) == want
 
 
 def by_hand(feed):

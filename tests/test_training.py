@@ -10,11 +10,10 @@ from tablewright.plans.training import (
     NumberTask,
     TreeSettings,
     class_labels,
-    execute_train,
     load_model,
+    save_model,
     number_errors,
     prepare_numbers,
-    read_and_train,
     save_predictions,
     score,
     score_accuracy,
@@ -79,17 +78,11 @@ def test_unknown_classes_have_no_code(flowers, model):
     assert rows(score(model, unlabelled, TASK).select(CODE).distinct()) == [(None,)]
 
 
-def test_reloaded_model_scores_the_same(spark, flowers, folder):
-    model = execute_train(flowers, TASK, folder + "/m")
+def test_reloaded_model_scores_the_same(spark, flowers, model, folder):
+    save_model(model, folder + "/m")
     assert rows(score(load_model(folder + "/m"), flowers, TASK)) == rows(score(model, flowers, TASK))
 
 
-def test_train_from_a_source(spark, flowers, folder):
-    flowers.write.parquet(folder + "/flowers")
-    model = read_and_train(spark, folder + "/flowers", TASK, folder + "/m")
-    assert class_labels(model) == class_labels(load_model(folder + "/m"))
-
-
 def test_predictions_go_to_their_own_table(spark, flowers, model, folder):
     store = ObjectTable(folder, "g", "a", "predictions")
     assert save_predictions(score(model, flowers, TASK), TASK, store).rows == 600
