@@ -14,16 +14,16 @@ def distinct_labels(df: DataFrame, label: str) -> DataFrame:
 
 
 def label_list(df: DataFrame, label: str, max_classes: int = MAX_CLASSES) -> list[str]:
-    """The classes as text in sorted order. The position in this list is the class code.
+    """The classes as text, sorted by value (numbers as numbers). The position is the class code.
 
     A label with more than ``max_classes`` values is refused: it is no class label, and the
     list is about to be broadcast.
     """
-    text = df.select(F.col(label).cast("string").alias(label))
-    found = [row[0] for row in distinct_labels(text, label).limit(max_classes + 1).collect()]
+    known = distinct_labels(df, label).withColumn("text", F.col(label).cast("string"))
+    found = [(row[0], row[1]) for row in known.limit(max_classes + 1).collect()]
     if len(found) > max_classes:
         raise ValueError(f"{label!r} has more than {max_classes} values")
-    return sorted(found)
+    return [text for _, text in sorted(found)]
 
 
 def with_codes(df: DataFrame, label: str, labels: list[str], column: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 TOTAL = "all"
@@ -32,6 +32,30 @@ def accuracy(df: DataFrame, prediction: str, target: str, by: str = "split") ->
     return _with_total(parts, by, "hits", "accuracy")
 
 
+def observed_accuracy(
+    df: DataFrame, prediction: str, target: str, by: str, splits: Sequence[str]
+) -> tuple[DataFrame, Callable[[], dict[str, tuple[int, float | None]]]]:
+    """Accuracy as a by-product of whatever action the returned frame goes into.
+
+    Rows without a target are not counted. Call the second result after the action: it gives
+    (rows, accuracy) for each of the named splits and for all of them together.
+    """
+    seen = Observation()
+    known = F.col(target).isNotNull()
+    cells = []
+    for i, split in enumerate(splits):
+        here = known & (F.col(by) == split)
+        cells += [F.count_if(here).alias(f"rows{i}"), F.count_if(here & (F.col(prediction) == F.col(target))).alias(f"hits{i}")]
+
+    def result() -> dict[str, tuple[int, float | None]]:
+        found = seen.get
+        counts = {split: (found[f"rows{i}"], found[f"hits{i}"]) for i, split in enumerate(splits)}
+        counts[TOTAL] = (sum(n for n, _ in counts.values()), sum(h for _, h in counts.values()))
+        return {split: (n, h / n if n else None) for split, (n, h) in counts.items()}
+
+    return df.observe(seen, *cells), result
+
+
 def _with_total(parts: DataFrame, by: str, total: str, name: str) -> DataFrame:
     """Roll the per-split sums up: the rollup sees one row per split, not the data twice."""
     return (

@@ -1,8 +1,8 @@
 """Exact 'first n rows' without sending n rows through one task.
 
 ``limit(n)`` before a write sends up to n rows of every task into a single one, and
-``orderBy(key).limit(n)`` does the same once n is large. Here the cut-off is found first, from counts
-alone, and applied as a plain filter, so the rows never move.
+``orderBy(key).limit(n)`` does the same. For large n the cut-off is found first here, from
+counts alone, and applied as a plain filter, so the rows never move.
 """
 
 from __future__ import annotations
@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# A plain limit lets every task send up to n rows to one: fine up to this many rows in all,
+# and up to this many rows in that one task.
+LIMIT_SENT, LIMIT_KEPT = 10_000_000, 100_000
 # Top-k by sorting keeps k rows per task; above this many the cut-off search is used instead.
 TOP_K = 100
 # Histogram buckets per pass of the cut-off search: the most rows a pass brings back.
@@ -36,7 +39,10 @@ def position_bound(df: DataFrame, n: int) -> int | None:
 
 
 def first_rows(df: DataFrame, n: int) -> DataFrame:
-    """Any ``n`` rows (all of them when there are fewer), spread as ``df`` is.
+    """Any ``n`` rows (all of them when there are fewer).
+
+    A few rows come from a plain limit, which reads little of each partition. Otherwise rows
+    stay where they are and all but the first ``n`` are filtered out by position.
 
     ``df`` must be a scan with narrow steps only, so that counting and reading see the same
     partitions; write other frames first (``session.written``). Callers that must not trust
@@ -44,6 +50,8 @@ def first_rows(df: DataFrame, n: int) -> DataFrame:
     """
     if n < 0:
         raise ValueError("n must not be negative")
+    if n <= LIMIT_KEPT and n * df.rdd.getNumPartitions() <= LIMIT_SENT:
+        return df.limit(n)
     bound = position_bound(df, n)
     if bound is None:
         return df

@@ -34,6 +34,7 @@ class TreeSettings:
     rounds: int = 100
     depth: int = 6
     step: float = 0.3
+    bins: int = 32
     seed: int = 0
     checkpoint_every: int = 10
     # Spread the training rows over at least this many partitions before the many passes over
@@ -68,19 +69,29 @@ class NumberTask:
 def _trees(settings: TreeSettings, label: str) -> GBTRegressor:
     return GBTRegressor(
         labelCol=label, featuresCol="features", predictionCol=RAW, maxIter=settings.rounds,
-        maxDepth=settings.depth, stepSize=settings.step, seed=settings.seed,
+        maxDepth=settings.depth, stepSize=settings.step, maxBins=settings.bins, seed=settings.seed,
         checkpointInterval=settings.checkpoint_every,
     )
 
 
-def _spread(rows: DataFrame, settings: TreeSettings) -> DataFrame:
+def _fit(stages: list, rows: DataFrame, settings: TreeSettings) -> PipelineModel:
+    """Fit on the given rows, spread first when the settings ask for more partitions.
+
+    Fitting looks at its input several times; spread rows are kept so they move only once.
+    """
     wanted = settings.least_partitions
-    return rows.repartition(wanted) if wanted and rows.rdd.getNumPartitions() < wanted else rows
+    if not wanted or rows.rdd.getNumPartitions() >= wanted:
+        return Pipeline(stages=stages).fit(rows)
+    kept = rows.repartition(wanted).persist()
+    try:
+        return Pipeline(stages=stages).fit(kept)
+    finally:
+        kept.unpersist()
 
 
 def prepare(df: DataFrame, task: ClassTask) -> DataFrame:
     """Keys, features as double, label, and the split each row belongs to. One narrow pass."""
-    kept = reorder(df, [*task.keys, *task.features, task.label])
+    kept = reorder(df, list(dict.fromkeys([*task.keys, *task.features, task.label])))
     split = keyed_split(kept, task.keys, task.test_share, task.seed, SPLIT)
     return features_to_double(split, task.features)
 
@@ -94,7 +105,7 @@ def train(df: DataFrame, task: ClassTask) -> PipelineModel:
     assembler = VectorAssembler(inputCols=list(task.features), outputCol="features")
     stages = [codes, assembler, _trees(task.trees, CODE)]
     rows = prepared.filter(_training()).select(*task.features, task.label)
-    return Pipeline(stages=stages).fit(_spread(rows, task.trees))
+    return _fit(stages, rows, task.trees)
 
 
 def class_labels(model: PipelineModel) -> list[str]:
@@ -105,9 +116,12 @@ def score(model: PipelineModel, df: DataFrame, task: ClassTask, nearest: bool =
     """Score every row, training and test alike.
 
     The predicted code is the fitted number cut toward zero; ``nearest`` rounds it and keeps
-    it among the known codes instead. A row whose class is unknown keeps a NULL code.
+    it among the known codes instead. A row whose class is unknown keeps a NULL code, and so
+    do all rows of a frame without the label column.
     """
     labels = class_labels(model)
+    if task.label not in df.columns:
+        df = df.withColumn(task.label, F.lit(None).cast("string"))
     rows = model.transform(prepare(df, task))
     code = nearest_code(F.col(RAW), len(labels)) if nearest else truncated(F.col(RAW))
     known = F.when(F.col(CODE) < len(labels), F.col(CODE).cast("int"))
@@ -172,7 +186,7 @@ def train_numbers(df: DataFrame, task: NumberTask) -> tuple[PipelineModel, DataF
     target = F.col(task.target).cast(T.DoubleType())
     prepared = prepared.withColumn(task.target, target)
     rows = prepared.filter(_training()).select(*names, task.target)
-    return Pipeline(stages=stages).fit(_spread(rows, task.trees)), prepared
+    return _fit(stages, rows, task.trees), prepared
 
 
 def score_numbers(model: PipelineModel, prepared: DataFrame) -> DataFrame:

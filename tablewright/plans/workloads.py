@@ -10,8 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tablewright.operators.feeds import FeedSpec, ObjectType
+from tablewright.operators.measures import observed_accuracy
+from tablewright.operators.ranking import first_rows
 from tablewright.plans.roundtrip import run_volumes, shape_for_store
 from tablewright.plans.training import (
+    CODE,
+    PREDICTED,
+    SPLIT,
+    TEST,
+    TRAIN,
     ClassTask,
     NumberTask,
     load_model,
@@ -19,7 +26,6 @@ from tablewright.plans.training import (
     save_model,
     save_predictions,
     score,
-    score_accuracy,
     score_numbers,
     train,
     train_numbers,
@@ -52,17 +58,19 @@ def volume_run(spark: SparkSession, path: str, table: ObjectTable, kind: ObjectT
                schema: T.StructType | None = None) -> DataFrame:
     """CSV to an object table and back for every cell of the grid; one statistics row per run.
 
-    The shaped rows are written once, so that no cell is charged for parsing text.
+    As many shaped rows as the largest cell takes are written once, so that no cell is
+    charged for parsing text.
     """
-    rows = written(store_rows(spark, path, table.name, kind, columns, schema), "volume-rows")
-    return run_volumes(rows, table, grid)
+    shaped = store_rows(spark, path, table.name, kind, columns, schema)
+    most = max((n for _, n, _ in grid), default=0)
+    return run_volumes(written(first_rows(shaped, most), "volume-rows"), table, grid)
 
 
 @dataclass(frozen=True)
 class Scored:
-    """Accuracy per split as a frame, and the load that holds the predictions."""
+    """(rows, accuracy) per split and for ``all``, and the load that holds the predictions."""
 
-    accuracy: DataFrame
+    accuracy: dict[str, tuple[int, float | None]]
     predictions: Appended
 
 
@@ -75,9 +83,14 @@ def train_job(source: DataFrame, task: ClassTask, model_path: str) -> PipelineMo
 
 def score_job(source: DataFrame, task: ClassTask, model_path: str, table: ObjectTable, load: str | None = None,
               nearest: bool = False) -> Scored:
-    """Score all rows with a saved model and append the predictions to their own table."""
+    """Score all rows with a saved model and append the predictions to their own table.
+
+    Hits are counted while the predictions are written: rows are scored once.
+    """
     scored = score(load_model(model_path), source, task, nearest)
-    return Scored(score_accuracy(scored), save_predictions(scored, task, table, load))
+    counted, result = observed_accuracy(scored, PREDICTED, CODE, SPLIT, (TRAIN, TEST))
+    predictions = save_predictions(counted, task, table, load)
+    return Scored(result(), predictions)
 
 
 def feed_job(spark: SparkSession, spec: FeedSpec, path: str, seed: int = 0) -> None:

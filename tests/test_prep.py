@@ -6,7 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.operators.labels import decoded, distinct_labels, label_list, with_codes
-from tablewright.operators.measures import accuracy, class_means, mean_absolute_error, row_count, split_shapes
+from tablewright.operators.measures import (
+    accuracy,
+    class_means,
+    mean_absolute_error,
+    observed_accuracy,
+    row_count,
+    split_shapes,
+)
 from tablewright.operators.missing import fill_means, fit_means
 from tablewright.operators.splits import exact_split, keyed_split
 from tests.conftest import plan, rows
@@ -59,6 +66,13 @@ def test_labels_are_coded_in_sorted_order(spark):
     assert distinct_labels(df, "y").count() == 3
 
 
+def test_number_labels_are_sorted_as_numbers(spark):
+    df = spark.createDataFrame([(10,), (9,), (-1,), (9,)], "y int")
+    labels = label_list(df, "y")
+    assert labels == ["-1", "9", "10"]
+    assert rows(with_codes(df, "y", labels, "code")) == [(-1, 0), (10, 2), (9, 1), (9, 1)]
+
+
 def test_too_many_labels_are_refused(spark):
     with pytest.raises(ValueError, match="more than 5"):
         label_list(spark.range(6), "id", max_classes=5)
@@ -97,3 +111,11 @@ def test_measures(spark):
     assert rows(split_shapes(df)) == [("test", 3, 2), ("train", 2, 2)]
     assert row_count(df) == 5
     assert rows(class_means(df, ["split"], ["y"])) == [("test", 3, 0.6667), ("train", 2, 1.0)]
+
+
+def test_observed_accuracy_is_the_accuracy(spark):
+    df = spark.createDataFrame([("train", 1, 1), ("train", 2, 1), ("test", 0, 0), ("test", None, 1), ("test", 1, None)], "split string, p int, y int")
+    watched, result = observed_accuracy(df, "p", "y", "split", ("train", "test", "none"))
+    assert watched.count() == 5
+    assert result() == {"train": (2, 0.5), "test": (2, 0.5), "none": (0, None), "all": (4, 0.5)}
+    assert rows(accuracy(df.filter("y IS NOT NULL"), "p", "y")) == [("all", 4, 0.5), ("test", 2, 0.5), ("train", 2, 0.5)]

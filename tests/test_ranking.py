@@ -7,11 +7,28 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tablewright.operators import ranking
 from tablewright.operators.ranking import first_by_key, first_rows, nth_smallest, preview
 
 MIN, MAX = -(1 << 63), (1 << 63) - 1
 
 
+@pytest.fixture(autouse=True)
+def no_plain_limit(monkeypatch):
+    """Small tests would take the way of few rows."""
+    monkeypatch.setattr(ranking, "LIMIT_KEPT", -1)
+
+
+def test_a_few_rows_come_from_a_plain_limit(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "LIMIT_KEPT", 10)
+    df = spark.range(0, 100, 1, 4)
+    assert "GlobalLimit" in first_rows(df, 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "GlobalLimit" not in first_rows(df, 11)._jdf.queryExecution().optimizedPlan().toString()
+    assert (first_rows(df, 10).count(), first_rows(df, 11).count()) == (10, 11)
+    monkeypatch.setattr(ranking, "LIMIT_SENT", 39)
+    assert "GlobalLimit" not in first_rows(df, 10)._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 250, 999, 1000, 5000])
 def test_first_rows_is_exact_over_many_partitions(spark, folder, n):
     spark.range(1000).repartition(7).write.parquet(folder + "/t")

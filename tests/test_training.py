@@ -76,6 +76,7 @@ def test_unknown_classes_have_no_code(flowers, model):
     assert rows(score(model, odd, TASK).select(CODE).distinct()) == [(None,)]
     unlabelled = flowers.limit(3).withColumn(FLOWER_LABEL, F.lit(None).cast("string"))
     assert rows(score(model, unlabelled, TASK).select(CODE).distinct()) == [(None,)]
+    assert rows(score(model, unlabelled.drop(FLOWER_LABEL), TASK)) == rows(score(model, unlabelled, TASK))
 
 
 def test_reloaded_model_scores_the_same(spark, flowers, model, folder):
@@ -91,6 +92,15 @@ def test_predictions_go_to_their_own_table(spark, flowers, model, folder):
     assert back.schema[FLOWER_LABEL].dataType.simpleString() == "int"
 
 
+def test_spreading_small_sources_changes_nothing_else(flowers, model):
+    from dataclasses import replace
+
+    few = flowers.coalesce(1)
+    again = train(few, replace(TASK, trees=replace(TREES, least_partitions=4)))
+    assert class_labels(again) == class_labels(model)
+    assert min(r.accuracy for r in score_accuracy(score(again, few, TASK, nearest=True)).collect()) > 0.95
+
+
 def test_unlabelled_rows_are_not_trained_on(flowers, model):
     extra = flowers.limit(5).withColumn(FLOWER_LABEL, F.lit(None).cast("string"))
     again = train(flowers.unionByName(extra), TASK)

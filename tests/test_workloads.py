@@ -53,8 +53,8 @@ def test_train_then_score_from_text(spark, folder):
     store = ObjectTable(folder, "g", "a", "predictions")
     done = score_job(source, task, folder + "/model", store, nearest=True)
     assert done.predictions.rows == 450
-    assert {r.split: r.rows for r in done.accuracy.collect()}["all"] == 450
-    assert min(r.accuracy for r in done.accuracy.collect()) > 0.95
+    assert done.accuracy["train"][0] + done.accuracy["test"][0] == done.accuracy["all"][0] == 450
+    assert min(share for _, share in done.accuracy.values()) > 0.95
     assert rows(read_object(spark, store).groupBy(FLOWER_LABEL).count()) == [(0, 150), (1, 150), (2, 150)]
 
 
