@@ -7,10 +7,12 @@ counts alone, and applied as a plain filter, so the rows never move.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.session import written
+
 # A plain limit lets every task send up to n rows to one: fine up to this many rows in all,
 # and up to this many rows in that one task.
 LIMIT_SENT, LIMIT_KEPT = 10_000_000, 100_000
@@ -65,9 +67,11 @@ def nth_smallest(df: DataFrame, column: str, n: int, low: int | None = None, hig
 
     Each pass counts rows in equal slices of the remaining value range (combined on the map
     side) and keeps the slice that holds the n-th row, so 64 bits need at most four passes;
-    a slice with few rows is settled in one more. NULLs are left out. Say ``scanned=False``
-    for a computed column: filtering on it would compute it again for every comparison,
-    while for a column of the scan the filter is pushed down.
+    a slice with few rows is settled in one more. NULLs are left out. ``low`` and ``high``, if
+    given, must enclose all values. Say ``scanned=False``
+    for a computed column: the first slice chosen is then written, so that later passes do
+    not compute the column for all rows again. For a column of the scan the slice is a
+    filter, pushed down.
     """
     frame = df.select(F.col(column).cast("long").alias("v"))
     if low is None or high is None:
@@ -76,12 +80,17 @@ def nth_smallest(df: DataFrame, column: str, n: int, low: int | None = None, hig
         raise ValueError("n must be at least 1 and the column must hold values")
     below, width = 0, max(1, -(-(high - low + 1) // buckets))
     while True:
-        for slot, size in _slices(frame, low, high, width, scanned):
+        slot_of = _slot(low, high, width)
+        rows = frame.filter(F.col("v").between(low, high)) if scanned else frame
+        counts = rows.groupBy(slot_of.alias("slot")).count().collect()
+        for slot, size in sorted((slot, size) for slot, size in counts if slot is not None):
             if below + size >= n:
                 break
             below += size
         else:
             raise ValueError(f"fewer than {n} rows in {column!r}")
+        if not scanned and width > 1:
+            frame, scanned = written(frame.filter(slot_of == slot), "slice"), True
         low = low + slot * width
         high = min(high, low + width - 1)
         if low == high:
@@ -89,15 +98,14 @@ def nth_smallest(df: DataFrame, column: str, n: int, low: int | None = None, hig
         width = 1 if size <= few else max(1, -(-(high - low + 1) // buckets))
 
 
-def _slices(frame: DataFrame, low: int, high: int, width: int, scanned: bool) -> list[tuple[int, int]]:
-    """Rows per slice of ``width`` values between ``low`` and ``high``, in order, empty ones left out."""
+def _slot(low: int, high: int, width: int) -> Column:
+    """Number of the slice of ``width`` values that ``v`` falls into, for values in the range.
+
+    ``v`` occurs once: where it is a costly expression, it is evaluated once per row.
+    """
     exact = "decimal(20,0)" if high - low > _LONG_MAX else "bigint"
     offset = F.col("v").cast(exact) - F.lit(low).cast(exact)
-    slot = F.call_function("div", offset, F.lit(width).cast(exact)).cast("long")
-    inside = F.col("v").between(low, high)
-    rows = frame.filter(inside) if scanned else frame
-    counts = rows.groupBy(F.when(inside, slot).alias("slot")).count().collect()
-    return sorted((slot, size) for slot, size in counts if slot is not None)
+    return F.call_function("div", offset, F.lit(width).cast(exact)).cast("long")
 
 
 def first_by_key(df: DataFrame, key: str, n: int, top_k: int = TOP_K) -> DataFrame:

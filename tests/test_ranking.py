@@ -57,7 +57,7 @@ def test_first_rows_of_nothing(spark):
 def test_nth_smallest_matches_sorting(spark, values, data):
     n = data.draw(st.integers(1, len(values)))
     df = spark.createDataFrame([(v,) for v in values], "v long")
-    value, below, at = nth_smallest(df, "v", n, buckets=16, few=2)
+    value, below, at = nth_smallest(df, "v", n, buckets=16, few=2, scanned=data.draw(st.booleans()))
     ordered = sorted(values)
     assert value == ordered[n - 1]
     assert (below, at) == (sum(v < value for v in values), values.count(value))
