@@ -28,12 +28,13 @@ FACTS = T.StructType(
     [T.StructField(name, T.LongType()) for name in FACT_RANGES] + [T.StructField(FACT_FLAG, T.BooleanType())]
 )
 
-# Columns a volume run reads and writes, in the case it asks for.
+# Columns a volume run reads and writes, in the case it asks for.
 VOLUME_COLUMNS = [
     "is_deleted", "PRODUCT_ID", "channel_id", "market_id", "customer_id", "nrx", "trx",
     "factored_nrx", "total_units", "total_amount", *[f"custom_metric{i}" for i in range(1, 11)],
 ]
 
+# The flower measurements used for classification.
 FLOWER_KEY = "iris_external_id"
 FLOWER_FEATURES = ["is_deleted", "sepal_length_cm", "sepal_width_cm", "petal_length_cm", "petal_width_cm"]
 FLOWER_LABEL = "species"
@@ -43,8 +44,6 @@ FLOWERS = T.StructType(
     + [T.StructField(FLOWER_LABEL, T.StringType())]
 )
 
-HOUSE_LABEL = "SalePrice"
-
 # One row per measured write + read.
 RUN_STATS = T.StructType(
     [

@@ -49,9 +49,22 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_roots[0]
 
 
+def _application_scratch(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/tablewright/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the scratch folder; two calls never share one."""
-    return f"{scratch_root(spark)}/tablewright/{label}-{uuid.uuid4().hex}"
+    return f"{_application_scratch(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove what this application wrote as intermediates.
+
+    Frames that still read them break, so call it once results are consumed or written.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(_application_scratch(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -1,13 +1,15 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.operators.checks import CountMismatch, check_load, check_schema, fingerprint, load_report
 from tablewright.plans.roundtrip import geometric_series, round_trip, run_volumes, shape_for_store, volume_grid
 from tablewright.schemas import FACTS, FLOWERS, RUN_STATS, VOLUME_COLUMNS
-from tablewright.session import scratch_path, scratch_root, written
+from tablewright import session
+from tablewright.session import drop_scratch, scratch_path, scratch_root, written
 from tablewright.sinks.objects import append, append_first
 from tablewright.sinks.stats import grouped_runs, long_form, read_stats, write_stats
 from tablewright.sinks.text import write_csv, write_single_csv
@@ -168,6 +170,18 @@ def test_run_statistics(spark, store, folder):
     ]
 
 
+def test_scratch_of_this_application_can_be_dropped(spark, folder, monkeypatch):
+    monkeypatch.setattr(session, "scratch_root", lambda spark: folder)
+    kept = written(spark.range(5), "test")
+    other = folder + "/tablewright/another-application/table"
+    spark.range(3).write.parquet(other)
+    assert kept.count() == 5 and kept.inputFiles()[0].startswith("file://" + folder)
+    drop_scratch(spark)
+    assert spark.read.parquet(other).count() == 3
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(scratch_path(spark, "x").rsplit("/", 1)[0])
+
+
 def test_scratch_paths_are_fresh_and_under_the_configured_folder(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
     configured = spark.conf.get("spark.checkpoint.dir", None)
