@@ -186,3 +186,17 @@ def test_scratch_paths_are_fresh_and_under_the_configured_folder(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
     configured = spark.conf.get("spark.checkpoint.dir", None)
     assert configured is None or scratch_root(spark) == configured.rstrip("/")
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    """Only a local master may fall back to a folder of its own machine."""
+    from types import SimpleNamespace
+
+    def stub(master, configured=None):
+        conf = SimpleNamespace(get=lambda name, default: configured or default)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+
+    assert scratch_root(stub("cluster", "/shared/folder/")) == "/shared/folder"
+    assert scratch_root(stub("local[2]")) == scratch_root(stub("local[2]")) != ""
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_root(stub("cluster"))
