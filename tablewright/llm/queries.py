@@ -6,8 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import exact_dedup, packing
-from tablewright.llm.common import table
+from tablewright.llm import exact_dedup, fixity, multi_index, packing, pieces, quality, url_filter
+from tablewright.llm.common import held_out, table
+from tablewright.session import written
+
+URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+
+
+def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    scores = quality.quality_scores(docs, labels, ~held_out("doc_id", 0))
+    return scores.select("doc_id", (~F.col("trusted")).alias("held_out"), "score", "predicted")
 
 
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,8 +43,72 @@ def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_multi_index_hashing(spark: SparkSession, folder: str) -> DataFrame:
+    return multi_index.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op7_merkle_fixity(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages as an archive, against a second copy of it with changed, cut and lost records."""
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    body = F.coalesce("html", F.lit(""))
+    body = (
+        F.when(F.col("page_id") % 97 == 0, F.concat(F.lit("~"), F.substring(body, 2, 2_147_483_647)))
+        .when(F.col("page_id") % 103 == 7, F.expr("substring(coalesce(html, ''), 1, length(coalesce(html, '')) div 2)"))
+        .otherwise(body)
+    )
+    copies = pages.withColumn("other", body)
+    one, two = fixity.record("url", "html"), fixity.record("url", "other")
+    records = copies.select(
+        "page_id", F.octet_length(one).cast("long").alias("length"), F.sha2(one, 256).alias("hash"),
+        F.octet_length(two).cast("long").alias("length_2"), F.when(F.col("page_id") % 101 != 5, F.sha2(two, 256)).alias("hash_2"),
+    )
+    archive = written(fixity.placed(records, "page_id"), "archive")
+    first = archive.select("file", "offset", "length", "hash")
+    second = archive.filter("hash_2 is not null").select("file", "offset", F.col("length_2").alias("length"), F.col("hash_2").alias("hash"))
+    return archive.select("page_id", "file", "offset").join(fixity.audit(first, second), ["file", "offset"])
+
+
+_WARC_SQL = r"""'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+  || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen({0})
+  || chr(13) || chr(10) || chr(13) || chr(10) || {0} || chr(13) || chr(10) || chr(13) || chr(10)"""
+OP7_SQL = f"""
+WITH bodies AS (
+  SELECT page_id, url, coalesce(html, '') AS one,
+         CASE WHEN page_id % 97 = 0 THEN '~' || substr(coalesce(html, ''), 2)
+              WHEN page_id % 103 = 7 THEN substr(coalesce(html, ''), 1, length(coalesce(html, '')) // 2)
+              ELSE coalesce(html, '') END AS two,
+         row_number() OVER (ORDER BY page_id) - 1 AS n
+  FROM pages),
+records AS (SELECT page_id, n // 1000 AS file, n, {_WARC_SQL.format('one')} AS a, {_WARC_SQL.format('two')} AS b FROM bodies),
+placed AS (
+  SELECT *, CAST(coalesce(sum(strlen(a)) OVER (PARTITION BY file ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+  FROM records)
+SELECT page_id, CAST(file AS BIGINT) AS file, "offset", CASE WHEN page_id % 101 = 5 THEN 'missing' ELSE 'changed' END AS status,
+       sha256(a) AS first_hash, CASE WHEN page_id % 101 <> 5 THEN sha256(b) END AS second_hash
+FROM placed WHERE page_id % 101 = 5 OR a <> b
+"""
+
+
+def op8_piece_coding(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    codes = pieces.encoded(table(spark, folder, "documents"), model).withColumns(
+        {"n_ids": (F.octet_length("ids") / 4).cast("long"), "ids_crc32": F.crc32("ids")})
+    kept = ["n_ids", "ids_crc32", "score", "uncovered"]
+    return pieces.decoded(codes, model, kept).select("doc_id", *kept, F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.url_verdicts(table(spark, folder, "pages"), URL_RULES)
+
+
 QUERIES = {
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_multi_index_hashing": op4_multi_index_hashing,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_merkle_fixity": op7_merkle_fixity,
+    "op8_piece_coding": op8_piece_coding,
+    "op9_url_filter": op9_url_filter,
 }
-ORACLES = {"op3_exact_dedup": OP3_SQL}
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op7_merkle_fixity": OP7_SQL}
