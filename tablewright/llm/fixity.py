@@ -17,7 +17,7 @@ from tablewright.operators.tables import dense_ids
 from tablewright.session import written
 
 RANGE = 16  # a lowest range is 2**RANGE bytes
-GROWTH = 4  # each level has ranges 2**GROWTH times as wide
+GROWTH = 6  # each level has ranges 2**GROWTH times as wide
 WHOLE = 40  # bits of the offset in a file: files are shorter than 2**WHOLE bytes
 
 
