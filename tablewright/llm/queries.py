@@ -6,13 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import exact_dedup, fixity, multi_index, packing, pieces, quality, url_filter
+from tablewright.llm import exact_dedup, fixity, lattice, multi_index, packing, pieces, quality, url_filter
 from tablewright.llm.common import held_out, table
 from tablewright.session import written
 
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 
+def op1_subword_lattice(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = lattice.read_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    scores = lattice.lattice_scores(table(spark, folder, "documents"), vocabulary, ~held_out("doc_id", 1))
+    return scores.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     scores = quality.quality_scores(docs, labels, ~held_out("doc_id", 0))
@@ -103,6 +109,7 @@ def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_subword_lattice": op1_subword_lattice,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_multi_index_hashing": op4_multi_index_hashing,
