@@ -74,6 +74,21 @@ def mapped(df: DataFrame, rows: Callable[[Iterator[dict]], Iterable[tuple]], sch
     return df.mapInArrow(run, schema)
 
 
+def mapped_arrays(df: DataFrame, arrays: Callable[[Iterator[dict]], Iterable[list]], schema: str) -> DataFrame:
+    """As ``mapped``, but ``arrays`` yields columns: lists of numpy arrays, a whole batch each."""
+    ship(df.sparkSession)
+    empty = StructType.fromDDL(schema)
+    fields = pa.schema([(f.name, _arrow(f.dataType.simpleString())) for f in empty])
+
+    def run(batches):
+        for columns in arrays({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns)} for b in batches):
+            whole = [pa.array(c, t) for c, t in zip(columns, fields.types)]
+            for at in range(0, len(whole[0]), 50_000):
+                yield pa.record_batch([c.slice(at, 50_000) for c in whole], schema=fields)
+
+    return df.mapInArrow(run, schema)
+
+
 def _batch(rows: list[tuple], fields: pa.Schema) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), fields.types)], schema=fields)
 

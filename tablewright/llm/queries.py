@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import exact_dedup, fixity, lattice, multi_index, packing, pieces, quality, url_filter
+from tablewright.llm import exact_dedup, fixity, lattice, multi_index, near_dedup, packing, pieces, quality, repeats, url_filter
 from tablewright.llm.common import held_out, table
 from tablewright.session import written
 
@@ -53,6 +53,10 @@ def op4_multi_index_hashing(spark: SparkSession, folder: str) -> DataFrame:
     return multi_index.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op6_bottom_k_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, folder, "documents"), near_dedup.Likeness(words=4))
+
+
 def op7_merkle_fixity(spark: SparkSession, folder: str) -> DataFrame:
     """The pages as an archive, against a second copy of it with changed, cut and lost records."""
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
@@ -108,14 +112,21 @@ def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, folder, "pages"), URL_RULES)
 
 
+def op10_prefix_free_parsing(spark: SparkSession, folder: str) -> DataFrame:
+    kept = repeats.without_repeats(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_subword_lattice": op1_subword_lattice,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_multi_index_hashing": op4_multi_index_hashing,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_bottom_k_sketches": op6_bottom_k_sketches,
     "op7_merkle_fixity": op7_merkle_fixity,
     "op8_piece_coding": op8_piece_coding,
     "op9_url_filter": op9_url_filter,
+    "op10_prefix_free_parsing": op10_prefix_free_parsing,
 }
 ORACLES = {"op3_exact_dedup": OP3_SQL, "op7_merkle_fixity": OP7_SQL}
