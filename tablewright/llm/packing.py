@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import mapped, ship, whole_texts
 from tablewright.session import written
 
-CACHED = 300_000  # words whose ids a Python worker remembers
+CACHED = 200_000  # words whose ids a Python worker remembers
+TEXTS = 128  # texts whose words are looked up together
 PER_TASK = 32_768  # pieces that one task packs
 FULL = 1 << 62  # from here on, numbers of sequences that one piece fills
 
@@ -24,50 +25,58 @@ class _Encoder:
 
     The tokenizer splits texts at every space or line break that stands alone between other
     characters: a space begins the next unit, a line break is a unit of its own. Texts with any
-    other white space, or with it at an end, are encoded whole.
+    other white space, with white space in a row or at an end, are encoded whole, as are those
+    that hold the text of a special token.
     """
 
     def __init__(self, path: str):
         import os
 
-        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model = Tokenizer.from_file(path)
-        self.odd = regex.compile(r"[^\S \n]|[\x1c-\x1f\x85]|[ \n][ \n]|\A[ \n]|[ \n]\Z")
-        self.special = [x["content"] for x in json.loads(self.model.to_str())["added_tokens"]]
+        spaces = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+        special = [x["content"] for x in json.loads(self.model.to_str())["added_tokens"]]
+        self.whole = [*spaces, "  ", " \n", "\n ", "\n\n", *special]
+        self.line = np.array(self.model.encode("\n", add_special_tokens=False).ids, "<u4")
+        self.by_word = len(self.line) == 1
         self.known: dict[str, bytes] = {}
-        self.line = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _units(self, units: list[str]) -> list[bytes]:
+        """Ids of words without line breaks: one text of all of them, cut at its line breaks."""
+        if not units:
+            return []
+        ids = np.array(self.model.encode_batch_fast(["\n".join(units)], add_special_tokens=False)[0].ids, "<u4")
+        ends = [*np.flatnonzero(ids == self.line[0]).tolist(), len(ids)]
+        data = ids.tobytes()
+        return [data[4 * a:4 * b] for a, b in zip([0, *(e + 1 for e in ends)], ends)]
+
+    def _simple(self, text: str) -> bool:
+        return bool(text) and self.by_word and text[0] not in " \n" and text[-1] not in " \n" and not any(map(text.__contains__, self.whole))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        simple = [not self.odd.search(t) and not any(s in t for s in self.special) for t in texts]
-        split = [[line.split(" ") for line in t.split("\n")] if s else None for t, s in zip(texts, simple)]
-        words = set(chain.from_iterable(chain.from_iterable(line[1:] for line in lines) for lines in split if lines))
-        first = set(line[0] for lines in split if lines for line in lines)
-        units = [u for u in chain((" " + w for w in words), first) if u not in self.known]
-        fresh = dict(zip(units, self._ids(units))) if units else {}
-        if len(self.known) + len(fresh) <= CACHED:
-            self.known.update(fresh)
-            look = self.known
+        # A line break stays before the first word of its line; all other words follow a space.
+        split = [("\n" + t.replace("\n", " \n")).split(" ") if self._simple(t) else None for t in texts]
+        fresh = list(set(chain.from_iterable(s for s in split if s)).difference(self.known))
+        ids = self._units([w[1:] if w[0] == "\n" else " " + w for w in fresh])
+        line, known = self.line.tobytes(), self.known
+        values = [line + i if w[0] == "\n" else i for w, i in zip(fresh, ids)]
+        if len(known) + len(fresh) > CACHED:
+            known = _Both(known, zip(fresh, values))
         else:
-            look = _Both(self.known, fresh)
-        spaced = {w: look[" " + w] for w in words}
-        get, out = spaced.__getitem__, []
-        whole = iter(self._ids([t for t, s in zip(texts, simple) if not s]))
-        for lines in split:
-            if lines is None:
-                out.append(next(whole))
-            else:
-                out.append(self.line.join(look[line[0]] + b"".join(map(get, line[1:])) for line in lines))
-        return out
+            known.update(zip(fresh, values))
+        get, whole = known.__getitem__, iter(self._ids([t for t, s in zip(texts, split) if s is None]))
+        return [next(whole) if s is None else b"".join(map(get, s))[4:] for s in split]
 
 
 class _Both(dict):
-    def __init__(self, known: dict, fresh: dict):
+    """New entries, and behind them those that are kept."""
+
+    def __init__(self, known: dict, fresh):
         super().__init__(fresh)
         self.rest = known
 
@@ -97,9 +106,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int
     def run(batches):
         encode = _encoder(tokenizer)
         for b in batches:
-            for at in range(0, len(b["doc_id"]), 256):
-                texts = [t.decode("utf-8", "replace") for t in b["text"][at:at + 256]]
-                for doc, ids in zip(b["doc_id"][at:at + 256], encode(texts)):
+            for at in range(0, len(b["doc_id"]), TEXTS):
+                texts = [t.decode("utf-8", "replace") for t in b["text"][at:at + TEXTS]]
+                for doc, ids in zip(b["doc_id"][at:at + TEXTS], encode(texts)):
                     ids += last
                     n = len(ids) // 4
                     first = n if n <= capacity else n % capacity or capacity
