@@ -3,8 +3,10 @@
 A rotation learned on a bounded sample (principal axes, then iterative quantization) turns
 every vector into a binary code. Codes are split into substrings and every substring is an
 index key. A code within Hamming radius r of the query's agrees with it, in one of m
-substrings, up to r // m bits, so probing those values finds every code within r. Codes are
-compared whole, then the original vectors give the exact distances.
+substrings, up to r // m bits, so probing those values finds every code within r. Further
+rotations make a longer code whose Hamming distance tells nearness more sharply: of what the
+index retrieves, only rows within a second radius on all bits are looked up, and the original
+vectors give their exact distances.
 """
 
 from __future__ import annotations
@@ -24,25 +26,30 @@ from tablewright.session import written
 SAMPLE = 20_000  # vectors from which the rotation and the radius are learned
 TRIALS = 256  # of them, those that try the radius
 SUBSTRING = 11  # bits at most
-KEPT = 0.97  # share of the sample's true neighbours within the first radius
+TURNS = 4  # rotations; the first makes the indexed code, all of them the longer one
+CODE = [f"code{i}" for i in range(TURNS)]
+KEPT = (0.99, 0.96)  # shares of the sample's true neighbours within the radii of both codes
 
 
 @dataclass(frozen=True)
 class Codes:
-    """x -> sign((x - mean) @ rotation), substrings as bit masks, and the first radius."""
+    """x -> sign((x - mean) @ rotation), ``bits`` at a time; substrings of the first of these
+    as bit masks; and the radii on the indexed and on the longer code."""
 
     mean: np.ndarray
     rotation: np.ndarray
     masks: tuple[int, ...]
     radius: int
+    whole_radius: int
 
     @property
     def bits(self) -> int:
-        return self.rotation.shape[1]
+        return self.rotation.shape[1] // TURNS
 
-    def of(self, x: np.ndarray) -> np.ndarray:
+    def of(self, x: np.ndarray) -> list[np.ndarray]:
         places = np.left_shift(np.uint64(1), np.arange(self.bits, dtype=np.uint64))
-        return (((x - self.mean) @ self.rotation > 0) * places).sum(1, dtype=np.uint64).view(np.int64)
+        signs = (x - self.mean) @ self.rotation > 0
+        return [(part * places).sum(1, dtype=np.uint64).view(np.int64) for part in np.split(signs, TURNS, axis=1)]
 
     def limits(self, radius: int) -> list[int]:
         """Differing bits to allow in each substring, -1 for none: they cover the radius."""
@@ -51,30 +58,35 @@ class Codes:
 
 
 def learn_codes(sample: np.ndarray, neighbours: int, seed: int = 1) -> Codes:
-    """Codes of at most 64 bits from a sample of vectors, one per row."""
+    """Codes of at most 64 bits a rotation from a sample of vectors, one per row."""
     rng = np.random.default_rng(seed)
     mean = sample.mean(0)
     centred = sample - mean
     bits = min(64, sample.shape[1])
     axes = np.linalg.eigh(centred.T @ centred)[1][:, ::-1][:, :bits]
     reduced = centred @ axes
-    turn = np.linalg.qr(rng.normal(size=(bits, bits)))[0]
-    for _ in range(30):
-        u, _, v = np.linalg.svd(np.where(reduced @ turn > 0, 1.0, -1.0).T @ reduced)
-        turn = (u @ v).T
+    turns = []
+    for _ in range(TURNS):
+        turn = np.linalg.qr(rng.normal(size=(bits, bits)))[0]
+        for _ in range(30):
+            u, _, v = np.linalg.svd(np.where(reduced @ turn > 0, 1.0, -1.0).T @ reduced)
+            turn = (u @ v).T
+        turns.append(axes @ turn)
+    rotation = np.hstack(turns)
     parts = np.array_split(np.arange(bits), -(-bits // SUBSTRING))
     masks = tuple(sum(1 << int(i) for i in p) for p in parts)
-    codes = Codes(mean, axes @ turn, masks, 0)
-    tried = rng.permutation(len(sample))[:TRIALS]
-    whole = (centred @ codes.rotation > 0)
+    signs = centred @ rotation > 0
     apart = []
-    for i in tried:
+    for i in rng.permutation(len(sample))[:TRIALS]:
         far = ((sample - sample[i]) ** 2).sum(1)
         far[i] = np.inf
         near = np.argsort(far)[:min(neighbours, len(sample) - 1)]
-        apart.append((whole[near] != whole[i]).sum(1))
-    apart = np.concatenate(apart) if apart else np.zeros(0)
-    return Codes(mean, codes.rotation, masks, int(np.quantile(apart, KEPT)) if len(apart) else bits)
+        differ = signs[near] != signs[i]
+        apart += zip(differ[:, :bits].sum(1), differ.sum(1))
+    if not apart:
+        return Codes(mean, rotation, masks, bits, TURNS * bits)
+    radii = [int(np.quantile(values, share)) for values, share in zip(zip(*apart), KEPT)]
+    return Codes(mean, rotation, masks, *radii)
 
 
 def usable_vectors(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -97,10 +109,12 @@ def usable_vectors(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     return kept.filter(F.col("n") == (common["n"] if common else 0)).select("vec_id", "x")
 
 
-def _found(code: str, other: str, codes: Codes, limits: list[int], radius: int) -> Column:
-    """Whole codes within the radius, met at the first substring that allows it."""
-    differ = F.col(code).bitwiseXOR(F.col(other))
+def _found(codes: Codes, limits: list[int], radius: int, whole_radius: int) -> Column:
+    """Codes within both radii, met at the first substring that allows it."""
+    differ = F.col("code0").bitwiseXOR(F.col("other0"))
     keep = F.bit_count(differ) <= radius
+    apart = [F.bit_count(F.col(f"code{i}").bitwiseXOR(F.col(f"other{i}"))) for i in range(TURNS)]
+    keep &= sum(apart[1:], apart[0]) <= whole_radius
     for i, (mask, most) in enumerate(zip(codes.masks, limits)):
         keep &= (F.col("part") <= i) | (F.bit_count(differ.bitwiseAND(F.lit(_signed(mask)))) > most)
     return keep
@@ -110,11 +124,11 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def _within(index: DataFrame, queries: DataFrame, codes: Codes, radius: int) -> DataFrame:
-    """(query, vec_id) of all index rows whose codes are within the radius of the query's."""
+def _within(index: DataFrame, queries: DataFrame, codes: Codes, radius: int, whole_radius: int) -> DataFrame:
+    """(query, vec_id) of all index rows whose codes are within the radii of the query's."""
     limits = codes.limits(radius)
-    parts = F.array(*(F.col("code").bitwiseAND(F.lit(_signed(m))) for m in codes.masks))
-    entries = index.select("vec_id", "code", F.posexplode(parts).alias("part", "value"))
+    parts = F.array(*(F.col("code0").bitwiseAND(F.lit(_signed(m))) for m in codes.masks))
+    entries = index.select("vec_id", *CODE, F.posexplode(parts).alias("part", "value"))
 
     flips = []
     for mask, most in zip(codes.masks, limits):
@@ -123,14 +137,15 @@ def _within(index: DataFrame, queries: DataFrame, codes: Codes, radius: int) ->
 
     def probes(batches):
         for b in batches:
-            for query, code in zip(b["query"], b["code"]):
+            for query, *code in zip(b["query"], *(b[c] for c in CODE)):
                 for part, (mask, changes) in enumerate(zip(codes.masks, flips)):
-                    own = code & _signed(mask)
+                    own = code[0] & _signed(mask)
                     for change in changes:
-                        yield query, code, part, own ^ change
+                        yield query, *code, part, own ^ change
 
-    asked = mapped(queries.select("query", "code"), probes, "query long, other long, part int, value long")
-    return entries.join(asked, ["part", "value"]).filter(_found("code", "other", codes, limits, radius)).select("query", "vec_id")
+    others = ", ".join(f"other{i} long" for i in range(TURNS))
+    asked = mapped(queries.select("query", *CODE), probes, f"query long, {others}, part int, value long")
+    return entries.join(asked, ["part", "value"]).filter(_found(codes, limits, radius, whole_radius)).select("query", "vec_id")
 
 
 def nearest(vectors: DataFrame, queries: Column, neighbours: int = 10, vector: str = "embedding") -> DataFrame:
@@ -139,7 +154,7 @@ def nearest(vectors: DataFrame, queries: Column, neighbours: int = 10, vector: s
     ``score`` is the Euclidean distance in double precision; ties go to the smaller vec_id.
     ``queries`` is a condition on vec_id. Equal vectors are one index entry whose smallest
     ``neighbours + 1`` ids stand for all, as no others can be among the nearest. A query whose
-    radius holds too few rows is asked again with a greater one, at last over all codes, so
+    radii hold too few rows is asked again with greater ones, at last over all codes, so
     every query gets ``neighbours`` rows or all others. Rows that repeat a vec_id and vector
     count once. An empty table, or one without usable vectors, gives no rows.
     """
@@ -158,18 +173,19 @@ def nearest(vectors: DataFrame, queries: Column, neighbours: int = 10, vector: s
         for b in batches:
             if b["x"]:
                 x = np.frombuffer(b"".join(b["x"])).reshape(len(b["x"]), -1)
-                yield from zip(b["vec_id"], codes.of(x).tolist(), b["x"])
+                yield from zip(b["vec_id"], *(c.tolist() for c in codes.of(x)), b["x"])
 
-    index = written(mapped(entries, coded, "vec_id long, code long, x binary"), "vector-codes")
+    longs = ", ".join(f"{c} long" for c in CODE)
+    index = written(mapped(entries, coded, f"vec_id long, {longs}, x binary"), "vector-codes")
     copies = members.groupBy("entry").agg(F.count(F.lit(1)).alias("copies"))
     asking = written(usable.filter(queries).select(F.col("vec_id").alias("query_id"), "x"), "vector-queries")
     # Equal queries are asked once.
     asked = asking.groupBy("x").agg(F.min("query_id").alias("query"))
     pending = written(mapped(
-        asked.select(F.col("query").alias("vec_id"), "x"), coded, "query long, code long, x binary"), "vector-asked")
+        asked.select(F.col("query").alias("vec_id"), "x"), coded, f"query long, {longs}, x binary"), "vector-asked")
     everything = members.count()
     need = min(neighbours + 1, everything)
-    radius, done = codes.radius, None
+    radius, whole_radius, done = codes.radius, codes.whole_radius, None
 
     def far(batches):
         for b in batches:
@@ -179,8 +195,9 @@ def nearest(vectors: DataFrame, queries: Column, neighbours: int = 10, vector: s
 
     best = Window.partitionBy("query").orderBy("score", "vec_id")
     while True:
-        radius = min(radius, codes.bits)
-        pairs = written(_within(index, pending, codes, radius), "vector-candidates")
+        if radius >= codes.bits:
+            radius, whole_radius = codes.bits, TURNS * codes.bits
+        pairs = written(_within(index, pending, codes, radius, whole_radius), "vector-candidates")
         held = pairs.join(copies, pairs.vec_id == copies.entry).groupBy("query").agg(F.sum("copies").alias("held"))
         full = written(held.filter(F.col("held") >= need).select("query"), "vector-answered")
         answered = pairs.join(broadcast_if_small(full), "query", "left_semi") if radius < codes.bits else pairs
@@ -198,7 +215,7 @@ def nearest(vectors: DataFrame, queries: Column, neighbours: int = 10, vector: s
         pending = written(pending.join(full, "query", "left_anti"), "vector-asked")
         if radius == codes.bits or pending.isEmpty():
             break
-        radius += 8
+        radius, whole_radius = radius + 8, whole_radius + 8 * TURNS
     own = asking.join(asked, "x").select("query_id", "query")
     listed = own.join(done, "query").filter("vec_id <> query_id")
     ranked = listed.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
