@@ -11,7 +11,7 @@ shingle sets decide.
 Lists are not expanded into pairs. Documents with equal sets are one entry; each list ties its
 entries to one of them, the one with the fewest values of its own, which finds almost all
 links. Only entries of lists that then still hold several components meet pairwise, and of
-those only pairs whose shared shingles can suffice.
+those only pairs that have one of their rarest shingles in common, as similar ones must.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import mapped, whole_texts
@@ -40,10 +40,6 @@ class Likeness:
     k: int = 64
     overlap: int = 32
 
-    def enough(self, common: Column, sizes: Column) -> Column:
-        """100 * common >= percent * union, where ``sizes`` is the sum of both sizes."""
-        return (100 + self.percent) * common >= self.percent * sizes
-
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
@@ -165,7 +161,7 @@ def near_groups(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     stars = lists.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     links = written(_confirmed(_alike(stars, items, how), sets, how), "near-links")
     first = written(components(links), "near-components")
-    more = _other_links(lists, heads, first, sets, items, how)
+    more = _other_links(lists, first, sets, items, how)
     links = links.unionByName(more)
     found = components(links)
 
@@ -178,30 +174,40 @@ def near_groups(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _other_links(lists: DataFrame, heads: DataFrame, first: DataFrame, sets: DataFrame, items: DataFrame, how: Likeness) -> DataFrame:
-    """Links between entries that share a list and are in different components of ``first``."""
+def _other_links(lists: DataFrame, first: DataFrame, sets: DataFrame, items: DataFrame, how: Likeness) -> DataFrame:
+    """Links between entries that share a list and are in different components of ``first``.
+
+    Of two sets that are similar enough, the smaller one's rarest shingles and a few more of
+    the larger one's must meet, as too few would be left otherwise. Shingles are ordered by
+    how many of these entries have them: what an edit made stands first and meets almost
+    nothing, so that the many unlike copies of one text stay apart without being paired.
+    """
     placed = lists.join(first, lists.id == first.node, "left").select("value", "id", "n", F.coalesce("component", "id").alias("component"))
     split = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    open_lists = written(placed.join(split.select("value"), "value", "left_semi"), "open-lists")
+    able = written(placed.join(split.select("value"), "value", "left_semi").select("id", "n", "component").distinct(), "open-entries")
 
-    # Shingles that another of these entries has too: no pair can share more.
     def each(batches):
         for b in batches:
             for i, own in zip(b["id"], b["members"]):
                 yield i, np.frombuffer(own, np.int64).tolist()
 
-    own = sets.join(broadcast_if_small(written(open_lists.select("id").distinct(), "open-ids")), "id", "left_semi")
+    own = sets.join(broadcast_if_small(able.select("id")), "id", "left_semi")
     shingles = mapped(own, each, "id long, shingles array<bigint>").select("id", F.explode("shingles").alias("shingle"))
     shared = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-    reach = written(shingles.join(shared, "shingle", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("most")), "open-reach")
-    able = open_lists.join(reach, "id").filter(100 * F.col("most") >= how.percent * F.col("n"))
-    able = written(able.join(heads.select("id", "prefix"), "id"), "open-entries")
-    a, b = able.alias("a"), able.alias("b")
+    by_id = shingles.join(shared, "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("shared"))
+    # Shingles that no other entry has come first in the order and take their places in it.
+    alone = F.col("n") - F.size("shared")
+    larger = F.col("n") - F.ceil(F.col("n") * how.percent / 100) + 1 - alone
+    smaller = F.col("n") - F.ceil(F.col("n") * (2 * how.percent) / (100 + how.percent)) + 1 - alone
+    heads = by_id.join(broadcast_if_small(able), "id").withColumns({"larger": larger.cast("int"), "smaller": smaller.cast("int")}).filter("larger > 0")
+    heads = heads.select("id", "n", "component", "smaller", F.posexplode(F.transform(F.slice("shared", F.lit(1), F.col("larger")), lambda s: s["shingle"])).alias("at", "shingle"))
+    heads = written(heads, "open-heads")
+    a, b = heads.filter("at < smaller").alias("a"), heads.alias("b")
     pairs = a.join(b, (
-        (F.col("a.value") == F.col("b.value")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component"))
-        & how.enough(F.least("a.most", "b.most"), F.col("a.n") + F.col("b.n"))
-        & (F.array_min(F.array_intersect("a.prefix", "b.prefix")) == F.col("a.value"))
-    )).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+        (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.component") != F.col("b.component"))
+        & ((F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.id") < F.col("b.id"))))
+        & (100 * F.col("a.n") >= how.percent * F.col("b.n"))
+    )).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     return written(_confirmed(_alike(written(pairs, "open-pairs"), items, how), sets, how), "near-links")
 
 
