@@ -8,8 +8,8 @@ a parse that says where they occur.
 
 All windows of a phrase that the parse holds twice are repeated. Others need the suffixes of
 the dictionary: windows in the order of their fingerprints, where equal ones are neighbours,
-each with the occurrences that the parse has of its phrase. Only phrases whose trigger is
-followed by the same bytes as another's are looked at, and repeated phrases once each.
+each with the occurrences that the parse has of its phrase. Only windows whose trigger is
+followed by the same bytes as another's are looked at, and those of repeated phrases once each.
 
 Orders are by fingerprint rather than alphabetical: which strings are equal, and so the
 result, does not depend on the order of the alphabet.
@@ -24,22 +24,25 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import mapped, mapped_arrays, whole_texts
+from tablewright.llm.common import kept, mapped, mapped_arrays, whole_texts
 from tablewright.operators.sizes import broadcast_if_small
 from tablewright.session import written
 
+BROADCAST_CONTEXTS = 6_000_000
 BLOCK = 1 << 21  # bytes of a text that are hashed at once
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
 @dataclass(frozen=True)
 class Passages:
-    """Bytes of a window, of the rolling hash, and after a trigger that must repeat; 1 in ``every``
-    positions is a trigger."""
+    """Bytes of a window, of the rolling hash, and after a trigger that must repeat: ``context`` for
+    any window of its phrase, ``further`` for those that begin near it. 1 in ``every`` positions is
+    a trigger."""
 
     length: int = 400
     rolling: int = 12
     context: int = 100
+    further: int = 300
     every: int = 48
 
     @property
@@ -88,7 +91,7 @@ class Rolling:
 
 
 def phrases(text: bytes, how: Passages):
-    """start, stop, context, h1, h2 of a text's phrases, as arrays, block by block.
+    """start, stop, anchor, context, further, phrase of a text's phrases, as arrays, block by block.
 
     A phrase holds the windows that begin from ``start`` to ``stop - length``.
     """
@@ -121,22 +124,27 @@ def phrases(text: bytes, how: Passages):
         starts = np.concatenate([[begin], stops[:-1] + 1])
         tails = np.minimum(stops, last - base) + how.length
         context = rolling.of(1, stops, stops + how.context)
-        yield starts + base, tails + base, context, rolling.of(0, starts, tails), rolling.of(1, starts, tails)
+        further = rolling.of(1, stops, np.minimum(stops + how.further, n))
+        yield starts + base, tails + base, stops + base, context, further, rolling.of(0, starts, tails)
         start = int(stops[-1]) + 1 + base
 
 
 def parse(docs: DataFrame, how: Passages) -> DataFrame:
-    """doc_id, start, stop, context, h1, h2 of all phrases of all texts that hold a window."""
+    """doc_id, start, stop, anchor, context, further, phrase of all texts that hold a window.
+
+    ``anchor`` is the place of the trigger that ends the phrase, ``context`` and ``further`` hash
+    the bytes behind it, ``phrase`` those of the whole phrase; it and ``context`` name the phrase.
+    """
 
     def run(batches):
         for b in batches:
             rows = [(doc, part) for doc, text in zip(b["doc_id"], b["text"]) if len(text) >= how.length for part in phrases(text, how)]
             if rows:
                 sizes = [len(part[0]) for _, part in rows]
-                yield [np.repeat(np.array([doc for doc, _ in rows], np.int64), sizes), *(np.concatenate([part[i] for _, part in rows]) for i in range(5))]
+                yield [np.repeat(np.array([doc for doc, _ in rows], np.int64), sizes), *(np.concatenate([part[i] for _, part in rows]) for i in range(6))]
 
     able = whole_texts(docs).filter(F.col("doc_id").isNotNull())
-    return mapped_arrays(able, run, "doc_id long, start long, stop long, context long, h1 long, h2 long")
+    return mapped_arrays(able, run, "doc_id long, start long, stop long, anchor long, context long, further long, phrase long")
 
 
 def repeated_spans(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
@@ -149,34 +157,42 @@ def repeated_spans(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
     """
     found = parse(docs, how)
     twice = found.groupBy("context").agg(F.count(F.lit(1)).alias("often")).filter("often > 1").select("context")
-    able = written(found.join(twice, "context", "left_semi"), "phrases")
-    origin = F.min(F.struct("doc_id", "start", "stop")).alias("origin")
-    dictionary = written(able.groupBy("h1", "h2").agg(F.first("context").alias("context"), F.count(F.lit(1)).alias("often"), origin), "dictionary")
-    repeated = dictionary.filter("often > 1").select("h1", "h2")
-    whole = able.join(repeated, ["h1", "h2"], "left_semi").select("doc_id", "start", "stop")
-
-    by_context = dictionary.groupBy("context").agg(F.count(F.lit(1)).alias("kinds"), F.min("often").alias("least"))
-    # Windows can be repeated inside one phrase too, where the text is periodic.
-    single = dictionary.join(by_context.filter("least = 1").select("context"), "context", "left_semi")
-    sources = single.groupBy(F.col("origin.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("origin.start", "origin.stop", "often")).alias("parts"))
-    sources = written(sources.select("doc_id", *(F.col(f"parts.{c}").alias(c) for c in ("start", "stop", "often"))), "open-phrases")
+    twice = kept(twice, "repeated-contexts")
+    # 64-bit numbers: their count is their size. Beyond the bound the phrases are shuffled to them.
+    near_by = F.broadcast(twice) if twice.count() <= BROADCAST_CONTEXTS else twice
+    able = kept(found.join(near_by, "context", "left_semi"), "phrases")
+    origin = F.min(F.struct("doc_id", "start", "stop", "anchor")).alias("origin")
+    name = ["context", "phrase"]
+    dictionary = kept(able.groupBy(*name).agg(F.first("further").alias("further"), F.count(F.lit(1)).alias("often"), origin), "dictionary")
+    whole = able.join(dictionary.filter("often > 1").select(*name), name, "left_semi").select("doc_id", "start", "stop")
+    whole = kept(whole, "repeated-phrases")
+
+    # Phrases to look into: those that occur once, and what could hold the same windows. They
+    # can be repeated inside one phrase too, where the text is periodic.
+    open_contexts = dictionary.groupBy("context").agg(F.min("often").alias("least")).filter("least = 1").select("context")
+    far = dictionary.groupBy("further").agg(F.sum("often").alias("all")).filter("all > 1").select("further", F.lit(True).alias("near"))
+    single = dictionary.join(open_contexts, "context", "left_semi").join(far, "further", "left")
+    reach = how.length - how.further
+    last = F.when(F.col("near"), F.col("origin.stop")).otherwise(F.least("origin.stop", F.col("origin.anchor") - reach - 1 + how.length))
+    single = single.select("origin.doc_id", "origin.start", last.alias("stop"), "often").filter(F.col("stop") - F.col("start") >= how.length)
+    sources = single.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "often")).alias("parts"))
+    sources = kept(sources.select("doc_id", *(F.col(f"parts.{c}").alias(c) for c in ("start", "stop", "often"))), "open-phrases")
 
     def windows(batches):
         for b in batches:
             made = []
             for doc, text, starts, stops, often in zip(*(b[c] for c in ("doc_id", "text", "start", "stop", "often"))):
-                for start, stop, times in zip(starts, stops, often):
-                    rolling = Rolling(text[start:stop])
-                    at = np.arange(stop - start - how.length + 1)
-                    made.append((doc, start + at, times, rolling.of(0, at, at + how.length), rolling.of(1, at, at + how.length)))
+                counts = np.array(stops) - np.array(starts) - how.length + 1
+                at = np.repeat(np.array(starts) - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+                low = min(starts)
+                rolling = Rolling(text[low:max(stops)])
+                made.append((doc, at, np.repeat(often, counts), *(rolling.of(k, at - low, at - low + how.length) for k in (0, 1))))
             if made:
-                sizes = [len(m[1]) for m in made]
-                yield [np.repeat([m[0] for m in made], sizes), np.concatenate([m[1] for m in made]), np.repeat([m[2] for m in made], sizes),
-                       np.concatenate([m[3] for m in made]), np.concatenate([m[4] for m in made])]
+                yield [np.repeat([m[0] for m in made], [len(m[1]) for m in made]), *(np.concatenate([m[i] for m in made]) for i in range(1, 5))]
 
     texts = whole_texts(docs).join(broadcast_if_small(sources), "doc_id").dropDuplicates(["doc_id"]) if _repeats_ids(docs) else whole_texts(docs).join(
         broadcast_if_small(sources), "doc_id")
-    suffixes = written(mapped_arrays(texts, windows, "doc_id long, start long, often long, w1 long, w2 long"), "suffixes")
+    suffixes = kept(mapped_arrays(texts, windows, "doc_id long, start long, often long, w1 long, w2 long"), "suffixes")
     again = suffixes.groupBy("w1", "w2").agg(F.sum("often").alias("all")).filter("all > 1").select("w1", "w2")
     some = suffixes.filter("often = 1").join(again, ["w1", "w2"], "left_semi").select("doc_id", "start", (F.col("start") + how.length).alias("stop"))
 
