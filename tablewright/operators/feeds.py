@@ -100,9 +100,9 @@ class FeedSpec:
 
     @classmethod
     def fitting(cls, rows: int, object_name: str, object_type: ObjectType | str, **options) -> FeedSpec:
-        """Five batches sized to a pool of ``rows``: batches of a quarter, 40 % of each new."""
-        per_batch = max(1, rows // 4)
-        inserts = per_batch * 2 // 5
+        """Five batches that use a pool of ``rows`` whole: 2/13 of it new in each later batch."""
+        inserts = rows * 2 // 13
+        per_batch = max(1, rows - 4 * inserts)
         return cls(object_name, ObjectType(object_type), 5, per_batch, inserts, per_batch - inserts, **options)
 
 
@@ -128,13 +128,19 @@ def last_batch(index: Column, spec: FeedSpec) -> Column:
     return F.when(lag >= 0, F.greatest(first, F.least(final, reach))).otherwise(first).cast("int")
 
 
-def change_feed(rows: DataFrame, index: str, spec: FeedSpec, start: int = 1, keep_index: bool = False) -> DataFrame:
+def change_feed(rows: DataFrame, index: str, spec: FeedSpec, start: int = 1, keep_index: bool = False,
+                complete: bool = False) -> DataFrame:
     """All batches of a feed: the row's columns, its id if the type has one, ``batch``, ``op``.
 
     ``index`` numbers the rows consecutively from ``start``. The pool is cut by comparing the
     column itself with literals, so the cut reaches the scan. ``keep_index`` leaves the
-    column in the result, for when it is data as well.
+    column in the result, for when it is data as well. A pool that does not hold every index
+    once is refused, after one aggregate over the index column; ``complete`` leaves that out
+    for indexes that are dense by construction. So are columns named ``batch`` or ``op``.
     """
+    _refuse_clash(rows, spec)
+    if not complete:
+        _require_dense(rows, index, spec, start)
     pool = index_between(rows, index, start, start + spec.pool_rows - 1)
     position = _position(index, start)
     span = F.sequence(first_batch(position, spec), last_batch(position, spec))
@@ -150,6 +156,7 @@ def batch_by_ranges(rows: DataFrame, index: str, spec: FeedSpec, batch: int, sta
 
     The ranges are literals and reach the scan as pushed-down filters.
     """
+    _refuse_clash(rows, spec)
     sides = []
     for op, (first, last) in ((INSERT, spec.insert_range(batch)), (UPDATE, spec.update_range(batch))):
         if last >= first:
@@ -159,6 +166,24 @@ def batch_by_ranges(rows: DataFrame, index: str, spec: FeedSpec, batch: int, sta
     return stacked(sides)
 
 
+def _refuse_clash(rows: DataFrame, spec: FeedSpec) -> None:
+    made = {"batch", "op", *([spec.id_column] if spec.id_column else [])}
+    clash = sorted(made & {c.lower() for c in rows.columns})
+    if clash:
+        raise ValueError(f"the feed makes columns of these names itself: {clash}")
+
+
+def _require_dense(rows: DataFrame, index: str, spec: FeedSpec, start: int) -> None:
+    """Count, ends, sum and sum of squares of the index are those of a dense range."""
+    value = F.col(index).cast("decimal(20,0)") - start
+    last = spec.pool_rows - 1
+    inside = index_between(rows, index, start, start + last)
+    found = inside.agg(F.count(F.lit(1)), F.min(value), F.max(value), F.sum(value), F.sum(value * value)).first()
+    want = (last + 1, 0, last, last * (last + 1) // 2, last * (last + 1) * (2 * last + 1) // 6)
+    if tuple(int(x) if x is not None else None for x in found) != want:
+        raise ValueError(f"the feed needs {spec.pool_rows} rows with the indexes from {start} on, each once; found {found[0]}")
+
+
 def _position(index: str, start: int) -> Column:
     """1-based position of a row in the pool."""
     value = F.col(index).cast("long")

@@ -24,7 +24,7 @@ INDEXED = {"start": 0, "keep_index": True}
 
 # The batches a pool of orders is cut into, as index ranges: an independent route to the feed.
 SLOTS_SQL = """
-    p AS (SELECT count(*) // 4 AS r, (count(*) // 4) * 2 // 5 AS i FROM orders),
+    p AS (SELECT count(*) - 4 * (count(*) * 2 // 13) AS r, count(*) * 2 // 13 AS i FROM orders),
     q AS (SELECT r, i, r - i AS u, CAST(range AS INTEGER) AS k FROM p, range(5)),
     slots AS (
       SELECT 0 AS batch, 'I' AS op, 1 AS lo, r AS hi FROM p
@@ -98,7 +98,7 @@ def feed_one_batch(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "feed_pool",
     """
-    WITH p AS (SELECT count(*) // 4 AS r, (count(*) // 4) * 2 // 5 AS i FROM orders)
+    WITH p AS (SELECT count(*) - 4 * (count(*) * 2 // 13) AS r, count(*) * 2 // 13 AS i FROM orders)
     SELECT (SELECT r + 4 * i FROM p) AS pool_rows, (SELECT r FROM p) AS seed_rows,
            count(*) AS seed_found, CAST(sum(o_orderkey) AS BIGINT) AS seed_keys
     FROM orders WHERE o_orderkey < (SELECT r FROM p)

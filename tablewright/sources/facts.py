@@ -37,7 +37,7 @@ def generate_facts(spark: SparkSession, rows: int, seed: int = 0, partitions: in
 def generate_feed(spark: SparkSession, spec: FeedSpec, seed: int = 0, partitions: int | None = None) -> DataFrame:
     """The change feed of generated facts. Only rows that some batch holds are generated."""
     facts = generate_facts(spark, spec.pool_rows, seed, partitions)
-    return change_feed(facts, "MARKET_ID", spec, start=0, keep_index=True)
+    return change_feed(facts, "MARKET_ID", spec, start=0, keep_index=True, complete=True)
 
 
 def facts_for(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
