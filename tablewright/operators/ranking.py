@@ -13,11 +13,6 @@ from pyspark.sql import types as T
 
 from tablewright.session import written
 
-# A plain limit lets every task send up to n rows to one: fine up to this many rows in all,
-# and up to this many rows in that one task.
-LIMIT_SENT, LIMIT_KEPT = 10_000_000, 100_000
-# Top-k by sorting keeps k rows per task; above this many the cut-off search is used instead.
-TOP_K = 100
 # Histogram buckets per pass of the cut-off search: the most rows a pass brings back.
 BUCKETS = 1 << 16
 # Once this few values are left, they are looked at directly.
@@ -41,19 +36,16 @@ def position_bound(df: DataFrame, n: int) -> int | None:
 
 
 def first_rows(df: DataFrame, n: int) -> DataFrame:
-    """Any ``n`` rows (all of them when there are fewer).
+    """Any ``n`` rows (all of them when there are fewer), where they are.
 
-    A few rows come from a plain limit, which reads little of each partition. Otherwise rows
-    stay where they are and all but the first ``n`` are filtered out by position.
-
-    ``df`` must be a scan with narrow steps only, so that counting and reading see the same
-    partitions; write other frames first (``session.written``). Callers that must not trust
-    this check the count of what they got, as ``sinks.objects.append_first`` does.
+    All but the first ``n`` by position are filtered out; no row moves. Counting and reading
+    must see the same partitions, so a frame that is more than a scan with narrow steps is
+    written first.
     """
     if n < 0:
         raise ValueError("n must not be negative")
-    if n <= LIMIT_KEPT and n * df.rdd.getNumPartitions() <= LIMIT_SENT:
-        return df.limit(n)
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        df = written(df, "first-rows")
     bound = position_bound(df, n)
     if bound is None:
         return df
@@ -108,16 +100,17 @@ def _slot(low: int, high: int, width: int) -> Column:
     return F.call_function("div", offset, F.lit(width).cast(exact)).cast("long")
 
 
-def first_by_key(df: DataFrame, key: str, n: int, top_k: int = TOP_K) -> DataFrame:
+def first_by_key(df: DataFrame, key: str, n: int) -> DataFrame:
     """The ``n`` rows with the smallest values of a whole-number key.
 
     The cut-off is a literal, so it reaches the scan as a pushed-down filter. When the key
-    repeats at the cut-off, any of the tied rows fill the remainder. NULL keys come last.
+    repeats at the cut-off, any of the tied rows fill the remainder. NULL keys come last. The
+    order of the result is not part of it.
     """
     if not isinstance(df.select(key).schema[0].dataType, T.IntegralType):
         raise TypeError("first_by_key needs a whole-number key")
-    if n <= top_k:
-        return df.orderBy(F.col(key).asc_nulls_last()).limit(n)
+    if n < 1:
+        return df.filter(F.lit(False))
     keyed = df.filter(F.col(key).isNotNull())
     known = keyed.count()
     if known <= n:

@@ -7,28 +7,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tablewright.operators import ranking
 from tablewright.operators.ranking import first_by_key, first_rows, nth_smallest, preview
 
 MIN, MAX = -(1 << 63), (1 << 63) - 1
 
 
-@pytest.fixture(autouse=True)
-def no_plain_limit(monkeypatch):
-    """Small tests would take the way of few rows."""
-    monkeypatch.setattr(ranking, "LIMIT_KEPT", -1)
-
-
-def test_a_few_rows_come_from_a_plain_limit(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "LIMIT_KEPT", 10)
-    df = spark.range(0, 100, 1, 4)
-    assert "GlobalLimit" in first_rows(df, 10)._jdf.queryExecution().optimizedPlan().toString()
-    assert "GlobalLimit" not in first_rows(df, 11)._jdf.queryExecution().optimizedPlan().toString()
-    assert (first_rows(df, 10).count(), first_rows(df, 11).count()) == (10, 11)
-    monkeypatch.setattr(ranking, "LIMIT_SENT", 39)
-    assert "GlobalLimit" not in first_rows(df, 10)._jdf.queryExecution().optimizedPlan().toString()
-
-
 @pytest.mark.parametrize("n", [0, 1, 7, 250, 999, 1000, 5000])
 def test_first_rows_is_exact_over_many_partitions(spark, folder, n):
     spark.range(1000).repartition(7).write.parquet(folder + "/t")
@@ -42,12 +25,16 @@ def test_first_rows_does_not_gather_rows(spark, folder):
     spark.range(1000).repartition(7).write.parquet(folder + "/t")
     df = spark.read.parquet(folder + "/t")
     kept = first_rows(df, 900)
-    assert kept.rdd.getNumPartitions() == df.rdd.getNumPartitions()
     assert "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(ValueError):
         first_rows(df, -1)
 
 
+def test_first_rows_of_a_shuffled_frame_are_written_first(spark):
+    df = spark.range(1000).repartition(7, "id").groupBy("id").count()
+    assert {r.id for r in first_rows(df, 10).collect()} <= set(range(1000)) and first_rows(df, 400).count() == 400
+
+
 def test_first_rows_of_nothing(spark):
     assert first_rows(spark.range(0), 5).count() == 0
 
@@ -78,7 +65,7 @@ def test_first_by_key_with_a_third_of_rows_on_one_key(spark, folder):
     spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i int").write.parquet(folder + "/t")
     df = spark.read.parquet(folder + "/t")
     for n in (0, 5, 150, 300, 599, 600, 700):
-        got = first_by_key(df, "k", n, top_k=10)
+        got = first_by_key(df, "k", n)
         assert sorted(r.k for r in got.collect()) == sorted(keys)[:n]
         assert got.select("i").distinct().count() == min(n, 600)
 
@@ -86,8 +73,8 @@ def test_first_by_key_with_a_third_of_rows_on_one_key(spark, folder):
 def test_first_by_key_takes_null_keys_last(spark, folder):
     spark.createDataFrame([(3,), (None,), (1,), (None,)], "k long").write.parquet(folder + "/t")
     df = spark.read.parquet(folder + "/t")
-    assert [r.k for r in first_by_key(df, "k", 2, top_k=0).collect()].count(None) == 0
-    assert sorted((r.k for r in first_by_key(df, "k", 3, top_k=0).collect()), key=str) == [1, 3, None]
+    assert [r.k for r in first_by_key(df, "k", 2).collect()].count(None) == 0
+    assert sorted((r.k for r in first_by_key(df, "k", 3).collect()), key=str) == [1, 3, None]
     with pytest.raises(TypeError):
         first_by_key(df.select(F.col("k").cast("string").alias("k")), "k", 2)
 
