@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_CLASSES = 10_000
+from tablewright.operators.sizes import broadcast_if_small
+from tablewright.operators.tables import dense_ids
+
+_NAME, _CODE = "__label", "__code"
 
 
 def distinct_labels(df: DataFrame, label: str) -> DataFrame:
@@ -13,34 +16,29 @@ def distinct_labels(df: DataFrame, label: str) -> DataFrame:
     return df.select(label).filter(F.col(label).isNotNull()).distinct()
 
 
-def label_list(df: DataFrame, label: str, max_classes: int = MAX_CLASSES) -> list[str]:
-    """The classes as text, sorted by value (numbers as numbers). The position is the class code.
+def label_codes(df: DataFrame, label: str) -> DataFrame:
+    """A written table of the classes: ``label`` (text) and ``code`` from 0, in order of value.
 
-    A label with more than ``max_classes`` values is refused: it is no class label, and the
-    list is about to be broadcast.
+    Numbers are ordered as numbers. The classes never pass through the driver, so their
+    number is not bounded.
     """
+    numbered = dense_ids(distinct_labels(df, label).select(F.col(label).alias("value")), ["value"], "code", 0)
+    return numbered.select(F.col("value").cast("string").alias("label"), F.col("code").cast("int").alias("code"))
+
+
+def label_list(df: DataFrame, label: str) -> list[str]:
+    """The classes as text, in order of value: for a model, which holds its own classes."""
     known = distinct_labels(df, label).withColumn("text", F.col(label).cast("string"))
-    found = [(row[0], row[1]) for row in known.limit(max_classes + 1).collect()]
-    if len(found) > max_classes:
-        raise ValueError(f"{label!r} has more than {max_classes} values")
-    return [text for _, text in sorted(found)]
+    return [text for _, text in sorted((row[0], row[1]) for row in known.collect())]
 
 
-def with_codes(df: DataFrame, label: str, labels: list[str], column: str) -> DataFrame:
-    """Add the class code of ``label``; NULL for a missing or unknown class.
+def with_codes(df: DataFrame, label: str, codes: DataFrame, column: str) -> DataFrame:
+    """Add the class code of ``label``; NULL for a missing or unknown class."""
+    known = broadcast_if_small(codes.select(F.col("label").alias(_NAME), F.col("code").alias(column)))
+    return df.join(known, F.col(label).cast("string") == F.col(_NAME), "left").drop(_NAME)
 
-    ``labels`` is bounded by ``label_list``, hence safe to broadcast: the join keeps the
-    big side in place.
-    """
-    if not labels:
-        return df.withColumn(column, F.lit(None).cast("int"))
-    key = "__label"
-    codes = df.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(v) for v in labels])).alias(column, key))
-    joined = df.join(F.broadcast(codes), F.col(label).cast("string") == F.col(key), "left")
-    return joined.drop(key)
-
-
-def decoded(code: Column, labels: list[str]) -> Column:
-    """Class name of a code; NULL outside the known range."""
-    names = F.array(*[F.lit(v) for v in labels])
-    return F.when(code.between(0, len(labels) - 1), F.get(names, code.cast("int")))
+
+def decoded(df: DataFrame, code: str, codes: DataFrame, column: str) -> DataFrame:
+    """Add the class name of a code; NULL outside the known range."""
+    known = broadcast_if_small(codes.select(F.col("code").alias(_CODE), F.col("label").alias(column)))
+    return df.join(known, F.col(code) == F.col(_CODE), "left").drop(_CODE)

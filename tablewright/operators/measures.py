@@ -10,11 +10,6 @@ from pyspark.sql import functions as F
 TOTAL = "all"
 
 
-def row_count(df: DataFrame) -> int:
-    """Number of rows; call once and keep the answer."""
-    return df.count()
-
-
 def mean_absolute_error(df: DataFrame, prediction: str, target: str, by: str = "split") -> DataFrame:
     """Rows and mean absolute error per split, and for all rows together."""
     gap = F.abs(F.col(prediction) - F.col(target))
@@ -60,8 +55,8 @@ def _with_total(parts: DataFrame, by: str, total: str, name: str) -> DataFrame:
     """Roll the per-split sums up: the rollup sees one row per split, not the data twice."""
     return (
         parts.rollup(by)
-        .agg(F.sum("rows").cast("long").alias("rows"), (F.sum(total) / F.sum("rows")).alias(name))
-        .select(F.coalesce(F.col(by), F.lit(TOTAL)).alias(by), "rows", name)
+        .agg(F.grouping(by).alias("is_total"), F.sum("rows").cast("long").alias("rows"), (F.sum(total) / F.sum("rows")).alias(name))
+        .select(F.when(F.col("is_total") == 1, TOTAL).otherwise(F.col(by).cast("string")).alias(by), "rows", name)
     )
 
 

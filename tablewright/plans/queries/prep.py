@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.operators.filters import labelled
-from tablewright.operators.labels import decoded, distinct_labels, label_list, with_codes
+from tablewright.operators.labels import decoded, distinct_labels, label_codes, with_codes
 from tablewright.operators.measures import accuracy, class_means, mean_absolute_error, split_shapes
 from tablewright.operators.missing import fill_means, fit_means
 from tablewright.operators.shaping import features_to_double, lower_names, reorder
@@ -40,7 +40,7 @@ def prepared_training_set(spark: SparkSession, folder: str) -> DataFrame:
     """Shape, cast, code the label, split; rows and feature means per split and class."""
     lines = lower_names(table(spark, folder, "lineitem"))
     kept = reorder(lines, [*LINE_KEYS, *LINE_FEATURES, "l_returnflag"])
-    coded = with_codes(kept, "l_returnflag", label_list(kept, "l_returnflag"), "label_code")
+    coded = with_codes(kept, "l_returnflag", label_codes(kept, "l_returnflag"), "label_code")
     split = keyed_split(features_to_double(coded, LINE_FEATURES), LINE_KEYS, 0.2, 42)
     return class_means(split, ["split", "l_returnflag", "label_code"], LINE_FEATURES)
 
@@ -95,11 +95,23 @@ def mean_impute_train_fit(spark: SparkSession, folder: str) -> DataFrame:
     FROM customer
     """,
 )
-def label_codes(spark: SparkSession, folder: str) -> DataFrame:
+def segment_codes(spark: SparkSession, folder: str) -> DataFrame:
     customers = table(spark, folder, "customer").select("c_custkey", "c_mktsegment")
-    labels = label_list(customers, "c_mktsegment")
-    coded = with_codes(customers, "c_mktsegment", labels, "code")
-    return coded.withColumn("decoded", decoded(F.col("code"), labels))
+    codes = label_codes(customers, "c_mktsegment")
+    return decoded(with_codes(customers, "c_mktsegment", codes, "code"), "code", codes, "decoded")
+
+
+@query(
+    "label_codes_of_names",
+    """
+    SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY c_name) - 1 AS INTEGER) AS code, c_name AS decoded FROM customer
+    """,
+)
+def name_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """A class for every customer: the number of classes grows with the table."""
+    customers = table(spark, folder, "customer").select("c_custkey", "c_name")
+    codes = label_codes(customers, "c_name")
+    return decoded(with_codes(customers, "c_name", codes, "code"), "code", codes, "decoded").drop("c_name")
 
 
 @query("distinct_labels", "SELECT DISTINCT c_mktsegment FROM customer")

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tablewright.functions.scalars import nearest_code, truncated
 from tablewright.operators.filters import labelled
-from tablewright.operators.labels import MAX_CLASSES, decoded, label_list
+from tablewright.operators.labels import label_list
 from tablewright.operators.measures import accuracy, mean_absolute_error
 from tablewright.operators.missing import fit_means
 from tablewright.operators.shaping import features_to_double, numeric_columns, reorder
@@ -52,7 +52,6 @@ class ClassTask:
     seed: int = 42
     test_share: float = 0.2
     trees: TreeSettings = field(default_factory=TreeSettings)
-    max_classes: int = MAX_CLASSES
 
 
 @dataclass(frozen=True)
@@ -80,7 +79,7 @@ def _fit(stages: list, rows: DataFrame, settings: TreeSettings) -> PipelineModel
     Fitting looks at its input several times; spread rows are kept so they move only once.
     """
     wanted = settings.least_partitions
-    if not wanted or rows.rdd.getNumPartitions() >= wanted:
+    if not wanted:
         return Pipeline(stages=stages).fit(rows)
     kept = rows.repartition(wanted).persist()
     try:
@@ -92,6 +91,8 @@ def _fit(stages: list, rows: DataFrame, settings: TreeSettings) -> PipelineModel
 def prepare(df: DataFrame, task: ClassTask) -> DataFrame:
     """Keys, features as double, label, and the split each row belongs to. One narrow pass."""
     kept = reorder(df, list(dict.fromkeys([*task.keys, *task.features, task.label])))
+    if isinstance(kept.select(task.label).schema[0].dataType, T.BooleanType):
+        kept = kept.withColumn(task.label, F.col(task.label).cast("string"))
     split = keyed_split(kept, task.keys, task.test_share, task.seed, SPLIT)
     return features_to_double(split, task.features)
 
@@ -100,7 +101,7 @@ def train(df: DataFrame, task: ClassTask) -> PipelineModel:
     """Fit on the training rows. The class list is part of the model, so scoring reuses it."""
     ensure_checkpoint_dir(df.sparkSession)
     prepared = labelled(prepare(df, task), task.label)
-    labels = label_list(prepared, task.label, task.max_classes)
+    labels = label_list(prepared, task.label)
     codes = StringIndexerModel.from_labels(labels, inputCol=task.label, outputCol=CODE, handleInvalid="keep")
     assembler = VectorAssembler(inputCols=list(task.features), outputCol="features")
     stages = [codes, assembler, _trees(task.trees, CODE)]
@@ -112,6 +113,12 @@ def class_labels(model: PipelineModel) -> list[str]:
     return list(model.stages[0].labels)
 
 
+def _class_name(code: Column, labels: list[str]) -> Column:
+    """Name of a code among the model's own classes; NULL outside their range."""
+    names = F.array(*[F.lit(v) for v in labels])
+    return F.when(code.between(0, len(labels) - 1), F.get(names, code.cast("int")))
+
+
 def score(model: PipelineModel, df: DataFrame, task: ClassTask, nearest: bool = False) -> DataFrame:
     """Score every row, training and test alike.
 
@@ -127,7 +134,7 @@ def score(model: PipelineModel, df: DataFrame, task: ClassTask, nearest: bool =
     known = F.when(F.col(CODE) < len(labels), F.col(CODE).cast("int"))
     return rows.select(
         *task.keys, *task.features, SPLIT, task.label, known.alias(CODE), RAW, code.alias(PREDICTED)
-    ).withColumn(f"predicted_{task.label}", decoded(F.col(PREDICTED), labels))
+    ).withColumn(f"predicted_{task.label}", _class_name(F.col(PREDICTED), labels))
 
 
 def score_accuracy(scored: DataFrame) -> DataFrame:
