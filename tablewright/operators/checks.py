@@ -42,7 +42,9 @@ def fingerprint_cells(columns: Sequence[str]) -> list[Column]:
     The exclusive-or alone would miss pairs of equal rows, hence the sum beside it. It is
     taken over three pieces of the hash, which is cheaper than one wide decimal.
     """
-    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
+    cells = [F.col(f"`{c}`") for c in columns]
+    gaps = F.concat_ws("", *[F.when(c.isNull(), "0").otherwise("1") for c in cells])  # the hash alone skips NULL
+    row_hash = F.xxhash64(*cells, gaps)
     mask = F.lit((1 << _PIECE) - 1)
     return [
         F.count(F.lit(1)).alias("rows"),

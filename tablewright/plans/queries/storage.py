@@ -11,7 +11,7 @@ from tablewright.plans.queries.registry import query, table
 from tablewright.schemas import FACT_FLAG, FACT_RANGES
 from tablewright.session import scratch_path
 from tablewright.sinks.objects import append, append_first
-from tablewright.sinks.text import write_csv, write_single_csv
+from tablewright.sinks.text import write_csv
 from tablewright.sources.facts import facts_for, generate_facts
 from tablewright.sources.objects import ObjectTable, read_object, read_rows
 from tablewright.sources.text import read_csv, read_csv_for_store
@@ -136,12 +136,30 @@ def csv_single_part_export(spark: SparkSession, folder: str) -> DataFrame:
     """A small summary of the whole table as one CSV part."""
     path = scratch_path(spark, "csv")
     customers = table(spark, folder, "customer")
-    write_single_csv(customers.groupBy("c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("rows")), path)
+    write_csv(customers.groupBy("c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("rows")), path, parts=1)
     back = read_csv(spark, path)
     parts = back.select(F.input_file_name().alias("f")).distinct().count()
     return back.withColumn("parts", F.lit(parts).cast("long"))
 
 
+@query(
+    "csv_text_roundtrip",
+    """
+    SELECT doc_id, text || ' "' AS text, nullif(lang, 'en') AS lang, CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' ' || source END AS source
+    FROM documents
+    """,
+)
+def csv_text_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts with quotes, commas, blanks, line breaks, empty and missing cells come back as written."""
+    docs = table(spark, folder, "documents").select(
+        "doc_id", F.concat("text", F.lit(' "')).alias("text"), F.nullif("lang", F.lit("en")).alias("lang"),
+        F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit(" "), "source")).alias("source"),
+    )
+    path = scratch_path(spark, "csv")
+    write_csv(docs, path, missing="NA")
+    return read_csv(spark, path, schema=docs.schema, missing="NA", multiline=True)
+
+
 def _fact_sql(ids: str) -> str:
     """The fact table in SQL: a cubic in the column's number, with digest words as coefficients."""
     cells = []

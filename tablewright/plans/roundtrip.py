@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -16,7 +17,7 @@ from tablewright.schemas import RUN_STATS
 from tablewright.sinks.objects import append_first
 from tablewright.sources.objects import ObjectTable, read_object
 
-_EXACT = 1 << 53  # whole doubles are exact up to here
+_LONG = 1 << 63
 
 
 def timed(action: Callable[[], Any]) -> tuple[Any, float]:
@@ -28,10 +29,18 @@ def timed(action: Callable[[], Any]) -> tuple[Any, float]:
 
 def geometric_series(spark: SparkSession, first: int, ratio: int, terms: int) -> DataFrame:
     """``term`` 1..terms and ``value`` first * ratio^(term-1)."""
-    if terms < 0 or abs(first * ratio ** max(terms - 1, 0)) > _EXACT:
-        raise ValueError("the series leaves the range of exact whole numbers")
-    value = (F.lit(first) * F.pow(F.lit(float(ratio)), F.col("id") - 1)).cast("long")
-    return spark.range(1, terms + 1).select(F.col("id").cast("int").alias("term"), value.alias("value"))
+    if terms < 0:
+        raise ValueError("terms must not be negative")
+    numbers = spark.range(1, terms + 1).select(F.col("id").cast("int").alias("term"))
+    if abs(ratio) < 2:
+        later = F.lit(first * ratio) if ratio != -1 else F.when(F.col("term") % 2 == 0, -first).otherwise(first)
+        return numbers.withColumn("value", F.when(F.col("term") == 1, first).otherwise(later).cast("long"))
+    values = [first * ratio**i for i in range(min(terms, 65) if first else 1)]
+    if not all(-_LONG <= v < _LONG for v in values):
+        raise OverflowError("the series leaves the range of long")
+    if not first:
+        return numbers.withColumn("value", F.lit(0).cast("long"))
+    return spark.createDataFrame(list(enumerate(values, 1)), "term int, value long")
 
 
 def volume_grid(spark: SparkSession, factor: int = 10, volume_terms: int = 1, frequency_terms: int = 1,
@@ -70,8 +79,8 @@ def round_trip(df: DataFrame, table: ObjectTable, n: int, load: str | None = Non
 
 def run_volumes(df: DataFrame, table: ObjectTable, grid: Sequence[tuple[int, int, int]]) -> DataFrame:
     """One round trip per grid cell; one statistics row each."""
-    rows = []
+    rows, run = [], uuid.uuid4().hex
     for freq, n, iteration in grid:
         trip = round_trip(df, table, n)
-        rows.append((freq, n, iteration, trip.read_s, trip.write_s))
+        rows.append((run, freq, n, iteration, trip.read_s, trip.write_s))
     return df.sparkSession.createDataFrame(rows, RUN_STATS)

@@ -44,9 +44,10 @@ FLOWERS = T.StructType(
     + [T.StructField(FLOWER_LABEL, T.StringType())]
 )
 
-# One row per measured write + read.
+# One row per measured write + read; ``run`` tells executions apart.
 RUN_STATS = T.StructType(
     [
+        T.StructField("run", T.StringType(), False),
         T.StructField("freq", T.IntegerType(), False),
         T.StructField("record_count", T.LongType(), False),
         T.StructField("iteration", T.IntegerType(), False),

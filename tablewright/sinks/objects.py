@@ -8,12 +8,13 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import types as T
 
-from tablewright.operators.checks import Fingerprint, as_fingerprint, check_load, fingerprint_cells, require_count
+from tablewright.operators.checks import Fingerprint, as_fingerprint, check_load, check_schema, fingerprint_cells, require_count
 from tablewright.operators.ranking import first_rows
-from tablewright.sources.objects import ObjectTable, read_object
+from tablewright.sources.objects import LOAD, ObjectTable, read_object
 
 
 @dataclass(frozen=True)
@@ -30,19 +31,25 @@ class Appended:
 
 
 def append(df: DataFrame, table: ObjectTable, load: str | None = None, keys: Sequence[str] | None = None,
-           schema: T.StructType | None = None) -> Appended:
+           schema: T.StructType | None = None, widen: bool = False) -> Appended:
     """Append the whole frame as one load and check that it arrived.
 
     Rows are counted and fingerprinted while they are written, so the frame is computed
     once. A job that failed half-way can be run again under the same ``load`` name: it
     replaces that load and cannot append twice. ``keys`` asks for the key check (missing
-    or repeated keys raise) before anything is written.
+    or repeated keys raise) before anything is written. The columns must be those of
+    ``schema``, where given, and those that the table has; ``widen`` admits new ones.
     """
+    if LOAD in df.columns:
+        raise ValueError(f"{LOAD!r} is the name of the table's load folders")
     load = load or f"r{uuid.uuid4().hex}"
     if not re.fullmatch(r"[A-Za-z][A-Za-z0-9_-]*", load):
         raise ValueError("a load name is a letter followed by letters, digits, '_' or '-'")
+    if schema is not None:
+        check_schema(df, schema)
+    _check_columns(df, table, widen)
     if keys:
-        check_load(df, keys, schema)
+        check_load(df, keys)
     seen = Observation()
     observed = df.observe(seen, *fingerprint_cells(df.columns))
     started = time.perf_counter()
@@ -54,6 +61,20 @@ def append(df: DataFrame, table: ObjectTable, load: str | None = None, keys: Seq
     return result
 
 
+def _check_columns(df: DataFrame, table: ObjectTable, widen: bool) -> None:
+    """Raise when the frame's columns are not those of the table's earlier loads."""
+    try:
+        held = read_object(df.sparkSession, table).schema
+    except AnalysisException:  # no load yet
+        return
+    known = {f.name: f.dataType for f in held}
+    mine = {f.name: f.dataType for f in df.schema}
+    wrong = sorted(n for n in mine if known.get(n, mine[n] if widen else None) != mine[n])
+    wrong += [] if widen else sorted(set(known) - set(mine))
+    if wrong:
+        raise ValueError(f"columns differ from the table's: {wrong}")
+
+
 def append_first(df: DataFrame, table: ObjectTable, n: int, load: str | None = None) -> Appended:
     """Append the first ``n`` rows; raises when the frame has fewer or another number arrived."""
     result = append(first_rows(df, n), table, load)

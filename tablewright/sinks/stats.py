@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from tablewright.schemas import RUN_STATS
 
-PAGE = 1_000
-
 
 def write_stats(stats: DataFrame, path: str) -> None:
     """Append as JSON lines."""
@@ -19,17 +17,15 @@ def read_stats(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RUN_STATS).json(path)
 
 
-def grouped_runs(stats: DataFrame, page: int = PAGE) -> DataFrame:
-    """The runs of each (freq, record_count) as a list in iteration order.
+def grouped_runs(stats: DataFrame) -> DataFrame:
+    """Per execution and (freq, record_count), its runs as a list in iteration order.
 
-    A list holds one page of iterations, so no group grows with the number of runs; runs
-    that fit a page come out as a single list. Iterations are unique within a run.
+    An execution repeats a cell ``freq`` times, so that bounds the list, however many
+    executions are in the statistics; an iteration beyond it fails the job.
     """
-    entry = F.struct("iteration", "read_s", "write_s")
-    return (
-        stats.groupBy("freq", "record_count", F.floor(F.col("iteration") / F.lit(page)).alias("page"))
-        .agg(F.sort_array(F.collect_list(entry)).alias("runs"))
-    )
+    inside = F.col("iteration").between(0, F.col("freq") - 1)
+    entry = F.struct(F.when(inside, F.col("iteration")).otherwise(F.raise_error(F.lit("iteration beyond freq"))).alias("iteration"), "read_s", "write_s")
+    return stats.groupBy("run", "freq", "record_count").agg(F.sort_array(F.collect_list(entry)).alias("runs"))
 
 
 def long_form(stats: DataFrame) -> DataFrame:

@@ -7,33 +7,31 @@ from pyspark.sql import functions as F
 
 from tablewright.operators.feeds import FeedSpec, file_name
 
-SINGLE_PART_ROWS = 1_000_000
+# Quotes are doubled and blanks kept, as other tools write and read CSV.
+QUOTING = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "append", missing: str | None = None) -> None:
-    """CSV with a header row, as many parts as the frame has partitions.
+def write_csv(df: DataFrame, path: str, mode: str = "append", missing: str | None = None, parts: int | None = None) -> None:
+    """CSV with a header row, as many parts as the frame has partitions, or ``parts``.
 
-    ``mode`` is ``append`` to add parts or ``overwrite`` to replace what is there.
-    ``missing`` is written where a value is NULL.
+    ``mode`` is ``append`` to add parts or ``overwrite`` to replace what is there. ``missing``
+    is written where a value is NULL; give one to tell NULL from empty text. Text with line
+    breaks is quoted and needs ``multiline`` to be read. ``parts`` gathers rows in so many
+    tasks: one part is for summaries that an aggregate has made small.
     """
-    writer = df.write.mode(mode).option("header", True)
+    writer = (df if parts is None else df.coalesce(parts)).write.mode(mode).options(**QUOTING)
     if missing is not None:
-        writer = writer.option("nullValue", missing)
+        writer = writer.option("nullValue", missing).option("emptyValue", '""')
     writer.csv(path)
 
 
-def write_single_csv(df: DataFrame, path: str, mode: str = "append", max_rows: int = SINGLE_PART_ROWS) -> None:
-    """One CSV part, for small exports only: refuses frames above ``max_rows``."""
-    if df.count() > max_rows:
-        raise ValueError(f"more than {max_rows} rows do not belong in a single part; use write_csv")
-    write_csv(df.coalesce(1), path, mode)
-
-
 def write_feed_csv(feed: DataFrame, path: str, spec: FeedSpec, mode: str = "overwrite") -> None:
     """One folder per batch, ``file={object}_{rows}_{000}``, without ``batch`` and ``op``.
 
     Rows of a batch are near each other in the pool, so each task writes to few folders
     and nothing is shuffled first.
     """
+    if "file" in feed.columns:
+        raise ValueError("'file' is the name of the batches' folders")
     named = feed.withColumn("file", file_name(F.col("batch"), spec)).drop("batch", "op")
-    named.write.mode(mode).partitionBy("file").option("header", True).csv(path)
+    named.write.mode(mode).partitionBy("file").options(**QUOTING).csv(path)

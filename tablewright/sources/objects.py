@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 from tablewright.operators.checks import require_count
 from tablewright.operators.ranking import first_rows
 
-# Every append lands in its own sub-folder, named by this partition column.
-LOAD = "load"
+# Every append lands in its own sub-folder, named by this partition column, which no frame may have.
+LOAD = "tablewright_load"
 
 
 @dataclass(frozen=True)
@@ -38,8 +38,12 @@ class ObjectTable:
 
 def read_object(spark: SparkSession, table: ObjectTable, schema: T.StructType | None = None,
                 load: str | None = None) -> DataFrame:
-    """The whole table, or just one load of it (only that folder is listed and read)."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
+    """The whole table, or just one load of it (only that folder is listed and read).
+
+    Without a ``schema`` the columns of all loads are merged; a column that a load lacks is NULL
+    there.
+    """
+    reader = spark.read.option("mergeSchema", True) if schema is None else spark.read.schema(schema)
     if load is not None:
         return reader.parquet(table.load_path(load))
     return reader.parquet(table.path).drop(LOAD)

@@ -6,19 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tablewright.operators.shaping import with_null_id, with_surrogate_id
+from tablewright.sinks.text import QUOTING
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, infer: bool = True,
-             missing: str | None = None) -> DataFrame:
+             missing: str | None = None, multiline: bool = False) -> DataFrame:
     """CSV with a header row.
 
     Give a ``schema`` for anything large: inference reads the whole input once more.
     Without one, ``infer=False`` leaves every column text. ``missing`` is the marker that
-    stands for no value, such as ``NA``; it keeps a number column a number column.
+    stands for no value, such as ``NA``; it keeps a number column a number column. Doubled
+    quotes and blanks are read as written. ``multiline`` allows line breaks in quotes; a file
+    is then read by one task, so there should be many.
     """
-    reader = spark.read.option("header", True)
+    reader = spark.read.options(**QUOTING).option("multiLine", multiline)
     if missing is not None:
-        reader = reader.option("nullValue", missing)
+        reader = reader.option("nullValue", missing).option("emptyValue", "")
     if schema is not None:
         return reader.schema(schema).csv(path)
     return reader.option("inferSchema", infer).csv(path)

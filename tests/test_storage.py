@@ -12,7 +12,7 @@ from tablewright import session
 from tablewright.session import drop_scratch, scratch_path, scratch_root, written
 from tablewright.sinks.objects import append, append_first
 from tablewright.sinks.stats import grouped_runs, long_form, read_stats, write_stats
-from tablewright.sinks.text import write_csv, write_single_csv
+from tablewright.sinks.text import write_csv
 from tablewright.sources.facts import generate_facts
 from tablewright.sources.objects import ObjectTable, read_object, read_rows
 from tablewright.sources.text import read_csv, read_csv_for_store
@@ -47,11 +47,45 @@ def test_csv_modes(spark, folder):
     assert read_csv(spark, folder + "/replaced").count() == 5
 
 
-def test_single_part_is_for_small_exports(spark, folder):
-    write_single_csv(spark.range(100).repartition(4), folder + "/one")
+def test_parts_are_what_was_asked_for(spark, folder):
+    write_csv(spark.range(100).repartition(4), folder + "/one", parts=1)
     assert len(spark.read.csv(folder + "/one").inputFiles()) == 1
-    with pytest.raises(ValueError, match="single part"):
-        write_single_csv(spark.range(11), folder + "/two", max_rows=10)
+
+
+def test_csv_returns_what_was_written(spark, folder):
+    texts = [' lead and trail ', '', None, 'say "hi", ok', 'two\nlines', 'back\\slash', '\\"', 'NA ', "'", '"', ',']
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    write_csv(df, folder + "/t", missing="NA")
+    assert rows(read_csv(spark, folder + "/t", schema=df.schema, missing="NA", multiline=True)) == rows(df)
+
+
+def test_csv_of_other_tools(spark, folder):
+    with open(folder + "/t.csv", "w") as out:
+        out.write('a,b,c\n1,"say ""hi"", ok",x\n2,"one\ntwo",NA\n')
+    df = read_csv(spark, folder + "/t.csv", missing="NA", multiline=True)
+    assert rows(df) == [(1, 'say "hi", ok', "x"), (2, "one\ntwo", None)]
+
+
+def test_loads_of_other_columns(spark, store):
+    append(spark.range(2), store)
+    wide = spark.range(2, 4).withColumn("extra", F.lit("x"))
+    for wrong in (wide, spark.range(2).select(F.col("id").cast("int")), spark.range(2).withColumnRenamed("id", "other")):
+        with pytest.raises(ValueError, match="columns differ"):
+            append(wrong, store)
+    append(wide, store, widen=True)
+    assert rows(read_object(spark, store)) == [(0, None), (1, None), (2, "x"), (3, "x")]
+    with pytest.raises(ValueError, match="schema"):
+        append(spark.range(2), store, schema=wide.schema)
+
+
+def test_a_column_called_load_stays(spark, store):
+    append(spark.range(2).withColumn("load", F.lit("mine")), store)
+    assert rows(read_object(spark, store)) == [(0, "mine"), (1, "mine")]
+
+
+def test_fingerprint_sees_moved_gaps(spark):
+    one, two = (spark.createDataFrame(r, "a int, b int") for r in ([(None, 1), (2, 3)], [(1, None), (2, 3)]))
+    assert fingerprint(one) != fingerprint(two)
 
 
 def test_store_columns(spark, folder):
@@ -127,7 +161,9 @@ def test_fingerprints_ignore_order_and_see_copies(spark):
 def test_geometric_series(spark):
     assert rows(geometric_series(spark, 3, 2, 4)) == [(1, 3), (2, 6), (3, 12), (4, 24)]
     assert geometric_series(spark, 3, 2, 0).count() == 0
-    with pytest.raises(ValueError):
+    assert (60, 10 * 2**59) in rows(geometric_series(spark, 10, 2, 60))
+    assert rows(geometric_series(spark, 3, -1, 3)) == [(1, 3), (2, -3), (3, 3)] and rows(geometric_series(spark, 4, 1, 2)) == [(1, 4), (2, 4)]
+    with pytest.raises(OverflowError):
         geometric_series(spark, 1, 2, 80)
 
 
@@ -160,9 +196,9 @@ def test_run_statistics(spark, store, folder):
     write_stats(stats, folder + "/stats")
     write_stats(stats, folder + "/stats")
     assert read_stats(spark, folder + "/stats").count() == 6
-    grouped = grouped_runs(stats)
-    assert sorted((r.freq, r.record_count, [x.iteration for x in r.runs]) for r in grouped.collect()) == [(1, 10, [0]), (2, 20, [0, 1])]
-    assert grouped_runs(stats, page=1).count() == 3
+    again = run_volumes(written(spark.range(100), "test"), store, [(1, 10, 0)])
+    grouped = grouped_runs(stats.unionByName(again))
+    assert sorted((r.freq, r.record_count, [x.iteration for x in r.runs]) for r in grouped.collect()) == [(1, 10, [0]), (1, 10, [0]), (2, 20, [0, 1])]
     long = long_form(stats)
     assert long.columns == ["combination", "type", "time"]
     assert rows(long.groupBy("combination", "type").count()) == [
