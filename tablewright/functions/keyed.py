@@ -27,10 +27,15 @@ def check_hash_keys(df: DataFrame, keys: Sequence[str]) -> None:
 
 
 def key_digest(keys: Sequence[str], seed: int | str) -> Column:
-    """32 hex digits of ``md5(key1:key2:...:seed)``; a NULL key counts as empty text."""
+    """32 hex digits of ``md5(key1:key2:...:seed)``.
+
+    Backslashes and colons inside a key are preceded by a backslash and a NULL key is ``\\N``,
+    so different keys never have the same text.
+    """
     parts: list[Column] = []
     for name in keys:
-        parts += [F.coalesce(F.col(name).cast("string"), F.lit("")), F.lit(":")]
+        text = F.replace(F.replace(F.col(name).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit(":"), F.lit("\\:"))
+        parts += [F.coalesce(text, F.lit("\\N")), F.lit(":")]
     return F.md5(F.concat(*parts, F.lit(str(seed))))
 
 

@@ -19,11 +19,12 @@ def keyed_split(df: DataFrame, keys: Sequence[str], test_share: float, seed: int
                 column: str = "split") -> DataFrame:
     """Mark each row ``train`` or ``test``. No shuffle; the test share holds on average.
 
-    Rows with equal keys land on the same side, so copies never leak between the sides.
+    Rows with equal keys land on the same side, so copies never leak between the sides. A row
+    with a NULL key fails the job: all of these would land on one side.
     """
     check_hash_keys(df, keys)
     is_test = F.substring(key_digest(keys, seed), 1, 8) < F.lit(share_threshold(test_share))
-    return df.withColumn(column, _marked(is_test))
+    return df.withColumn(column, F.when(_has_keys(keys), _marked(is_test)).otherwise(F.raise_error(F.lit("a row without key cannot be split"))))
 
 
 def exact_split(df: DataFrame, keys: Sequence[str], test_share: float, seed: int,
@@ -56,5 +57,12 @@ def exact_split(df: DataFrame, keys: Sequence[str], test_share: float, seed: int
     )
 
 
+def _has_keys(keys: Sequence[str]) -> Column:
+    known = F.lit(True)
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    return known
+
+
 def _marked(is_test: Column) -> Column:
     return F.when(is_test, F.lit("test")).otherwise(F.lit("train"))

@@ -32,11 +32,18 @@ def _tie_break(df: DataFrame, used: Sequence[str]) -> list[Column]:
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], batch: str = "batch") -> DataFrame:
-    """The row of the greatest batch for each key.
+    """The row of the greatest batch for each key. Rows with a NULL key are nobody's version: all stay.
 
     Spark plans the rank filter with a per-key limit before the shuffle, so every map task
     sends at most one row per key, however often the key occurs.
     """
+    no_key = F.lit(False)
+    for key in keys:
+        no_key = no_key | F.col(key).isNull()
+    return _latest(df.filter(~no_key), keys, batch).unionByName(df.filter(no_key))
+
+
+def _latest(df: DataFrame, keys: Sequence[str], batch: str) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy(F.col(batch).desc_nulls_last(), *_tie_break(df, [*keys, batch]))
     rank = "__rank"
     return df.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).drop(rank)
@@ -58,7 +65,7 @@ def upsert(table: DataFrame | None, feed: DataFrame, keys: Sequence[str], batch:
     newest = written(latest_per_key(feed, keys, batch), "changed-rows")
     names = [f"__k{i}" for i in range(len(keys))]
     changed = broadcast_if_small(newest.select(*[F.col(k).alias(n) for k, n in zip(keys, names)]))
-    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+    same = [F.col(k) == F.col(n) for k, n in zip(keys, names)]
     return table.join(changed, same, "left_anti").unionByName(newest, allowMissingColumns=True)
 
 
@@ -137,13 +144,13 @@ def versions(feed: DataFrame, keys: Sequence[str], batch: str = "batch", batches
     ``piece`` rows; the first batch of the following piece is attached from a small side
     table. Pass ``batches`` when the feed is known to have at most ``piece`` of them: a key
     then fits one piece and the side table is not needed. ``unique`` skips the reduction
-    for feeds that hold each (key, batch) once by construction.
+    for feeds that hold each (key, batch) once by construction; a feed that does not fails.
     """
-    rows = feed if unique else latest_per_key(feed, [*keys, batch], batch)
+    rows = feed if unique else _latest(feed, [*keys, batch], batch)
     opened = rows.withColumn("valid_from", F.col(batch))
     if batches is not None and batches <= piece:
         next_batch = F.lead(batch).over(Window.partitionBy(*keys).orderBy(batch))
-        return opened.withColumn("valid_to", next_batch)
+        return opened.withColumn("valid_to", _following(next_batch, batch))
     slot, head, following = "__piece", "__head", "__next"
     number = F.call_function("div", F.col(batch), F.lit(piece))
     cut = opened.withColumn(slot, number)
@@ -157,12 +164,18 @@ def versions(feed: DataFrame, keys: Sequence[str], batch: str = "batch", batches
     same = F.col(slot) == F.col("__s")
     for i, key in enumerate(keys):
         same = same & F.col(key).eqNullSafe(F.col(f"__k{i}"))
-    stitched = cut.withColumn("valid_to", inside).join(nexts, same, "left")
+    stitched = cut.withColumn("valid_to", _following(inside, batch)).join(nexts, same, "left")
     return stitched.withColumn("valid_to", F.coalesce("valid_to", following)).drop(
         slot, "__s", following, *[f"__k{i}" for i in range(len(keys))]
     )
 
 
+def _following(following: Column, batch: str) -> Column:
+    """The next batch; a repeated (key, batch) fails the job instead of giving an empty version."""
+    repeated = F.raise_error(F.lit("a key occurs twice in one batch of a feed that was called unique"))
+    return F.when(following.eqNullSafe(F.col(batch)), repeated).otherwise(following)
+
+
 def classify(feed: DataFrame, keys: Sequence[str], batch: str = "batch", column: str = "op",
              batches: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Mark each row ``I`` when its batch is the key's first, ``U`` otherwise.

@@ -34,13 +34,14 @@ def local_session(cores: str | int = "*", app: str = "tablewright") -> SparkSess
 def scratch_root(spark: SparkSession) -> str:
     """Folder every executor can reach, for written intermediates.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local master may fall
+    The cluster names it in ``spark.checkpoint.dir``. Only a session of one process may fall
     back to a temporary folder of this machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     if not _local_roots:
         root = tempfile.mkdtemp(prefix="tablewright-")

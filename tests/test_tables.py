@@ -32,7 +32,7 @@ def skewed(spark, n=3000):
 
 def test_latest_per_key(spark):
     df = spark.createDataFrame([("a", 0, 1), ("a", 2, 2), ("a", 1, 3), ("b", 0, 4), (None, 0, 5), (None, 1, 6)], FEED)
-    assert rows(latest_per_key(df, ["k"])) == [("a", 2, 2), ("b", 0, 4), (None, 1, 6)]
+    assert rows(latest_per_key(df, ["k"])) == [("a", 2, 2), ("b", 0, 4), (None, 0, 5), (None, 1, 6)]
 
 
 def test_ties_resolve_the_same_way_whatever_the_order(spark):
