@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tablewright.operators.checks import require_count
@@ -19,6 +19,7 @@ from tablewright.session import written
 
 BATCHES_PER_PIECE = 4_096
 HOT_ROWS = 2_000_000
+ROWS_AT_LEAST, ROWS_AT_MOST = 50_000, 2_000_000  # per range, when rows are numbered
 
 
 def append_rows(table: DataFrame, batch: DataFrame) -> DataFrame:
@@ -85,30 +86,43 @@ def replace_snapshot(feed: DataFrame, batch: str = "batch") -> DataFrame:
     return feed.filter(F.col(batch) == F.lit(last))
 
 
+def _ranges(df: DataFrame, rows: int) -> int:
+    """Partitions for numbering so many rows: few for few rows, bounded ones for many."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(-(-rows // ROWS_AT_LEAST), max(usual, -(-rows // ROWS_AT_MOST))))
+
+
 def dense_ids(df: DataFrame, order: Sequence[str], column: str, start: int = 1,
               partitions: int | None = None) -> DataFrame:
     """Number rows ``start, start+1, ...`` in the given order, without a table-wide window.
 
-    Rows are range-partitioned and sorted within partitions, then written once with their
-    partition and position. An id is the rows in earlier partitions plus the position. Ties
-    in the order are broken by the row's hash and then by its place in the input, so copies
-    of one row spread over several ranges too. The written copy pins the numbering: retries
-    and later reads see the same ids. ``df`` should be a scan with narrow steps; its row
-    count is compared with that of the written copy.
+    ``df`` is computed once, into a written copy whose rows are counted on the way. The copy
+    is range-partitioned, into as many parts as its rows need unless ``partitions`` says, and
+    sorted within partitions, then written with partition and position. An id is the rows in
+    earlier partitions plus the position. Ties in the order are broken by the row's hash and
+    then by its place in the copy, so copies of one row spread over several ranges too. The
+    second copy pins the numbering: retries and later reads see the same ids.
     """
     spark = df.sparkSession
     ties, part, place = ["__tie", "__copy"], "__part", "__place"
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tied = df.withColumns(dict(zip(ties, [row_hash, F.monotonically_increasing_id()])))
-    ranged = tied.repartitionByRange(count, *order, *ties).sortWithinPartitions(*order, *ties).drop(*ties)
+    seen = Observation()
+    copy = written(df.observe(seen, F.count(F.lit(1)).alias("rows")), "unnumbered")
+    rows = int(seen.get["rows"])
+    count = partitions or _ranges(df, rows)
+    tied = copy.withColumns(dict(zip(ties, [row_hash, F.monotonically_increasing_id()])))
+    if count > 1:
+        tied = tied.repartitionByRange(count, *order, *ties)
+    else:
+        tied = tied.coalesce(1)  # so few rows that one task sorts them
+    ranged = tied.sortWithinPartitions(*order, *ties).drop(*ties)
     position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     pinned = written(ranged.withColumns({part: F.spark_partition_id(), place: position}), "dense-ids")
-    offsets, seen = [], start
-    for number, rows in sorted(pinned.groupBy(part).count().collect()):  # one row per partition
-        offsets.append((number, seen))
-        seen += rows
-    require_count(df.count(), seen - start, "numbered rows")
+    offsets, next_id = [], start
+    for number, size in sorted(pinned.groupBy(part).count().collect()):  # one row per partition
+        offsets.append((number, next_id))
+        next_id += size
+    require_count(rows, next_id - start, "numbered rows")
     if not offsets:
         return pinned.withColumn(column, F.lit(None).cast("long")).drop(part, place)
     base = spark.createDataFrame(offsets, f"{part} int, __base long")

@@ -12,6 +12,7 @@ from tablewright.operators.tables import (
     append_rows,
     assign_ids,
     classify,
+    _ranges,
     dense_ids,
     latest_per_key,
     merge_snapshot,
@@ -128,6 +129,22 @@ def test_dense_ids_of_nothing(spark):
     assert got.columns == ["id", "n"] and got.count() == 0
 
 
+def test_dense_ids_compute_their_input_once(spark, folder):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    got = dense_ids(spark.range(1_000).mapInArrow(counted, "id long"), ["id"], "n", start=0)
+    assert got.filter("n <> id").count() == 0 and seen.value == 1_000
+
+
+def test_partitions_follow_the_rows(spark):
+    assert [_ranges(spark.range(0), n) for n in (0, 1, 50_000, 50_001, 10**6, 10**8)] == [1, 1, 1, 2, 4, 50]
+
+
 def test_assign_ids(spark):
     feed = spark.createDataFrame(
         [("", 0, 30), (None, 0, 10), (" ", 0, 20), ("2", 1, 21), ("", 1, 40), ("2", 2, 22)], "id string, batch int, v int"
