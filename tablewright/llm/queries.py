@@ -6,8 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import exact_dedup, fixity, lattice, multi_index, near_dedup, packing, pieces, quality, repeats, url_filter
+from tablewright.llm import (
+    decontamination, exact_dedup, fixity, lattice, manifest, multi_index, near_dedup, packing, pieces, quality, repair, repeats, url_filter,
+)
 from tablewright.llm.common import held_out, table
+from tablewright.llm.oracles import contamination_sql, manifest_sql, repair_sql
 from tablewright.session import written
 
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -117,6 +120,34 @@ def op10_prefix_free_parsing(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's proof, and what it says about texts of which a third is tampered with."""
+    docs = table(spark, folder, "documents")
+    cells = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    small = F.translate("text", url_filter._UPPER, url_filter._LOWER)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    leaf = manifest.leaf([*cells, F.col("text")])
+    rows = docs.select("doc_id", "lang", leaf.alias("leaf"), F.when(tampered, manifest.leaf([*cells, small])).alias("other"))
+    proven = manifest.proofs(rows, "lang", ["doc_id"])
+    folded = manifest.folded(F.coalesce("other", "leaf"), F.col("path"))
+    return proven.select(
+        "doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations")
+    return repair.Repair(repair.damaged(conversations), conversations).digests()
+
+
 QUERIES = {
     "op1_subword_lattice": op1_subword_lattice,
     "op2_quality_classifier": op2_quality_classifier,
@@ -128,5 +159,14 @@ QUERIES = {
     "op8_piece_coding": op8_piece_coding,
     "op9_url_filter": op9_url_filter,
     "op10_prefix_free_parsing": op10_prefix_free_parsing,
+    "op11_decontamination": op11_decontamination,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_conversation_repair": op13_conversation_repair,
+}
+ORACLES = {
+    "op3_exact_dedup": OP3_SQL,
+    "op7_merkle_fixity": OP7_SQL,
+    "op11_decontamination": contamination_sql(),
+    "op12_merkle_manifest": manifest_sql(),
+    "op13_conversation_repair": repair_sql(),
 }
-ORACLES = {"op3_exact_dedup": OP3_SQL, "op7_merkle_fixity": OP7_SQL}

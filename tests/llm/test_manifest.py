@@ -1,0 +1,97 @@
+from __future__ import annotations
+
+import hashlib
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tablewright.llm import manifest
+
+
+def h(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def levels_of(nodes, fanout):
+    """All levels from the leaves to the root."""
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        below = levels[-1]
+        levels.append([h(*below[i:i + fanout]) for i in range(0, len(below), fanout)])
+    return levels
+
+
+def siblings(levels, at, fanout):
+    out = []
+    for level in levels[:-1]:
+        run = level[at // fanout * fanout:at // fanout * fanout + fanout]
+        out.append((run[:at % fanout], run[at % fanout + 1:]))
+        at //= fanout
+    return out
+
+
+def expected(rows, fanout):
+    groups = {}
+    for group, key, leaf in rows:
+        groups.setdefault(group, []).append((key is not None, key or 0, leaf))
+    names = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    trees = {g: levels_of([x[2] for x in sorted(groups[g])], fanout) for g in names}
+    top = levels_of([trees[g][-1][0] for g in names], fanout)
+    out = []
+    for number, g in enumerate(names):
+        for at, (_, _, leaf) in enumerate(sorted(groups[g])):
+            path = siblings(trees[g], at, fanout) + siblings(top, number, fanout)
+            digest = h("".join("".join(b) + "".join(a) for b, a in path))
+            out.append((g, leaf, trees[g][-1][0], top[-1][0], digest))
+    return sorted(out, key=repr)
+
+
+def found(spark, rows, fanout, local):
+    df = spark.createDataFrame(rows, "`lang x` string, id long, h string").withColumn("path_", F.lit(1))
+    got = manifest.proofs(df, "lang x", ["id"], "h", fanout, local)
+    got = got.withColumn("back", manifest.folded(F.col("h"), F.col("path"))).withColumn("digest", manifest.proof_digest(F.col("path")))
+    rows = got.collect()
+    assert all(r.back == r.root for r in rows)
+    return sorted(((r["lang x"], r.h, r.subroot, r.root, r.digest) for r in rows), key=repr)
+
+
+@pytest.mark.parametrize("sizes, fanout, local", [
+    ([1], 2, 1), ([2, 1], 2, 1), ([70, 5, 1, 8, 9], 3, 1), ([9, 8, 65, 64], 8, 1), ([37], 2, 2), ([5] * 11, 3, 2),
+])
+def test_paths_against_plain_trees(spark, sizes, fanout, local):
+    random.seed(sum(sizes))
+    names = [None, "", "a", "b", "é", "𝄞", "ｚ", *(f"g{i}" for i in range(9))]
+    rows = [(g, random.choice([None, 1, 2, i]), h(g or "-", str(i // 2))) for g, n in zip(names, sizes) for i in range(n)]
+    random.shuffle(rows)
+    assert found(spark, rows, fanout, local) == expected(rows, fanout)
+
+
+def test_roots_that_meet_in_rounds(spark):
+    """19 partitions to base 3: the last subtrees have fewer partitions than their siblings."""
+    roots = [h(str(i)) for i in range(19)]
+    states = spark.createDataFrame([(5, 19, i, r) for i, r in enumerate(roots)] + [(9, 1, 0, "alone")], "tree long, n long, p long, root string")
+    rows = manifest.exchanged(states, 3).collect()
+    levels = levels_of(roots, 3)
+    assert len(rows) == 20
+    for r in rows:
+        if r.tree == 9:
+            assert (r.root, r.path) == ("alone", [])
+            continue
+        assert r.root == levels[-1][0]
+        assert [(s.before, s.after) for s in r.path] == [("".join(b), "".join(a)) for b, a in siblings(levels, r.p, 3)]
+
+
+def test_leaves_tell_null_from_text(spark):
+    df = spark.createDataFrame([(1, None), (None, "-"), (1, ""), (1, "é")], "a long, b string")
+    got = [r[0] for r in df.select(manifest.leaf([F.col("a"), F.col("b")])).collect()]
+    assert got == [h("1:1-"), h("-1:-"), h("1:10:"), h("1:12:é")]
+
+
+def test_empty_tables_and_clashing_names(spark):
+    empty = spark.createDataFrame([], "lang string, id long, leaf string")
+    assert manifest.proofs(empty, "lang", ["id"]).count() == 0
+    with pytest.raises(ValueError):
+        manifest.proofs(empty.withColumn("Root", F.lit(1)), "lang", ["id"])
+    rows = spark.createDataFrame([("a", 1, "x", 7)], "lang string, tree long, leaf string, size long")
+    assert [tuple(r)[:4] for r in manifest.proofs(rows, "lang", ["tree"]).collect()] == [("a", 1, "x", 7)]
