@@ -6,6 +6,7 @@ or a task is retried. A hash of the row's own key does not.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -44,31 +45,47 @@ def digest_number(digest: Column, start: int, digits: int) -> Column:
     return F.conv(F.substring(digest, start, digits), 16, 10).cast("long")
 
 
-# Fixed value: the largest prime below 2^30, the size of a digest word.
-WORD_BITS, WORD_PRIME = 30, 1_073_741_789
+# Fixed value: the largest prime below 2^30, the size of a word.
+WORD_PRIME = 1_073_741_789
+ROUNDS, WORDS = 5, 3
 
 
-def digest_words(digest: Column) -> list[Column]:
-    """Four 30-bit numbers from one digest: two for each half of 15 digits."""
-    words = []
-    for start in (1, 16):
-        half = digest_number(digest, start, 15)
-        words += [half.bitwiseAND(F.lit((1 << WORD_BITS) - 1)), F.shiftright(half, WORD_BITS)]
-    return words
+def round_constants(seed: int | str) -> list[int]:
+    """One number below 2^28 for each round, and one for the high part of a row id."""
+    return [int(hashlib.md5(f"{seed}:{n}".encode()).hexdigest()[:7], 16) for n in range(ROUNDS + 1)]
+
+
+def with_words(df: DataFrame, row_id: str, seed: int | str, names: Sequence[str]) -> DataFrame:
+    """Add three words, numbers below the prime, that follow from a row id of 0 or more and a seed.
+
+    Each round adds a constant and takes the third power modulo the prime, which maps the
+    words one to one; the last three states are the words. Whole numbers only, so another
+    engine gets the same, and much cheaper than reading numbers out of a hash's hex digits.
+    """
+    *added, high = round_constants(seed)
+    prime, state = F.lit(WORD_PRIME).cast("long"), "__state"
+    key = F.col(row_id).cast("long")
+    out = df.withColumn(state, (key % prime + F.call_function("div", key, prime) % prime * high) % prime)
+    for n, constant in enumerate(added):
+        out = out.withColumn(state, (F.col(state) + constant) % prime)  # a column of its own: its code occurs once
+        out = out.withColumn(state, F.col(state) * F.col(state) % prime * F.col(state) % prime)
+        if n >= ROUNDS - WORDS:
+            out = out.withColumn(names[n - ROUNDS + WORDS], F.col(state))
+    return out.drop(state)
 
 
 def uniform_int(words: list[Column], draw: int, low: int, high: int) -> Column:
-    """Whole number in ``[low, high]``: draw number ``draw`` of a row with these digest words.
+    """Whole number in ``[low, high]``: draw number ``draw`` of a row with these words.
 
-    The words are the coefficients of a cubic, evaluated at the draw's number modulo a
-    prime: any four draws of a row are independent, and one digest serves them all.
+    The words are the coefficients of a quadratic, evaluated at the draw's number, so three
+    words serve all draws of a row, and all of them stay in one compiled function.
     """
     if high < low:
         raise ValueError("high must not be below low")
-    value = words[0]
-    for power, word in enumerate(words[1:], start=1):
-        value = value + word * F.lit(draw**power).cast("long")
-    return (F.lit(low) + value % F.lit(WORD_PRIME) % F.lit(high - low + 1)).cast("long")
+    value = words[-1]
+    for word in words[-2::-1]:
+        value = value * F.lit(draw).cast("long") + word
+    return F.lit(low).cast("long") + value % F.lit(high - low + 1).cast("long")
 
 
 def share_threshold(share: float) -> str:

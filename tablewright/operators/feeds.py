@@ -2,8 +2,9 @@
 
 Rows carry a 1-based index. Batch 0 inserts rows 1..R. Each later batch inserts the next I
 rows and sends the U rows before those again, as updates; I + U = R, so every batch has R
-rows. All batches come from one pass over the rows: which batches a row belongs to follows
-from its index alone, so there is no join, no per-batch scan and no shuffle.
+rows. All batches come from one pass: which batches a row belongs to follows from its index
+alone, and which row a batch holds at a place follows from the place, so there is no join, no
+per-batch scan and no shuffle.
 """
 
 from __future__ import annotations
@@ -11,13 +12,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from enum import Enum
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.functions.scalars import batch_suffix, blank, external_id
 from tablewright.operators.filters import index_between, stacked
 
 INSERT, UPDATE = "I", "U"
+ROWS_PER_TASK = 2_000_000  # of generated rows
 
 
 class ObjectType(str, Enum):
@@ -140,14 +142,34 @@ def change_feed(rows: DataFrame, index: str, spec: FeedSpec, start: int = 1, kee
     """
     _refuse_clash(rows, spec)
     if not complete:
-        _require_dense(rows, index, spec, start)
+        require_pool(rows, index, spec, start)
     pool = index_between(rows, index, start, start + spec.pool_rows - 1)
-    position = _position(index, start)
+    position = index_position(index, start)
     span = F.sequence(first_batch(position, spec), last_batch(position, spec))
     placed = pool.withColumn("batch", F.explode(span)).withColumn(
         "op", F.when(F.col("batch") == first_batch(position, spec), F.lit(INSERT)).otherwise(F.lit(UPDATE))
     )
-    return _shaped(placed, index, spec, start, keep_index)
+    return shaped(placed, index, spec, start, keep_index)
+
+
+def feed_slots(spark: SparkSession, spec: FeedSpec, partitions: int | None = None) -> DataFrame:
+    """Every row of a feed as batch, op and the 1-based ``position`` of its row in the pool.
+
+    The inverse of ``first_batch`` and ``last_batch``: row number n of the feed is in batch
+    n div R; its place there says whether it is one of the batch's inserts or of the rows sent
+    before them. So a feed whose cells follow from the position is made in the order of its
+    batches, and a task touches few of them.
+    """
+    if partitions is None:
+        partitions = max(spark.sparkContext.defaultParallelism, -(-spec.feed_rows // ROWS_PER_TASK))
+    size, new = F.lit(spec.rows_per_batch).cast("long"), F.lit(spec.inserts).cast("long")
+    batch, place = F.call_function("div", F.col("id"), size), F.col("id") % size
+    is_insert = (batch == 0) | (place < new)
+    before = F.when(batch == 0, F.lit(0).cast("long")).otherwise(size + (batch - 1) * new)
+    position = before + place + 1 - F.when(is_insert, F.lit(0).cast("long")).otherwise(size)
+    return spark.range(0, spec.feed_rows, 1, partitions).select(
+        batch.cast("int").alias("batch"), F.when(is_insert, F.lit(INSERT)).otherwise(F.lit(UPDATE)).alias("op"), position.alias("position"),
+    )
 
 
 def batch_by_ranges(rows: DataFrame, index: str, spec: FeedSpec, batch: int, start: int = 1,
@@ -162,7 +184,7 @@ def batch_by_ranges(rows: DataFrame, index: str, spec: FeedSpec, batch: int, sta
         if last >= first:
             side = index_between(rows, index, first + start - 1, last + start - 1)
             placed = side.withColumns({"batch": F.lit(batch), "op": F.lit(op)})
-            sides.append(_shaped(placed, index, spec, start, keep_index))
+            sides.append(shaped(placed, index, spec, start, keep_index))
     return stacked(sides)
 
 
@@ -173,24 +195,32 @@ def _refuse_clash(rows: DataFrame, spec: FeedSpec) -> None:
         raise ValueError(f"the feed makes columns of these names itself: {clash}")
 
 
-def _require_dense(rows: DataFrame, index: str, spec: FeedSpec, start: int) -> None:
-    """Count, ends, sum and sum of squares of the index are those of a dense range."""
-    value = F.col(index).cast("decimal(20,0)") - start
-    last = spec.pool_rows - 1
-    inside = index_between(rows, index, start, start + last)
-    found = inside.agg(F.count(F.lit(1)), F.min(value), F.max(value), F.sum(value), F.sum(value * value)).first()
-    want = (last + 1, 0, last, last * (last + 1) // 2, last * (last + 1) * (2 * last + 1) // 6)
-    if tuple(int(x) if x is not None else None for x in found) != want:
-        raise ValueError(f"the feed needs {spec.pool_rows} rows with the indexes from {start} on, each once; found {found[0]}")
+def require_pool(rows: DataFrame, index: str, spec: FeedSpec, start: int = 1) -> int:
+    """Raise unless the pool holds every index the feed needs, each once; returns how many.
+
+    Rows are counted, and their indexes marked in bitmaps of 64 consecutive indexes, which
+    every map task combines before the shuffle: as many rows as indexes as the feed needs.
+    """
+    position = F.col(index).cast("long") - F.lit(start).cast("long")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (position % 64).cast("int"))
+    marked = index_between(rows, index, start, start + spec.pool_rows - 1).groupBy(
+        F.call_function("div", position, F.lit(64).cast("long")).alias("word")
+    ).agg(F.bit_or(bit).alias("bits"), F.count(F.lit(1)).alias("n"))
+    found, known = marked.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.bit_count("bits").cast("long")), F.lit(0))).first()
+    if not found == known == spec.pool_rows:
+        raise ValueError(
+            f"the feed needs {spec.pool_rows} rows with the indexes from {start} on, each once; found {found} rows with {known} indexes"
+        )
+    return known
 
 
-def _position(index: str, start: int) -> Column:
+def index_position(index: str, start: int) -> Column:
     """1-based position of a row in the pool."""
     value = F.col(index).cast("long")
     return value if start == 1 else value + F.lit(1 - start).cast("long")
 
 
-def _shaped(placed: DataFrame, index: str, spec: FeedSpec, start: int, keep_index: bool) -> DataFrame:
+def shaped(placed: DataFrame, index: str, spec: FeedSpec, start: int, keep_index: bool) -> DataFrame:
     """Give placed rows the columns that the object type prescribes."""
     hidden = {"batch", "op"} if keep_index else {index, "batch", "op"}
     payload = [name for name in placed.columns if name not in hidden]
@@ -201,9 +231,9 @@ def _shaped(placed: DataFrame, index: str, spec: FeedSpec, start: int, keep_inde
             cells[key] = F.when(is_insert & is_later, cells[key] + F.lit(1)).otherwise(cells[key])
         cells[spec.amount] = F.when(is_insert, cells[spec.amount]).otherwise(cells[spec.amount] + F.lit(1))
     elif spec.object_type is ObjectType.STANDARD:
-        cells[spec.id_column] = F.when(is_insert, blank()).otherwise(_position(index, start).cast("string"))
+        cells[spec.id_column] = F.when(is_insert, blank()).otherwise(index_position(index, start).cast("string"))
     else:
-        cells[spec.id_column] = external_id(_position(index, start))
+        cells[spec.id_column] = external_id(index_position(index, start))
     return placed.select(*[cell.alias(name) for name, cell in cells.items()], "batch", "op")
 
 
@@ -215,12 +245,3 @@ def file_name(batch: Column, spec: FeedSpec) -> Column:
 def batch_counts(feed: DataFrame) -> DataFrame:
     """Rows per batch and operation."""
     return feed.groupBy("batch", "op").agg(F.count(F.lit(1)).alias("rows"))
-
-
-def check_pool(rows: DataFrame, index: str, spec: FeedSpec, start: int = 1) -> int:
-    """Raise unless the pool holds every index the feed needs, each once."""
-    inside = index_between(rows, index, start, start + spec.pool_rows - 1)
-    known, most = inside.groupBy(index).count().agg(F.count(F.lit(1)), F.max("count")).first()
-    if known != spec.pool_rows or most > 1:
-        raise ValueError(f"the feed needs {spec.pool_rows} distinct rows, found {known} (up to {most} per index)")
-    return known

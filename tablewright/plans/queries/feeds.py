@@ -11,12 +11,16 @@ from tablewright.operators.feeds import (
     batch_by_ranges,
     batch_counts,
     change_feed,
-    check_pool,
+    require_pool,
 )
 from tablewright.operators.filters import pool_head
 from tablewright.plans.queries.registry import query, table
+from tablewright.plans.queries.storage import fact_sql
 from tablewright.session import scratch_path
+from tablewright.schemas import FACT_FLAG, FACT_RANGES
 from tablewright.sinks.text import write_feed_csv
+from tablewright.sources.facts import generate_feed
+from tablewright.sources.text import read_feed_csv
 
 # Order keys count up from 0, so they serve as the index and stay in the feed as data.
 INDEX = "o_orderkey"
@@ -108,7 +112,7 @@ def feed_pool(spark: SparkSession, folder: str) -> DataFrame:
     """The pool holds every index once; its head is the seed batch."""
     pool = pool_of_orders(spark, folder)
     spec = order_spec(spark, folder, ObjectType.STANDARD)
-    known = check_pool(pool, INDEX, spec, start=0)
+    known = require_pool(pool, INDEX, spec, start=0)
     return pool_head(pool, INDEX, spec.rows_per_batch, start=0).agg(
         F.lit(known).cast("long").alias("pool_rows"),
         F.lit(spec.rows_per_batch).cast("long").alias("seed_rows"),
@@ -121,8 +125,7 @@ def feed_pool(spark: SparkSession, folder: str) -> DataFrame:
     "feed_files",
     f"""
     WITH {SLOTS_SQL}
-    SELECT concat('sales_', (SELECT r FROM p), '_', format('{{:03d}}', batch)) AS file, count(*) AS "rows",
-           count(*) FILTER (WHERE op = 'I') AS blank_ids, CAST(sum(o_orderkey) AS BIGINT) AS key_sum
+    SELECT batch, count(*) AS "rows", count(*) FILTER (WHERE op = 'I') AS blank_ids, CAST(sum(o_orderkey) AS BIGINT) AS key_sum
     FROM placed GROUP BY batch
     """,
 )
@@ -131,11 +134,51 @@ def feed_files(spark: SparkSession, folder: str) -> DataFrame:
     spec = order_spec(spark, folder, ObjectType.STANDARD)
     feed = change_feed(pool_of_orders(spark, folder), INDEX, spec, **INDEXED)
     path = scratch_path(spark, "feed")
-    write_feed_csv(feed, path, spec)
-    back = spark.read.option("header", True).csv(path)
-    blank = F.coalesce(F.col("sales_id"), F.lit("")) == ""
-    return back.groupBy("file").agg(
+    write_feed_csv(feed, path, spec, gather=True)
+    return read_feed_csv(spark, path, spec, feed.schema).groupBy("batch").agg(
         F.count(F.lit(1)).alias("rows"),
-        F.count_if(blank).alias("blank_ids"),
-        F.sum(F.col("o_orderkey").cast("long")).alias("key_sum"),
+        F.count_if(F.col("sales_id") == "").alias("blank_ids"),
+        F.sum("o_orderkey").alias("key_sum"),
     )
+
+
+def _register_files(kind: ObjectType) -> None:
+    @query(f"feed_back_{kind.value}", _type_sql(kind))
+    def back(spark: SparkSession, folder: str) -> DataFrame:
+        """Written as CSV with its operations and read again: the feed."""
+        spec, path = order_spec(spark, folder, kind), scratch_path(spark, "feed")
+        feed = change_feed(pool_of_orders(spark, folder), INDEX, spec, **INDEXED)
+        write_feed_csv(feed, path, spec, operations=True)
+        return read_feed_csv(spark, path, spec, feed.schema, operations=True)
+
+
+# One of each family; the others differ only in how a table takes them.
+for _kind in (ObjectType.STANDARD, ObjectType.STANDARD_WITH_EXTERNAL_ID, ObjectType.INCREMENTAL_SNAPSHOT):
+    _register_files(_kind)
+
+
+def _generated_sql(kind: ObjectType) -> str:
+    """Facts of the pool's positions, placed by index ranges and shaped as the type prescribes."""
+    facts = fact_sql("SELECT ix - 1 AS id, ix, batch, op FROM placed", 3, ", ix, batch, op")
+    names = [f'"{c}"' for c in [*FACT_RANGES, FACT_FLAG]]
+    if kind is ObjectType.STANDARD:
+        cells = [*names, "CASE WHEN op = 'I' THEN '' ELSE CAST(ix AS VARCHAR) END AS sales_id"]
+    elif kind.has_external_id:
+        cells = [*names, "concat('ext_', ix) AS sales_external_id"]
+    else:
+        shifts = {'"MARKET_ID"': "op = 'I' AND batch > 0", '"TOTAL_AMOUNT"': "op = 'U'"}
+        cells = [f"CASE WHEN {shifts[c]} THEN {c} + 1 ELSE {c} END AS {c}" if c in shifts else c for c in names]
+    return f"WITH {SLOTS_SQL} SELECT {', '.join(cells)}, batch, op FROM ({facts})"
+
+
+def _register_generated(kind: ObjectType) -> None:
+    @query(f"feed_generated_{kind.value}", _generated_sql(kind))
+    def generated(spark: SparkSession, folder: str) -> DataFrame:
+        """As many generated facts as there are orders, as a feed made row by row in the order of its batches."""
+        options = {"candidate_keys": ("MARKET_ID",)} if kind.has_candidate_key else {}
+        spec = FeedSpec.fitting(table(spark, folder, "orders").count(), "sales", kind, **options)
+        return generate_feed(spark, spec, seed=3)
+
+
+for _kind in (ObjectType.STANDARD, ObjectType.VERSIONED_BITEMPORAL, ObjectType.COMPLETE_SNAPSHOT):
+    _register_generated(_kind)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.functions.keyed import WORD_PRIME, round_constants
 from tablewright.operators.checks import load_report
 from tablewright.operators.shaping import features_to_double
 from tablewright.plans.queries.registry import query, table
@@ -14,7 +15,7 @@ from tablewright.sinks.objects import append, append_first
 from tablewright.sinks.text import write_csv
 from tablewright.sources.facts import facts_for, generate_facts
 from tablewright.sources.objects import ObjectTable, read_object, read_rows
-from tablewright.sources.text import read_csv, read_csv_for_store
+from tablewright.sources.text import read_csv, read_csv_for_store, read_csv_split
 
 
 def scratch_table(spark: SparkSession, name: str) -> ObjectTable:
@@ -160,23 +161,77 @@ def csv_text_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return read_csv(spark, path, schema=docs.schema, missing="NA", multiline=True)
 
 
-def _fact_sql(ids: str) -> str:
-    """The fact table in SQL: a cubic in the column's number, with digest words as coefficients."""
+@query(
+    "csv_default_roundtrip",
+    """
+    SELECT doc_id, text, nullif(lang, 'en') AS lang, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS source,
+           nullif(n_chars % 7, 3) AS number
+    FROM documents
+    """,
+)
+def csv_default_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Without any marker, empty text and NULL come back as what they were."""
+    docs = table(spark, folder, "documents").select(
+        "doc_id", "text", F.nullif("lang", F.lit("en")).alias("lang"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source")).alias("source"),
+        F.nullif(F.col("n_chars") % 7, F.lit(3)).alias("number"),
+    )
+    path = scratch_path(spark, "csv")
+    write_csv(docs, path)
+    return read_csv(spark, path, schema=docs.schema, multiline=True)
+
+
+@query(
+    "csv_bad_lines",
+    """
+    WITH t AS (SELECT *, c_custkey % 50 AS k FROM customer)
+    SELECT c_nationkey, count(*) AS "rows", CAST(sum(c_custkey) AS BIGINT) AS key_sum, CAST(0 AS BIGINT) AS bad, '' AS "first"
+    FROM t WHERE k NOT IN (7, 9, 11) GROUP BY c_nationkey
+    UNION ALL
+    SELECT NULL, CAST(0 AS BIGINT), CAST(0 AS BIGINT), count(*),
+           min(CASE k WHEN 7 THEN 'x' || c_custkey || ',' || c_nationkey || ',' || c_mktsegment
+                      WHEN 9 THEN c_custkey || ',' || c_nationkey || ',' || c_mktsegment || ',more' ELSE CAST(c_custkey AS VARCHAR) END)
+    FROM t WHERE k IN (7, 9, 11)
+    """,
+)
+def csv_bad_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines with a number that is none, a cell too many or too few are set apart and counted."""
+    kind, cells = F.col("c_custkey") % 50, F.concat_ws(",", "c_custkey", "c_nationkey", "c_mktsegment")
+    line = F.when(kind == 7, F.concat(F.lit("x"), cells)).when(kind == 9, F.concat(cells, F.lit(",more")))
+    line = line.when(kind == 11, F.col("c_custkey").cast("string")).otherwise(cells)
+    path = scratch_path(spark, "lines")
+    table(spark, folder, "customer").select(line.alias("value")).write.text(path)
+    declared = table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_mktsegment").schema
+    scan = read_csv_split(spark, path, declared, header=False)
+    none = F.lit(0).cast("long")
+    good = scan.good.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("rows"), F.sum("c_custkey").alias("key_sum"))
+    bad = scan.bad.agg(F.count(F.lit(1)).alias("bad"), F.min("line").alias("first"))
+    return good.select("*", none.alias("bad"), F.lit("").alias("first")).unionByName(
+        bad.select(F.lit(None).cast(declared["c_nationkey"].dataType).alias("c_nationkey"), none.alias("rows"), none.alias("key_sum"), "bad", "first")
+    )
+
+
+def fact_sql(ids: str, seed: int, others: str = "") -> str:
+    """The fact table in SQL for the relation ``ids`` with ``id``; ``others`` are more of its columns, each with a comma before."""
+    *added, high = round_constants(seed)
+    prime = WORD_PRIME
+    rows = f"SELECT *, (id % {prime} + (id // {prime}) % {prime} * {high}) % {prime} AS s0 FROM ({ids})"
+    for n, constant in enumerate(added):
+        x = f"((s{n} + {constant}) % {prime})"
+        rows = f"SELECT *, {x} * {x} % {prime} * {x} % {prime} AS s{n + 1} FROM ({rows})"
+    a, b, c = (f"s{n}" for n in range(len(added) - 2, len(added) + 1))
     cells = []
     for draw, (name, bounds) in enumerate(FACT_RANGES.items(), start=1):
         if bounds is None:
             cells.append(f'CAST(id AS BIGINT) AS "{name}"')
             continue
-        low, high = bounds
-        cubic = f"(a & 1073741823) + (a >> 30) * {draw} + (b & 1073741823) * {draw**2} + (b >> 30) * {draw**3}"
-        cells.append(f'CAST({low} + ({cubic}) % 1073741789 % {high - low + 1} AS BIGINT) AS "{name}"')
+        low, top = bounds
+        drawn = f"{a} + {b} * {draw} + {c} * {draw**2}"
+        cells.append(f'CAST({low} + ({drawn}) % {top - low + 1} AS BIGINT) AS "{name}"')
     cells.append(f"'FALSE' AS \"{FACT_FLAG}\"")
-    halves = "CAST('0x' || substr(d, 1, 15) AS BIGINT) AS a, CAST('0x' || substr(d, 16, 15) AS BIGINT) AS b"
-    digests = f"SELECT id, md5(concat(id, ':11')) AS d FROM ({ids})"
-    return f"SELECT {', '.join(cells)} FROM (SELECT id, {halves} FROM ({digests}))"
+    return f"SELECT {', '.join(cells)}{others} FROM ({rows})"
 
 
-@query("synthetic_fact", _fact_sql("SELECT o_orderkey AS id FROM orders"))
+@query("synthetic_fact", fact_sql("SELECT o_orderkey AS id FROM orders", 11))
 def synthetic_fact(spark: SparkSession, folder: str) -> DataFrame:
     return facts_for(table(spark, folder, "orders"), "o_orderkey", seed=11)
 
@@ -186,7 +241,7 @@ def synthetic_fact(spark: SparkSession, folder: str) -> DataFrame:
     f"""
     SELECT "PRODUCT_ID", count(*) AS "rows", CAST(sum("CUSTOMER_ID") AS BIGINT) AS customer_sum,
            CAST(sum("TOTAL_AMOUNT") AS BIGINT) AS amount, max("MARKET_ID") AS last_market
-    FROM ({_fact_sql("SELECT range AS id FROM range((SELECT count(*) FROM lineitem))")}) GROUP BY "PRODUCT_ID"
+    FROM ({fact_sql("SELECT range AS id FROM range((SELECT count(*) FROM lineitem))", 11)}) GROUP BY "PRODUCT_ID"
     """,
 )
 def synthetic_fact_sized(spark: SparkSession, folder: str) -> DataFrame:

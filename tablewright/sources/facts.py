@@ -2,27 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.functions.keyed import digest_words, uniform_int
-from tablewright.operators.feeds import FeedSpec, change_feed
+from tablewright.functions.keyed import WORDS, uniform_int, with_words
+from tablewright.operators.feeds import ROWS_PER_TASK, FeedSpec, feed_slots, shaped
 from tablewright.schemas import FACT_FLAG, FACT_FLAG_VALUE, FACT_RANGES
 
-ROWS_PER_TASK = 2_000_000
-
-
-def fact_columns(row_id: Column, seed: int) -> list[Column]:
-    """The 21 fact columns for a 0-based row id.
 
-    All drawn columns of a row come from one digest, which Spark evaluates once per row.
-    """
-    words = digest_words(F.md5(F.concat(row_id.cast("string"), F.lit(f":{seed}"))))
-    columns = []
+def with_facts(df: DataFrame, row_id: str, seed: int, others: Sequence[str] = ()) -> DataFrame:
+    """The 21 fact columns for a 0-based row id, and the columns in ``others``."""
+    names = [f"__word{n}" for n in range(WORDS)]
+    words, columns = [F.col(n) for n in names], []
     for draw, (name, bounds) in enumerate(FACT_RANGES.items(), start=1):
-        cell = row_id.cast("long") if bounds is None else uniform_int(words, draw, *bounds)
+        cell = F.col(row_id).cast("long") if bounds is None else uniform_int(words, draw, *bounds)
         columns.append(cell.alias(name))
-    return [*columns, F.lit(FACT_FLAG_VALUE).alias(FACT_FLAG)]
+    return with_words(df, row_id, seed, names).select(*columns, F.lit(FACT_FLAG_VALUE).alias(FACT_FLAG), *others)
 
 
 def generate_facts(spark: SparkSession, rows: int, seed: int = 0, partitions: int | None = None) -> DataFrame:
@@ -31,15 +28,20 @@ def generate_facts(spark: SparkSession, rows: int, seed: int = 0, partitions: in
         raise ValueError("rows must not be negative")
     if partitions is None:
         partitions = max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
-    return spark.range(0, rows, 1, partitions).select(*fact_columns(F.col("id"), seed))
+    return with_facts(spark.range(0, rows, 1, partitions), "id", seed)
 
 
 def generate_feed(spark: SparkSession, spec: FeedSpec, seed: int = 0, partitions: int | None = None) -> DataFrame:
-    """The change feed of generated facts. Only rows that some batch holds are generated."""
-    facts = generate_facts(spark, spec.pool_rows, seed, partitions)
-    return change_feed(facts, "MARKET_ID", spec, start=0, keep_index=True, complete=True)
+    """The change feed of generated facts, in the order of its batches.
+
+    Every cell follows from the row's number in the feed: nothing is generated that no batch
+    holds, and no row is sent to another task.
+    """
+    slots = feed_slots(spark, spec, partitions)
+    facts = with_facts(slots.withColumn("row", F.col("position") - 1), "row", seed, ["batch", "op"])
+    return shaped(facts, "MARKET_ID", spec, start=0, keep_index=True)
 
 
 def facts_for(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """Fact rows for the ids in a key column of another table."""
-    return df.select(*fact_columns(F.col(key), seed))
+    return with_facts(df, key, seed)

@@ -5,10 +5,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tablewright.operators.feeds import FeedSpec, ObjectType, batch_by_ranges, batch_counts, change_feed, check_pool, file_name
+from tablewright.operators.feeds import FeedSpec, ObjectType, batch_by_ranges, batch_counts, change_feed, feed_slots, file_name, require_pool
 from tablewright.schemas import FACT_COLUMNS, FACT_RANGES
 from tablewright.sinks.text import write_feed_csv
 from tablewright.sources.facts import generate_facts, generate_feed
+from tablewright.sources.text import read_feed_csv
 from tests.conftest import plan, rows
 
 EXTERNAL = ObjectType.STANDARD_WITH_EXTERNAL_ID
@@ -118,11 +119,66 @@ def test_blank_candidate_keys_are_no_keys():
 
 def test_pool_check(spark):
     s = spec(3, 5, 2, 3)
-    assert check_pool(indexed(spark, 9), "ix", s) == 9
-    with pytest.raises(ValueError, match="found 8"):
-        check_pool(indexed(spark, 8), "ix", s)
-    with pytest.raises(ValueError, match="up to 2"):
-        check_pool(indexed(spark, 9).unionAll(indexed(spark, 9)), "ix", s)
+    assert require_pool(indexed(spark, 9), "ix", s) == 9
+    pools = [range(1, 9), [*range(1, 10), 9], [1, 3, 3, 4, 4, 5, 8, 8, 9], [1] * 9, [], [1, 2, 3, 4, 5, 6, 7, 8, None]]
+    for pool in pools:  # the third has the count, ends, sum and sum of squares of a whole one
+        df = spark.createDataFrame([(i,) for i in pool], "ix long")
+        with pytest.raises(ValueError, match="each once"):
+            require_pool(df, "ix", s)
+        with pytest.raises(ValueError, match="each once"):
+            change_feed(df.selectExpr("ix", "ix AS TOTAL_AMOUNT"), "ix", s)
+    big = spec(2, 1_000, 500, 500)
+    assert require_pool(spark.range(-7, 5_000), "id", big, start=100) == 1_500
+    with pytest.raises(ValueError):
+        require_pool(spark.range(0, 5_000).filter("id <> 1599"), "id", big, start=100)
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.integers(1, 6), st.integers(1, 12), st.integers(1, 5), st.data())
+def test_places_of_a_feed_lead_back_to_its_rows(spark, f, r, partitions, data):
+    i = data.draw(st.integers(0, r))
+    slots = feed_slots(spark, spec(f, r, i, r - i), partitions)
+    assert sorted((x.position, x.batch, x.op) for x in slots.collect()) == expected(f, r, i, r - i)
+
+
+def test_a_generated_feed_is_that_of_its_pool(spark):
+    for kind in ObjectType:
+        s = spec(4, 30, 11, 19, kind)
+        pool = generate_facts(spark, s.pool_rows, seed=4)
+        feed = generate_feed(spark, s, seed=4, partitions=3)
+        assert feed.columns == change_feed(pool, "MARKET_ID", s, start=0, keep_index=True).columns
+        assert rows(feed) == rows(change_feed(pool, "MARKET_ID", s, start=0, keep_index=True))
+    text = plan(feed)
+    assert "Generate" not in text and "Exchange" not in text
+
+
+@pytest.mark.parametrize("kind", list(ObjectType))
+def test_files_lead_back_to_the_feed(spark, folder, kind):
+    s = spec(3, 20, 8, 12, kind)
+    pool = indexed(spark, s.pool_rows).withColumn("note", F.expr("CASE ix % 3 WHEN 0 THEN '' WHEN 1 THEN 'a\"b,' END"))
+    feed = change_feed(pool, "ix", s)
+    write_feed_csv(feed, folder + "/feed", s, operations=True)
+    assert rows(read_feed_csv(spark, folder + "/feed", s, feed.schema, operations=True)) == rows(feed)
+    write_feed_csv(feed, folder + "/feed", s, gather=True)
+    back = read_feed_csv(spark, folder + "/feed", s, feed.schema)
+    assert back.columns == [c for c in feed.columns if c != "op"] and rows(back) == rows(feed.drop("op"))
+
+
+def test_folders_of_another_feed_are_refused(spark, folder):
+    s = spec(2, 4, 1, 3)
+    feed = change_feed(indexed(spark, 50), "ix", s)
+    write_feed_csv(feed, folder + "/feed", s)
+    with pytest.raises(Exception, match="not a batch of this feed"):
+        read_feed_csv(spark, folder + "/feed", spec(2, 5, 1, 4), feed.schema).collect()
+
+
+def test_files_are_as_many_as_batches_and_tasks(spark, folder):
+    s = spec(6, 500, 200, 300)
+    write_feed_csv(generate_feed(spark, s, partitions=4), folder + "/feed", s)
+    assert len(spark.read.csv(folder + "/feed").inputFiles()) <= 6 + 4
+    mixed = indexed(spark, s.pool_rows).repartition(4)
+    write_feed_csv(change_feed(mixed, "ix", s), folder + "/mixed", s, gather=True)
+    assert len(spark.read.csv(folder + "/mixed").inputFiles()) <= 6 + int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def test_feed_is_one_narrow_pass(spark):

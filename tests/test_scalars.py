@@ -2,9 +2,10 @@ from __future__ import annotations
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tablewright.functions.keyed import check_hash_keys, digest_words, key_digest, share_threshold, uniform_int
+from tablewright.functions.keyed import check_hash_keys, key_digest, share_threshold, uniform_int, with_words
 from tablewright.functions.scalars import (
     batch_suffix,
     blank,
@@ -64,18 +65,22 @@ def test_strict_cast_refuses_other_text(spark):
 
 
 def test_uniform_int_covers_its_range_only(spark):
-    words = digest_words(key_digest(["id"], 1))
+    words = [F.col(c) for c in "abc"]
+    df = with_words(spark.range(400), "id", 1, ["a", "b", "c"])
     for draw in (1, 2, 20):
-        seen = {r[0] for r in spark.range(400).select(uniform_int(words, draw, 3, 9)).collect()}
-        assert seen == set(range(3, 10))
+        assert {r[0] for r in df.select(uniform_int(words, draw, 3, 9)).collect()} == set(range(3, 10))
     with pytest.raises(ValueError):
         uniform_int(words, 1, 2, 1)
 
 
 def test_uniform_int_is_even(spark):
-    value = uniform_int(digest_words(key_digest(["id"], 1)), 5, 1, 10)
-    counts = [r["count"] for r in spark.range(20_000).groupBy(value).count().collect()]
-    assert len(counts) == 10 and all(abs(c - 2000) < 200 for c in counts)
+    df = with_words(spark.range(1 << 40, (1 << 40) + 20_000), "id", 1, ["a", "b", "c"])
+    for draw in (1, 5, 18):
+        value = uniform_int([F.col(c) for c in "abc"], draw, 1, 10).alias("v")
+        pairs = df.select(value, F.lag(value).over(Window.orderBy("id")).alias("before"))
+        counts = [r["count"] for r in pairs.groupBy("v").count().collect()]
+        assert len(counts) == 10 and all(abs(c - 2000) < 200 for c in counts)
+        assert 1_800 < pairs.filter("v = before").count() < 2_200  # neighbours are not alike
 
 
 def test_share_threshold():

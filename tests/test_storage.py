@@ -15,7 +15,7 @@ from tablewright.sinks.stats import grouped_runs, long_form, read_stats, write_s
 from tablewright.sinks.text import write_csv
 from tablewright.sources.facts import generate_facts
 from tablewright.sources.objects import ObjectTable, read_object, read_rows
-from tablewright.sources.text import read_csv, read_csv_for_store
+from tablewright.sources.text import read_csv, read_csv_for_store, read_csv_split
 from tests.conftest import rows
 
 
@@ -59,6 +59,40 @@ def test_csv_returns_what_was_written(spark, folder):
     assert rows(read_csv(spark, folder + "/t", schema=df.schema, missing="NA", multiline=True)) == rows(df)
 
 
+def test_csv_tells_empty_text_from_missing_without_a_marker(spark, folder):
+    df = spark.createDataFrame([(1, "", "x"), (None, None, ""), (3, "a", None), (4, "NULL", '""')], "i int, s string, t string")
+    write_csv(df, folder + "/t")
+    for back in (read_csv(spark, folder + "/t"), read_csv(spark, folder + "/t", schema=df.schema)):
+        assert rows(back) == rows(df) and kinds(back) == kinds(df)
+    assert rows(read_csv(spark, folder + "/t", infer=False))[0] == ("1", "", "x")
+
+
+@pytest.mark.parametrize("text, missing", [("NA", "NA"), ("\x01empty\x01", None)])
+def test_text_that_reads_as_a_marker_is_refused(spark, folder, text, missing):
+    df = spark.createDataFrame([("fine",), (text,)], "s string")
+    with pytest.raises(Exception, match="stands for a missing or empty one"):
+        write_csv(df, folder + "/t", missing=missing)
+
+
+def test_quoted_empty_cells_do_not_make_numbers_text(spark, folder):
+    with open(folder + "/t.csv", "w") as out:
+        out.write('"a","b"\n"1",""\n"","x"\n')
+    df = read_csv(spark, folder + "/t.csv")
+    assert kinds(df) == {"a": "int", "b": "string"} and rows(df) == [(1, ""), (None, "x")]
+
+
+def test_bad_lines_are_set_apart(spark, folder):
+    with open(folder + "/t.csv", "w") as out:
+        out.write('a,b\n1,x\ny,z\n3\n4,"",5\n,""\n"",q\n6,\n')
+    schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType())])
+    scan = read_csv_split(spark, folder + "/t.csv", schema)
+    assert rows(scan.good) == [(1, "x"), (6, None), (None, "")]
+    assert sorted(r.line for r in scan.bad.collect()) == ['"",q', "3", '4,"",5', "y,z"]
+    assert {r.file.rsplit("/", 1)[1] for r in scan.bad.collect()} == {"t.csv"}
+    marked = read_csv_split(spark, folder + "/t.csv", schema, missing="x")
+    assert (1, None) in rows(marked.good) and marked.good.count() + marked.bad.count() == 7
+
+
 def test_csv_of_other_tools(spark, folder):
     with open(folder + "/t.csv", "w") as out:
         out.write('a,b,c\n1,"say ""hi"", ok",x\n2,"one\ntwo",NA\n')
