@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.operators.sizes import broadcast_if_small
+from tablewright.session import written
+
 
 class CountMismatch(Exception):
     """A table does not hold the rows it should."""
@@ -100,3 +103,36 @@ def check_load(df: DataFrame, keys: Sequence[str], expected: T.StructType | None
     if report.null_keys or report.duplicate_keys:
         raise ValueError(f"{report.null_keys} rows without key, {report.duplicate_keys} rows repeat a key")
     return report.rows
+
+
+KEYS_PER_WORD = 6  # of a Bloom filter with four bits for a key in one word of 64
+FILTER_BYTES = 256 << 20
+
+
+def _word_and_mask(keys: Sequence[str], words: int) -> tuple[Column, Column]:
+    """The word of a key's bits, and the bits: four of 64, by six digits of a second hash each."""
+    spot = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(words).cast("long"))
+    other = F.xxhash64(*[F.col(k) for k in keys], F.lit(1))
+    mask = F.lit(0).cast("long")
+    for digit in range(4):
+        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(other, 6 * digit).bitwiseAND(F.lit(63)).cast("int")))
+    return spot, mask
+
+
+def known_keys(table: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distinct keys of ``rows`` that ``table`` holds too; a key with a NULL is held by nothing.
+
+    Only the table's key columns are read, and its rows pass a Bloom filter of the keys of
+    ``rows`` where they are: the few that may be among them, about one in a hundred of the
+    others, are joined. The filter is broadcast once its size is known to be small; one
+    beyond ``FILTER_BYTES``, some thirty million keys, is left to a shuffle of the table's keys.
+    """
+    mine = rows.select(*keys).na.drop().distinct()
+    mine = written(mine, "load-keys")
+    words = max(1, -(-mine.count() // KEYS_PER_WORD))
+    spot, mask = _word_and_mask(keys, words)
+    bits = written(mine.select(spot.alias("__word"), mask.alias("__mask")).groupBy("__word").agg(F.bit_or("__mask").alias("__bits")), "load-filter")
+    held = table.select(*keys).na.drop().withColumns({"__spot": spot, "__mask": mask})
+    likely = held.join(broadcast_if_small(bits, FILTER_BYTES), F.col("__spot") == F.col("__word"))
+    likely = likely.filter(F.col("__bits").bitwiseAND(F.col("__mask")) == F.col("__mask")).select(*keys).distinct()
+    return likely.join(mine, list(keys), "left_semi")

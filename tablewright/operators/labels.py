@@ -9,6 +9,7 @@ from tablewright.operators.sizes import broadcast_if_small
 from tablewright.operators.tables import dense_ids
 
 _NAME, _CODE = "__label", "__code"
+MODEL_CLASSES = 10_000
 
 
 def distinct_labels(df: DataFrame, label: str) -> DataFrame:
@@ -27,9 +28,14 @@ def label_codes(df: DataFrame, label: str) -> DataFrame:
 
 
 def label_list(df: DataFrame, label: str) -> list[str]:
-    """The classes as text, in order of value: for a model, which holds its own classes."""
-    known = distinct_labels(df, label).withColumn("text", F.col(label).cast("string"))
-    return [text for _, text in sorted((row[0], row[1]) for row in known.collect())]
+    """The classes as text, in order of value: for a model, which holds its own classes.
+
+    A model of more than ``MODEL_CLASSES`` is refused: its class list is part of its plan.
+    """
+    known = distinct_labels(df, label).withColumn("text", F.col(label).cast("string")).limit(MODEL_CLASSES + 1).collect()
+    if len(known) > MODEL_CLASSES:
+        raise ValueError(f"{label!r} has more than {MODEL_CLASSES} classes")
+    return [text for _, text in sorted((row[0], row[1]) for row in known)]
 
 
 def with_codes(df: DataFrame, label: str, codes: DataFrame, column: str) -> DataFrame:

@@ -35,6 +35,22 @@ def position_bound(df: DataFrame, n: int) -> int | None:
     return None
 
 
+# Physical operators that leave rows where they are and keep their order.
+_NARROW = ("Scan", "LocalTableScan", "Range", "Project", "Filter", "ColumnarToRow", "InputAdapter", "WholeStageCodegen", "Union", "CollectMetrics")
+
+
+def _is_narrow(df: DataFrame) -> bool:
+    """Whether the plan is scans with narrow steps, by the kinds of its nodes."""
+    nodes = [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if not node.nodeName().startswith(_NARROW):
+            return False
+        below = node.children()
+        nodes += [below.apply(i) for i in range(below.size())]
+    return True
+
+
 def first_rows(df: DataFrame, n: int) -> DataFrame:
     """Any ``n`` rows (all of them when there are fewer), where they are.
 
@@ -44,7 +60,7 @@ def first_rows(df: DataFrame, n: int) -> DataFrame:
     """
     if n < 0:
         raise ValueError("n must not be negative")
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+    if not _is_narrow(df):
         df = written(df, "first-rows")
     bound = position_bound(df, n)
     if bound is None:

@@ -2,7 +2,7 @@
 
 A key that holds a large share of all rows must not end up in one task. Where only one row
 per key survives, the map side drops the others before the shuffle. Where all rows survive,
-groups are cut into bounded pieces (``versions``) or frequent keys are kept out of the
+rows are cut into bounded pieces (``versions``) or frequent keys are kept out of the
 shuffle altogether (``classify``).
 """
 
@@ -13,11 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from tablewright.operators import sizes
 from tablewright.operators.checks import require_count
-from tablewright.operators.sizes import broadcast_if_small
+from tablewright.operators.sizes import broadcast_if_small, content_bytes
 from tablewright.session import written
 
-BATCHES_PER_PIECE = 4_096
+BATCHES_PER_PIECE = 4_096  # rows that are put in order together
 HOT_ROWS = 2_000_000
 ROWS_AT_LEAST, ROWS_AT_MOST = 50_000, 2_000_000  # per range, when rows are numbered
 
@@ -57,7 +58,9 @@ def upsert(table: DataFrame | None, feed: DataFrame, keys: Sequence[str], batch:
     Say ``follows`` when the table holds each key once and all the feed's batches come after
     it, as when one batch after the other is applied. Then table rows are never ranked, only
     those with a changed key are left out, and while the changed keys are small enough to
-    broadcast (they are measured first) the table is not shuffled at all.
+    broadcast (they are measured first) the table is not shuffled at all. Beyond that only rows
+    between the least and the greatest changed value of the first key are shuffled; the bounds
+    reach the scan, so files of a table that is stored in key order are skipped on either side.
     """
     if table is None:
         return latest_per_key(feed, keys, batch)
@@ -65,9 +68,19 @@ def upsert(table: DataFrame | None, feed: DataFrame, keys: Sequence[str], batch:
         return latest_per_key(table.unionByName(feed, allowMissingColumns=True), keys, batch)
     newest = written(latest_per_key(feed, keys, batch), "changed-rows")
     names = [f"__k{i}" for i in range(len(keys))]
-    changed = broadcast_if_small(newest.select(*[F.col(k).alias(n) for k, n in zip(keys, names)]))
+    changed = newest.select(*[F.col(k).alias(n) for k, n in zip(keys, names)])
     same = [F.col(k) == F.col(n) for k, n in zip(keys, names)]
-    return table.join(changed, same, "left_anti").unionByName(newest, allowMissingColumns=True)
+    if content_bytes(changed) <= sizes.BROADCAST_BYTES:
+        kept = table.join(F.broadcast(changed), same, "left_anti")
+    else:
+        low, high = changed.agg(F.min(names[0]), F.max(names[0])).first()
+        key = F.col(keys[0])
+        if low is None:  # rows without key replace nothing
+            kept = table
+        else:
+            aside = table.filter((key < F.lit(low)) | (key > F.lit(high)) | key.isNull())
+            kept = aside.unionByName(table.filter((key >= F.lit(low)) & (key <= F.lit(high))).join(changed, same, "left_anti"))
+    return kept.unionByName(newest, allowMissingColumns=True)
 
 
 def merge_snapshot(table: DataFrame | None, feed: DataFrame, candidate_keys: Sequence[str],
@@ -154,34 +167,54 @@ def versions(feed: DataFrame, keys: Sequence[str], batch: str = "batch", batches
     """Bitemporal and versioned tables: every (key, batch) with ``valid_from`` and ``valid_to``.
 
     ``valid_to`` is the key's next batch, NULL for the current version. After one row per
-    (key, batch) is left, a key's rows are cut by batch number into pieces of at most
-    ``piece`` rows; the first batch of the following piece is attached from a small side
-    table. Pass ``batches`` when the feed is known to have at most ``piece`` of them: a key
-    then fits one piece and the side table is not needed. ``unique`` skips the reduction
-    for feeds that hold each (key, batch) once by construction; a feed that does not fails.
+    (key, batch) is left, rows are numbered in the order of key and batch and cut into pieces
+    of ``piece`` rows, whatever their keys and batch numbers. A row's next one is in its piece,
+    or heads the following piece; the heads are one row in ``piece``. Pass ``batches`` when the
+    feed is known to have at most ``piece`` of them: a key's rows are one piece then, and need
+    no numbering. ``unique`` skips the reduction for feeds that hold each (key, batch) once by
+    construction; a feed that does not fails.
     """
     rows = feed if unique else _latest(feed, [*keys, batch], batch)
     opened = rows.withColumn("valid_from", F.col(batch))
     if batches is not None and batches <= piece:
         next_batch = F.lead(batch).over(Window.partitionBy(*keys).orderBy(batch))
         return opened.withColumn("valid_to", _following(next_batch, batch))
-    slot, head, following = "__piece", "__head", "__next"
-    number = F.call_function("div", F.col(batch), F.lit(piece))
-    cut = opened.withColumn(slot, number)
-    heads = feed.groupBy(*keys, number.alias(slot)).agg(F.min(batch).alias(head))
-    nexts = heads.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.col(slot).alias("__s"),
-        F.lead(head).over(Window.partitionBy(*keys).orderBy(slot)).alias(following),
+    number, slot, following = "__n", "__piece", "__next"
+    numbered = dense_ids(opened, [*keys, batch], number, 0)
+    size = F.lit(piece).cast("long")
+    cut = numbered.withColumn(slot, F.call_function("div", F.col(number), size))
+    names = [f"__k{i}" for i in range(len(keys))]
+    heads = numbered.filter(F.col(number) % size == 0).select(
+        (F.call_function("div", F.col(number), size) - 1).alias("__s"), *[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(batch).alias(following),
     )
-    inside = F.lead(batch).over(Window.partitionBy(*keys, slot).orderBy(batch))
-    same = F.col(slot) == F.col("__s")
-    for i, key in enumerate(keys):
-        same = same & F.col(key).eqNullSafe(F.col(f"__k{i}"))
-    stitched = cut.withColumn("valid_to", _following(inside, batch)).join(nexts, same, "left")
-    return stitched.withColumn("valid_to", F.coalesce("valid_to", following)).drop(
-        slot, "__s", following, *[f"__k{i}" for i in range(len(keys))]
+    order = Window.partitionBy(slot).orderBy(number)
+    goes_on = F.lead(number).over(order).isNotNull()
+    for key in keys:
+        goes_on = goes_on & F.lead(key).over(order).eqNullSafe(F.col(key))
+    inside = F.when(goes_on, F.lead(batch).over(order))
+    at_end = F.col(number) % size == size - 1
+    for key, name in zip(keys, names):
+        at_end = at_end & F.col(key).eqNullSafe(F.col(name))
+    stitched = cut.withColumn("valid_to", inside).join(broadcast_if_small(heads), F.col(slot) == F.col("__s"), "left")
+    found = F.coalesce("valid_to", F.when(at_end, F.col(following)))
+    return stitched.withColumn("valid_to", _following(found, batch)).drop(number, slot, "__s", following, *names)
+
+
+def extend_versions(table: DataFrame, feed: DataFrame, keys: Sequence[str], batch: str = "batch", **how) -> DataFrame:
+    """Versions of a table and of a feed whose batches all come after the table's.
+
+    Only the table's current rows, one per key, can change: they end where the feed's first
+    version of their key begins.
+    """
+    added = written(versions(feed, keys, batch, **how), "new-versions")
+    names = [f"__k{i}" for i in range(len(keys))]
+    firsts = written(
+        added.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.min("valid_from").alias("__next")), "first-versions"
     )
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+    current = table.filter(F.col("valid_to").isNull()).join(broadcast_if_small(firsts), same, "left")
+    ended = current.withColumn("valid_to", F.col("__next")).drop(*names, "__next")
+    return table.filter(F.col("valid_to").isNotNull()).unionByName(ended).unionByName(added)
 
 
 def _following(following: Column, batch: str) -> Column:
@@ -191,20 +224,15 @@ def _following(following: Column, batch: str) -> Column:
 
 
 def classify(feed: DataFrame, keys: Sequence[str], batch: str = "batch", column: str = "op",
-             batches: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+             hot_rows: int = HOT_ROWS) -> DataFrame:
     """Mark each row ``I`` when its batch is the key's first, ``U`` otherwise.
 
-    A feed that holds each (key, batch) once, in a known number of ``batches``, has small
-    groups: one window over the key does. Otherwise first batches are found per key with a
-    map-side combine, written once, and joined back. A key with more than ``hot_rows`` rows
-    would make one join task slow, so rows of such keys meet a broadcast list instead and
-    are not shuffled at all. There are at most (all rows / ``hot_rows``) such keys, which
-    bounds the list.
+    First batches are found per key with a map-side combine, written once, and joined back. A
+    key with more than ``hot_rows`` rows would make one join task slow, so rows of such keys
+    meet a broadcast list instead and are not shuffled at all. There are at most (all rows /
+    ``hot_rows``) such keys, which bounds the list.
     """
     first, weight = "__first", "__rows"
-    if batches is not None and batches <= BATCHES_PER_PIECE:
-        earliest = F.min(batch).over(Window.partitionBy(*keys))
-        return feed.withColumn(column, _operation(F.col(batch).eqNullSafe(earliest)))
     names = [f"__k{i}" for i in range(len(keys))]
     per_key = written(
         feed.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(

@@ -306,6 +306,34 @@ def object_retried_load(spark: SparkSession, folder: str) -> DataFrame:
     return stored.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("rows"), F.sum("l_orderkey").alias("key_sum"))
 
 
+@query(
+    "object_keys_across_loads",
+    """
+    SELECT o_orderstatus, count(*) AS "rows", CAST(sum(o_orderkey) AS BIGINT) AS key_sum,
+           (SELECT count(*) FROM orders WHERE o_orderkey % 3 = 1 AND o_orderkey % 7 = 2) AS refused
+    FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY o_orderstatus
+    """,
+)
+def object_keys_across_loads(spark: SparkSession, folder: str) -> DataFrame:
+    """A load whose keys the table holds is refused as a whole; its own retry and new keys are not."""
+    orders, store = table(spark, folder, "orders"), scratch_table(spark, "orders")
+    part = F.col("o_orderkey") % 3
+    keyed = {"keys": ["o_orderkey"], "whole_table": True}
+    append(orders.filter(part == 1), store, "one", **keyed)
+    append(orders.filter(part == 1), store, "one", **keyed)
+    mixed = orders.filter((part == 2) | (F.col("o_orderkey") % 7 == 2)).filter(part != 0)
+    refused = 0
+    try:
+        append(mixed, store, "two", **keyed)
+    except ValueError as error:
+        refused = int(str(error).split()[0])
+    append(orders.filter(part == 2), store, "two", **keyed)
+    stored = read_object(spark, store, orders.schema)
+    return stored.groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("o_orderkey").alias("key_sum"), F.lit(refused).cast("long").alias("refused")
+    )
+
+
 @query(
     "load_report",
     """

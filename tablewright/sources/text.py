@@ -69,23 +69,34 @@ def read_csv_split(spark: SparkSession, path: str, schema: T.StructType, missing
     return Scan(_restored(good) if missing is None else good, bad)
 
 
+def feed_scan(reader, path: str, schema: T.StructType, operations: bool = False, multiline: bool = False) -> DataFrame:
+    """Cells of feed files and their ``file`` folder, through a batch or a stream reader."""
+    payload = [f for f in schema.fields if f.name not in ("batch", "op")]
+    last = [T.StructField("op", T.StringType())] if operations else []
+    whole = T.StructType([*payload, *last, T.StructField("file", T.StringType())])
+    return reader.options(**QUOTING).option("multiLine", multiline).option("emptyValue", EMPTY).schema(whole).csv(path)
+
+
+def feed_rows(scan: DataFrame, spec: FeedSpec, operations: bool = False) -> DataFrame:
+    """The feed from ``feed_scan``: blanks restored, ``batch`` from the folder."""
+    back = _restored(scan)
+    batch = F.substring_index("file", "_", -1).try_cast("int")
+    checked = F.when(F.col("file") == file_name(batch, spec), batch).otherwise(
+        F.raise_error(F.concat(F.lit("not a batch of this feed: "), F.col("file"))).cast("int")
+    )
+    payload = [F.col(f"`{c}`") for c in back.columns if c not in ("file", "op")]
+    return back.select(*payload, checked.alias("batch"), *(["op"] if operations else []))
+
+
 def read_feed_csv(spark: SparkSession, path: str, spec: FeedSpec, schema: T.StructType, operations: bool = False,
                   multiline: bool = False) -> DataFrame:
     """A feed as ``write_feed_csv`` wrote it: its columns, ``batch`` and, with ``operations``, ``op``.
 
     ``schema`` is that of the feed, from which ``batch`` and ``op`` are left out. The batch
     number is that of the folder; a folder of another object or row count fails the job. Blank
-    ids come back as blanks and NULL as NULL. A filter on ``file`` reads only those folders.
+    ids come back as blanks and NULL as NULL.
     """
-    payload = [f for f in schema.fields if f.name not in ("batch", "op")]
-    last = [T.StructField("op", T.StringType())] if operations else []
-    reader = spark.read.options(**QUOTING).option("multiLine", multiline).option("emptyValue", EMPTY)
-    back = _restored(reader.schema(T.StructType([*payload, *last, T.StructField("file", T.StringType())])).csv(path))
-    batch = F.substring_index("file", "_", -1).try_cast("int")
-    checked = F.when(F.col("file") == file_name(batch, spec), batch).otherwise(
-        F.raise_error(F.concat(F.lit("not a batch of this feed: "), F.col("file"))).cast("int")
-    )
-    return back.select(*[F.col(f"`{f.name}`") for f in payload], checked.alias("batch"), *(["op"] if operations else []))
+    return feed_rows(feed_scan(spark.read, path, schema, operations, multiline), spec, operations)
 
 
 def read_csv_for_store(spark: SparkSession, path: str, object_name: str, external_id: bool = False,

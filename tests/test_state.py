@@ -1,0 +1,119 @@
+from __future__ import annotations
+
+import json
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from tablewright.operators.feeds import FeedSpec, ObjectType
+from tablewright.operators.tables import upsert
+from tablewright.plans.apply import apply_feed, keys_of
+from tablewright.sinks import state as states
+from tablewright.sinks.state import StateConflict, current_state, publish, read_state
+from tablewright.sinks.text import write_feed_csv
+from tablewright.sources.facts import generate_feed
+from tablewright.sources.objects import ObjectTable
+from tablewright.streaming.batches import follow_feed
+from tests.conftest import rows
+
+
+@pytest.fixture
+def store(folder):
+    return ObjectTable(folder, "group", "app", "thing")
+
+
+def spec(kind, f=5, r=30, i=11):
+    keys = ("MARKET_ID",) if ObjectType(kind).has_candidate_key else ()
+    return FeedSpec("p", kind, f, r, i, r - i, keys)
+
+
+def test_states_follow_each_other(spark, store):
+    assert current_state(spark, store) is None and read_state(spark, store) is None
+    first = publish(spark.range(5), store, None, last_batch=0)
+    second = publish(spark.range(5, 8), store, first, add=True, last_batch=1)
+    assert (second.version, second.rows, len(second.loads)) == (2, 8, 2)
+    assert rows(read_state(spark, store)) == [(i,) for i in range(8)]
+    third = publish(spark.range(3), store, second, cluster_by=["id"])
+    assert rows(read_state(spark, store)) == [(0,), (1,), (2,)]
+    assert rows(read_state(spark, store, second)) == [(i,) for i in range(8)]  # still there for who reads it
+    publish(spark.range(1).limit(0), store, third)
+    assert read_state(spark, store).count() == 0
+    assert sorted(os.listdir(f"{store.path}/_tablewright_state/data")) == sorted([*third.loads, *current_state(spark, store).loads])
+    with pytest.raises(ValueError, match="columns"):
+        publish(spark.range(2).toDF("x"), store, current_state(spark, store), add=True)
+
+
+def test_a_killed_writer_leaves_the_old_state(spark, store, monkeypatch):
+    first = publish(spark.range(5), store, None)
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    for step in ("require_count", "_set_pointer"):
+        with monkeypatch.context() as patch:
+            patch.setattr(states, step, killed)
+            with pytest.raises(KeyboardInterrupt):
+                publish(spark.range(9), store, first)
+        assert current_state(spark, store) == first and read_state(spark, store).count() == 5
+    with monkeypatch.context() as patch:  # the pointer is written, but not yet under its name
+        patch.setattr(states.files, "move_new", killed)
+        with pytest.raises(KeyboardInterrupt):
+            publish(spark.range(9), store, first)
+    assert current_state(spark, store) == first
+    with open(f"{store.path}/_tablewright_state/pointers/000000000009.json", "w") as out:
+        out.write(json.dumps({"version": 9})[:-3])
+    assert current_state(spark, store) == first
+    assert publish(spark.range(9), store, first).version == 2 and read_state(spark, store).count() == 9
+
+
+def test_of_two_writers_one_gives_way(spark, store):
+    first = publish(spark.range(5), store, None)
+    publish(spark.range(6), store, first)
+    with pytest.raises(StateConflict):
+        publish(spark.range(7), store, first)
+    assert read_state(spark, store).count() == 6
+
+
+@pytest.mark.parametrize("kind", list(ObjectType))
+def test_batches_one_by_one_or_at_once(spark, folder, kind):
+    s = spec(kind)
+    feed = generate_feed(spark, s, seed=2)
+    whole, steps = (ObjectTable(folder, "g", "a", n) for n in ("whole", "steps"))
+    apply_feed(feed, whole, s, order=["MARKET_ID"])
+    for batch in (0, 1, 1, 2, 0):  # a batch that comes again changes nothing
+        apply_feed(feed.filter(F.col("batch") == batch), steps, s, order=["MARKET_ID"])
+    before = current_state(spark, steps)
+    apply_feed(feed.filter("batch < 2"), steps, s, order=["MARKET_ID"])
+    assert current_state(spark, steps) == before and before.last_batch == 2
+    apply_feed(feed, steps, s, order=["MARKET_ID"])
+    assert rows(read_state(spark, steps)) == rows(read_state(spark, whole))
+
+
+def test_keyed_states_are_stored_in_key_order(spark, store):
+    s = spec(ObjectType.STANDARD_WITH_EXTERNAL_ID, r=200, i=50)
+    assert keys_of(s) == ["p_external_id"]
+    apply_feed(generate_feed(spark, s), store, s)
+    held = read_state(spark, store).withColumn("part", F.input_file_name())
+    ends = sorted(tuple(r)[1:] for r in held.groupBy("part").agg(F.min("p_external_id"), F.max("p_external_id")).collect())
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_batches_as_they_arrive(spark, folder, store):
+    s = spec(ObjectType.STANDARD_WITH_EXTERNAL_ID)
+    feed = generate_feed(spark, s, seed=2)
+    write_feed_csv(feed.filter("batch < 3"), folder + "/feed", s)
+
+    def follow(checkpoint):
+        stream = follow_feed(spark, folder + "/feed", store, s, feed.schema, folder + checkpoint, files_per_round=2)
+        stream.awaitTermination()
+        return current_state(spark, store)
+
+    first = follow("/one")
+    assert first.last_batch == 2 and first.streams["feed"] >= 0
+    write_feed_csv(feed.filter("batch >= 3"), folder + "/feed", s, mode="append")
+    second = follow("/one")
+    assert second.last_batch == 4 and second.streams["feed"] > first.streams["feed"]
+    assert follow("/one") == second
+    assert follow("/two") == second  # rounds that were applied before, from a lost checkpoint
+    assert rows(read_state(spark, store)) == rows(upsert(None, feed.drop("op"), ["p_external_id"]))

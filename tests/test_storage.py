@@ -5,7 +5,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.operators.checks import CountMismatch, check_load, check_schema, fingerprint, load_report
+from tablewright.operators.checks import CountMismatch, check_load, check_schema, fingerprint, known_keys, load_report
+from tablewright.operators.ranking import first_rows
 from tablewright.plans.roundtrip import geometric_series, round_trip, run_volumes, shape_for_store, volume_grid
 from tablewright.schemas import FACTS, FLOWERS, RUN_STATS, VOLUME_COLUMNS
 from tablewright import session
@@ -16,7 +17,7 @@ from tablewright.sinks.text import write_csv
 from tablewright.sources.facts import generate_facts
 from tablewright.sources.objects import ObjectTable, read_object, read_rows
 from tablewright.sources.text import read_csv, read_csv_for_store, read_csv_split
-from tests.conftest import rows
+from tests.conftest import plan, rows
 
 
 @pytest.fixture
@@ -112,6 +113,53 @@ def test_loads_of_other_columns(spark, store):
         append(spark.range(2), store, schema=wide.schema)
 
 
+def test_columns_are_checked_against_a_stored_schema(spark, store, monkeypatch):
+    append(spark.range(2), store)
+    from tablewright.sinks import objects
+
+    def no_scan(*_):
+        raise AssertionError("footers of all loads were read")
+
+    monkeypatch.setattr(objects, "read_object", lambda spark, table, schema=None, load=None: read_object(spark, table, schema, load) if schema else no_scan())
+    append(spark.range(2), store)
+    with pytest.raises(ValueError, match="columns differ"):
+        append(spark.range(2).toDF("x"), store)
+    append(spark.range(2).withColumn("x", F.lit(1)), store, widen=True)
+    append(spark.range(2).withColumn("x", F.lit(1)), store)
+    with pytest.raises(ValueError, match="columns differ"):
+        append(spark.range(2), store)
+
+
+def test_keys_of_other_loads_are_refused(spark, store):
+    append(spark.range(0, 50_000, 2), store, "even", keys=["id"], whole_table=True)
+    append(spark.range(0, 50_000, 2), store, "even", keys=["id"], whole_table=True)
+    with pytest.raises(ValueError, match="3 keys are in the table"):
+        append(spark.createDataFrame([(i,) for i in (1, 3, 0, 8, 49_998)], "id long"), store, keys=["id"], whole_table=True)
+    append(spark.range(1, 50_000, 2), store, "odd", keys=["id"], whole_table=True)
+    assert read_object(spark, store).count() == 50_000
+
+
+def test_keys_meet_the_table_behind_a_filter(spark, folder):
+    spark.range(100_000).select("id", F.lit("x").alias("v")).write.parquet(folder + "/t")
+    table = spark.read.parquet(folder + "/t")
+    load = spark.createDataFrame([(5, None), (-1, "a"), (None, "b"), (99_999, "c")], "id long, v string")
+    found = known_keys(table, load, ["id"])
+    assert rows(found) == [(5,), (99_999,)]
+    text = plan(found)
+    scan = text[text.index("BroadcastHashJoin"):]
+    assert "Exchange hashpartitioning" not in scan.split("FileScan")[0].split("BroadcastExchange")[0]
+    assert rows(known_keys(table, load, ["id", "v"])) == []
+    many = known_keys(table, spark.range(100_000, 200_000).withColumn("v", F.lit("x")), ["id", "v"])
+    assert many.count() == 0
+
+
+def test_first_rows_of_a_column_named_like_a_step(spark):
+    scan = written(spark.range(50).withColumnRenamed("id", "Exchange"), "test")
+    before = first_rows(scan.filter("Exchange >= 0"), 20)
+    assert before.count() == 20 and before.inputFiles() == scan.inputFiles()
+    assert first_rows(scan.distinct(), 20).count() == 20
+
+
 def test_a_column_called_load_stays(spark, store):
     append(spark.range(2).withColumn("load", F.lit("mine")), store)
     assert rows(read_object(spark, store)) == [(0, "mine"), (1, "mine")]

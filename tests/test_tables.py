@@ -14,6 +14,7 @@ from tablewright.operators.tables import (
     classify,
     _ranges,
     dense_ids,
+    extend_versions,
     latest_per_key,
     merge_snapshot,
     replace_snapshot,
@@ -191,6 +192,43 @@ def test_versions_of_a_known_number_of_batches(spark):
     assert plan(got).count("Exchange hashpartitioning") == 1
 
 
+def test_versions_of_batches_far_apart(spark):
+    """A frequent key with sparse batch numbers: pieces have as many rows as they may, heads are few."""
+    df = spark.range(2_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("k"), (F.col("id") * 1_000_000).alias("batch"), F.lit(0).alias("v"))
+    got = versions(df, ["k"], piece=64)
+    assert sorted((r.k, r.valid_from, r.valid_to or -1) for r in got.collect()) == sorted((k, b, e or -1) for k, b, e in by_hand([(r.k, r.batch) for r in df.collect()]))
+    assert "Window [lead(__n" in plan(got) and "hashpartitioning(k" not in plan(got)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.integers(0, 30)), min_size=1, max_size=25), st.integers(0, 30))
+def test_versions_extended_by_later_batches(spark, feed, cut):
+    df = spark.createDataFrame([(k, b, 0) for k, b in feed], FEED)
+    first, second = df.filter(F.col("batch") < cut), df.filter(F.col("batch") >= cut)
+    got = extend_versions(versions(first, ["k"]), second, ["k"])
+    assert sorted(((r.k, r.valid_from, r.valid_to) for r in got.collect()), key=repr) == by_hand(feed)
+
+
+def test_many_changed_keys_read_only_their_range(spark, folder, monkeypatch):
+    """Beyond what may be broadcast, bounds of the changed keys reach the scan of a table in key order."""
+    spark.range(10_000).select("id", F.lit(0).alias("batch")).repartitionByRange(8, "id").write.parquet(folder + "/t")
+    table = spark.read.parquet(folder + "/t")
+    feed = spark.createDataFrame([(i, 1) for i in (4_000, 4_500, 20_000)] + [(None, 1)], "id long, batch int")
+    want = rows(upsert(table, feed, ["id"], follows=True))
+    monkeypatch.setattr(sizes, "BROADCAST_BYTES", 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = upsert(table, feed, ["id"], follows=True)
+        assert rows(got) == want and len(want) == 10_002
+        text = got._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(id,4000)" in text and "LessThan(id,4000)" in text and "GreaterThan(id,20000)" in text
+        nobody = feed.filter("id is null")
+        assert upsert(table, nobody, ["id"], follows=True).count() == 10_001
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_versions_with_copies_and_a_frequent_key(spark):
     df = skewed(spark)
     got = versions(df, ["k"], piece=4)
@@ -209,12 +247,6 @@ def test_classify(spark, hot_rows):
     assert rows(classify(df, ["k"], hot_rows=hot_rows)) == want
 
 
-def test_classify_of_a_known_number_of_batches(spark):
-    df = spark.createDataFrame([("a", 0, 1), ("a", 1, 1), ("b", 1, 1)], FEED)
-    want = [("a", 0, 1, "I"), ("a", 1, 1, "U"), ("b", 1, 1, "I")]
-    assert rows(classify(df, ["k"], batches=2)) == rows(classify(df, ["k"])) == want
-
-
 def test_rows_of_a_frequent_key_are_not_shuffled(spark, folder):
     skewed(spark).write.parquet(folder + "/t")
     text = plan(classify(spark.read.parquet(folder + "/t"), ["k"], hot_rows=100))
