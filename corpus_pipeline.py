@@ -37,7 +37,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 2048 tokens."""
     pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")))
+    return packing.pack(pieces)
 
 
 STAGES = [("quality classifier", good), ("exact dedup", exact), ("near dedup", near), ("repeated passages", passages), ("best-fit packing", packed)]
