@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import zlib
 from collections import defaultdict
 from itertools import chain
 
@@ -11,10 +12,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import mapped, ship, whole_texts
+from tablewright.llm.common import mapped, whole_texts
 from tablewright.session import written
 
-CACHED = 200_000  # words whose ids a Python worker remembers
+CACHED = 300_000  # words whose ids a Python worker remembers
 TEXTS = 128  # texts whose words are looked up together
 PER_TASK = 32_768  # pieces that one task packs
 FULL = 1 << 62  # from here on, numbers of sequences that one piece fills
@@ -61,29 +62,19 @@ class _Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         # A line break stays before the first word of its line; all other words follow a space.
         split = [("\n" + t.replace("\n", " \n")).split(" ") if self._simple(t) else None for t in texts]
-        fresh = list(set(chain.from_iterable(s for s in split if s)).difference(self.known))
-        ids = self._units([w[1:] if w[0] == "\n" else " " + w for w in fresh])
-        line, known = self.line.tobytes(), self.known
-        values = [line + i if w[0] == "\n" else i for w, i in zip(fresh, ids)]
+        words, known = set(chain.from_iterable(s for s in split if s)), self.known
+        fresh = list(words.difference(known))
         if len(known) + len(fresh) > CACHED:
-            known = _Both(known, zip(fresh, values))
-        else:
-            known.update(zip(fresh, values))
+            # Frequent words come back with the next texts; rare ones would fill the cache for good.
+            known.clear()
+            fresh = list(words)
+        line = self.line.tobytes()
+        ids = self._units([w[1:] if w[0] == "\n" else " " + w for w in fresh])
+        known.update((w, line + i if w[0] == "\n" else i) for w, i in zip(fresh, ids))
         get, whole = known.__getitem__, iter(self._ids([t for t, s in zip(texts, split) if s is None]))
         return [next(whole) if s is None else b"".join(map(get, s))[4:] for s in split]
 
 
-class _Both(dict):
-    """New entries, and behind them those that are kept."""
-
-    def __init__(self, known: dict, fresh):
-        super().__init__(fresh)
-        self.rest = known
-
-    def __missing__(self, key):
-        return self.rest[key]
-
-
 _encoders: dict[str, _Encoder] = {}
 
 
@@ -93,13 +84,15 @@ def _encoder(path: str) -> _Encoder:
     return _encoders[path]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0) -> DataFrame:
-    """Pieces of every document: doc_id, piece (from 0), start (ids before it), length, ids.
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, with_ids: bool = True) -> DataFrame:
+    """Pieces of every document: doc_id, piece (from 0), start (ids before it), length, ids_crc32, ids.
 
     A document is the ids of its text, with nothing added, then ``end``; an empty or null text
     is ``end`` alone. Only documents of more than ``capacity`` ids are cut: all pieces but the
-    first are full. ``ids`` are little-endian unsigned 32-bit numbers. ``tokenizer`` is a file
-    that every executor can open. An empty table gives no rows; repeated rows repeat pieces.
+    first are full. ``ids`` are little-endian unsigned 32-bit numbers, and ``ids_crc32`` is
+    their checksum; without ``with_ids`` it stands for them and they stay where they were made.
+    ``tokenizer`` is a file that every executor can open. An empty table gives no rows;
+    repeated rows repeat pieces.
     """
     last = np.array([end], "<u4").tobytes()
 
@@ -114,9 +107,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int
                     first = n if n <= capacity else n % capacity or capacity
                     ends = [first, *range(first + capacity, n + 1, capacity)]
                     for piece, (start, stop) in enumerate(zip([0, *ends], ends)):
-                        yield doc, piece, start, stop - start, ids[4 * start:4 * stop]
+                        own = ids[4 * start:4 * stop]
+                        yield doc, piece, start, stop - start, zlib.crc32(own), *((own,) if with_ids else ())
 
-    return mapped(whole_texts(docs), run, "doc_id long, piece int, start long, length long, ids binary")
+    return mapped(whole_texts(docs), run, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else ""))
 
 
 class OpenBins:
@@ -161,25 +155,30 @@ class OpenBins:
 def pack(pieces: DataFrame, capacity: int = 2048, open_bins: int = 2048, per_task: int = PER_TASK) -> DataFrame:
     """``pieces`` with sequence_id and offset, gapless from 0 in each sequence.
 
-    ``pieces`` has doc_id, piece and length (1 to ``capacity``); other columns pass through. A
-    full piece is a sequence of its own. The others are dealt out evenly by a hash, ``per_task``
-    to a task, and packed in hash order, so a task that runs again repeats its result. Only
-    ``open_bins`` free-space entries are held: memory does not grow with the input.
+    ``pieces`` has a length (1 to ``capacity``); other columns, of any type, pass through, but
+    those called sequence_id and offset are replaced. A full piece is a sequence of its own.
+    Of the others the lengths alone are dealt out evenly by a hash, ``per_task`` to a task, and
+    packed in hash order, so a task that runs again repeats its result; their places are then
+    joined to the pieces. Only ``open_bins`` free-space entries are held: memory grows neither
+    with the input nor with what the pieces carry.
     """
-    placed = written(pieces, "pieces")
+    row, made = "__piece_row", ("sequence_id", "offset")
+    placed = written(pieces.drop(*made).withColumn(row, F.monotonically_increasing_id()), "pieces")
     full = placed.filter(F.col("length") >= capacity).withColumns(
         {"sequence_id": F.lit(FULL) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")}
     )
-    rest = placed.filter(F.col("length") < capacity).withColumn("_order", F.xxhash64("doc_id", "piece"))
+    rest = placed.filter(F.col("length") < capacity)
     tasks = max(1, -(-rest.count() // per_task))
-    dealt = rest.repartition(tasks, "_order").sortWithinPartitions("_order", "doc_id", "piece").drop("_order")
+    light = rest.select(F.col(row).alias("row"), F.col("length").cast("long").alias("length"), F.xxhash64(row).alias("order"))
+    dealt = light.repartition(tasks, "order").sortWithinPartitions("order", "row")
 
-    def run(frames):
+    def run(batches):
         bins, base = OpenBins(capacity, open_bins), TaskContext.get().partitionId() << 40
-        for frame in frames:
-            places = [bins.put(n) for n in frame["length"].tolist()]
-            yield frame.assign(sequence_id=[base + p[0] for p in places], offset=[p[1] for p in places])
+        for b in batches:
+            for number, length in zip(b["row"], b["length"]):
+                sequence, offset = bins.put(length)
+                yield number, base + sequence, offset
 
-    ship(pieces.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema)
-    return dealt.mapInPandas(run, f"{schema}, sequence_id long, offset long").unionByName(full)
+    places = written(mapped(dealt, run, f"{row} long, sequence_id long, offset long"), "places")
+    columns = [F.col(f"`{c}`") for c in placed.columns if c != row]
+    return rest.join(places, row).select(*columns, *made).unionByName(full.select(*columns, *made))

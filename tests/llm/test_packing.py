@@ -45,8 +45,11 @@ def test_pieces_hold_every_id(spark):
         whole = b"".join(bytes(r.ids) for r in own)
         assert np.frombuffer(whole, "<u4").tolist() == [*ids_of(text or ""), 0]
         assert all(r.length == 64 for r in own[1:]) and 0 < own[0].length <= 64
+        assert all(r.ids_crc32 == zlib.crc32(bytes(r.ids)) for r in own)
         assert [r.start for r in own] == [sum(x.length for x in own[:i]) for i in range(len(own))]
     assert token_pieces(docs.limit(0), PATH).count() == 0
+    bare = token_pieces(docs, PATH, capacity=64, with_ids=False).orderBy("doc_id", "piece").collect()
+    assert [tuple(r) for r in bare] == [tuple(r)[:-1] for r in rows]
 
 
 def test_best_fit_and_the_fullest_closes_first():
@@ -99,4 +102,11 @@ def test_sequences_are_gapless_and_repeat_themselves(spark):
     again = [tuple(r) for r in pack(pieces, capacity=64, open_bins=32, per_task=100).select("sequence_id", "offset", "length").collect()]
     assert sorted(again) == sorted(placed)
     assert pack(pieces.limit(0)).count() == 0
-    assert zlib.crc32(b"") == 0
+
+
+def test_pieces_may_carry_anything(spark):
+    pieces = spark.createDataFrame([(i, 3 + i % 7) for i in range(40)], "row long, length int").selectExpr(
+        "*", "'old' AS offset", "map('a', row) AS m", "current_date() AS d", "cast(null AS decimal(9,2)) AS _order", "9 AS sequence_id", "7 AS number")
+    out = pack(pieces, capacity=9)
+    assert out.count() == 40 and out.columns == ["row", "length", "m", "d", "_order", "number", "sequence_id", "offset"]
+    assert {r.row: r.m["a"] for r in out.collect()} == {i: i for i in range(40)}
