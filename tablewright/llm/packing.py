@@ -165,7 +165,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, open_bins: int = 2048, per_tas
     row, made = "__piece_row", ("sequence_id", "offset")
     placed = written(pieces.drop(*made).withColumn(row, F.monotonically_increasing_id()), "pieces")
     full = placed.filter(F.col("length") >= capacity).withColumns(
-        {"sequence_id": F.lit(FULL) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")}
+        {"sequence_id": F.lit(FULL) + F.col(row), "offset": F.lit(0).cast("long")}
     )
     rest = placed.filter(F.col("length") < capacity)
     tasks = max(1, -(-rest.count() // per_task))
