@@ -63,10 +63,12 @@ def held_out(id_column: str, remainder: int) -> Column:
     return F.crc32(text.cast("binary")) % 5 == remainder
 
 
-def mapped(df: DataFrame, rows: Callable[[Iterator[dict]], Iterable[tuple]], schema: str) -> DataFrame:
+def mapped(df: DataFrame, rows: Callable[[Iterator[dict]], Iterable[tuple]], schema: str, at_once: int | None = None) -> DataFrame:
     """``rows`` turns the batches of a partition, as dicts of columns, into tuples of ``schema``.
 
-    Tuples are sent back in batches of at most ``ROWS_PER_BATCH`` rows and about 16 MB.
+    Tuples are sent back in batches of at most ``ROWS_PER_BATCH`` rows and about 16 MB. With
+    ``at_once`` no more rows than that are Python objects at a time, however large Spark's
+    batches are.
     """
     ship(df.sparkSession)
     empty = StructType.fromDDL(schema)
@@ -75,7 +77,8 @@ def mapped(df: DataFrame, rows: Callable[[Iterator[dict]], Iterable[tuple]], sch
 
     def run(batches):
         held, size = [], 0
-        for row in rows({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns)} for b in batches):
+        parts = batches if at_once is None else (b.slice(at, at_once) for b in batches for at in range(0, b.num_rows, at_once))
+        for row in rows({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns)} for b in parts):
             held.append(row)
             size += sum(len(x) for x in row if isinstance(x, (bytes, str, list)))
             if len(held) >= ROWS_PER_BATCH or size >= 16 << 20:

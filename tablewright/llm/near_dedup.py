@@ -28,7 +28,8 @@ from tablewright.llm.graph import components
 from tablewright.operators.sizes import broadcast_if_small
 from tablewright.session import written
 
-CACHED = 400_000  # words whose hashes a Python worker remembers
+CACHED = 100_000  # words whose hashes a Python worker remembers
+AT_ONCE = 500  # texts or sets that it holds
 
 
 @dataclass(frozen=True)
@@ -83,7 +84,7 @@ def sketches(docs: DataFrame, how: Likeness) -> DataFrame:
                 own = shingle_set(text, how.words)
                 yield doc, len(own), xxhash.xxh3_128_digest(own.tobytes()), own[:how.k].tolist()
 
-    return mapped(whole_texts(docs), run, "doc_id long, n_shingles long, whole binary, sketch array<bigint>")
+    return mapped(whole_texts(docs), run, "doc_id long, n_shingles long, whole binary, sketch array<bigint>", AT_ONCE)
 
 
 def _entries(items: DataFrame, how: Likeness) -> DataFrame:
@@ -125,7 +126,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, how: Likeness) -> DataFrame:
 
     whole = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
     whole = whole.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a")
-    return mapped(whole.select("a", "b", "x", "y"), run, "a long, b long")
+    return mapped(whole.select("a", "b", "x", "y"), run, "a long, b long", AT_ONCE)
 
 
 def near_groups(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
@@ -156,7 +157,7 @@ def near_groups(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
                 yield doc, shingle_set(text, how.words).tobytes()
 
     sets = whole_texts(docs).join(broadcast_if_small(written(wanted.withColumnRenamed("id", "doc_id"), "set-ids")), "doc_id", "left_semi")
-    sets = written(mapped(sets, members, "id long, members binary").dropDuplicates(["id"]), "shingle-sets")
+    sets = written(mapped(sets, members, "id long, members binary", AT_ONCE).dropDuplicates(["id"]), "shingle-sets")
 
     stars = lists.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     links = written(_confirmed(_alike(stars, items, how), sets, how), "near-links")
@@ -192,7 +193,7 @@ def _other_links(lists: DataFrame, first: DataFrame, sets: DataFrame, items: Dat
                 yield i, np.frombuffer(own, np.int64).tolist()
 
     own = sets.join(broadcast_if_small(able.select("id")), "id", "left_semi")
-    shingles = mapped(own, each, "id long, shingles array<bigint>").select("id", F.explode("shingles").alias("shingle"))
+    shingles = mapped(own, each, "id long, shingles array<bigint>", AT_ONCE).select("id", F.explode("shingles").alias("shingle"))
     shared = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     by_id = shingles.join(shared, "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("shared"))
     # Shingles that no other entry has come first in the order and take their places in it.

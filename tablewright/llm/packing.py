@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import mapped, whole_texts
 from tablewright.session import written
 
-CACHED = 300_000  # words whose ids a Python worker remembers
+CACHED = 200_000  # words whose ids a Python worker remembers, about 200 bytes each
 TEXTS = 128  # texts whose words are looked up together
 PER_TASK = 32_768  # pieces that one task packs
 FULL = 1 << 62  # from here on, numbers of sequences that one piece fills
@@ -30,7 +30,7 @@ class _Encoder:
     that hold the text of a special token.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED):
         import os
 
         from tokenizers import Tokenizer
@@ -43,6 +43,7 @@ class _Encoder:
         self.line = np.array(self.model.encode("\n", add_special_tokens=False).ids, "<u4")
         self.by_word = len(self.line) == 1
         self.known: dict[str, bytes] = {}
+        self.cached = cached
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -64,7 +65,7 @@ class _Encoder:
         split = [("\n" + t.replace("\n", " \n")).split(" ") if self._simple(t) else None for t in texts]
         words, known = set(chain.from_iterable(s for s in split if s)), self.known
         fresh = list(words.difference(known))
-        if len(known) + len(fresh) > CACHED:
+        if len(known) + len(fresh) > self.cached:
             # Frequent words come back with the next texts; rare ones would fill the cache for good.
             known.clear()
             fresh = list(words)
@@ -75,29 +76,30 @@ class _Encoder:
         return [next(whole) if s is None else b"".join(map(get, s))[4:] for s in split]
 
 
-_encoders: dict[str, _Encoder] = {}
+_encoders: dict[tuple[str, int], _Encoder] = {}
 
 
-def _encoder(path: str) -> _Encoder:
-    if path not in _encoders:
-        _encoders[path] = _Encoder(path)
-    return _encoders[path]
+def _encoder(path: str, cached: int) -> _Encoder:
+    if (path, cached) not in _encoders:
+        _encoders[path, cached] = _Encoder(path, cached)
+    return _encoders[path, cached]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, with_ids: bool = True) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, with_ids: bool = True,
+                 cached: int = CACHED) -> DataFrame:
     """Pieces of every document: doc_id, piece (from 0), start (ids before it), length, ids_crc32, ids.
 
     A document is the ids of its text, with nothing added, then ``end``; an empty or null text
     is ``end`` alone. Only documents of more than ``capacity`` ids are cut: all pieces but the
     first are full. ``ids`` are little-endian unsigned 32-bit numbers, and ``ids_crc32`` is
     their checksum; without ``with_ids`` it stands for them and they stay where they were made.
-    ``tokenizer`` is a file that every executor can open. An empty table gives no rows;
-    repeated rows repeat pieces.
+    ``tokenizer`` is a file that every executor can open; a worker remembers the ids of
+    ``cached`` words. An empty table gives no rows; repeated rows repeat pieces.
     """
     last = np.array([end], "<u4").tobytes()
 
     def run(batches):
-        encode = _encoder(tokenizer)
+        encode = _encoder(tokenizer, cached)
         for b in batches:
             for at in range(0, len(b["doc_id"]), TEXTS):
                 texts = [t.decode("utf-8", "replace") for t in b["text"][at:at + TEXTS]]
@@ -110,7 +112,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int
                         own = ids[4 * start:4 * stop]
                         yield doc, piece, start, stop - start, zlib.crc32(own), *((own,) if with_ids else ())
 
-    return mapped(whole_texts(docs), run, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else ""))
+    return mapped(whole_texts(docs), run, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else ""), 4 * TEXTS)
 
 
 class OpenBins:

@@ -47,7 +47,7 @@ FROM texts
 
 
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
-    pieces = packing.token_pieces(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    pieces = packing.token_pieces(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False, cached=1_000_000)
     placed = packing.pack(pieces)
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

@@ -28,9 +28,8 @@ def test_words_give_the_ids_of_whole_texts(texts):
     assert found == [ids_of(t) for t in texts]
 
 
-def test_words_beyond_the_cache(monkeypatch):
-    monkeypatch.setattr("tablewright.llm.packing.CACHED", 3)
-    own = _Encoder(PATH)
+def test_words_beyond_the_cache():
+    own = _Encoder(PATH, 3)
     texts = ["one two three four\nfive, six", "two <|endoftext|> ten", "", "six seven\neight"]
     for _ in range(2):
         assert [np.frombuffer(x, "<u4").tolist() for x in own(texts)] == [ids_of(t) for t in texts]
