@@ -16,11 +16,12 @@ those only pairs that have one of their rarest shingles in common, as similar on
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import mapped, whole_texts
@@ -30,6 +31,7 @@ from tablewright.session import written
 
 CACHED = 100_000  # words whose hashes a Python worker remembers
 AT_ONCE = 500  # texts or sets that it holds
+CLASS = 1.06  # upper over lower size of sets that meet in one list
 
 
 @dataclass(frozen=True)
@@ -178,10 +180,12 @@ def near_groups(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
 def _other_links(lists: DataFrame, first: DataFrame, sets: DataFrame, items: DataFrame, how: Likeness) -> DataFrame:
     """Links between entries that share a list and are in different components of ``first``.
 
-    Of two sets that are similar enough, the smaller one's rarest shingles and a few more of
-    the larger one's must meet, as too few would be left otherwise. Shingles are ordered by
-    how many of these entries have them: what an edit made stands first and meets almost
-    nothing, so that the many unlike copies of one text stay apart without being paired.
+    Of two sets that are similar enough, some of the rarest shingles of each must meet, as too
+    few would be left otherwise; how many of them follows from both sizes, so entries meet by
+    shingle and class of sizes. Shingles are ordered by how many of these entries have them:
+    what an edit made stands first and is met by nothing. A copy with more such shingles than
+    partners of its size allow is in no list, and lists of one component are left out, so that
+    the many unlike copies of one text stay apart without being paired.
     """
     placed = lists.join(first, lists.id == first.node, "left").select("value", "id", "n", F.coalesce("component", "id").alias("component"))
     split = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
@@ -197,21 +201,42 @@ def _other_links(lists: DataFrame, first: DataFrame, sets: DataFrame, items: Dat
     shared = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     by_id = shingles.join(shared, "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("shared"))
     # Shingles that no other entry has come first in the order and take their places in it.
-    alone = F.col("n") - F.size("shared")
-    larger = F.col("n") - F.ceil(F.col("n") * how.percent / 100) + 1 - alone
-    smaller = F.col("n") - F.ceil(F.col("n") * (2 * how.percent) / (100 + how.percent)) + 1 - alone
-    heads = by_id.join(broadcast_if_small(able), "id").withColumns({"larger": larger.cast("int"), "smaller": smaller.cast("int")}).filter("larger > 0")
-    heads = heads.select("id", "n", "component", "smaller", F.posexplode(F.transform(F.slice("shared", F.lit(1), F.col("larger")), lambda s: s["shingle"])).alias("at", "shingle"))
-    heads = written(heads, "open-heads")
-    a, b = heads.filter("at < smaller").alias("a"), heads.alias("b")
+    by_id = by_id.join(broadcast_if_small(able), "id").withColumn("rest", F.size("shared"))
+
+    def heads(entries: DataFrame, least: Column) -> DataFrame:
+        """The shingles of which one is shared with every partner of ``least`` or more shingles."""
+        length = (F.col("rest") - _needed(F.col("n"), least, how) + 1).cast("int")
+        first = entries.withColumn("length", length).filter("length > 0")
+        names = F.transform(F.slice("shared", F.lit(1), F.col("length")), lambda s: s["shingle"])
+        return first.select("id", "n", "component", "rest", "sizes", F.posexplode(names).alias("at", "shingle"))
+
+    n = F.col("n")
+    lowest = F.ceil(n * how.percent / 100)
+    smaller = heads(by_id.withColumn("sizes", _size_class(n)), n)
+    classes = F.sequence(_size_class(lowest), _size_class(n))
+    larger = heads(by_id.withColumn("sizes", F.explode(classes)), F.greatest(lowest, F.floor(F.pow(F.lit(CLASS), "sizes")) - 1))
+    both = written(smaller.withColumn("small", F.lit(True)).unionByName(larger.withColumn("small", F.lit(False))), "open-heads")
+    mixed = both.groupBy("shingle", "sizes").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    both = written(both.join(mixed.select("shingle", "sizes"), ["shingle", "sizes"], "left_semi"), "mixed-heads")
+    a, b = both.filter("small").alias("a"), both.filter("not small").alias("b")
+    needed = _needed(F.col("a.n"), F.col("b.n"), how)
     pairs = a.join(b, (
-        (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.component") != F.col("b.component"))
+        (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.sizes") == F.col("b.sizes")) & (F.col("a.component") != F.col("b.component"))
         & ((F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.id") < F.col("b.id"))))
-        & (100 * F.col("a.n") >= how.percent * F.col("b.n"))
+        & (F.col("a.rest") - F.col("a.at") >= needed) & (F.col("b.rest") - F.col("b.at") >= needed)
     )).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     return written(_confirmed(_alike(written(pairs, "open-pairs"), items, how), sets, how), "near-links")
 
 
+def _needed(n: Column, other: Column, how: Likeness) -> Column:
+    """Shingles that sets of these sizes must have in common to be similar enough."""
+    return F.ceil((n + other) * how.percent / (100 + how.percent))
+
+
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n) / math.log(CLASS)).cast("int")
+
+
 def drop_near(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     """The kept documents, with the columns they came with."""
     kept = near_groups(docs, how).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
