@@ -57,6 +57,27 @@ def whole_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr("coalesce(cast(text as binary), X'')").alias("text"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores in front as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def numbered_texts(docs: DataFrame) -> DataFrame:
+    """row, doc_id and the UTF-8 bytes of ``text``, written once: the number tells rows of one doc_id apart."""
+    return written(whole_texts(docs).withColumn("row", F.monotonically_increasing_id()), "texts")
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str, DataFrame]:
+    """``docs`` written with a number per row, that column's name, and their ``row``, ``doc_id``, ``text``."""
+    name = unused(docs, "_row")
+    docs = written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    texts = docs.select(F.col(name).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.expr("coalesce(cast(text as binary), X'')").alias("text"))
+    return docs, name, texts
+
+
 def held_out(id_column: str, remainder: int) -> Column:
     """Rows whose crc32(id as text) mod 5 is ``remainder``; a null id counts as empty text."""
     text = F.coalesce(F.col(id_column).cast("string"), F.lit(""))

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import WHITE_SPACE, mapped, whole_texts
+from tablewright.llm.common import WHITE_SPACE, mapped, numbered, numbered_texts
 from tablewright.operators.sizes import broadcast_if_small
 from tablewright.session import written
 
@@ -57,25 +57,22 @@ def _powers(prime: int, base: int, n: int) -> np.ndarray:
     return _tables[prime, base, n]
 
 
-def fingerprints(docs: DataFrame, how: Fingerprint = Fingerprint()) -> DataFrame:
-    """Per document: doc_id, points (code points of the original text), size (bytes without
-    white space), h1, h2 and text_sha256, the hash of the text without white space.
+def fingerprints(texts: DataFrame, how: Fingerprint = Fingerprint()) -> DataFrame:
+    """Per row of ``texts`` (row, doc_id, text as bytes): row, doc_id, points (code points of the
+    original text), size (bytes without white space), h1, h2 and text_sha256, the hash of the
+    text without white space.
 
     Texts of more bytes than one chunk are cut, their chunks dealt out to all tasks, and the
     shifted values summed per text.
     """
-    texts = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("points"),
-        F.expr("coalesce(cast(text as binary), X'')").alias("text"),
-    )
+    texts = texts.select("row", "doc_id", F.length(F.col("text").cast("string")).cast("long").alias("points"), "text")
     is_long = F.octet_length("text") > how.chunk
 
     def short(batches):
         for b in batches:
-            for doc, points, text in zip(b["doc_id"], b["points"], b["text"]):
+            for row, doc, points, text in zip(b["row"], b["doc_id"], b["points"], b["text"]):
                 data = text.translate(None, WHITE_SPACE)
-                yield doc, points, len(data), *how.of(data), hashlib.sha256(data).hexdigest()
+                yield row, doc, points, len(data), *how.of(data), hashlib.sha256(data).hexdigest()
 
     def cut(batches):
         for b in batches:
@@ -91,10 +88,10 @@ def fingerprints(docs: DataFrame, how: Fingerprint = Fingerprint()) -> DataFrame
             for row, doc, points, size, digest, after, piece in zip(*(b[c] for c in ("row", "doc_id", "points", "size", "text_sha256", "after", "piece"))):
                 yield row, doc, points, size, digest, *how.of(piece, after)
 
-    kinds = "doc_id long, points long, size long, h1 long, h2 long, text_sha256 string"
+    kinds = "row long, doc_id long, points long, size long, h1 long, h2 long, text_sha256 string"
     few = mapped(texts.filter(~is_long), short, kinds)
     chunks = mapped(
-        texts.filter(is_long).withColumn("row", F.monotonically_increasing_id()), cut,
+        texts.filter(is_long), cut,
         "row long, doc_id long, points long, size long, text_sha256 string, after long, piece binary",
     )
     parts = mapped(
@@ -107,70 +104,76 @@ def fingerprints(docs: DataFrame, how: Fingerprint = Fingerprint()) -> DataFrame
     return few.unionByName(many.select(few.columns))
 
 
-def _differing(docs: DataFrame, pairs: DataFrame, chunk: int) -> DataFrame:
-    """doc_ids of ``pairs`` (doc_id, keep_id) whose texts without white space are not equal.
+def _differing(texts: DataFrame, pairs: DataFrame, chunk: int) -> DataFrame:
+    """Rows of ``pairs`` (row, keep_row) whose texts without white space are not equal.
 
-    Texts meet chunk by chunk in a join on (keep_id, chunk number): no task holds a group, and
+    Texts meet chunk by chunk in a join on (keep_row, chunk number): no task holds a group, and
     a row that stays for very many is split from its partners by the skew join.
     """
 
     def cut(batches):
         for b in batches:
-            for doc, text in zip(b["doc_id"], b["text"]):
+            for row, text in zip(b["row"], b["text"]):
                 data = text.translate(None, WHITE_SPACE)
                 for start in range(0, max(len(data), 1), chunk):
-                    yield doc, start, data[start:start + chunk]
+                    yield row, start, data[start:start + chunk]
 
-    keepers = pairs.select("keep_id").distinct()
-    wanted = pairs.select("doc_id").union(keepers).distinct()
+    keepers = pairs.select("keep_row").distinct()
+    wanted = pairs.select("row").union(keepers).distinct()
     pieces = written(
-        mapped(whole_texts(docs).join(broadcast_if_small(wanted), "doc_id", "left_semi"), cut, "doc_id long, start long, piece binary"),
+        mapped(texts.select("row", "text").join(broadcast_if_small(wanted), "row", "left_semi"), cut, "row long, start long, piece binary"),
         "dedup-chunks",
     )
-    mine = pieces.join(broadcast_if_small(pairs), "doc_id")
-    theirs = pieces.join(broadcast_if_small(keepers), pieces.doc_id == keepers.keep_id).select(
-        "keep_id", "start", F.col("piece").alias("other")
-    ).distinct()
+    mine = pieces.join(broadcast_if_small(pairs), "row")
+    theirs = pieces.join(broadcast_if_small(keepers), pieces.row == keepers.keep_row).select("keep_row", "start", F.col("piece").alias("other"))
     return (
-        mine.join(theirs, ["keep_id", "start"], "left")
+        mine.join(theirs, ["keep_row", "start"], "left")
         .filter(F.col("other").isNull() | (F.col("other") != F.col("piece")))
-        .select("doc_id").distinct()
+        .select("row").distinct()
     )
 
 
-def exact_groups(docs: DataFrame, how: Fingerprint = Fingerprint()) -> DataFrame:
-    """Per document: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Texts are equal when they are identical without ``[\\x20\\x09-\\x0D]``; null counts as
-    empty, and empty texts are equal. The row with the most code points, then the smallest
-    doc_id, stays; null ids come last. Rows that share one doc_id are the same document: all
-    of them are returned and share the verdict. An empty table gives no rows.
-    """
-    pending = written(fingerprints(docs, how), "fingerprints")
+def _groups(texts: DataFrame, how: Fingerprint) -> DataFrame:
+    """Per row: row, doc_id, keep_row, keep_id, group_size, text_sha256."""
+    pending = written(fingerprints(texts, how), "fingerprints")
     done = None
     while True:
-        best = F.min(F.struct(-F.col("points"), F.col("doc_id").isNull(), "doc_id")).alias("best")
-        groups = pending.groupBy(*KEY).agg(F.count(F.lit(1)).alias("group_size"), best)
-        members = pending.join(groups.select(*KEY, "group_size", F.col("best.doc_id").alias("keep_id")), KEY)
-        members = written(members.select("doc_id", "keep_id", "group_size", "text_sha256", *KEY), "dedup-groups")
-        pairs = members.filter("group_size > 1 and doc_id <> keep_id").select("doc_id", "keep_id").distinct()
-        wrong = written(_differing(docs, pairs, how.chunk), "dedup-differing")
+        best = F.min(F.struct(-F.col("points"), F.col("doc_id").isNull(), "doc_id", "row")).alias("best")
+        groups = pending.groupBy(*KEY).agg(F.count(F.lit(1)).alias("group_size"), best).filter("group_size > 1")
+        groups = written(groups.select(*KEY, "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row")), "dedup-keepers")
+        members = pending.join(broadcast_if_small(groups), KEY, "left").withColumns({
+            "keep_id": F.when(F.col("keep_row").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")),
+            "keep_row": F.coalesce("keep_row", "row"), "group_size": F.coalesce("group_size", F.lit(1).cast("long")),
+        })
+        members = written(members.select("row", "doc_id", "keep_row", "keep_id", "group_size", "text_sha256", *KEY), "dedup-groups")
+        pairs = members.filter("row <> keep_row").select("row", "keep_row")
+        wrong = written(_differing(texts, pairs, how.chunk), "dedup-differing")
         if wrong.isEmpty():
             break
-        right = members.join(wrong, "doc_id", "left_anti").drop("group_size")
+        right = members.join(wrong, "row", "left_anti").drop("group_size")
         sizes = right.groupBy(*KEY).agg(F.count(F.lit(1)).alias("group_size"))
         right = right.join(sizes, KEY)
         done = right if done is None else done.unionByName(right)
-        pending = written(pending.join(wrong, "doc_id", "left_semi"), "fingerprints")
-    members = members if done is None else done.unionByName(members)
-    return members.select(
+        pending = written(pending.join(wrong, "row", "left_semi"), "fingerprints")
+    return members if done is None else done.unionByName(members)
+
+
+def exact_groups(docs: DataFrame, how: Fingerprint = Fingerprint()) -> DataFrame:
+    """Per document: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when they are identical without ``[\\x20\\x09-\\x0D]``; null counts as
+    empty, and empty texts are equal. The row with the most code points, then the smallest
+    doc_id, stays; null ids come last. Every row has its own text: rows that share a doc_id are
+    grouped by their texts like all others, and ``kept`` says that the row's doc_id is the
+    one that stays. An empty table gives no rows.
+    """
+    return _groups(numbered_texts(docs), how).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
 
 def drop_exact(docs: DataFrame, how: Fingerprint = Fingerprint()) -> DataFrame:
-    """The documents that stay, with the columns they came with; rows of one doc_id stay once."""
-    kept = exact_groups(docs, how).filter("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows"))
-    once, often = (broadcast_if_small(kept.filter(rows)) for rows in ("_rows = 1", "_rows > 1"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    return docs.join(once, same, "left_semi").unionByName(docs.join(often, same, "left_semi").dropDuplicates(["doc_id"]))
+    """One row of each group of equal texts, with the columns it came with, whatever its doc_id."""
+    docs, row, texts = numbered(docs)
+    gone = written(_groups(texts, how).filter("row <> keep_row").select(F.col("row").alias(row)), "copies")
+    return docs.join(broadcast_if_small(gone), row, "left_anti").drop(row)

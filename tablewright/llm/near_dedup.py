@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import mapped, whole_texts
+from tablewright.llm.common import mapped, numbered, numbered_texts
 from tablewright.llm.graph import components
 from tablewright.operators.sizes import broadcast_if_small
 from tablewright.session import written
@@ -77,16 +77,16 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
     return np.unique(mixed >> np.uint64(1)).view(np.int64)
 
 
-def sketches(docs: DataFrame, how: Likeness) -> DataFrame:
-    """doc_id, n_shingles, whole (a fingerprint of the set) and sketch, its smallest values."""
+def sketches(texts: DataFrame, how: Likeness) -> DataFrame:
+    """row, doc_id, n_shingles, whole (a fingerprint of the set) and sketch, its smallest values."""
 
     def run(batches):
         for b in batches:
-            for doc, text in zip(b["doc_id"], b["text"]):
+            for row, doc, text in zip(b["row"], b["doc_id"], b["text"]):
                 own = shingle_set(text, how.words)
-                yield doc, len(own), xxhash.xxh3_128_digest(own.tobytes()), own[:how.k].tolist()
+                yield row, doc, len(own), xxhash.xxh3_128_digest(own.tobytes()), own[:how.k].tolist()
 
-    return mapped(whole_texts(docs), run, "doc_id long, n_shingles long, whole binary, sketch array<bigint>", AT_ONCE)
+    return mapped(texts, run, "row long, doc_id long, n_shingles long, whole binary, sketch array<bigint>", AT_ONCE)
 
 
 def _entries(items: DataFrame, how: Likeness) -> DataFrame:
@@ -131,20 +131,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, how: Likeness) -> DataFrame:
     return mapped(whole.select("a", "b", "x", "y"), run, "a long, b long", AT_ONCE)
 
 
-def near_groups(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept.
-
-    Words are runs of other characters than ``[\\x20\\x09-\\x0D]``, A-Z in lower case. Documents
-    whose shingle sets have at least ``percent`` of their union in common are linked;
-    ``component_id`` is the smallest doc_id that links reach, and that document is kept. Null,
-    empty and blank texts have no shingles, link to nothing and are kept. Rows with a null id
-    are kept, and are linked to nothing. Rows that share a doc_id are one document if they are
-    equal; all of them come back. An empty table gives no rows.
-    """
-    drawn = written(sketches(docs, how), "sketches")
-    able = drawn.filter("n_shingles > 0 and doc_id is not null")
+def _groups(texts: DataFrame, how: Likeness) -> DataFrame:
+    """Per row: row, doc_id, n_shingles, component_id and first_row, the row that stays for its component."""
+    drawn = written(sketches(texts, how), "sketches")
+    able = drawn.filter("n_shingles > 0")
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     classes = written(able.groupBy("whole").agg(
-        F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "shingle-classes")
+        F.min("row").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), smallest.alias("smallest"),
+        F.count(F.lit(1)).alias("rows")), "shingle-classes")
     items = classes.select("id", "n", "sketch")
     heads = written(_entries(items, how), "sketch-heads")
     lists = heads.select("id", "n", "alone", F.explode("prefix").alias("value"))
@@ -155,11 +149,11 @@ def near_groups(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
 
     def members(batches):
         for b in batches:
-            for doc, text in zip(b["doc_id"], b["text"]):
-                yield doc, shingle_set(text, how.words).tobytes()
+            for row, text in zip(b["row"], b["text"]):
+                yield row, shingle_set(text, how.words).tobytes()
 
-    sets = whole_texts(docs).join(broadcast_if_small(written(wanted.withColumnRenamed("id", "doc_id"), "set-ids")), "doc_id", "left_semi")
-    sets = written(mapped(sets, members, "id long, members binary", AT_ONCE).dropDuplicates(["id"]), "shingle-sets")
+    sets = texts.select("row", "text").join(broadcast_if_small(written(wanted.withColumnRenamed("id", "row"), "set-ids")), "row", "left_semi")
+    sets = written(mapped(sets, members, "id long, members binary", AT_ONCE), "shingle-sets")
 
     stars = lists.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     links = written(_confirmed(_alike(stars, items, how), sets, how), "near-links")
@@ -168,13 +162,30 @@ def near_groups(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     links = links.unionByName(more)
     found = components(links)
 
-    reach = classes.select("whole", "id").join(found, F.col("id") == F.col("node"), "left")
-    reach = reach.select("whole", F.coalesce("component", "id").alias("reached"))
-    able_ids = F.col("n_shingles") > 0
-    joined = drawn.withColumn("_whole", F.when(able_ids & F.col("doc_id").isNotNull(), F.col("whole"))).drop("whole").join(
-        reach.withColumnRenamed("whole", "_whole"), "_whole", "left")
-    component = F.coalesce("reached", "doc_id")
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    tied = classes.join(found, F.col("id") == F.col("node"), "left").select("whole", "id", "rows", "smallest", "component")
+    ends = tied.filter("component is not null").groupBy("component").agg(F.min("smallest").alias("reached"))
+    tied = tied.join(ends, "component", "left").filter("component is not null or rows > 1")
+    tied = written(tied.select("whole", F.coalesce("reached", "smallest").alias("reached")), "reached")
+    joined = drawn.select("row", "doc_id", "n_shingles", "whole").join(broadcast_if_small(tied), "whole", "left")
+    own = F.col("reached").isNull() | (F.col("n_shingles") == 0)
+    return joined.select(
+        "row", "doc_id", "n_shingles", F.when(own, F.col("doc_id")).otherwise(F.col("reached.doc_id")).alias("component_id"),
+        F.when(own, F.col("row")).otherwise(F.col("reached.row")).alias("first_row"))
+
+
+def near_groups(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, kept.
+
+    Words are runs of other characters than ``[\\x20\\x09-\\x0D]``, A-Z in lower case. Documents
+    whose shingle sets have at least ``percent`` of their union in common are linked;
+    ``component_id`` is the smallest doc_id that links reach, and that document is kept. Null,
+    empty and blank texts have no shingles, link to nothing and are kept. Every row has its own
+    text: rows that share a doc_id are linked by their texts alone. Rows without an id are
+    linked too; ``component_id`` is null where no row that links reach has one. Shingles are
+    told apart by 63-bit hashes. An empty table gives no rows.
+    """
+    found = _groups(numbered_texts(docs), how)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _other_links(lists: DataFrame, first: DataFrame, sets: DataFrame, items: DataFrame, how: Likeness) -> DataFrame:
@@ -238,6 +249,7 @@ def _size_class(n: Column) -> Column:
 
 
 def drop_near(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
-    """The kept documents, with the columns they came with."""
-    kept = near_groups(docs, how).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(broadcast_if_small(written(kept, "near-kept")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """One row of each component, with the columns it came with: that of the smallest doc_id, nulls last."""
+    docs, row, texts = numbered(docs)
+    gone = written(_groups(texts, how).filter("row <> first_row").select(F.col("row").alias(row)), "near-copies")
+    return docs.join(broadcast_if_small(gone), row, "left_anti").drop(row)

@@ -17,14 +17,16 @@ result, does not depend on the order of the alphabet.
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from tablewright.llm.common import kept, mapped, mapped_arrays, whole_texts
+from tablewright.llm.common import kept, mapped, mapped_arrays, numbered, numbered_texts, unused
 from tablewright.operators.sizes import broadcast_if_small
 from tablewright.session import written
 
@@ -129,8 +131,8 @@ def phrases(text: bytes, how: Passages):
         start = int(stops[-1]) + 1 + base
 
 
-def parse(docs: DataFrame, how: Passages) -> DataFrame:
-    """doc_id, start, stop, anchor, context, further, phrase of all texts that hold a window.
+def parse(texts: DataFrame, how: Passages) -> DataFrame:
+    """row, start, stop, anchor, context, further, phrase of all texts that hold a window.
 
     ``anchor`` is the place of the trigger that ends the phrase, ``context`` and ``further`` hash
     the bytes behind it, ``phrase`` those of the whole phrase; it and ``context`` name the phrase.
@@ -138,33 +140,31 @@ def parse(docs: DataFrame, how: Passages) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows = [(doc, part) for doc, text in zip(b["doc_id"], b["text"]) if len(text) >= how.length for part in phrases(text, how)]
+            rows = [(doc, part) for doc, text in zip(b["row"], b["text"]) if len(text) >= how.length for part in phrases(text, how)]
             if rows:
                 sizes = [len(part[0]) for _, part in rows]
                 yield [np.repeat(np.array([doc for doc, _ in rows], np.int64), sizes), *(np.concatenate([part[i] for _, part in rows]) for i in range(6))]
 
-    able = whole_texts(docs).filter(F.col("doc_id").isNotNull())
-    return mapped_arrays(able, run, "doc_id long, start long, stop long, anchor long, context long, further long, phrase long")
+    return mapped_arrays(texts.select("row", "text"), run, "row long, start long, stop long, anchor long, context long, further long, phrase long")
 
 
-def repeated_spans(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
-    """doc_id and spans, flat [start, stop, ...], of the bytes that repeated windows cover.
+def repeated_spans(texts: DataFrame, how: Passages = Passages()) -> DataFrame:
+    """row and spans, flat [start, stop, ...], of the bytes that repeated windows cover.
 
-    A window is repeated when the same ``length`` bytes begin anywhere else, in the same
-    document too. Spans are sorted and do not touch. Only documents with a span are listed.
-    Null texts count as empty; rows with a null doc_id neither have nor make repeats. Rows that
-    share a doc_id are occurrences of one text. An empty table gives no rows.
+    ``texts`` holds row, a number of its own for each, and text as bytes. A window is repeated
+    when the same ``length`` bytes begin anywhere else, in the same text too. Spans are sorted
+    and do not touch. Only rows with a span are listed. An empty table gives no rows.
     """
-    found = parse(docs, how)
+    found = parse(texts, how)
     twice = found.groupBy("context").agg(F.count(F.lit(1)).alias("often")).filter("often > 1").select("context")
     twice = kept(twice, "repeated-contexts")
     # 64-bit numbers: their count is their size. Beyond the bound the phrases are shuffled to them.
     near_by = F.broadcast(twice) if twice.count() <= BROADCAST_CONTEXTS else twice
     able = kept(found.join(near_by, "context", "left_semi"), "phrases")
-    origin = F.min(F.struct("doc_id", "start", "stop", "anchor")).alias("origin")
+    origin = F.min(F.struct("row", "start", "stop", "anchor")).alias("origin")
     name = ["context", "phrase"]
     dictionary = kept(able.groupBy(*name).agg(F.first("further").alias("further"), F.count(F.lit(1)).alias("often"), origin), "dictionary")
-    whole = able.join(dictionary.filter("often > 1").select(*name), name, "left_semi").select("doc_id", "start", "stop")
+    whole = able.join(dictionary.filter("often > 1").select(*name), name, "left_semi").select("row", "start", "stop")
     whole = kept(whole, "repeated-phrases")
 
     # Phrases to look into: those that occur once, and what could hold the same windows. They
@@ -174,14 +174,14 @@ def repeated_spans(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
     single = dictionary.join(open_contexts, "context", "left_semi").join(far, "further", "left")
     reach = how.length - how.further
     last = F.when(F.col("near"), F.col("origin.stop")).otherwise(F.least("origin.stop", F.col("origin.anchor") - reach - 1 + how.length))
-    single = single.select("origin.doc_id", "origin.start", last.alias("stop"), "often").filter(F.col("stop") - F.col("start") >= how.length)
-    sources = single.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "often")).alias("parts"))
-    sources = kept(sources.select("doc_id", *(F.col(f"parts.{c}").alias(c) for c in ("start", "stop", "often"))), "open-phrases")
+    single = single.select("origin.row", "origin.start", last.alias("stop"), "often").filter(F.col("stop") - F.col("start") >= how.length)
+    sources = single.groupBy("row").agg(F.collect_list(F.struct("start", "stop", "often")).alias("parts"))
+    sources = kept(sources.select("row", *(F.col(f"parts.{c}").alias(c) for c in ("start", "stop", "often"))), "open-phrases")
 
     def windows(batches):
         for b in batches:
             made = []
-            for doc, text, starts, stops, often in zip(*(b[c] for c in ("doc_id", "text", "start", "stop", "often"))):
+            for doc, text, starts, stops, often in zip(*(b[c] for c in ("row", "text", "start", "stop", "often"))):
                 counts = np.array(stops) - np.array(starts) - how.length + 1
                 at = np.repeat(np.array(starts) - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
                 low = min(starts)
@@ -190,15 +190,14 @@ def repeated_spans(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
             if made:
                 yield [np.repeat([m[0] for m in made], [len(m[1]) for m in made]), *(np.concatenate([m[i] for m in made]) for i in range(1, 5))]
 
-    texts = whole_texts(docs).join(broadcast_if_small(sources), "doc_id").dropDuplicates(["doc_id"]) if _repeats_ids(docs) else whole_texts(docs).join(
-        broadcast_if_small(sources), "doc_id")
-    suffixes = kept(mapped_arrays(texts, windows, "doc_id long, start long, often long, w1 long, w2 long"), "suffixes")
+    open_texts = texts.select("row", "text").join(broadcast_if_small(sources), "row")
+    suffixes = kept(mapped_arrays(open_texts, windows, "row long, start long, often long, w1 long, w2 long"), "suffixes")
     again = suffixes.groupBy("w1", "w2").agg(F.sum("often").alias("all")).filter("all > 1").select("w1", "w2")
-    some = suffixes.filter("often = 1").join(again, ["w1", "w2"], "left_semi").select("doc_id", "start", (F.col("start") + how.length).alias("stop"))
+    some = suffixes.filter("often = 1").join(again, ["w1", "w2"], "left_semi").select("row", "start", (F.col("start") + how.length).alias("stop"))
 
     def merge(batches):
         for b in batches:
-            for doc, starts, stops in zip(b["doc_id"], b["start"], b["stop"]):
+            for doc, starts, stops in zip(b["row"], b["start"], b["stop"]):
                 spans: list[int] = []
                 for start, stop in sorted(zip(starts, stops)):
                     if spans and start <= spans[-1]:
@@ -207,17 +206,18 @@ def repeated_spans(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
                         spans += [start, stop]
                 yield doc, spans
 
-    covered = whole.unionByName(some).groupBy("doc_id").agg(F.collect_list("start").alias("start"), F.collect_list("stop").alias("stop"))
-    return mapped(covered, merge, "doc_id long, spans array<bigint>")
-
-
-def _repeats_ids(docs: DataFrame) -> bool:
-    return not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    covered = whole.unionByName(some).groupBy("row").agg(F.collect_list("start").alias("start"), F.collect_list("stop").alias("stop"))
+    return mapped(covered, merge, "row long, spans array<bigint>")
 
 
 def without_repeats(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans and kept, the bytes outside the spans."""
-    spans = broadcast_if_small(written(repeated_spans(docs, how), "spans"))
+    """Per document: doc_id, n_bytes, n_removed, n_spans and kept, the bytes outside the spans.
+
+    Null texts count as empty. Every row is a text of its own, also without a doc_id or with
+    that of another. An empty table gives no rows.
+    """
+    texts = numbered_texts(docs)
+    spans = broadcast_if_small(written(repeated_spans(texts, how), "spans"))
 
     def cut(batches):
         for b in batches:
@@ -227,7 +227,7 @@ def without_repeats(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
                 kept = b"".join(text[a:z] for a, z in zip(edges[::2], edges[1::2]))
                 yield doc, len(text), len(text) - len(kept), len(own) // 2, kept
 
-    texts = whole_texts(docs).join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    texts = texts.join(spans, "row", "left").select("doc_id", "text", "spans")
     return mapped(texts, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
@@ -235,25 +235,31 @@ def cut_repeats(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
     """The documents with their columns, ``text`` without repeated passages and ``n_chars`` counted anew.
 
     Bytes of a character that a span cuts in two go with the span; every row stays, also
-    without any text left. A null text without spans stays null.
+    without any text left. A null text without spans stays null. Other columns, of any type
+    that Arrow holds, pass as they are.
     """
-    spans = broadcast_if_small(written(repeated_spans(docs, how), "spans")).withColumnsRenamed({"doc_id": "_id", "spans": "_spans"})
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    names = docs.columns
+    schema = docs.schema
+    docs, row, texts = numbered(docs)
+    own = unused(docs, "_spans")
+    spans = broadcast_if_small(written(repeated_spans(texts, how), "spans")).withColumnsRenamed({"row": row, "spans": own})
+    at = schema.names.index("text")
+    counted = [i for i, f in enumerate(schema) if f.name == "n_chars" and isinstance(f.dataType, IntegralType)]
+
+    def without(data: bytes, spans: list[int]) -> str:
+        edges = [0, *spans, len(data)]
+        return "".join(data[a:z].decode("utf-8", "ignore") for a, z in zip(edges[::2], edges[1::2]))
 
     def cut(batches):
         for b in batches:
-            columns = [b[c] for c in names]
-            for *row, own in zip(*columns, b["_spans"]):
-                if own:
-                    row = dict(zip(names, row))
-                    data = row["text"].encode("utf-8", "replace")
-                    edges = [0, *own, len(data)]
-                    row["text"] = b"".join(data[a:z].decode("utf-8", "ignore").encode() for a, z in zip(edges[::2], edges[1::2])).decode()
-                    if "n_chars" in row:
-                        row["n_chars"] = len(row["text"])
-                    row = row.values()
-                yield tuple(row)
-
-    joined = docs.join(spans, docs["doc_id"] == spans["_id"], "left").drop("_id")
-    return mapped(joined, cut, kinds)
+            columns, spans = b.columns[:-1], b.columns[-1].to_pylist()
+            if any(spans):
+                before = columns[at].cast(pa.large_binary() if pa.types.is_large_string(columns[at].type) else pa.binary())
+                new = [without(before[i].as_py(), s) if s else None for i, s in enumerate(spans)]
+                is_new = pa.array([n is not None for n in new])
+                columns[at] = pc.if_else(is_new, pa.array(new, columns[at].type), columns[at])
+                for i in counted:
+                    columns[i] = pc.if_else(is_new, pa.array([None if n is None else len(n) for n in new], columns[i].type), columns[i])
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    joined = docs.join(spans, row, "left").select(*schema.names, own)
+    return joined.mapInArrow(cut, schema)

@@ -33,7 +33,7 @@ def test_groups_are_those_of_equal_texts(spark, how):
 
 
 def test_chunks_combine_to_the_hash_of_the_whole(spark):
-    docs = spark.createDataFrame([(1, "word " * 1000)], "doc_id long, text string")
+    docs = spark.createDataFrame([(0, 1, b"word " * 1000)], "row long, doc_id long, text binary")
     whole, parts = (fingerprints(docs, Fingerprint(chunk=c)).select("size", "h1", "h2").first() for c in (1 << 13, 128))
     assert whole == parts and whole["size"] == 4000
     how = Fingerprint(chunk=16)
@@ -53,3 +53,15 @@ def test_stage_keeps_columns_and_drops_repeated_rows(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted({k for _, k, *_ in by_hand(ROWS)})
     assert drop_exact(docs.filter(F.lit(False))).count() == 0
+
+
+def test_rows_are_told_apart_by_more_than_their_id(spark):
+    """Texts under no id or one id are texts of their own; one row of each text stays."""
+    rows = [(None, "a"), (None, "b"), (1, "c"), (1, "d"), (None, "a "), (2, "d"), (1, "c")]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, _row int, row int, _id int")
+    for how in (Fingerprint(), Fingerprint(primes=(2, 2), bases=(1, 1))):
+        kept = drop_exact(docs, how)
+        assert kept.columns == docs.columns
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(None, "a "), (None, "b"), (1, "c"), (1, "d")], key=repr)
+    groups = sorted(((r.doc_id, r.keep_id, r.group_size) for r in exact_groups(docs).collect()), key=repr)
+    assert groups == sorted([(None, None, 2), (None, None, 1), (1, 1, 2), (1, 1, 2), (None, None, 2), (1, 1, 2), (2, 1, 2)], key=repr)

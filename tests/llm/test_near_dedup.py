@@ -61,10 +61,36 @@ def test_a_hub_that_is_not_central_loses_no_link(spark):
 def test_rows_without_id_repeated_rows_and_empty_tables(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (None, None)], "doc_id long, text string")
     found = sorted(map(tuple, near_groups(df).collect()), key=repr)
-    assert found == sorted([(2, 2, 2, True), (2, 2, 2, True), (None, 2, None, True), (None, 0, None, True)], key=repr)
+    assert found == sorted([(2, 2, 2, True), (2, 2, 2, True), (None, 2, 2, False), (None, 0, None, True)], key=repr)
     assert near_groups(df.limit(0)).count() == 0
     kept = drop_near(df.withColumn("kept", F.lit(1)))
-    assert kept.columns == ["doc_id", "text", "kept"] and kept.count() == 4
+    assert kept.columns == ["doc_id", "text", "kept"]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(2, "a b c d e f"), (None, None)], key=repr)
+
+
+def test_unlike_texts_of_one_id_stay_apart(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, one), (1, two), (2, one + " x"), (3, two + " y"), (None, two + " z")]
+    df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, _row string")
+    assert sorted(((r.doc_id, r.component_id) for r in near_groups(df).collect()), key=repr) == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (None, 1)], key=repr)
+    assert sorted(r.text for r in drop_near(df).collect()) == [one, two]
+    only = spark.createDataFrame([(None, one), (None, one + " x"), (5, two)], "doc_id long, text string")
+    assert sorted((r.text for r in drop_near(only).collect()))[-1] == two and drop_near(only).count() == 2
+
+
+def test_many_unlike_copies_lose_no_link(spark):
+    """Copies of one text with few and with many edits, of several lengths, around the threshold."""
+    random.seed(9)
+    base = [f"w{i}" for i in range(90)]
+    docs = []
+    for i in range(150):
+        own = list(base[:random.randint(70, 90)])
+        for _ in range(random.randint(0, 6)):
+            own[random.randrange(len(own))] = random.choice(["x", "y", f"n{i}"])
+        docs.append((i, " ".join(own)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    for how in (Likeness(words=3), Likeness(words=2, percent=90, overlap=40)):
+        assert sorted(map(tuple, near_groups(df, how).collect())) == by_hand(docs, how.words, how.percent)
 
 
 def test_shingles_of_short_and_long_texts():

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import datetime
 import random
 from collections import Counter
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -71,16 +73,32 @@ def test_exactly_the_bytes_of_repeated_windows_go(spark, seed):
 
 
 def test_stage_keeps_rows_and_columns(spark):
+    """Columns of any type pass; a text without id takes part like the others."""
     texts = corpus(5)
-    docs = spark.createDataFrame([(i, t, "en", len(t or "")) for i, t in enumerate(texts)] + [(None, texts[5], "en", 1)], "doc_id long, text string, lang string, n_chars long")
-    out = cut_repeats(docs).collect()
-    assert len(out) == len(texts) + 1 and cut_repeats(docs).columns == docs.columns
-    for row, own in zip(sorted((r for r in out if r.doc_id is not None), key=lambda r: r.doc_id), covered([(t or "").encode() for t in texts], 400)):
-        before = texts[row.doc_id]
+    texts.append(texts[5])
+    day, price = datetime.date(2024, 2, 29), Decimal("1.50")
+    rows = [(i, t, "en", len(t or ""), day, price, {"a": 1}, [(1, None)]) for i, t in enumerate(texts)]
+    rows[-1] = (None, *rows[-1][1:])
+    docs = spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, n_chars int, _spans date, _row decimal(5,2), `row` map<string,int>, parts array<struct<a:smallint,b:timestamp>>")
+    out = cut_repeats(docs)
+    assert out.schema == docs.schema
+    out = out.collect()
+    assert len(out) == len(texts)
+    for row, own in zip(sorted(out, key=lambda r: (r.doc_id is None, r.doc_id)), covered([(t or "").encode() for t in texts], 400)):
+        before = texts[-1 if row.doc_id is None else row.doc_id]
         assert (row.text == before) if not own.any() else row.n_chars == len(row.text) < len(before)
+        assert (row.lang, row["_spans"], row["_row"], row["row"], row.parts[0].a) == ("en", day, price, {"a": 1}, 1)
     assert cut_repeats(docs.filter(F.lit(False))).count() == 0
 
 
+def test_texts_of_one_id_lose_only_their_own_repeats(spark):
+    passage = " ".join(str(i) for i in range(200))
+    docs = spark.createDataFrame([(1, passage), (1, "0123456789"), (2, passage), (None, "a")], "doc_id long, text string")
+    assert sorted(r.text for r in cut_repeats(docs).collect()) == ["", "", "0123456789", "a"]
+    assert sorted(((r.doc_id, r.n_removed) for r in without_repeats(docs).collect()), key=repr) == sorted([(1, len(passage)), (1, 0), (2, len(passage)), (None, 0)], key=repr)
+
+
 def test_repeated_rows_are_occurrences(spark):
     text = " ".join(str(i) for i in range(200))
     docs = spark.createDataFrame([(1, text), (1, text), (2, "short")], "doc_id long, text string")
