@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm import exact_dedup, near_dedup, packing, quality, repeats
-from tablewright.llm.common import held_out, table
+from tablewright.llm.common import held_out, table, unused
 from tablewright.operators.sizes import broadcast_if_small
 from tablewright.session import written
 
@@ -15,8 +15,9 @@ from tablewright.session import written
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from four fifths of the labels."""
     scores = quality.quality_scores(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 0))
-    bad = written(scores.filter("predicted = 0").select(F.col("doc_id").alias("_id")).distinct(), "rejected")
-    return docs.join(broadcast_if_small(bad), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    own = unused(docs, "_id")
+    bad = written(scores.filter("predicted = 0").select(F.col("doc_id").alias(own)).distinct(), "rejected")
+    return docs.join(broadcast_if_small(bad), F.col("doc_id").eqNullSafe(F.col(own)), "left_anti")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
