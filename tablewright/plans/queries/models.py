@@ -28,8 +28,11 @@ from tablewright.plans.training import (
     train,
     train_numbers,
 )
+from tablewright.plans.workloads import regression_job, score_job, train_job
 from tablewright.session import scratch_path
+from tablewright.sinks.text import write_csv
 from tablewright.sources.objects import read_object
+from tablewright.sources.text import read_csv
 
 TREES = TreeSettings(rounds=5, depth=4, least_partitions=8)
 
@@ -49,6 +52,21 @@ def banded_lines(spark: SparkSession, folder: str) -> DataFrame:
     return lines.withColumn("is_taxed", F.col("l_tax") > 0)
 
 
+def gappy_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items with gaps in features and target, a column without any value and one of text."""
+    discount, price = F.col("l_discount"), F.col("l_extendedprice")
+    return table(spark, folder, "lineitem").select(
+        *LINE_KEYS,
+        "l_quantity",
+        "l_extendedprice",
+        F.nullif(discount, F.lit(0.0)).alias("l_discount"),
+        F.lit(None).cast("double").alias("never_known"),
+        (F.col("l_tax") > 0).alias("is_taxed"),
+        "l_linestatus",
+        F.when(F.col("l_linenumber") < 7, price * (1 - discount)).alias("net"),
+    )
+
+
 BAND_TASK = ClassTask(LINE_KEYS, ["is_taxed", *LINE_FEATURES], "band", seed=42, test_share=0.2, trees=TREES)
 NET_TASK = NumberTask(LINE_KEYS, "net", seed=7, test_share=0.25, trees=TREES)
 
@@ -114,17 +132,7 @@ def gbt_model_reload(spark: SparkSession, folder: str) -> DataFrame:
 )
 def gbt_gap_regression(spark: SparkSession, folder: str) -> DataFrame:
     """Drop rows without target, impute from training rows, fit; the error is under half the mean's error."""
-    discount, price = F.col("l_discount"), F.col("l_extendedprice")
-    lines = table(spark, folder, "lineitem").select(
-        *LINE_KEYS,
-        "l_quantity",
-        "l_extendedprice",
-        F.nullif(discount, F.lit(0.0)).alias("l_discount"),
-        F.lit(None).cast("double").alias("never_known"),
-        (F.col("l_tax") > 0).alias("is_taxed"),
-        "l_linestatus",
-        F.when(F.col("l_linenumber") < 7, price * (1 - discount)).alias("net"),
-    )
+    lines = gappy_lines(spark, folder)
     model, prepared = train_numbers(lines, NET_TASK)
     errors = number_errors(score_numbers(model, prepared), NET_TASK)
     mean = fit_means(prepared, ["net"], F.col("split") == "train")["net"]
@@ -149,3 +157,41 @@ def gbt_regression_metrics(spark: SparkSession, folder: str) -> DataFrame:
     near = score_accuracy(score(model, lines, BAND_TASK, nearest=True)).select("split", "accuracy")
     both = cut.join(near.withColumnRenamed("accuracy", "accuracy_nearest"), "split")
     return both.select("split", "rows", (F.col("accuracy_nearest") >= F.col("accuracy_cut")).alias("rounding_is_no_worse"))
+
+
+@query(
+    "gbt_jobs_from_csv",
+    f"""
+    WITH s AS (SELECT {_SPLIT_SQL} AS split FROM lineitem), n AS (SELECT count(*) AS stored FROM lineitem),
+         r AS (SELECT split, count(*) AS "rows" FROM s GROUP BY split UNION ALL SELECT 'all', count(*) FROM s)
+    SELECT split, "rows", TRUE AS good, stored FROM r, n
+    """,
+)
+def gbt_jobs_from_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """The training and the scoring job over a CSV source: model saved, loaded, predictions stored."""
+    source, model = scratch_path(spark, "lines"), scratch_path(spark, "model")
+    lines = banded_lines(spark, folder).select(*LINE_KEYS, *BAND_TASK.features, "band")
+    write_csv(lines, source)
+    train_job(read_csv(spark, source, lines.schema), BAND_TASK, model)
+    store = scratch_table(spark, "predictions")
+    done = score_job(read_csv(spark, source, lines.schema), BAND_TASK, model, store, nearest=True)
+    shares = spark.createDataFrame([(split, n, hit) for split, (n, hit) in done.accuracy.items()], "split string, rows long, accuracy double")
+    stored = read_object(spark, store, load=done.predictions.load).count()
+    return shares.select("split", "rows", (F.col("accuracy") > 0.9).alias("good"), F.lit(stored).cast("long").alias("stored"))
+
+
+@query(
+    "gbt_regression_from_csv",
+    f"""
+    WITH s AS (SELECT {_SPLIT_25_SQL} AS split FROM lineitem WHERE l_linenumber < 7)
+    SELECT split, count(*) AS "rows", TRUE AS good FROM s GROUP BY split
+    UNION ALL SELECT 'all', count(*), TRUE FROM s
+    """,
+)
+def gbt_regression_from_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """The regression job over a CSV source with marked gaps; the error is under half the target's deviation."""
+    path, lines = scratch_path(spark, "lines"), gappy_lines(spark, folder)
+    write_csv(lines, path, missing="NA")
+    errors = regression_job(spark, path, NET_TASK, schema=lines.schema)
+    spread = lines.agg(F.stddev_pop("net")).first()[0]
+    return errors.select("split", "rows", (F.col("mae") < F.lit(spread) / 2).alias("good"))

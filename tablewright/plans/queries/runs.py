@@ -11,7 +11,7 @@ from tablewright.operators.feeds import ObjectType
 from tablewright.operators.filters import stacked
 from tablewright.plans.queries.registry import query, table
 from tablewright.plans.queries.storage import scratch_table
-from tablewright.plans.roundtrip import geometric_series, run_volumes, shape_for_store
+from tablewright.plans.roundtrip import geometric_series, run_volumes, shape_for_store, volume_grid
 from tablewright.plans.workloads import volume_run
 from tablewright.schemas import FACTS
 from tablewright.session import scratch_path
@@ -172,3 +172,24 @@ def volume_run_by_type(spark: SparkSession, folder: str) -> DataFrame:
         lead = ",".join([*held.columns[:3], str(held.count())])
         sides.append(stats.select(F.lit(kind.value).alias("kind"), "freq", "record_count", "iteration", F.lit(lead).alias("stored")))
     return stacked(sides)
+
+
+@query(
+    "volume_grid_runs",
+    """
+    WITH q AS (SELECT count(*) // 2 AS q FROM orders)
+    SELECT freq, record_count, iteration, 9 * q AS stored, TRUE AS timed
+    FROM q, (VALUES (1, 1, 0), (1, 2, 0), (2, 1, 0), (2, 1, 1), (2, 2, 0), (2, 2, 1)) AS c (freq, times, iteration),
+         LATERAL (SELECT times * q AS record_count) AS r
+    """,
+)
+def volume_grid_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The grid of doubled volumes and frequencies, from CSV facts for half of and all orders."""
+    path = scratch_path(spark, "facts")
+    orders = table(spark, folder, "orders")
+    write_csv(facts_for(orders, "o_orderkey", seed=5), path)
+    store = scratch_table(spark, "sales")
+    grid = volume_grid(spark, orders.count() // 2, 2, 2)
+    stats = volume_run(spark, path, store, ObjectType.STANDARD_TRANSACTIONAL, grid, schema=FACTS)
+    timed = (F.col("read_s") > 0) & (F.col("write_s") > 0)
+    return stats.select("freq", "record_count", "iteration", F.lit(read_object(spark, store).count()).cast("long").alias("stored"), timed.alias("timed"))
