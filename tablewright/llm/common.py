@@ -41,17 +41,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def kept(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written and read back; then the shuffle files of what is finished may go.
-
-    Spark removes them when its driver collects garbage, which a long job with little to do on
-    the driver would otherwise put off to its end.
-    """
-    out = written(df, label)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
 def whole_texts(docs: DataFrame) -> DataFrame:
     """``doc_id`` and the UTF-8 bytes of ``text``; null counts as empty, other columns go."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr("coalesce(cast(text as binary), X'')").alias("text"))

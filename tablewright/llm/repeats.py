@@ -1,151 +1,186 @@
 """Repeated passages by prefix-free parsing.
 
-A rolling hash over a few bytes sets triggers in every text. A phrase runs from behind one
-trigger to the end of the window (a string of ``length`` bytes) that begins at the next, so
-phrases overlap by a window, each window of the corpus lies in one phrase, and equal windows
-lie at the same distance before equal triggers. The corpus is then a dictionary of phrases and
-a parse that says where they occur.
-
-All windows of a phrase that the parse holds twice are repeated. Others need the suffixes of
-the dictionary: windows in the order of their fingerprints, where equal ones are neighbours,
-each with the occurrences that the parse has of its phrase. Only windows whose trigger is
-followed by the same bytes as another's are looked at, and those of repeated phrases once each.
-
-Orders are by fingerprint rather than alphabetical: which strings are equal, and so the
-result, does not depend on the order of the alphabet.
+A rolling hash over a few bytes sets triggers: each window (a string of ``length`` bytes) has
+as its trigger the place of the least hash among its first ``reach`` ones, the last such place
+on a tie. So equal windows have their triggers at the same distance, every window has one, and
+a phrase is a run of windows that share their trigger. The corpus is a dictionary of phrases
+and a parse that says where they occur.
+
+All windows of a phrase that the parse holds twice are repeated. Other windows can only be
+repeated where phrases have the same core, the bytes that all windows have in common whose
+triggers lie in one range of distances. Of such phrases the dictionary is cut into finer ranges
+of distances, once each with the number of their occurrences, and so on down to single windows.
+What is left shrinks from step to step, as longer cores are shared by fewer phrases.
+
+Strings are in the order of their digests rather than alphabetical: which are equal, and so the
+result, does not depend on the order of the alphabet. Cores only say where to look; strings
+count as equal when their 128-bit BLAKE2 digests are.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from tablewright.llm.common import kept, mapped, mapped_arrays, numbered, numbered_texts, unused
+from tablewright.llm.common import mapped, mapped_arrays, numbered, numbered_texts, unused
 from tablewright.operators.sizes import broadcast_if_small
 from tablewright.session import written
 
-BROADCAST_CONTEXTS = 6_000_000
-BLOCK = 1 << 21  # bytes of a text that are hashed at once
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+BROADCAST_CORES = 6_000_000
+_PLACE = 20  # bits of a place in a block and the bytes behind it
+_ODD = np.random.default_rng(20_000).integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
 
 
 @dataclass(frozen=True)
 class Passages:
-    """Bytes of a window, of the rolling hash, and after a trigger that must repeat: ``context`` for
-    any window of its phrase, ``further`` for those that begin near it. 1 in ``every`` positions is
-    a trigger."""
+    """Bytes of a window and of the rolling hash; ``steps`` are the widths of the ranges of
+    distances, from all places that a window's trigger can have (``reach``) to one. The rolling
+    hash and the reach are powers of two. ``block`` windows of a text are looked at together, so
+    work does not grow with the longest text; fewer ``core_bits`` only mean more to look at."""
 
     length: int = 400
-    rolling: int = 12
-    context: int = 100
-    further: int = 300
-    every: int = 48
+    rolling: int = 16
+    steps: tuple[int, ...] = (128, 16, 1)
+    block: int = 1 << 18
+    core_bits: int = 64
+
+    def __post_init__(self):
+        if self.reach + self.rolling - 1 > self.length or self.steps[-1] != 1:
+            raise ValueError("the hashes of a window must lie inside it, and the last step is 1")
+        if any(n & (n - 1) for n in (self.reach, self.rolling)):
+            raise ValueError("the rolling hash and the reach must be powers of two")
+        if not 0 < self.block <= (1 << _PLACE) - 2 * self.length or not 0 < self.core_bits <= 64:
+            raise ValueError("a place in a block has 20 bits, a core's hash at most 64")
 
     @property
     def reach(self) -> int:
-        """A window's phrase ends at the first trigger in so many bytes; without one, at its own start."""
-        return self.length - self.context
-
-
-class Rolling:
-    """Fingerprints of all substrings of some bytes, in two independent 64-bit hashes."""
-
-    _table = np.random.default_rng(20_000).integers(0, 1 << 63, (2, 256), dtype=np.uint64) | np.uint64(1)
-    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def __init__(self, data: bytes, hashes: int = 2):
-        cells = np.frombuffer(data, np.uint8)
-        self.sums = []
-        self.back = []
-        for k in range(hashes):
-            power, back = self._of(k, len(cells))
-            with np.errstate(over="ignore"):
-                sums = np.zeros(len(cells) + 1, np.uint64)
-                np.cumsum(self._table[k][cells] * power[:len(cells)], out=sums[1:])
-            self.sums.append(sums)
-            self.back.append(back)
-
-    @classmethod
-    def _of(cls, k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if k not in cls._powers or len(cls._powers[k][0]) <= n:
-            size = max(1 << 17, 1 << n.bit_length())
-            with np.errstate(over="ignore"):
-                made = []
-                for base in (_BASES[k], pow(_BASES[k], -1, 1 << 64)):
-                    powers = np.full(size, base, np.uint64)
-                    powers[0] = 1
-                    made.append(np.cumprod(powers))
-            cls._powers[k] = tuple(made)
-        return cls._powers[k]
-
-    def of(self, k: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Hash ``k`` of the bytes from start to stop, mixed with their number."""
-        with np.errstate(over="ignore"):
-            value = (self.sums[k][stop] - self.sums[k][start]) * self.back[k][start]
-            value = (value ^ (value >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9) + (stop - start).astype(np.uint64)
-            return (value ^ (value >> np.uint64(29))).view(np.int64)
-
-
-def phrases(text: bytes, how: Passages):
-    """start, stop, anchor, context, further, phrase of a text's phrases, as arrays, block by block.
-
-    A phrase holds the windows that begin from ``start`` to ``stop - length``.
+        return self.steps[0]
+
+
+def triggers(data: bytes, how: Passages) -> np.ndarray:
+    """The place of the trigger of every window of ``data``, by where the window begins."""
+    hashes = _ODD[np.frombuffer(data, np.uint8, len(data) - how.length + how.reach + how.rolling - 1)]
+    size, factor = 1, _BASE
+    while size < how.rolling:  # hashes of twice as many bytes
+        hashes = hashes[:-size] * np.uint64(factor) + hashes[size:]
+        size, factor = 2 * size, factor * factor % (1 << 64)
+    hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    most = np.uint64((1 << _PLACE) - 1)
+    least = (hashes & ~most) | (most - np.arange(len(hashes), dtype=np.uint64))
+    size = 1
+    while size < how.reach:  # least of twice as many places
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    return (most - (least & most)).astype(np.int64)
+
+
+def phrases(data: bytes, how: Passages) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows and trigger of the phrases of ``data``."""
+    at = triggers(data, how)
+    start = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
+    return start, np.diff(np.append(start, len(at))), at[start]
+
+
+def cells(start: np.ndarray, count: np.ndarray, trigger: np.ndarray, width: int, how: Passages):
+    """Runs of windows cut where the trigger's distance reaches a multiple of ``width``.
+
+    Arrays of which run a cell is from, its first window and number of windows, and the first
+    and last place of its core.
     """
-    last = len(text) - how.length  # start of the last window
-    start = 0
-    for low in range(0, last + 1, BLOCK):
-        high = min(low + BLOCK, last + 1)
-        base = max(0, low - how.length)
-        rolling = Rolling(text[base:high + 2 * how.length])
-        n = len(rolling.sums[0]) - 1
-        at = np.arange(low - base, min(high - base + how.reach, n - how.rolling + 1))
-        trigger = rolling.of(0, at, at + how.rolling).view(np.uint64) % np.uint64(how.every) == 0
-        marks = at[trigger]
-        # Positions that no trigger follows within reach end phrases of their own.
-        after = np.searchsorted(marks, at)
-        following = np.append(marks, np.iinfo(np.int64).max)[after]
-        bare = at[(following - at > how.reach) & (at < high - base)]
-        ends = np.union1d(marks, bare)
-        ends = ends[ends + how.context <= n]
-        # The phrases of the windows that begin in this block.
-        begin = max(start - base, 0)
-        ends = ends[ends >= begin]
-        inner = ends[ends < high - base]
-        if high <= last:  # the phrase that reaches into the next block belongs to it
-            stops = inner
-        else:
-            stops = ends[:len(inner) + 1] if not len(inner) or inner[-1] < last - base else inner
-        if not len(stops):
-            continue
-        starts = np.concatenate([[begin], stops[:-1] + 1])
-        tails = np.minimum(stops, last - base) + how.length
-        context = rolling.of(1, stops, stops + how.context)
-        further = rolling.of(1, stops, np.minimum(stops + how.further, n))
-        yield starts + base, tails + base, stops + base, context, further, rolling.of(0, starts, tails)
-        start = int(stops[-1]) + 1 + base
+    low = (trigger - start - count + 1) // width
+    number = (trigger - start) // width - low + 1
+    of = np.repeat(np.arange(len(start)), number)
+    head = trigger[of] - width * (low[of] + np.arange(len(of)) - np.repeat(np.cumsum(number) - number, number))
+    first = np.maximum(start[of], head - width + 1)
+    last = np.minimum(start[of] + count[of] - 1, head)
+    return of, first, last - first + 1, head, head - width + 1 + how.length
+
+
+def _cores(data: memoryview, head: np.ndarray, end: np.ndarray, how: Passages) -> np.ndarray:
+    found = [xxhash.xxh3_64_intdigest(data[a:z]) for a, z in zip(head.tolist(), end.tolist())]
+    return (np.array(found, np.uint64) >> np.uint64(64 - how.core_bits)).view(np.int64)
+
+
+def _name(data: memoryview, a: int, z: int) -> bytes:
+    return hashlib.blake2b(data[a:z], digest_size=16).digest()
+
+
+def _block(how: Passages) -> Column:
+    return F.floor(F.col("start") / how.block).cast("int")
+
+
+def blocks(texts: DataFrame, how: Passages) -> DataFrame:
+    """row, block and data of all texts that hold a window: ``block`` windows each, or what is left."""
+    last = F.octet_length("text") - how.length
+    cut = texts.filter(last >= 0).select("row", "text", F.posexplode(F.sequence(F.lit(0), last, F.lit(how.block))).alias("block", "base"))
+    return cut.select("row", "block", F.expr(f"substring(text, base + 1, {how.block + how.length - 1})").alias("data"))
+
+
+def cores(texts: DataFrame, how: Passages) -> DataFrame:
+    """core of every phrase of the parse."""
+
+    def run(batches):
+        for b in batches:
+            for data in b["data"]:
+                view = memoryview(data)
+                *_, head, end = cells(*phrases(data, how), how.reach, how)
+                yield [_cores(view, head, end, how)]
+
+    return mapped_arrays(blocks(texts, how).select("data"), run, "core long")
+
+
+_PARTS = "row long, start int, windows int, ahead int, often long, core long, name binary"
+
+
+def _parts(row: int, block: int, data: bytes, runs: tuple[np.ndarray, ...], often: np.ndarray, width: int, how: Passages) -> list:
+    view, base = memoryview(data), block * how.block
+    start, count, trigger = runs
+    of, first, windows, head, end = cells(start, count, trigger, width, how)
+    names = [_name(view, a, z) for a, z in zip(first.tolist(), (first + windows + how.length - 1).tolist())]
+    return [np.full(len(of), row, np.int64), first + base, windows, trigger[of] - first, often[of], _cores(view, head, end, how), names]
 
 
 def parse(texts: DataFrame, how: Passages) -> DataFrame:
-    """row, start, stop, anchor, context, further, phrase of all texts that hold a window.
+    """The phrases of all texts that hold a window, of ``windows`` windows from ``start`` on.
 
-    ``anchor`` is the place of the trigger that ends the phrase, ``context`` and ``further`` hash
-    the bytes behind it, ``phrase`` those of the whole phrase; it and ``context`` name the phrase.
+    ``ahead`` is how far after ``start`` the trigger lies, ``often`` 1, ``core`` a hash of the
+    core and ``name`` a digest of the phrase from its first window's begin to its last one's end.
     """
 
     def run(batches):
         for b in batches:
-            rows = [(doc, part) for doc, text in zip(b["row"], b["text"]) if len(text) >= how.length for part in phrases(text, how)]
-            if rows:
-                sizes = [len(part[0]) for _, part in rows]
-                yield [np.repeat(np.array([doc for doc, _ in rows], np.int64), sizes), *(np.concatenate([part[i] for _, part in rows]) for i in range(6))]
+            for row, block, data in zip(b["row"], b["block"], b["data"]):
+                runs = phrases(data, how)
+                yield _parts(row, block, data, runs, np.ones(len(runs[0]), np.int64), how.reach, how)
+
+    return mapped_arrays(blocks(texts, how), run, _PARTS)
 
-    return mapped_arrays(texts.select("row", "text"), run, "row long, start long, stop long, anchor long, context long, further long, phrase long")
+
+def finer(texts: DataFrame, dictionary: DataFrame, width: int, how: Passages) -> DataFrame:
+    """The strings of ``dictionary`` cut into ranges of ``width`` distances, as ``parse`` gives phrases."""
+    whole = F.collect_list(F.struct("start", "windows", "ahead", "often")).alias("runs")
+    runs = dictionary.withColumn("block", _block(how)).groupBy("row", "block").agg(whole)
+    names = ("start", "windows", "ahead", "often")
+    runs = written(runs.select("row", "block", *(F.col(f"runs.{c}").alias(c) for c in names)), "open-phrases")
+
+    def run(batches):
+        for b in batches:
+            for row, block, data, *own in zip(*(b[c] for c in ("row", "block", "data", *names))):
+                start, count, ahead, often = (np.array(x, np.int64) for x in own)
+                start -= block * how.block
+                yield _parts(row, block, data, (start, count, start + ahead), often, width, how)
+
+    few = texts.join(broadcast_if_small(runs.select("row").distinct()), "row", "left_semi")
+    return mapped_arrays(blocks(few, how).join(broadcast_if_small(runs), ["row", "block"]), run, _PARTS)
 
 
 def repeated_spans(texts: DataFrame, how: Passages = Passages()) -> DataFrame:
@@ -155,59 +190,44 @@ def repeated_spans(texts: DataFrame, how: Passages = Passages()) -> DataFrame:
     when the same ``length`` bytes begin anywhere else, in the same text too. Spans are sorted
     and do not touch. Only rows with a span are listed. An empty table gives no rows.
     """
-    found = parse(texts, how)
-    twice = found.groupBy("context").agg(F.count(F.lit(1)).alias("often")).filter("often > 1").select("context")
-    twice = kept(twice, "repeated-contexts")
+    twice = cores(texts, how).groupBy("core").agg(F.count(F.lit(1)).alias("often")).filter("often > 1").select("core")
+    twice = written(twice, "repeated-cores")
     # 64-bit numbers: their count is their size. Beyond the bound the phrases are shuffled to them.
-    near_by = F.broadcast(twice) if twice.count() <= BROADCAST_CONTEXTS else twice
-    able = kept(found.join(near_by, "context", "left_semi"), "phrases")
-    origin = F.min(F.struct("row", "start", "stop", "anchor")).alias("origin")
-    name = ["context", "phrase"]
-    dictionary = kept(able.groupBy(*name).agg(F.first("further").alias("further"), F.count(F.lit(1)).alias("often"), origin), "dictionary")
-    whole = able.join(dictionary.filter("often > 1").select(*name), name, "left_semi").select("row", "start", "stop")
-    whole = kept(whole, "repeated-phrases")
-
-    # Phrases to look into: those that occur once, and what could hold the same windows. They
-    # can be repeated inside one phrase too, where the text is periodic.
-    open_contexts = dictionary.groupBy("context").agg(F.min("often").alias("least")).filter("least = 1").select("context")
-    far = dictionary.groupBy("further").agg(F.sum("often").alias("all")).filter("all > 1").select("further", F.lit(True).alias("near"))
-    single = dictionary.join(open_contexts, "context", "left_semi").join(far, "further", "left")
-    reach = how.length - how.further
-    last = F.when(F.col("near"), F.col("origin.stop")).otherwise(F.least("origin.stop", F.col("origin.anchor") - reach - 1 + how.length))
-    single = single.select("origin.row", "origin.start", last.alias("stop"), "often").filter(F.col("stop") - F.col("start") >= how.length)
-    sources = single.groupBy("row").agg(F.collect_list(F.struct("start", "stop", "often")).alias("parts"))
-    sources = kept(sources.select("row", *(F.col(f"parts.{c}").alias(c) for c in ("start", "stop", "often"))), "open-phrases")
-
-    def windows(batches):
-        for b in batches:
-            made = []
-            for doc, text, starts, stops, often in zip(*(b[c] for c in ("row", "text", "start", "stop", "often"))):
-                counts = np.array(stops) - np.array(starts) - how.length + 1
-                at = np.repeat(np.array(starts) - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-                low = min(starts)
-                rolling = Rolling(text[low:max(stops)])
-                made.append((doc, at, np.repeat(often, counts), *(rolling.of(k, at - low, at - low + how.length) for k in (0, 1))))
-            if made:
-                yield [np.repeat([m[0] for m in made], [len(m[1]) for m in made]), *(np.concatenate([m[i] for m in made]) for i in range(1, 5))]
-
-    open_texts = texts.select("row", "text").join(broadcast_if_small(sources), "row")
-    suffixes = kept(mapped_arrays(open_texts, windows, "row long, start long, often long, w1 long, w2 long"), "suffixes")
-    again = suffixes.groupBy("w1", "w2").agg(F.sum("often").alias("all")).filter("all > 1").select("w1", "w2")
-    some = suffixes.filter("often = 1").join(again, ["w1", "w2"], "left_semi").select("row", "start", (F.col("start") + how.length).alias("stop"))
+    near_by = F.broadcast(twice) if twice.count() <= BROADCAST_CORES else twice
+    parts = written(parse(texts, how).join(near_by, "core", "left_semi"), "phrases")
+    found = []
+    for width in how.steps[1:] + (0,):
+        # Of equal strings, windows and ahead are equal too: the first occurrence stands for all.
+        dictionary = parts.groupBy("core", "name", "windows", "ahead").agg(F.sum("often").alias("often"), F.min(F.struct("row", "start")).alias("at"))
+        dictionary = written(dictionary.select("core", "name", "windows", "ahead", "often", "at.row", "at.start"), "dictionary")
+        again = broadcast_if_small(dictionary.filter("often > 1").select("name"))
+        # A string that occurs more often than once is a part of one that was found before.
+        found.append(parts.filter("often = 1").join(again, "name", "left_semi").select("row", "start", (F.col("start") + F.col("windows") + how.length - 1).alias("stop")))
+        if width:
+            several = dictionary.groupBy("core").agg(F.count(F.lit(1)).alias("strings"), F.min("often").alias("least"))
+            several = written(several.filter("strings > 1 and least = 1").select("core"), "open-cores")
+            parts = written(finer(texts, dictionary.join(broadcast_if_small(several), "core", "left_semi"), width, how), "finer-phrases")
 
     def merge(batches):
         for b in batches:
-            for doc, starts, stops in zip(b["row"], b["start"], b["stop"]):
+            for row, edges in zip(b["row"], b["edges"]):
                 spans: list[int] = []
-                for start, stop in sorted(zip(starts, stops)):
+                for start, stop in sorted((e["start"], e["stop"]) for e in edges):
                     if spans and start <= spans[-1]:
                         spans[-1] = max(spans[-1], stop)
                     else:
                         spans += [start, stop]
-                yield doc, spans
-
-    covered = whole.unionByName(some).groupBy("row").agg(F.collect_list("start").alias("start"), F.collect_list("stop").alias("stop"))
-    return mapped(covered, merge, "row long, spans array<bigint>")
+                yield row, spans
+
+    # First within blocks, so that no list is longer than a block; then the few spans of a text.
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    edges = F.collect_list(F.struct("start", "stop")).alias("edges")
+    by_block = mapped(every.groupBy("row", _block(how).alias("block")).agg(edges).select("row", "edges"), merge, "row long, spans array<int>")
+    pairs = F.expr("transform(sequence(0, size(spans) - 1, 2), i -> struct(spans[i] AS start, spans[i + 1] AS stop))")
+    whole = by_block.groupBy("row").agg(F.flatten(F.collect_list(pairs)).alias("edges"))
+    return mapped(whole, merge, "row long, spans array<bigint>")
 
 
 def without_repeats(docs: DataFrame, how: Passages = Passages()) -> DataFrame:

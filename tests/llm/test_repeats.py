@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.llm import repeats
-from tablewright.llm.repeats import Passages, cut_repeats, phrases, without_repeats
+from tablewright.llm.repeats import Passages, cells, cut_repeats, phrases, without_repeats
 
 
 def covered(texts: list[bytes], length: int) -> list[np.ndarray]:
@@ -50,13 +50,45 @@ def corpus(seed: int) -> list[str | None]:
     return docs
 
 
-@pytest.mark.parametrize("block", [1 << 21, 1_000, 700])
-def test_every_window_lies_in_one_phrase(monkeypatch, block):
-    monkeypatch.setattr(repeats, "BLOCK", block)
+def window_texts():
     random.seed(3)
-    for text in (bytes(random.choice(b"abcd ") for _ in range(5000)), b"a" * 3000, b"ab" * 300 + bytes(random.choice(b"xyz") for _ in range(900)), b"x" * 400):
-        starts = [i for part in phrases(text, Passages()) for s, e, *_ in zip(*part) for i in range(s, e - 399)]
-        assert starts == list(range(len(text) - 399))
+    noise = bytes(random.choice(b"abcd ") for _ in range(5000))
+    return [noise, b"a" * 3000, b"ab" * 300 + bytes(random.choice(b"xyz") for _ in range(900)), b"x" * 400, b"y" + noise[100:2000] + b"z"]
+
+
+def test_a_trigger_is_the_least_hash_and_depends_on_the_window_alone():
+    how = Passages()
+    where: dict[bytes, int] = {}
+    for text in window_texts():
+        for start, trigger in enumerate(repeats.triggers(text, how).tolist()):
+            assert 0 <= trigger - start < how.reach
+            assert where.setdefault(text[start:start + 400], trigger - start) == trigger - start
+
+
+@pytest.mark.parametrize("width", Passages().steps)
+def test_every_window_lies_in_one_cell_around_its_core(width):
+    how = Passages()
+    for text in window_texts():
+        runs = phrases(text, how)
+        starts = []
+        for _, first, windows, head, end in zip(*cells(*runs, width, how)):
+            starts += range(first, first + windows)
+            assert first + windows - 1 <= head and end <= first + how.length and end - head == how.length - width + 1
+        assert sorted(starts) == list(range(len(text) - 399))
+
+
+def test_hashes_that_reach_out_of_a_window_are_refused():
+    for wrong in ({"length": 100}, {"steps": (128, 16)}, {"rolling": 12}, {"block": 1 << 20}):
+        with pytest.raises(ValueError):
+            Passages(**wrong)
+
+
+@pytest.mark.parametrize("how", [Passages(block=700), Passages(core_bits=1), Passages(length=64, rolling=4, steps=(32, 1))])
+def test_other_blocks_colliding_cores_and_other_lengths(spark, how):
+    texts = [t for t in corpus(7) if t] + ["ab " * 1000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.n_removed for r in without_repeats(docs, how).collect()}
+    assert found == {i: own.sum() for i, own in enumerate(covered([t.encode() for t in texts], how.length))}
 
 
 @pytest.mark.parametrize("seed", [1, 2])
