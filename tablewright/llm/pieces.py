@@ -1,5 +1,9 @@
 """Encoding and decoding with the pieces of a SentencePiece model.
 
+The best segmentation is the one with the greatest sum of log-probabilities. A unigram model has
+them as its scores. Those of a byte-pair model are ranks of merges, which cannot be added up:
+there the pieces' probabilities fall as one over their rank.
+
 An Aho-Corasick automaton over all pieces reads a text once. At each position it reports the
 pieces that end there, the longest first and then along its output links, and each relaxes
 the best score of that position: a Viterbi search without a second look at the text.
@@ -7,6 +11,7 @@ the best score of that position: a Viterbi search without a second look at the t
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from collections.abc import Sequence
@@ -20,10 +25,29 @@ UNKNOWN = 10.0  # below the worst piece, the score of a character that no piece
 CACHED = 200_000  # words whose pieces a Python worker remembers
 
 
+RANK = 10  # the piece at place r, from 0, weighs 1 / (r + RANK)
+
+
+def rank_scores(scores: list[float]) -> list[float]:
+    """Log-probabilities that fall as one over the places of ``scores``, greatest first.
+
+    They are in single precision, as a model file holds scores.
+    """
+    order = sorted(range(len(scores)), key=lambda i: -scores[i])
+    total = math.log(sum(1 / (r + RANK) for r in range(len(scores)))) if scores else 0.0
+    out = [0.0] * len(scores)
+    for r, i in enumerate(order):
+        out[i] = -math.log(r + RANK) - total
+    return array("f", out).tolist()
+
+
 class Pieces:
-    """Pieces and scores of a model file, the automaton over them, and the search."""
+    """Pieces and scores of a model file, the automaton over them, and the search.
 
-    def __init__(self, path: str):
+    ``ranks`` says that the file's scores are ranks, as those of byte-pair models are.
+    """
+
+    def __init__(self, path: str, ranks: bool = False):
         import ahocorasick
         import sentencepiece
 
@@ -33,7 +57,7 @@ class Pieces:
         self.byte_ids: dict[int, int] = {}
         self.unknown_id = model.unk_id()
         self.automaton = ahocorasick.Automaton()
-        scores = []
+        usual, scores = [], []
         for i in range(size):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -43,8 +67,12 @@ class Pieces:
                 self.texts.append("�".encode() if i == self.unknown_id else b"")
             else:
                 self.texts.append(piece.encode())
+                usual.append((i, piece))
                 scores.append(model.get_score(i))
-                self.automaton.add_word(piece, (i, len(piece), scores[-1]))
+        if ranks:
+            scores = rank_scores(scores)
+        for (i, piece), score in zip(usual, scores):
+            self.automaton.add_word(piece, (i, len(piece), score))
         self.automaton.make_automaton()
         self.lowest = min(scores, default=0.0) - UNKNOWN
         whole = [t for t in self.texts if len(t) > 1]
@@ -123,25 +151,25 @@ class Pieces:
         return text[1:] if text[:1] == b" " else text
 
 
-_models: dict[str, Pieces] = {}
+_models: dict[tuple[str, bool], Pieces] = {}
 
 
-def _model(path: str) -> Pieces:
-    if path not in _models:
-        _models[path] = Pieces(path)
-    return _models[path]
+def _model(path: str, ranks: bool = False) -> Pieces:
+    if (path, ranks) not in _models:
+        _models[path, ranks] = Pieces(path, ranks)
+    return _models[path, ranks]
 
 
-def encoded(docs: DataFrame, model: str) -> DataFrame:
-    """Per document: doc_id, ids (array of int), score and uncovered.
+def encoded(docs: DataFrame, model: str, ranks: bool = False) -> DataFrame:
+    """Per document: doc_id, ids (binary, little-endian 32-bit numbers), score and uncovered.
 
-    ``model`` is a file that every executor can open. Each piece's own score counts; the best
-    sum wins. Null and empty texts have no ids and score 0. Repeated rows repeat; an empty
+    ``model`` is a file that every executor can open. The best sum of the pieces' scores wins:
+    their own, or with ``ranks`` those of ``rank_scores``. Null and empty texts have no ids and score 0. Repeated rows repeat; an empty
     table gives no rows.
     """
 
     def run(batches):
-        pieces = _model(model)
+        pieces = _model(model, ranks)
         for b in batches:
             for doc, text in zip(b["doc_id"], b["text"]):
                 yield doc, *pieces.encode(text.decode("utf-8", "replace"))

@@ -103,9 +103,9 @@ FROM placed WHERE page_id % 101 = 5 OR a <> b
 
 
 def op8_piece_coding(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document encoded and decoded again."""
+    """Every document encoded and decoded again; the file is a byte-pair model, so its scores are ranks."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    codes = pieces.encoded(table(spark, folder, "documents"), model).withColumns(
+    codes = pieces.encoded(table(spark, folder, "documents"), model, ranks=True).withColumns(
         {"n_ids": (F.octet_length("ids") / 4).cast("long"), "ids_crc32": F.crc32("ids")})
     kept = ["n_ids", "ids_crc32", "score", "uncovered"]
     return pieces.decoded(codes, model, kept).select("doc_id", *kept, F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
