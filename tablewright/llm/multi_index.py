@@ -90,10 +90,9 @@ def learn_codes(sample: np.ndarray, neighbours: int, seed: int = 1) -> Codes:
 
 
 def usable_vectors(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
-    """vec_id and x, the vector as float64 bytes, of the vectors that take part.
+    """vec_id, n and x, the vector's length and float64 bytes, of the vectors that take part.
 
-    Vectors that are null, zero, or hold a null, infinite or not-a-number component do not;
-    nor do those of another than the most frequent length (the greater one on a tie).
+    Vectors that are null, zero, or hold a null, infinite or not-a-number component do not.
     """
 
     def run(batches):
@@ -104,9 +103,7 @@ def usable_vectors(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
                     if np.isfinite(x).all() and x.any():
                         yield i, len(x), x.tobytes()
 
-    kept = written(mapped(vectors.select(F.col("vec_id").cast("long"), F.col(vector).alias("v")), run, "vec_id long, n int, x binary"), "vectors")
-    common = kept.groupBy("n").count().orderBy(F.desc("count"), F.desc("n")).first()
-    return kept.filter(F.col("n") == (common["n"] if common else 0)).select("vec_id", "x")
+    return written(mapped(vectors.select(F.col("vec_id").cast("long"), F.col(vector).alias("v")), run, "vec_id long, n int, x binary"), "vectors")
 
 
 def _found(codes: Codes, limits: list[int], radius: int, whole_radius: int) -> Column:
@@ -156,17 +153,25 @@ def nearest(vectors: DataFrame, queries: Column, neighbours: int = 10, vector: s
     ``neighbours + 1`` ids stand for all, as no others can be among the nearest. A query whose
     radii hold too few rows is asked again with greater ones, at last over all codes, so
     every query gets ``neighbours`` rows or all others. Rows that repeat a vec_id and vector
-    count once. An empty table, or one without usable vectors, gives no rows.
+    count once. Vectors of each length have an index of their own, as only they have a
+    distance. An empty table, or one without usable vectors, gives no rows.
     """
-    usable = usable_vectors(vectors, vector).dropDuplicates()
+    usable = usable_vectors(vectors, vector)
+    lengths = [r.n for r in usable.select("n").distinct().orderBy("n").collect()]
+    found = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for n in lengths:
+        found = found.unionByName(_nearest(usable.filter(F.col("n") == n).select("vec_id", "x"), queries, neighbours))
+    return found
+
+
+def _nearest(usable: DataFrame, queries: Column, neighbours: int) -> DataFrame:
+    """``nearest`` for usable vectors of one length, at least one."""
+    usable = usable.dropDuplicates()
     by_vector = Window.partitionBy("x").orderBy("vec_id")
     members = usable.withColumn("place", F.row_number().over(by_vector)).filter(F.col("place") <= neighbours + 1)
     members = written(members.withColumn("entry", F.first("vec_id").over(by_vector)), "vector-members")
     entries = members.filter("place = 1").select("vec_id", "x")
     sample = entries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("x").collect()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not sample:
-        return vectors.sparkSession.createDataFrame([], schema)
     codes = learn_codes(np.stack([np.frombuffer(r.x) for r in sample]), neighbours)
 
     def coded(batches):

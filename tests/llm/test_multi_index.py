@@ -37,6 +37,13 @@ def test_edges_ties_and_few_rows(spark):
         assert nearest(empty, F.col("vec_id") == 0).count() == 0
 
 
+def test_each_length_is_searched(spark):
+    rows = [(1, [1.0, 0.0, 0.0], None), (2, [1.0, 1.0, 0.0], None), (3, [0.0, 0.0, 5.0], None), (4, [3.0, 0.0], None), (10, [3.0, 4.0], None), (20, [3.0, 1.0], None), (30, [7.0], None)]
+    found = nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 10 == 0)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found.collect())
+    assert got == [(10, 1, 20, 3.0), (10, 2, 4, 4.0), (20, 1, 4, 1.0), (20, 2, 10, 3.0)]
+
+
 def test_recall_on_clustered_vectors(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(5, 8))
