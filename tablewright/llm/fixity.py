@@ -73,10 +73,13 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     Both have file, offset, length and hash. ``status`` is ``changed`` for a record of other
     content or length at its place, ``missing`` for one that the second replica lacks, and
     ``extra`` for one that only the second has. Equal replicas, empty ones too, give no rows.
-    A place that holds several records is compared by all of their hashes at once.
+    A place that holds several records is compared by all of their hashes at once. Offsets
+    below 0 or from 2**WHOLE on are refused, as they would be taken for places in other files.
     """
-    top = [r.agg(F.max("file")).first()[0] for r in (first, second)]
-    files = max([t for t in top if t is not None], default=0) + 1
+    top = [r.agg(F.max("file").alias("file"), F.min("offset").alias("least"), F.max("offset").alias("most")).first() for r in (first, second)]
+    if any(t.most is not None and (t.least < 0 or t.most >= 1 << WHOLE) for t in top):
+        raise ValueError(f"offsets must be from 0 to 2**{WHOLE} - 1")
+    files = max([t.file for t in top if t.file is not None], default=0) + 1
     trees = [tree(r, files) for r in (first, second)]
     suspects = None
     for level, other in zip(*(t[::-1] for t in trees)):

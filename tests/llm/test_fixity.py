@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tablewright.llm.fixity import audit, placed, record
@@ -33,6 +34,13 @@ def test_lengths_repeated_places_and_empty_replicas(spark):
     assert {r.status for r in audit(one, empty).collect()} == {"missing"} and {r.status for r in audit(empty, one).collect()} == {"extra"}
 
 
+@pytest.mark.parametrize("offset", [1 << 40, -1])
+def test_offsets_that_would_reach_into_other_files_are_refused(spark, offset):
+    one = spark.createDataFrame([(0, 0, 5, "a")], SCHEMA)
+    with pytest.raises(ValueError):
+        audit(one, spark.createDataFrame([(0, offset, 5, "a")], SCHEMA))
+
+
 def test_records_and_their_places(spark):
     pages = spark.createDataFrame([(2, "http://x/", "<p>é"), (1, None, None), (3, "u", "v"), (3, "u", "v")], "page_id long, url string, html string")
     bodies = {r.page_id: bytes(r.r) for r in pages.select("page_id", record().alias("r")).collect()}
