@@ -19,8 +19,6 @@ from tablewright.llm.common import mapped
 from tablewright.operators.sizes import broadcast_if_small
 from tablewright.session import written
 
-LONGEST_WORD = 24
-LONGEST_LABEL = 63  # of a host name
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 Rules = Sequence[tuple[str, str, str]]  # verdict, host, path
 
@@ -67,15 +65,20 @@ def word_counts(texts: DataFrame, column: str) -> DataFrame:
 def best_split(label: str, counts: dict[str, int], total: int) -> list[str]:
     """The most probable words whose concatenation is ``label``; ties go to longer last words.
 
-    An unseen string of n characters has the probability 10 / (total * 10**n).
+    An unseen string of n characters has the probability 10 / (total * 10**n), however long it
+    is. ``counts`` must hold every seen substring. Of unseen strings that end at a place, only
+    the cheapest begin so far matters, so the work is the label's length times that of ``counts``' lengths.
     """
     best, back = [0.0], [0]
+    sizes = sorted({len(w) for w in counts if counts[w]}, reverse=True)
+    unseen = (math.inf, 0)  # least of best[start] - start
     for end in range(1, len(label) + 1):
-        options = []
-        for start in range(max(0, end - LONGEST_WORD), end):
-            seen = counts.get(label[start:end], 0)
-            cost = math.log10(total) - math.log10(seen) if seen else math.log10(total) - 1 + (end - start)
-            options.append((best[start] + cost, start))
+        unseen = min(unseen, (best[end - 1] - (end - 1), end - 1))
+        # Where the string is seen, its own cost is less, so that option never wins by mistake.
+        options = [(unseen[0] + math.log10(total) - 1 + end, unseen[1])]
+        for size in sizes:
+            if size <= end and (seen := counts.get(label[end - size:end], 0)):
+                options.append((best[end - size] + math.log10(total) - math.log10(seen), end - size))
         cost, start = min(options)
         best.append(cost)
         back.append(start)
@@ -89,20 +92,23 @@ def best_split(label: str, counts: dict[str, int], total: int) -> list[str]:
 def label_words(labels: DataFrame, words: DataFrame) -> DataFrame:
     """label and its words, for the distinct ``labels``; ``words`` has word and n.
 
-    Only substrings of a label meet the counts, in a join, so neither side is broadcast whole;
-    a label has at most ``LONGEST_LABEL * LONGEST_WORD`` substrings. Longer strings than host
-    labels can be are one word.
+    Only substrings of a label meet the counts, in a join, so neither side is broadcast whole.
+    They are of the lengths that words have, all distinct ones, so a label has at most its length
+    times their number.
     """
+    words = words.withColumn("size", F.length(F.col("word").cast("string")))
+    sizes = [r["size"] for r in words.select("size").distinct().orderBy("size").collect()]
 
     def parts(batches):
         for b in batches:
             for label in b["label"]:
-                n = len(label) if len(label) <= LONGEST_LABEL else 0
-                for s in {label[i:j] for i in range(n) for j in range(i + 1, min(n, i + LONGEST_WORD) + 1)} or {label}:
-                    yield label, s.encode()
+                yield label, None  # a label without any seen substring is there too
+                for size in sizes:
+                    for s in {label[i:i + size] for i in range(len(label) - size + 1)}:
+                        yield label, s.encode()
 
     total = max(1, words.agg(F.sum("n")).first()[0] or 0)
-    known = mapped(labels, parts, "label string, word binary").join(words, "word", "left")
+    known = mapped(labels, parts, "label string, word binary").join(words.select("word", "n"), "word", "left")
     lists = known.groupBy("label").agg(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("word", "n"))).alias("seen"))
     lists = lists.select("label", F.transform("seen", lambda s: s["word"]).alias("word"), F.transform("seen", lambda s: s["n"]).alias("n"))
 
@@ -110,7 +116,7 @@ def label_words(labels: DataFrame, words: DataFrame) -> DataFrame:
         for b in batches:
             for label, seen, counts in zip(b["label"], b["word"], b["n"]):
                 own = {w.decode(): n for w, n in zip(seen, counts)}
-                yield label, best_split(label, own, total) if len(label) <= LONGEST_LABEL else [label]
+                yield label, best_split(label, own, total)
 
     return mapped(lists, split, "label string, words array<string>")
 

@@ -55,10 +55,15 @@ def test_best_split_is_best_of_all():
         assert cost(best_split(label, counts, total)) == pytest.approx(min(map(cost, ways)))
 
 
+LONG = "longerthanahostlabelcanbe" * 3
+
+
 def test_labels_meet_counts_of_whole_pages(spark):
-    pages = spark.createDataFrame([(1, "<p class=x>Free BETS, free</p>"), (2, None), (3, "<b>bets")], "page_id long, html string")
+    pages = spark.createDataFrame([(1, "<p class=x>Free BETS, free</p>"), (2, None), (3, "<b>bets " + LONG + " bets" * 7)], "page_id long, html string")
     counts = word_counts(pages, "html")
-    assert {bytes(r.word): r.n for r in counts.collect()} == {b"free": 2, b"bets": 2}
-    labels = spark.createDataFrame([("freebets",), ("x" * 100,)], "label string")
-    assert {r.label: r.words for r in label_words(labels, counts).collect()} == {"freebets": ["free", "bets"], "x" * 100: ["x" * 100]}
+    assert {bytes(r.word): r.n for r in counts.collect()} == {b"free": 2, b"bets": 9, LONG.encode(): 1}
+    words = {"freebets": ["free", "bets"], "x" * 100: ["x" * 100], "free" + LONG + "x" * 300 + "bets": ["free", LONG, "x" * 300, "bets"], "é": ["é"]}
+    labels = spark.createDataFrame([(w,) for w in words], "label string")
+    assert {r.label: r.words for r in label_words(labels, counts).collect()} == words
+    assert label_words(labels, counts.limit(0)).count() == len(words)
     assert host_and_path() is not None
