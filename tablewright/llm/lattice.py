@@ -101,6 +101,7 @@ class Lattice:
         self.longest = vocabulary.longest
         self.tables = []
         self.names = []
+        self.numbers = []
         for pieces in (vocabulary.first, vocabulary.inside):
             names = [p for p in pieces if p]
             keys = np.array([self._hash(p) for p in names], np.uint64)
@@ -113,6 +114,7 @@ class Lattice:
                 by_size[int(size)] = (keys[own], weights[own], own)
             self.tables.append(by_size)
             self.names.append(names)
+            self.numbers.append({p: i for i, p in enumerate(names)})
 
     @staticmethod
     def _hash(piece: bytes) -> int:
@@ -169,6 +171,9 @@ class Lattice:
         return out
 
     def _one(self, word: bytes) -> float:
+        return self._forward_one(word)[-1] + self.vocabulary.stop
+
+    def _forward_one(self, word: bytes) -> list[float]:
         first, inside, longest = self.vocabulary.first, self.vocabulary.inside, self.longest
         alpha = [first[b""]]
         for end in range(1, len(word) + 1):
@@ -179,17 +184,36 @@ class Lattice:
                     terms.append(alpha[start] + weight)
             top = max(terms)
             alpha.append(top + math.log(sum(math.exp(t - top) for t in terms)))
-        return alpha[-1] + self.vocabulary.stop
+        return alpha
+
+    def _expected_one(self, word: bytes, uses: list[np.ndarray]) -> None:
+        """Add one word's expected uses of pieces; its arcs are looked up again rather than held."""
+        first, inside, longest, length = self.vocabulary.first, self.vocabulary.inside, self.longest, len(word)
+        alpha, beta = self._forward_one(word), [0.0] * (length + 1)
+        for start in range(length - 1, -1, -1):
+            arcs = []
+            for end in range(start + 1, min(length, start + longest) + 1):
+                weight = inside.get(piece := word[start:end])
+                if weight is not None:
+                    arcs.append((piece, weight + beta[end]))
+            top = max(t for _, t in arcs)
+            beta[start] = top + math.log(sum(math.exp(t - top) for _, t in arcs))
+            for piece, log in arcs:
+                uses[1][self.numbers[1][piece]] += math.exp(alpha[start] + log - alpha[-1])
+        for end in range(1, min(length, longest) + 1):
+            if (piece := word[:end]) in first:
+                uses[0][self.numbers[0][piece]] += math.exp(first[piece] + beta[end] - alpha[-1])
+        uses[0][-1] += math.exp(first[b""] + beta[0] - alpha[-1])
 
     def expected(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, float]:
-        """Expected uses of first pieces (the bare mark last), of inside pieces, and of stops.
-
-        Words longer than the common ones do not count; there are few, and they are not words.
-        """
+        """Expected uses of first pieces (the bare mark last), of inside pieces, and of stops."""
         uses = [np.zeros(len(self.names[0]) + 1), np.zeros(len(self.names[1]))]
         stops, voc = 0.0, self.vocabulary
         for places, cells in _by_length(words):
             if cells is None:
+                for i in places:
+                    self._expected_one(words[i], uses)
+                stops += len(places)
                 continue
             n, length = cells.shape
             alpha, arcs = self._forward(cells)

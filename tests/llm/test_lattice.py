@@ -51,6 +51,22 @@ def test_expected_uses_raise_the_likelihood(spark):
     assert stops == 1 and first.sum() == pytest.approx(1)
 
 
+def test_long_words_count_in_the_estimate(spark):
+    """A word of more than 64 bytes has the expected uses that the lattice of short ones gives."""
+    lattice, short = Lattice(SMALL), [bytes(w) for n in range(1, 8) for w in product(b"ab", repeat=n)]
+    uses = [np.zeros(len(SMALL.first)), np.zeros(len(SMALL.inside))]
+    for word in short:
+        lattice._expected_one(word, uses)
+    first, inside, stops = lattice.expected(short)
+    assert np.allclose(uses[0], first) and np.allclose(uses[1], inside) and stops == len(short)
+    long = b"bab" * 30
+    first, inside, stops = lattice.expected([long])
+    sizes = np.array([len(p) for p in [*lattice.names[0], b"", *lattice.names[1]]])
+    assert stops == 1 and first.sum() == pytest.approx(1) and sizes @ np.concatenate([first, inside]) == pytest.approx(len(long))
+    better = estimate(spark.createDataFrame([(long, 1)], "word binary, n long"), SMALL, rounds=1)
+    assert Lattice(better).log_q([long])[0] > Lattice(SMALL).log_q([long])[0] + 1
+
+
 def test_scores_of_documents(spark):
     texts = {0: "ab AB b", 1: None, 2: "", 3: "a" * 300, 4: "ab\x0bb ab", 5: "ba É", 6: "ab b", 7: "never seen", 8: "b b b b"}
     docs = spark.createDataFrame([(i, t, "x" if i % 2 else None, 7) for i, t in texts.items()], "doc_id long, text string, lang string, score int")
