@@ -25,6 +25,8 @@ from tablewright.sources.objects import ObjectTable
 
 SPLIT, CODE, RAW, PREDICTED = "split", "label_code", "raw_prediction", "predicted"
 TRAIN, TEST = "train", "test"
+# Fixed value: most training rows of one task, or so. Each is an object of some hundred bytes that every pass reads again.
+ROWS_PER_TASK = 500_000
 
 
 @dataclass(frozen=True)
@@ -37,8 +39,8 @@ class TreeSettings:
     bins: int = 32
     seed: int = 0
     checkpoint_every: int = 10
-    # Spread the training rows over at least this many partitions before the many passes over
-    # them; 0 takes them as scanned. Worth it only for sources with few large files.
+    # Spread the training rows over at least this many partitions, and over one for every
+    # ``ROWS_PER_TASK`` rows of the source, before the many passes over them; 0 takes them as scanned.
     least_partitions: int = 0
 
 
@@ -73,14 +75,16 @@ def _trees(settings: TreeSettings, label: str) -> GBTRegressor:
     )
 
 
-def _fit(stages: list, rows: DataFrame, settings: TreeSettings) -> PipelineModel:
+def _fit(stages: list, rows: DataFrame, settings: TreeSettings, source: DataFrame) -> PipelineModel:
     """Fit on the given rows, spread first when the settings ask for more partitions.
 
-    Fitting looks at its input several times; spread rows are kept so they move only once.
+    Fitting looks at its input several times; spread rows are kept so they move only once. The
+    rows of ``source``, of which they are a part, are counted before, without reading a column:
+    no task's share grows with the input.
     """
-    wanted = settings.least_partitions
-    if not wanted:
+    if not settings.least_partitions:
         return Pipeline(stages=stages).fit(rows)
+    wanted = max(settings.least_partitions, -(-source.count() // ROWS_PER_TASK))
     kept = rows.repartition(wanted).persist()
     try:
         return Pipeline(stages=stages).fit(kept)
@@ -106,7 +110,7 @@ def train(df: DataFrame, task: ClassTask) -> PipelineModel:
     assembler = VectorAssembler(inputCols=list(task.features), outputCol="features")
     stages = [codes, assembler, _trees(task.trees, CODE)]
     rows = prepared.filter(_training()).select(*task.features, task.label)
-    return _fit(stages, rows, task.trees)
+    return _fit(stages, rows, task.trees, df)
 
 
 def class_labels(model: PipelineModel) -> list[str]:
@@ -193,7 +197,7 @@ def train_numbers(df: DataFrame, task: NumberTask) -> tuple[PipelineModel, DataF
     target = F.col(task.target).cast(T.DoubleType())
     prepared = prepared.withColumn(task.target, target)
     rows = prepared.filter(_training()).select(*names, task.target)
-    return _fit(stages, rows, task.trees), prepared
+    return _fit(stages, rows, task.trees, df), prepared
 
 
 def score_numbers(model: PipelineModel, prepared: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from tablewright.plans import training
 from tablewright.plans.training import (
     CODE,
     PREDICTED,
@@ -126,3 +127,22 @@ def test_regression_with_gaps(spark):
     errors = {r.split: (r.rows, r.mae) for r in number_errors(scored, task).collect()}
     assert errors["all"][0] == 760 and errors["test"][1] < 6000
     assert abs(errors["test"][0] / 760 - 0.25) < 0.06
+
+
+def test_partitions_of_the_fit_grow_with_the_training_rows(spark, flowers, monkeypatch):
+    """No task of the fit holds more than ``ROWS_PER_TASK`` rows or so."""
+    wanted = []
+    spread = type(flowers).repartition
+
+    def noted(df, n, *columns):
+        wanted.append(n)
+        return spread(df, n, *columns)
+
+    monkeypatch.setattr(training, "ROWS_PER_TASK", 50)
+    monkeypatch.setattr(type(flowers), "repartition", noted)
+    task = ClassTask([FLOWER_KEY], FLOWER_FEATURES, FLOWER_LABEL, trees=TreeSettings(rounds=1, depth=1, least_partitions=2))
+    train(flowers, task)
+    assert wanted == [12]
+    numbers = NumberTask([FLOWER_KEY], "petal_length_cm", seed=3, trees=TreeSettings(rounds=1, depth=1, least_partitions=20))
+    train_numbers(flowers, numbers)
+    assert wanted == [12, 20]
