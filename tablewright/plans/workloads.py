@@ -36,32 +36,38 @@ from tablewright.sinks.objects import Appended
 from tablewright.sinks.text import write_feed_csv
 from tablewright.sources.facts import generate_feed
 from tablewright.sources.objects import ObjectTable
-from tablewright.sources.text import read_csv, read_csv_for_store
+from tablewright.sources.text import for_store, read_csv, read_csv_for_store
 
 
-def store_rows(spark: SparkSession, path: str, object_name: str, kind: ObjectType | str,
+def store_rows(spark: SparkSession, source: str | DataFrame, object_name: str, kind: ObjectType | str,
                columns: Sequence[str] = VOLUME_COLUMNS, schema: T.StructType | None = None) -> DataFrame:
-    """CSV rows in the shape a store of this type takes.
+    """Rows of a CSV path, or of a frame read from one, in the shape a store of this type takes.
 
     Standard objects get an empty ``{object}_id`` in front, those with external ids a
     surrogate ``{object}_external_id``, the others neither.
     """
     kind = ObjectType(kind)
     standard = kind is ObjectType.STANDARD
-    df = read_csv_for_store(spark, path, object_name, kind.has_external_id, standard, schema)
+    if isinstance(source, DataFrame):
+        df = for_store(source, object_name, kind.has_external_id, standard)
+    else:
+        df = read_csv_for_store(spark, source, object_name, kind.has_external_id, standard, schema)
     ids = [f"{object_name}_id"] if standard else [f"{object_name}_external_id"] if kind.has_external_id else []
     return shape_for_store(df, [*ids, *columns])
 
 
-def volume_run(spark: SparkSession, path: str, table: ObjectTable, kind: ObjectType | str,
+def volume_run(spark: SparkSession, source: str | DataFrame, table: ObjectTable, kind: ObjectType | str,
                grid: Sequence[tuple[int, int, int]], columns: Sequence[str] = VOLUME_COLUMNS,
                schema: T.StructType | None = None) -> DataFrame:
     """CSV to an object table and back for every cell of the grid; one statistics row per run.
 
-    As many shaped rows as the largest cell takes are written once, so that no cell is
-    charged for parsing text.
+    As many shaped rows of a CSV path as the largest cell takes are written once, so that no
+    cell is charged for parsing text. Where several runs share a source, parse and write it once
+    before and give that frame: its rows are shaped as they are appended, nothing is written in between.
     """
-    shaped = store_rows(spark, path, table.name, kind, columns, schema)
+    shaped = store_rows(spark, source, table.name, kind, columns, schema)
+    if isinstance(source, DataFrame):
+        return run_volumes(shaped, table, grid)
     most = max((n for _, n, _ in grid), default=0)
     return run_volumes(written(first_rows(shaped, most), "volume-rows"), table, grid)
 

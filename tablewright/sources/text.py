@@ -106,7 +106,11 @@ def read_csv_for_store(spark: SparkSession, path: str, object_name: str, externa
     ``external_id`` adds ``{object}_external_id`` as a surrogate; ``null_id`` adds
     ``{object}_id`` empty, for the store to assign. Snapshots need neither.
     """
-    df = read_csv(spark, path, schema)
+    return for_store(read_csv(spark, path, schema), object_name, external_id, null_id)
+
+
+def for_store(df: DataFrame, object_name: str, external_id: bool = False, null_id: bool = False) -> DataFrame:
+    """Rows with the id column a store expects in front, as ``read_csv_for_store`` adds it."""
     if null_id:
         df = with_null_id(df, object_name)
     if external_id:

@@ -231,6 +231,15 @@ def test_load_checks(spark, store):
     assert FLOWERS.names[0] == "iris_external_id" and len(FLOWERS) == 7
 
 
+def test_fingerprint_sees_moved_gaps_of_wide_rows(spark):
+    """Gaps of more columns than one long has bits for."""
+    wide = spark.range(1).select(*[F.lit(1).alias(f"c{n}") for n in range(130)])
+    seen = {fingerprint(wide)}
+    for n in (0, 61, 62, 63, 123, 124, 129):
+        seen.add(fingerprint(wide.withColumn(f"c{n}", F.lit(None).cast("int"))))
+    assert len(seen) == 8
+
+
 def test_fingerprints_ignore_order_and_see_copies(spark):
     df = spark.range(20)
     assert fingerprint(df) == fingerprint(df.repartition(3).orderBy(F.desc("id")))

@@ -11,6 +11,7 @@ from tablewright.plans.roundtrip import volume_grid
 from tablewright.plans.training import ClassTask, NumberTask, TreeSettings
 from tablewright.plans.workloads import feed_job, regression_job, score_job, store_rows, train_job, volume_run
 from tablewright.schemas import FACTS, FLOWER_FEATURES, FLOWER_KEY, FLOWER_LABEL, VOLUME_COLUMNS
+from tablewright.session import written
 from tablewright.sinks.text import write_csv
 from tablewright.sources.facts import generate_facts, generate_feed
 from tablewright.sources.objects import ObjectTable, read_object
@@ -38,6 +39,39 @@ def test_volume_run(spark, facts_csv, folder, kind):
     assert read_object(spark, store).count() == 30
 
 
+@pytest.mark.parametrize("kind", [ObjectType.STANDARD, ObjectType.STANDARD_WITH_EXTERNAL_ID, ObjectType.COMPLETE_SNAPSHOT])
+def test_volume_runs_share_parsed_rows(spark, facts_csv, folder, kind):
+    """Runs over a frame store what runs over its path store; a row keeps its surrogate id in every cell."""
+    facts, kept = written(read_csv(spark, facts_csv, FACTS), "facts"), []
+    for source in (facts_csv, facts):
+        store = ObjectTable(folder, "g", "a" if source is facts else "b", "sales")
+        volume_run(spark, source, store, kind, [(1, 100, 0), (1, 400, 0)], schema=FACTS)
+        kept.append(read_object(spark, store))
+    assert kept[0].columns == kept[1].columns and [k.count() for k in kept] == [500, 500]
+    payload = [kept[0].columns[-n] for n in range(1, len(VOLUME_COLUMNS) + 1)]
+    assert rows(kept[1].select(*payload).distinct()) == rows(kept[0].select(*payload).distinct())
+    if kind.has_external_id:
+        assert kept[1].select("sales_external_id").distinct().count() == kept[1].distinct().count() == 400
+
+
+def test_volume_run_by_type_parses_its_text_once(spark, monkeypatch):
+    from tablewright.plans.queries import QUERIES, runs
+    from tablewright.sources import text
+
+    parsed, parse = [], read_csv
+
+    def noted(spark, path, *more, **options):
+        parsed.append(path)
+        return parse(spark, path, *more, **options)
+
+    for module in (text, runs):
+        monkeypatch.setattr(module, "read_csv", noted, raising=False)
+    orders = spark.range(40).select(F.col("id").alias("o_orderkey"))
+    monkeypatch.setattr(runs, "table", lambda *_: orders)
+    assert QUERIES["volume_run_by_type"](spark, "").count() == 2 * len(ObjectType)
+    assert len(parsed) == 1
+
+
 def test_train_then_score_from_text(spark, folder):
     i = F.col("id")
     flowers = spark.range(450).select(
