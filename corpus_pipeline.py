@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tablewright.llm import exact_dedup, near_dedup, packing, quality, repeats
 from tablewright.llm.common import held_out, table, unused
 from tablewright.operators.sizes import broadcast_if_small
-from tablewright.session import written
+from tablewright.session import drop_unread, written
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,4 +50,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_unread(spark)
     return docs

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import gc
+from pathlib import Path
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -309,6 +312,26 @@ def test_scratch_of_this_application_can_be_dropped(spark, folder, monkeypatch):
         spark.read.parquet(scratch_path(spark, "x").rsplit("/", 1)[0])
 
 
+def test_tables_that_no_frame_reads_are_removed(spark, folder, monkeypatch):
+    monkeypatch.setattr(session, "scratch_root", lambda spark: folder)
+    table = written(spark.range(5), "test")
+    path = Path(table.inputFiles()[0].removeprefix("file:")).parent
+    some = table.filter("id > 1").withColumn("other", F.col("id") + 1)
+    del table
+
+    def next_table():
+        gc.collect()
+        spark._jvm.System.gc()
+        return written(spark.range(3), "next").count()
+
+    assert next_table() == 3 and path.exists() and some.count() == 3
+    assert next_table() == 3 and path.exists() and some.agg(F.sum("other")).first()[0] == 12
+    del some
+    for _ in range(5):  # Spark lets go of its last job with the next one
+        next_table()
+    assert not path.exists()
+
+
 def test_scratch_paths_are_fresh_and_under_the_configured_folder(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
     configured = spark.conf.get("spark.checkpoint.dir", None)
