@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import defaultdict
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,52 +30,144 @@ class _Encoder:
     characters: a space begins the next unit, a line break is a unit of its own. Texts with any
     other white space, with white space in a row or at an end, are encoded whole, as are those
     that hold the text of a special token.
+
+    The tokenizer would split units once more, between letters, digits and other characters.
+    Where no token of its vocabulary spans such a border, its merges stop there by themselves,
+    so units of ``_PLAIN`` characters go to the model at once; apostrophes, which begin splits
+    of their own, do not belong to these.
     """
 
     def __init__(self, path: str, cached: int = CACHED):
         import os
 
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model = Tokenizer.from_file(path)
         spaces = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
-        special = [x["content"] for x in json.loads(self.model.to_str())["added_tokens"]]
+        parts = json.loads(self.model.to_str())
+        special = [x["content"] for x in parts["added_tokens"]]
         self.whole = [*spaces, "  ", " \n", "\n ", "\n\n", *special]
         self.line = np.array(self.model.encode("\n", add_special_tokens=False).ids, "<u4")
-        self.by_word = len(self.line) == 1
-        self.known: dict[str, bytes] = {}
+        self.cut = len(self.line) == 1
+        self.sizes = _sizes(parts)
+        if self.sizes is not None:
+            self.bare = Tokenizer(self.model.model)
+            self.bare.pre_tokenizer = CharDelimiterSplit("\n")
         self.cached = cached
+        self._clear()
+
+    def _clear(self) -> None:
+        """Forget all words. ``ids`` holds those of word after word; the n-th ends at ``ends[n + 1]``."""
+        self.known: dict[str, int] = {}
+        self.ids, self.ends = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        return [] if not texts else [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _units(self, units: list[str]) -> list[bytes]:
-        """Ids of words without line breaks: one text of all of them, cut at its line breaks."""
+    def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words without line breaks, one after the other, and their numbers: one text of all of them, cut at its line breaks."""
         if not units:
-            return []
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
         ids = np.array(self.model.encode_batch_fast(["\n".join(units)], add_special_tokens=False)[0].ids, "<u4")
-        ends = [*np.flatnonzero(ids == self.line[0]).tolist(), len(ids)]
-        data = ids.tobytes()
-        return [data[4 * a:4 * b] for a, b in zip([0, *(e + 1 for e in ends)], ends)]
+        lines = ids == self.line[0]
+        return ids[~lines], np.diff(np.flatnonzero(lines), prepend=-1, append=len(ids)) - 1
+
+    def _plain_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_units``, for units of ``_PLAIN`` characters: cut where the tokens' bytes add up to a word's."""
+        if not units:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        data = "\n".join(units).encode()
+        codes = np.frombuffer(data, np.uint8)
+        ids = np.array(self.bare.encode_batch_fast([_CODES[codes].tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids, "<u4")
+        breaks = np.flatnonzero(codes == 10)
+        lengths = np.diff(breaks, prepend=-1, append=len(data)) - 1
+        stops = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(lengths)) + 1
+        return ids, np.diff(stops, prepend=0)
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of ``words``, none of which is known."""
+        units = [w[1:] if w[0] == "\n" else " " + w for w in words]
+        plain = [self.sizes is not None and _PLAIN.fullmatch(u) is not None for u in units]
+        for several, encode in ((True, self._plain_units), (False, self._units)):
+            own = [w for w, p in zip(words, plain) if p is several]
+            ids, numbers = encode([u for u, p in zip(units, plain) if p is several])
+            after = np.array([w[0] == "\n" for w in own], bool)
+            ids, numbers = np.insert(ids, (np.cumsum(numbers) - numbers)[after], self.line[0]), numbers + after
+            first, at = len(self.known), self.ends[len(self.known)]
+            self.known.update(zip(own, range(first, first + len(own))))
+            self.ids, self.ends = _room(self.ids, at + len(ids)), _room(self.ends, first + len(own) + 1)
+            self.ids[at:at + len(ids)] = ids
+            self.ends[first + 1:first + len(own) + 1] = at + np.cumsum(numbers)
 
     def _simple(self, text: str) -> bool:
-        return bool(text) and self.by_word and text[0] not in " \n" and text[-1] not in " \n" and not any(map(text.__contains__, self.whole))
+        return bool(text) and self.cut and text[0] not in " \n" and text[-1] not in " \n" and not any(map(text.__contains__, self.whole))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        simple = [self._simple(t) for t in texts]
+        whole = iter(self._ids([t for t, s in zip(texts, simple) if not s]))
+        words = iter(self._words([t for t, s in zip(texts, simple) if s]))
+        return [next(words) if s else next(whole) for s in simple]
+
+    def _words(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
         # A line break stays before the first word of its line; all other words follow a space.
-        split = [("\n" + t.replace("\n", " \n")).split(" ") if self._simple(t) else None for t in texts]
-        words, known = set(chain.from_iterable(s for s in split if s)), self.known
-        fresh = list(words.difference(known))
-        if len(known) + len(fresh) > self.cached:
+        split = pc.split_pattern(pa.array(["\n" + t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        words, of = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        fresh = [w for w in words if w not in self.known]
+        if len(self.known) + len(fresh) > self.cached:
             # Frequent words come back with the next texts; rare ones would fill the cache for good.
-            known.clear()
-            fresh = list(words)
-        line = self.line.tobytes()
-        ids = self._units([w[1:] if w[0] == "\n" else " " + w for w in fresh])
-        known.update((w, line + i if w[0] == "\n" else i) for w, i in zip(fresh, ids))
-        get, whole = known.__getitem__, iter(self._ids([t for t, s in zip(texts, split) if s is None]))
-        return [next(whole) if s is None else b"".join(map(get, s))[4:] for s in split]
+            self._clear()
+            fresh = words
+        self._learn(fresh)
+        number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        start, stop = self.ends[number], self.ends[number + 1]
+        out, at = [], 0
+        for n in pc.list_value_length(split).to_pylist():
+            own = of[at:at + n]
+            at += n
+            a, z = start[own], stop[own]
+            a[0] += 1  # no line break before the text
+            count = z - a
+            before = np.cumsum(count) - count
+            out.append(self.ids[np.repeat(a - before, count) + np.arange(before[-1] + count[-1])].tobytes())
+        return out
+
+
+_PLAIN = re.compile(" ?[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in a byte-level vocabulary
+_SIGNS = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_CODES = np.array([10 if b == 10 else ord(_SIGNS.get(b, chr(b))) for b in range(256)], "<u4")  # line breaks stay
+
+
+def _sizes(parts: dict) -> np.ndarray | None:
+    """Bytes of every token of a byte-level model whose merges span no border between letters, digits and others."""
+    model, split = parts["model"], parts["pre_tokenizer"] or {}
+    usual = {"type": "BPE", "dropout": None, "unk_token": None, "byte_fallback": False, "ignore_merges": False}
+    if parts["normalizer"] or (split.get("type"), split.get("add_prefix_space"), split.get("use_regex")) != ("ByteLevel", False, True):
+        return None
+    if any(model.get(k) != v for k, v in usual.items()) or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        return None
+    byte = {chr(b): b for b in _SHOWN} | {sign: b for b, sign in _SIGNS.items()}
+    if not byte.keys() <= model["vocab"].keys():
+        return None
+    border = re.compile("[A-Za-z\x80-\xff](?=[^A-Za-z\x80-\xff])|[0-9](?=[^0-9])|[^A-Za-z0-9\x80-\xff\\s](?=[A-Za-z0-9\x80-\xff])", re.ASCII)
+    foreign = re.compile("['\xc0-\xc2\xca-\xff]|.\\s", re.ASCII | re.DOTALL)  # not in units of _PLAIN characters
+    for merge in model["merges"]:
+        token = "".join(chr(byte[c]) for c in ("".join(merge) if isinstance(merge, list) else merge.replace(" ", "")))
+        if border.search(token) and not foreign.search(token):
+            return None
+    sizes = np.zeros(max(model["vocab"].values()) + 1, np.int64)
+    for token, number in model["vocab"].items():
+        sizes[number] = len(token)
+    return sizes
+
+
+def _room(numbers: np.ndarray, n: int) -> np.ndarray:
+    return numbers if n <= len(numbers) else np.concatenate([numbers, np.zeros(max(n - len(numbers), len(numbers)), numbers.dtype)])
 
 
 _encoders: dict[tuple[str, int], _Encoder] = {}

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 import zlib
 
@@ -10,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tablewright.llm.packing import OpenBins, _Encoder, pack, token_pieces
+from tablewright.llm.packing import OpenBins, _Encoder, _sizes, pack, token_pieces
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 MODEL = Tokenizer.from_file(PATH)
@@ -28,6 +29,29 @@ def test_words_give_the_ids_of_whole_texts(texts):
     assert found == [ids_of(t) for t in texts]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from(" \n'\"(),.-_!#$~019asteßÀéñøŉɏ×÷»…"), max_size=60), max_size=5))
+def test_words_at_borders_of_letters_digits_and_others(texts):
+    found = [np.frombuffer(x, "<u4").tolist() for x in ENCODER(texts)]
+    assert found == [ids_of(t) for t in texts]
+
+
+def test_plain_words_need_no_second_split():
+    texts = ["one, two (three) 4th\nfive-six élan!", "a1b2 x", "two one,"]
+    own, wanted = _Encoder(PATH), [ids_of(t) for t in texts]
+    own.model = None
+    assert [np.frombuffer(x, "<u4").tolist() for x in own(texts)] == wanted
+
+
+def test_a_vocabulary_that_spans_borders_keeps_the_split():
+    parts = json.loads(MODEL.to_str())
+    assert _sizes(parts) is not None
+    for merge in (["a", "1"], ["1", "."], ["Ã©", "!"], ["!", "a"]):
+        assert _sizes(parts | {"model": parts["model"] | {"merges": [merge]}}) is None
+    assert _sizes(parts | {"normalizer": {"type": "NFC"}}) is None
+    assert _sizes(parts | {"model": parts["model"] | {"ignore_merges": True}}) is None
+
+
 def test_words_beyond_the_cache():
     own = _Encoder(PATH, 3)
     texts = ["one two three four\nfive, six", "two <|endoftext|> ten", "", "six seven\neight"]
