@@ -31,8 +31,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages of 400 bytes or more that occur elsewhere too."""
-    return repeats.cut_repeats(docs)
+    """All documents, without the passages of 400 bytes or 50 words or more that occur elsewhere too."""
+    return repeats.cut_repeats(docs, repeats.Passages(), repeats.FIFTY_WORDS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime
 import random
+import re
 from collections import Counter
 from decimal import Decimal
 
@@ -9,8 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tablewright.llm import repeats
-from tablewright.llm.repeats import Passages, cells, cut_repeats, phrases, without_repeats
+from tablewright.llm.repeats import FIFTY_WORDS, Passages, cells, cut_repeats, phrases, without_repeats
 
 
 def covered(texts: list[bytes], length: int) -> list[np.ndarray]:
@@ -135,3 +137,46 @@ def test_repeated_rows_are_occurrences(spark):
     text = " ".join(str(i) for i in range(200))
     docs = spark.createDataFrame([(1, text), (1, text), (2, "short")], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_removed) for r in without_repeats(docs).collect()) == [(1, len(text)), (1, len(text)), (2, 0)]
+
+
+def words_covered(texts: list[bytes], length: int) -> list[list[bool]]:
+    words = [t.lower().split() for t in texts]
+    occurs = Counter(tuple(w[i:i + length]) for w in words for i in range(len(w) - length + 1))
+    out = [[False] * len(w) for w in words]
+    for w, own in zip(words, out):
+        for i in range(len(w) - length + 1):
+            if occurs[tuple(w[i:i + length])] > 1:
+                own[i:i + length] = [True] * length
+    return out
+
+
+def words_kept(text: bytes, own: list[bool]) -> bytes:
+    kept, places = bytearray(text), [*re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+    for i in reversed(range(len(places))):
+        if own[i]:
+            del kept[places[i].start():places[i + 1].start() if i + 1 < len(own) and own[i + 1] else places[i].end()]
+    return bytes(kept)
+
+
+@pytest.mark.parametrize("how", [FIFTY_WORDS, Passages(length=50, rolling=4, steps=(32, 4, 1), words=True, block=60, core_bits=1), Passages(length=9, rolling=2, steps=(8, 1), words=True)])
+def test_exactly_the_words_of_repeated_windows_go(spark, how):
+    random.seed(4)
+    texts = [t or "" for t in corpus(9)] + [" ", "a " * 200, " lead " + "x y\u00a0z " * 40, "one\t\r\n two", "w" * 3000 + " " + "ab c " * 300]
+    texts += [re.sub(" ", lambda _: random.choice([" ", "\n", " \t ", "\x0b"]), t.upper() if i % 2 else t) + "  " for i, t in enumerate(texts[4:20])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r.doc_id: bytes(r.kept) for r in without_repeats(docs, how).collect()}
+    whole = [t.encode() for t in texts]
+    assert found == {i: words_kept(t, own) for i, (t, own) in enumerate(zip(whole, words_covered(whole, how.length)))}
+
+
+def test_pipeline_cuts_passages_of_over_fifty_words_below_400_bytes(spark):
+    """Passages of 400 bytes in fewer words still go; 49 words and clean documents stay."""
+    passage, less = " ".join(f"p{i}" for i in range(51)), " ".join(f"q{i}" for i in range(49))
+    long_words = " ".join("r" * 60 + str(i) for i in range(8))
+    assert len(passage) < 400 < len(long_words)
+    texts = {1: f"one {passage} two", 2: "three\n" + passage.replace(" ", "\n").upper() + "\nfour", 3: f"five {less} six", 4: f"seven {less} eight",
+             5: f"nine {long_words} ten", 6: f"eleven {long_words} dozen", 7: "clean text", 8: None}
+    docs = spark.createDataFrame([(i, t, 0) for i, t in texts.items()], "doc_id long, text string, n_chars int")
+    found = {r.doc_id: r for r in corpus_pipeline.passages(spark, docs, "").collect()}
+    assert {i: r.text for i, r in found.items()} == texts | {1: "one  two", 2: "three\n\nfour", 5: "nineten", 6: "elevendozen"}
+    assert found[1].n_chars == len("one  two")
