@@ -3,6 +3,7 @@ from __future__ import annotations
 import gc
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -332,6 +333,30 @@ def test_tables_that_no_frame_reads_are_removed(spark, folder, monkeypatch):
     assert not path.exists()
 
 
+def test_written_frames_reach_python_in_small_batches(spark):
+    """A bound that the session set stays; without one Spark's own is back afterwards."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(2000, numPartitions=1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "bytes"])
+
+    def seen():
+        return written(texts.mapInArrow(sizes, "rows long, bytes long"), "test").agg(F.sum("rows"), F.max("bytes")).first()
+
+    whole, most = seen()
+    assert whole == 2000 and most < 2 << 20
+    assert spark.conf.get(bound, None) is None
+    spark.conf.set(bound, 4 << 20)
+    try:
+        whole, most = seen()
+        assert whole == 2000 and 3 << 20 < most < 5 << 20
+        assert spark.conf.get(bound) == str(4 << 20)
+    finally:
+        spark.conf.unset(bound)
+
+
 def test_scratch_paths_are_fresh_and_under_the_configured_folder(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
     configured = spark.conf.get("spark.checkpoint.dir", None)
