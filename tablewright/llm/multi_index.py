@@ -7,6 +7,9 @@ substrings, up to r // m bits, so probing those values finds every code within r
 rotations make a longer code whose Hamming distance tells nearness more sharply: of what the
 index retrieves, only rows within a second radius on all bits are looked up, and the original
 vectors give their exact distances.
+
+The index is built by blocks of vectors, and each block meets each block of queries in a task:
+what is probed and what is retrieved stays there, so the driver's memory does not grow with them.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablewright.llm.common import mapped
+from tablewright.operators.ranking import nth_smallest
 from tablewright.operators.sizes import broadcast_if_small
 from tablewright.session import written
 
@@ -27,7 +31,9 @@ SAMPLE = 20_000  # vectors from which the rotation and the radius are learned
 TRIALS = 256  # of them, those that try the radius
 SUBSTRING = 11  # bits at most
 TURNS = 4  # rotations; the first makes the indexed code, all of them the longer one
-CODE = [f"code{i}" for i in range(TURNS)]
+BLOCK = ["ids", "copies", "shared", "code", "x"]  # arrays that a block of vectors consists of
+BLOCK_BYTES, ASKED_BYTES = 16 << 20, 2 << 20  # of vectors in a block of the index, and of queries
+JOINED_BYTES = 16 << 20  # most of a broadcast side, as the driver holds two at once
 KEPT = (0.99, 0.96)  # shares of the sample's true neighbours within the radii of both codes
 
 
@@ -46,10 +52,11 @@ class Codes:
     def bits(self) -> int:
         return self.rotation.shape[1] // TURNS
 
-    def of(self, x: np.ndarray) -> list[np.ndarray]:
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """Codes of the vectors in the rows of ``x``, a row of numbers per rotation."""
         places = np.left_shift(np.uint64(1), np.arange(self.bits, dtype=np.uint64))
         signs = (x - self.mean) @ self.rotation > 0
-        return [(part * places).sum(1, dtype=np.uint64).view(np.int64) for part in np.split(signs, TURNS, axis=1)]
+        return np.stack([(part * places).sum(1, dtype=np.uint64) for part in np.split(signs, TURNS, axis=1)])
 
     def limits(self, radius: int) -> list[int]:
         """Differing bits to allow in each substring, -1 for none: they cover the radius."""
@@ -106,43 +113,125 @@ def usable_vectors(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     return written(mapped(vectors.select(F.col("vec_id").cast("long"), F.col(vector).alias("v")), run, "vec_id long, n int, x binary"), "vectors")
 
 
-def _found(codes: Codes, limits: list[int], radius: int, whole_radius: int) -> Column:
-    """Codes within both radii, met at the first substring that allows it."""
-    differ = F.col("code0").bitwiseXOR(F.col("other0"))
-    keep = F.bit_count(differ) <= radius
-    apart = [F.bit_count(F.col(f"code{i}").bitwiseXOR(F.col(f"other{i}"))) for i in range(TURNS)]
-    keep &= sum(apart[1:], apart[0]) <= whole_radius
-    for i, (mask, most) in enumerate(zip(codes.masks, limits)):
-        keep &= (F.col("part") <= i) | (F.bit_count(differ.bitwiseAND(F.lit(_signed(mask)))) > most)
-    return keep
-
+def _sample(entries: DataFrame) -> np.ndarray:
+    """The ``SAMPLE`` entries with the least hashes of their ids, in this order.
 
-def _signed(mask: int) -> int:
-    return mask - (1 << 64) if mask >= 1 << 63 else mask
+    Found by counts and cut on an executor: a collected limit brings the driver that many rows of every task.
+    """
+    hashed = entries.select(F.xxhash64("vec_id").alias("hash"), "vec_id", "x")
+    if hashed.count() > SAMPLE:
+        hashed = hashed.filter(F.col("hash") <= nth_smallest(hashed, "hash", SAMPLE, scanned=False)[0])
+    first = written(hashed.orderBy("hash", "vec_id", "x").limit(SAMPLE), "vector-sample").collect()
+    first.sort(key=lambda r: (r.hash, r.vec_id is not None, r.vec_id or 0, bytes(r.x)))
+    return np.stack([np.frombuffer(r.x) for r in first])
 
 
-def _within(index: DataFrame, queries: DataFrame, codes: Codes, radius: int, whole_radius: int) -> DataFrame:
-    """(query, vec_id) of all index rows whose codes are within the radii of the query's."""
-    limits = codes.limits(radius)
-    parts = F.array(*(F.col("code0").bitwiseAND(F.lit(_signed(m))) for m in codes.masks))
-    entries = index.select("vec_id", *CODE, F.posexplode(parts).alias("part", "value"))
+def _packed(rows: DataFrame, codes: Codes, most_bytes: int) -> DataFrame:
+    """Rows of vec_id, copies, shared and x as blocks of a partition's rows, with their codes, as bytes of arrays."""
+    length = len(codes.mean)
+    most = max(1, most_bytes // (8 * length))
 
-    flips = []
-    for mask, most in zip(codes.masks, limits):
-        places = [i for i in range(64) if mask >> i & 1]
-        flips.append([_signed(sum(1 << i for i in chosen)) for n in range(min(most, len(places)) + 1) for chosen in combinations(places, n)])
+    def block(held):
+        ids, copies, shared, x = zip(*held)
+        x = b"".join(x)
+        code = codes.of(np.frombuffer(x).reshape(-1, length))
+        return np.array(ids, np.int64).tobytes(), np.array(copies, np.int64).tobytes(), np.array(shared, bool).tobytes(), code.tobytes(), x
 
-    def probes(batches):
+    def run(batches):
+        held = []
         for b in batches:
-            for query, *code in zip(b["query"], *(b[c] for c in CODE)):
-                for part, (mask, changes) in enumerate(zip(codes.masks, flips)):
-                    own = code[0] & _signed(mask)
-                    for change in changes:
-                        yield query, *code, part, own ^ change
+            for row in zip(b["vec_id"], b["copies"], b["shared"], b["x"]):
+                held.append(row)
+                if len(held) == most:
+                    yield block(held)
+                    held = []
+        if held:
+            yield block(held)
+
+    return mapped(rows.select("vec_id", "copies", "shared", "x"), run, ", ".join(f"{c} binary" for c in BLOCK))
 
-    others = ", ".join(f"other{i} long" for i in range(TURNS))
-    asked = mapped(queries.select("query", *CODE), probes, f"query long, {others}, part int, value long")
-    return entries.join(asked, ["part", "value"]).filter(_found(codes, limits, radius, whole_radius)).select("query", "vec_id")
+
+class _Index:
+    """A block of codes, indexed by each substring: ``met`` gives the rows that agree with a
+    code, in one substring, up to its limit of differing bits.
+
+    What a substring's value meets is kept as bits, for other codes with that value.
+    """
+
+    def __init__(self, codes: Codes, limits: list[int], code: np.ndarray):
+        self.rows, self.parts = len(code), []
+        for mask, most in zip(codes.masks, limits):
+            shift = (mask & -mask).bit_length() - 1
+            low = mask >> shift
+            width = low.bit_length()
+            chosen = (c for n in range(min(most, width) + 1) for c in combinations(range(width), n))
+            changes = np.array([sum(1 << i for i in c) for c in chosen], np.int64)
+            value = ((code >> np.uint64(shift)) & np.uint64(low)).astype(np.int64)
+            order = np.argsort(value, kind="stable")
+            starts = np.searchsorted(value[order], np.arange((1 << width) + 1))
+            self.parts.append((shift, low, changes, order, starts, {}))
+
+    def met(self, code: int) -> np.ndarray:
+        found = np.zeros(-(-self.rows // 8), np.uint8)
+        for shift, low, changes, order, starts, known in self.parts:
+            own = code >> shift & low
+            if own not in known:
+                probed = own ^ changes
+                first = starts[probed]
+                size = starts[probed + 1] - first
+                ends = np.cumsum(size)
+                hit = np.zeros(self.rows, bool)
+                if len(ends):
+                    hit[order[np.repeat(first - ends + size, size) + np.arange(ends[-1])]] = True
+                known[own] = np.packbits(hit)
+            found |= known[own]
+        return np.unpackbits(found, count=self.rows).view(bool)
+
+
+def _within(index: DataFrame, asked: DataFrame, codes: Codes, radius: int, whole_radius: int, kept: int) -> DataFrame:
+    """Index rows whose codes are within the radii of a query's: query, vec_id, score, whole, copies.
+
+    Every block of the index meets every block of queries where it is: neither the probed
+    values nor the rows found are sent anywhere. Of a block's rows within the radii a query
+    gets the ``kept`` nearest; all of them, with ``whole``, where a row or the query shares its id
+    with another vector. ``copies`` adds up to those of all rows within the radii.
+    """
+    limits, length = codes.limits(radius), len(codes.mean)
+
+    def run(batches):
+        seen = None
+        for b in batches:
+            for block in zip(*(b[c] for c in BLOCK), *(b[f"asked_{c}"] for c in BLOCK)):
+                ids, queries = np.frombuffer(block[0], np.int64), np.frombuffer(block[5], np.int64)
+                copies, shared, asked_shared = np.frombuffer(block[1], np.int64), np.frombuffer(block[2], bool), np.frombuffer(block[7], bool)
+                code, asked_code = (np.frombuffer(block[i], np.uint64).reshape(TURNS, -1) for i in (3, 8))
+                x, y = (np.frombuffer(block[i]).reshape(-1, length) for i in (4, 9))
+                if block[3] != seen:
+                    seen, found = block[3], _Index(codes, limits, code[0])
+                for at, query in enumerate(queries.tolist()):
+                    apart = np.bitwise_count(code[0] ^ asked_code[0, at])
+                    near = np.flatnonzero(found.met(int(asked_code[0, at])) & (apart <= radius))
+                    apart = apart[near].astype(np.int64)
+                    for turn in range(1, TURNS):
+                        apart += np.bitwise_count(code[turn, near] ^ asked_code[turn, at])
+                    near = near[apart <= whole_radius]
+                    if not len(near):
+                        continue
+                    held = int(copies[near].sum())
+                    score = np.sqrt(((y[at] - x[near]) ** 2).sum(1))
+                    whole = shared[near] | asked_shared[at]
+                    alone = np.flatnonzero(~whole)
+                    if len(alone) > kept:
+                        alone = alone[score[alone] <= np.partition(score[alone], kept - 1)[kept - 1]]
+                        alone = alone[np.lexsort((ids[near[alone]], score[alone]))[:kept]]
+                    chosen = np.concatenate([alone, np.flatnonzero(whole)])
+                    for row in zip(ids[near[chosen]].tolist(), score[chosen].tolist(), whole[chosen].tolist()):
+                        yield query, *row, held
+                        held = 0
+
+    # The hint rules out a broadcast, whatever the session's threshold.
+    both = index.crossJoin(asked.select(*(F.col(c).alias(f"asked_{c}") for c in BLOCK)).hint("shuffle_replicate_nl"))
+    return mapped(both, run, "query long, vec_id long, score double, whole boolean, copies long", at_once=1)
 
 
 def nearest(vectors: DataFrame, queries: Column, neighbours: int = 10, vector: str = "embedding") -> DataFrame:
@@ -171,23 +260,16 @@ def _nearest(usable: DataFrame, queries: Column, neighbours: int) -> DataFrame:
     members = usable.withColumn("place", F.row_number().over(by_vector)).filter(F.col("place") <= neighbours + 1)
     members = written(members.withColumn("entry", F.first("vec_id").over(by_vector)), "vector-members")
     entries = members.filter("place = 1").select("vec_id", "x")
-    sample = entries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("x").collect()
-    codes = learn_codes(np.stack([np.frombuffer(r.x) for r in sample]), neighbours)
-
-    def coded(batches):
-        for b in batches:
-            if b["x"]:
-                x = np.frombuffer(b"".join(b["x"])).reshape(len(b["x"]), -1)
-                yield from zip(b["vec_id"], *(c.tolist() for c in codes.of(x)), b["x"])
-
-    longs = ", ".join(f"{c} long" for c in CODE)
-    index = written(mapped(entries, coded, f"vec_id long, {longs}, x binary"), "vector-codes")
-    copies = members.groupBy("entry").agg(F.count(F.lit(1)).alias("copies"))
+    codes = learn_codes(_sample(entries), neighbours)
+    copies = members.groupBy(F.col("entry").alias("vec_id")).agg(F.count(F.lit(1)).alias("copies"), (F.count_if(F.col("place") == 1) > 1).alias("shared"))
+    copies = written(copies.filter("copies > 1 or shared"), "vector-copies")
+    rows = entries.filter("vec_id is not null").join(broadcast_if_small(copies, JOINED_BYTES), "vec_id", "left").fillna({"copies": 1, "shared": False})
+    index = written(_packed(rows, codes, BLOCK_BYTES), "vector-index")
     asking = written(usable.filter(queries).select(F.col("vec_id").alias("query_id"), "x"), "vector-queries")
     # Equal queries are asked once.
     asked = asking.groupBy("x").agg(F.min("query_id").alias("query"))
-    pending = written(mapped(
-        asked.select(F.col("query").alias("vec_id"), "x"), coded, f"query long, {longs}, x binary"), "vector-asked")
+    shared = written(asked.groupBy("query").agg((F.count(F.lit(1)) > 1).alias("shared")).filter("shared"), "vector-shared")
+    pending = written(asked.join(broadcast_if_small(shared, JOINED_BYTES), "query", "left").fillna({"shared": False}), "vector-asked")
     everything = members.count()
     need = min(neighbours + 1, everything)
     radius, whole_radius, done = codes.radius, codes.whole_radius, None
@@ -202,14 +284,18 @@ def _nearest(usable: DataFrame, queries: Column, neighbours: int) -> DataFrame:
     while True:
         if radius >= codes.bits:
             radius, whole_radius = codes.bits, TURNS * codes.bits
-        pairs = written(_within(index, pending, codes, radius, whole_radius), "vector-candidates")
-        held = pairs.join(copies, pairs.vec_id == copies.entry).groupBy("query").agg(F.sum("copies").alias("held"))
+        rows = pending.filter("query is not null").select(F.col("query").alias("vec_id"), F.lit(1).alias("copies"), "shared", "x")
+        blocks = written(_packed(rows, codes, ASKED_BYTES), "vector-asked-blocks")
+        pairs = written(_within(index, blocks, codes, radius, whole_radius, neighbours + 1), "vector-candidates")
+        held = pairs.groupBy("query").agg(F.sum("copies").alias("held"))
         full = written(held.filter(F.col("held") >= need).select("query"), "vector-answered")
-        answered = pairs.join(broadcast_if_small(full), "query", "left_semi") if radius < codes.bits else pairs
+        answered = pairs.join(broadcast_if_small(full, JOINED_BYTES), "query", "left_semi") if radius < codes.bits else pairs
+        first = answered.filter("not whole").withColumn("n", F.row_number().over(best)).filter(F.col("n") <= neighbours + 1).drop("n")
+        chosen = written(first.unionByName(answered.filter("whole")).select("query", F.col("vec_id").alias("entry")), "vector-chosen")
         rows = (
-            answered.withColumnRenamed("vec_id", "entry")
-            .join(index.select(F.col("vec_id").alias("entry"), F.col("x").alias("y")), "entry")
-            .join(broadcast_if_small(pending.select("query", "x")), "query")
+            entries.select(F.col("vec_id").alias("entry"), F.col("x").alias("y"))
+            .join(broadcast_if_small(chosen, JOINED_BYTES), "entry")
+            .join(broadcast_if_small(pending.select("query", "x"), JOINED_BYTES), "query")
         )
         scored = mapped(rows.select("query", "entry", "x", "y"), far, "query long, entry long, score double")
         # First the nearest entries, then their ids: an entry never stands in for a nearer one.

@@ -5,6 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from tablewright.llm import multi_index
 from tablewright.llm.multi_index import learn_codes, nearest
 
 SCHEMA = "vec_id long, embedding array<float>, rank string"
@@ -58,3 +59,53 @@ def test_substring_limits_cover_the_radius():
     assert sum(bin(m).count("1") for m in codes.masks) == 64
     for radius in range(65):
         assert sum(limit + 1 for limit in codes.limits(radius)) == radius + 1  # more differing bits than that exceed every limit only beyond it
+
+
+def test_no_broadcast_grows_with_the_probes(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, v, None) for i, v in enumerate(rng.normal(size=(3000, 64)).tolist())]
+    limit = "spark.sql.maxBroadcastTableSize"
+    spark.conf.set(limit, "128MB")  # 600 queries probe more values than that; a page alone may take 64 MB
+    try:
+        found = [(r.query_id, r.vec_id) for r in nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 5 == 0).collect()]
+    finally:
+        spark.conf.unset(limit)
+    x = np.array([v for _, v, _ in rows], np.float32).astype(float)
+    want = {(q, int(i)) for q in range(0, 3000, 5) for i in np.argsort(((x[q] - x) ** 2).sum(1))[1:11]}
+    assert len(found) == len(want) and len(want & set(found)) >= 0.9 * len(want)
+
+
+def test_an_index_meets_all_within_its_limits_and_no_others():
+    x = np.random.default_rng(5).normal(size=(700, 20))
+    codes = learn_codes(x, 5)
+    code = codes.of(x)[0]
+    for radius in (0, 3, 7, codes.bits):
+        limits = codes.limits(radius)
+        index = multi_index._Index(codes, limits, code)
+        for own in code[:20].tolist():
+            want = [any(((c ^ own) & mask).bit_count() <= most for mask, most in zip(codes.masks, limits)) for c in code.tolist()]
+            assert index.met(own).tolist() == want
+            assert all(w for w, c in zip(want, code.tolist()) if (c ^ own).bit_count() <= radius)
+
+
+def test_blocks_of_any_size_find_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, v, None) for i, v in enumerate(rng.normal(size=(400, 16)).tolist())]
+    rows += [(i + 1000, v, None) for i, v, _ in rows[:40]] + [(i, [9.0 - x for x in v], None) for i, v, _ in rows[30:60]] + [(None, [0.5] * 16, None)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+    def found():
+        return sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in nearest(df, F.col("vec_id") % 10 == 0).collect())
+
+    whole = found()
+    monkeypatch.setattr(multi_index, "BLOCK_BYTES", 8 * 16 * 7)
+    monkeypatch.setattr(multi_index, "ASKED_BYTES", 8 * 16 * 3)
+    assert found() == whole
+
+
+def test_the_sample_is_the_least_hashes(spark, monkeypatch):
+    monkeypatch.setattr(multi_index, "SAMPLE", 50)
+    ids = [*range(300), *[7] * 20, None]
+    df = spark.createDataFrame([(i, np.array([float(n)]).tobytes()) for n, i in enumerate(ids)], "vec_id long, x binary").repartition(5)
+    want = [np.frombuffer(r.x)[0] for r in df.orderBy(F.xxhash64("vec_id"), "vec_id", "x").limit(50).collect()]
+    assert multi_index._sample(df)[:, 0].tolist() == want
