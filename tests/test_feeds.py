@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import hashlib
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tablewright.operators.feeds import FeedSpec, ObjectType, batch_by_ranges, batch_counts, change_feed, feed_slots, file_name, require_pool
+from tablewright.plans.queries import QUERIES
 from tablewright.schemas import FACT_COLUMNS, FACT_RANGES
 from tablewright.sinks.text import write_feed_csv
 from tablewright.sources.facts import generate_facts, generate_feed
@@ -205,6 +208,31 @@ def test_facts(spark):
     assert generate_facts(spark, 0).count() == 0
 
 
+def test_own_draws_do_not_follow_from_each_other(spark):
+    df = generate_facts(spark, 2000, seed=11, own_draws=True)
+    assert df.columns == FACT_COLUMNS and df.schema == generate_facts(spark, 0).schema
+    low = {name: limits[0] for name, limits in FACT_RANGES.items() if limits == (100, 1000)}
+    four = [F.col(name) - low[name] for name in list(low)[:4]]
+    line = (four[3] - 3 * four[2] + 3 * four[1] - four[0]) % 901 == 0
+    assert df.filter(line).count() < 20  # of a quadratic's values, all
+    assert generate_facts(spark, 2000, seed=11).filter(line).count() == 2000
+    assert rows(df) == rows(generate_facts(spark, 2000, seed=11, partitions=3, own_draws=True))
+
+
+def test_sized_facts_have_a_draw_for_every_cell(spark, folder):
+    spark.range(500).write.parquet(f"{folder}/lineitem.parquet")
+
+    def draw(row, block, slot, low, high):
+        return low + int(hashlib.md5(f"{row}:{block}:11".encode()).hexdigest()[8 * slot:8 * slot + 8], 16) % (high - low + 1)
+
+    want = {}
+    for row in range(500):
+        product = draw(row, 0, 0, 1, 7)
+        size, customers, amount, _ = want.get(product, (0, 0, 0, 0))
+        want[product] = (size + 1, customers + draw(row, 0, 2, 100, 100_000), amount + draw(row, 2, 0, 100, 1_000), row)
+    assert rows(QUERIES["synthetic_fact_sized"](spark, folder)) == sorted((k, *v) for k, v in want.items())
+
+
 def test_drawn_columns_are_not_copies_of_each_other(spark):
     df = generate_facts(spark, 2000, seed=5)
     drawn = [name for name, limits in FACT_RANGES.items() if limits == (100, 1000)]
