@@ -18,11 +18,13 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 from pyspark.sql.window import Window
 
-from tablewright.llm.common import mapped
+from tablewright.llm.common import mapped, ship
 from tablewright.operators.ranking import nth_smallest
 from tablewright.operators.sizes import broadcast_if_small
 from tablewright.session import written
@@ -32,7 +34,7 @@ TRIALS = 256  # of them, those that try the radius
 SUBSTRING = 11  # bits at most
 TURNS = 4  # rotations; the first makes the indexed code, all of them the longer one
 BLOCK = ["ids", "copies", "shared", "code", "x"]  # arrays that a block of vectors consists of
-BLOCK_BYTES, ASKED_BYTES = 16 << 20, 2 << 20  # of vectors in a block of the index, and of queries
+BLOCK_BYTES, ASKED_BYTES = 16 << 20, 2 << 20  # of vectors as doubles, in a block of the index and of queries
 JOINED_BYTES = 16 << 20  # most of a broadcast side, as the driver holds two at once
 KEPT = (0.99, 0.96)  # shares of the sample's true neighbours within the radii of both codes
 
@@ -96,24 +98,35 @@ def learn_codes(sample: np.ndarray, neighbours: int, seed: int = 1) -> Codes:
     return Codes(mean, rotation, masks, *radii)
 
 
+def stored(vectors: DataFrame, vector: str = "embedding") -> str:
+    """Numpy's name of the numbers by which vectors are kept: floats as they are, all others as doubles."""
+    return "f4" if isinstance(vectors.schema[vector].dataType.elementType, FloatType) else "f8"
+
+
 def usable_vectors(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
-    """vec_id, n and x, the vector's length and float64 bytes, of the vectors that take part.
+    """vec_id, n and x, the vector's length and bytes as ``stored``, of the vectors that take part.
 
     Vectors that are null, zero, or hold a null, infinite or not-a-number component do not.
     """
+    kind = stored(vectors, vector)
+    fields = pa.schema([("vec_id", pa.int64()), ("n", pa.int32()), ("x", pa.binary())])
 
     def run(batches):
         for b in batches:
-            for i, v in zip(b["vec_id"], b["v"]):
-                if v and None not in v:
-                    x = np.array(v, float)
-                    if np.isfinite(x).all() and x.any():
-                        yield i, len(x), x.tobytes()
+            lists = b["v"]
+            ends = lists.offsets.to_numpy()
+            numbers = lists.values.to_numpy(zero_copy_only=False).astype(kind)  # null components become not-a-number
+            odd, some = (np.concatenate([[0], np.cumsum(c)]) for c in (~np.isfinite(numbers), numbers != 0))
+            kept = np.flatnonzero((odd[ends[1:]] == odd[ends[:-1]]) & (some[ends[1:]] > some[ends[:-1]]) & lists.is_valid().to_numpy(zero_copy_only=False))
+            x = [numbers[i:j].tobytes() for i, j in zip(ends[kept].tolist(), ends[kept + 1].tolist())]
+            yield pa.record_batch([b["vec_id"].take(pa.array(kept)), pa.array(np.diff(ends)[kept], pa.int32()), pa.array(x, pa.binary())], schema=fields)
 
-    return written(mapped(vectors.select(F.col("vec_id").cast("long"), F.col(vector).alias("v")), run, "vec_id long, n int, x binary"), "vectors")
+    ship(vectors.sparkSession)
+    numbers = F.col(vector).cast("array<float>" if kind == "f4" else "array<double>")
+    return written(vectors.select(F.col("vec_id").cast("long"), numbers.alias("v")).mapInArrow(run, "vec_id long, n int, x binary"), "vectors")
 
 
-def _sample(entries: DataFrame) -> np.ndarray:
+def _sample(entries: DataFrame, kind: str = "f8") -> np.ndarray:
     """The ``SAMPLE`` entries with the least hashes of their ids, in this order.
 
     Found by counts and cut on an executor: a collected limit brings the driver that many rows of every task.
@@ -123,10 +136,10 @@ def _sample(entries: DataFrame) -> np.ndarray:
         hashed = hashed.filter(F.col("hash") <= nth_smallest(hashed, "hash", SAMPLE, scanned=False)[0])
     first = written(hashed.orderBy("hash", "vec_id", "x").limit(SAMPLE), "vector-sample").collect()
     first.sort(key=lambda r: (r.hash, r.vec_id is not None, r.vec_id or 0, bytes(r.x)))
-    return np.stack([np.frombuffer(r.x) for r in first])
+    return np.stack([np.frombuffer(r.x, kind) for r in first]).astype(float)
 
 
-def _packed(rows: DataFrame, codes: Codes, most_bytes: int) -> DataFrame:
+def _packed(rows: DataFrame, codes: Codes, most_bytes: int, kind: str) -> DataFrame:
     """Rows of vec_id, copies, shared and x as blocks of a partition's rows, with their codes, as bytes of arrays."""
     length = len(codes.mean)
     most = max(1, most_bytes // (8 * length))
@@ -134,7 +147,7 @@ def _packed(rows: DataFrame, codes: Codes, most_bytes: int) -> DataFrame:
     def block(held):
         ids, copies, shared, x = zip(*held)
         x = b"".join(x)
-        code = codes.of(np.frombuffer(x).reshape(-1, length))
+        code = codes.of(np.frombuffer(x, kind).reshape(-1, length).astype(float))
         return np.array(ids, np.int64).tobytes(), np.array(copies, np.int64).tobytes(), np.array(shared, bool).tobytes(), code.tobytes(), x
 
     def run(batches):
@@ -188,7 +201,7 @@ class _Index:
         return np.unpackbits(found, count=self.rows).view(bool)
 
 
-def _within(index: DataFrame, asked: DataFrame, codes: Codes, radius: int, whole_radius: int, kept: int) -> DataFrame:
+def _within(index: DataFrame, asked: DataFrame, codes: Codes, radius: int, whole_radius: int, kept: int, kind: str) -> DataFrame:
     """Index rows whose codes are within the radii of a query's: query, vec_id, score, whole, copies.
 
     Every block of the index meets every block of queries where it is: neither the probed
@@ -205,7 +218,7 @@ def _within(index: DataFrame, asked: DataFrame, codes: Codes, radius: int, whole
                 ids, queries = np.frombuffer(block[0], np.int64), np.frombuffer(block[5], np.int64)
                 copies, shared, asked_shared = np.frombuffer(block[1], np.int64), np.frombuffer(block[2], bool), np.frombuffer(block[7], bool)
                 code, asked_code = (np.frombuffer(block[i], np.uint64).reshape(TURNS, -1) for i in (3, 8))
-                x, y = (np.frombuffer(block[i]).reshape(-1, length) for i in (4, 9))
+                x, y = (np.frombuffer(block[i], kind).reshape(-1, length) for i in (4, 9))
                 if block[3] != seen:
                     seen, found = block[3], _Index(codes, limits, code[0])
                 for at, query in enumerate(queries.tolist()):
@@ -218,7 +231,7 @@ def _within(index: DataFrame, asked: DataFrame, codes: Codes, radius: int, whole
                     if not len(near):
                         continue
                     held = int(copies[near].sum())
-                    score = np.sqrt(((y[at] - x[near]) ** 2).sum(1))
+                    score = np.sqrt(((y[at].astype(float) - x[near]) ** 2).sum(1))
                     whole = shared[near] | asked_shared[at]
                     alone = np.flatnonzero(~whole)
                     if len(alone) > kept:
@@ -249,22 +262,22 @@ def nearest(vectors: DataFrame, queries: Column, neighbours: int = 10, vector: s
     lengths = [r.n for r in usable.select("n").distinct().orderBy("n").collect()]
     found = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     for n in lengths:
-        found = found.unionByName(_nearest(usable.filter(F.col("n") == n).select("vec_id", "x"), queries, neighbours))
+        found = found.unionByName(_nearest(usable.filter(F.col("n") == n).select("vec_id", "x"), queries, neighbours, stored(vectors, vector)))
     return found
 
 
-def _nearest(usable: DataFrame, queries: Column, neighbours: int) -> DataFrame:
+def _nearest(usable: DataFrame, queries: Column, neighbours: int, kind: str) -> DataFrame:
     """``nearest`` for usable vectors of one length, at least one."""
     usable = usable.dropDuplicates()
     by_vector = Window.partitionBy("x").orderBy("vec_id")
     members = usable.withColumn("place", F.row_number().over(by_vector)).filter(F.col("place") <= neighbours + 1)
     members = written(members.withColumn("entry", F.first("vec_id").over(by_vector)), "vector-members")
     entries = members.filter("place = 1").select("vec_id", "x")
-    codes = learn_codes(_sample(entries), neighbours)
+    codes = learn_codes(_sample(entries, kind), neighbours)
     copies = members.groupBy(F.col("entry").alias("vec_id")).agg(F.count(F.lit(1)).alias("copies"), (F.count_if(F.col("place") == 1) > 1).alias("shared"))
     copies = written(copies.filter("copies > 1 or shared"), "vector-copies")
     rows = entries.filter("vec_id is not null").join(broadcast_if_small(copies, JOINED_BYTES), "vec_id", "left").fillna({"copies": 1, "shared": False})
-    index = written(_packed(rows, codes, BLOCK_BYTES), "vector-index")
+    index = written(_packed(rows, codes, BLOCK_BYTES, kind), "vector-index")
     asking = written(usable.filter(queries).select(F.col("vec_id").alias("query_id"), "x"), "vector-queries")
     # Equal queries are asked once.
     asked = asking.groupBy("x").agg(F.min("query_id").alias("query"))
@@ -277,7 +290,7 @@ def _nearest(usable: DataFrame, queries: Column, neighbours: int) -> DataFrame:
     def far(batches):
         for b in batches:
             if b["x"]:
-                x, y = (np.frombuffer(b"".join(b[c])).reshape(len(b["x"]), -1) for c in ("x", "y"))
+                x, y = (np.frombuffer(b"".join(b[c]), kind).reshape(len(b["x"]), -1).astype(float) for c in ("x", "y"))
                 yield from zip(b["query"], b["entry"], np.sqrt(((x - y) ** 2).sum(1)).tolist())
 
     best = Window.partitionBy("query").orderBy("score", "vec_id")
@@ -285,8 +298,8 @@ def _nearest(usable: DataFrame, queries: Column, neighbours: int) -> DataFrame:
         if radius >= codes.bits:
             radius, whole_radius = codes.bits, TURNS * codes.bits
         rows = pending.filter("query is not null").select(F.col("query").alias("vec_id"), F.lit(1).alias("copies"), "shared", "x")
-        blocks = written(_packed(rows, codes, ASKED_BYTES), "vector-asked-blocks")
-        pairs = written(_within(index, blocks, codes, radius, whole_radius, neighbours + 1), "vector-candidates")
+        blocks = written(_packed(rows, codes, ASKED_BYTES, kind), "vector-asked-blocks")
+        pairs = written(_within(index, blocks, codes, radius, whole_radius, neighbours + 1, kind), "vector-candidates")
         held = pairs.groupBy("query").agg(F.sum("copies").alias("held"))
         full = written(held.filter(F.col("held") >= need).select("query"), "vector-answered")
         answered = pairs.join(broadcast_if_small(full, JOINED_BYTES), "query", "left_semi") if radius < codes.bits else pairs
